@@ -69,6 +69,41 @@ _PLAN_XML = """concat('<ShowPlanXML xmlns="http://schemas.microsoft.com/sqlserve
   '<RelOp NodeId="1" PhysicalOp="Compute Scalar" Parallel="0"/></RelOp>',
   '</QueryPlan></StmtSimple></Statements></Batch></BatchSequence></ShowPlanXML>')"""
 
+
+def _wait_stats(cut: str | None) -> str:
+    where = f"WHERE o_orderdate < TS'{cut}'" if cut else ""
+    return f"""
+SELECT concat('srv', CAST(o_orderkey % 4 AS STRING)) AS instance_id,
+  CASE o_custkey % 60 WHEN 0 THEN 'SLEEP_TASK' WHEN 1 THEN 'LAZYWRITER_SLEEP' WHEN 2 THEN 'WAITFOR'
+    WHEN 3 THEN 'CXCONSUMER' WHEN 4 THEN 'XE_TIMER_EVENT' WHEN 5 THEN 'BROKER_TASK_STOP'
+    WHEN 6 THEN 'CUSTOM_SLEEP' WHEN 7 THEN 'SOS_WORK_DISPATCHER' WHEN 9 THEN 'SLEEP_CUSTOM_WAKE'
+    ELSE concat('WAIT_', CAST(o_custkey % 60 AS STRING)) END AS wait_type,
+  count(CASE WHEN o_custkey % 60 <> 8 THEN 1 END) AS waiting_tasks_count,
+  CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS wait_time_ms,
+  max(CAST(floor(o_totalprice) AS BIGINT)) AS max_wait_time_ms,
+  CAST(sum(o_orderkey % 1000) AS BIGINT) AS signal_wait_time_ms
+FROM {{orders}} {where} GROUP BY o_orderkey % 4, o_custkey % 60"""
+
+
+def _perf_counters(cut: str) -> str:
+    return f"""
+SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, TS'{cut}' AS captured_at, event_type AS object_name,
+  concat('counter_', CAST(user_id % 3 AS STRING)) AS counter_name,
+  CASE WHEN user_id % 20 = 0 THEN NULL ELSE concat('u', CAST(user_id % 20 AS STRING)) END AS instance_name,
+  CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS cntr_value, CAST(65792 AS INT) AS cntr_type
+FROM {{events}} WHERE ts < TS'{cut}' GROUP BY user_id % 4, event_type, user_id % 3, user_id % 20"""
+
+
+def _missing_indexes(pre: bool) -> str:
+    seeks = "CAST(floor((p_partkey % 17) / 2) AS BIGINT)" if pre else "p_partkey % 17"
+    cost = "CAST(p_size - p_partkey % 2 AS DOUBLE)" if pre else "CAST(p_size AS DOUBLE)"
+    where = "WHERE p_partkey % 3 <> 0" if pre else ""
+    return f"""
+SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(p_partkey AS INT) AS index_group_handle,
+  CAST(p_partkey AS INT) AS index_handle, {cost} AS avg_total_user_cost,
+  CAST(p_partkey % 100 AS DOUBLE) AS avg_user_impact, {seeks} AS user_seeks, p_partkey % 5 AS user_scans
+FROM {{part}} {where}"""
+
 VIEWS: dict[str, str] = {
     # ---- statements and cached plans -------------------------------------------------
     "query_stats": _query_stats(POST_CAPTURE),
@@ -99,6 +134,24 @@ FROM {customer} LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS create_date FRO
   ON c_custkey = d.o_custkey""",
 }
 
+VIEWS.update({
+    # ---- waits, counters, missing indexes (two captures each) ------------------------
+    "wait_stats": _wait_stats(None),
+    "wait_stats_pre": _wait_stats("1998-01-01 00:00:00"),
+    "perf_counters": _perf_counters(POST_CAPTURE),
+    "perf_counters_pre": _perf_counters(PRE_CAPTURE),
+    "missing_index_stats": _missing_indexes(False),
+    "missing_index_stats_pre": _missing_indexes(True),
+    "missing_index_details": """
+SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(p_partkey AS INT) AS index_handle,
+  CAST(p_partkey % 3 AS INT) AS database_id, CAST(p_partkey % 200 AS INT) AS object_id,
+  concat('[db', CAST(p_partkey % 3 AS STRING), '].[dbo].[', p_brand, ']') AS statement,
+  concat('[', p_type, ']') AS equality_columns,
+  CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE '[p_size]' END AS inequality_columns,
+  CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '[p_name], [p_retailprice]' END AS included_columns
+FROM {part}""",
+})
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -130,4 +183,9 @@ def duckdb_with(report_sql: str, names: list[str]) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({duckdb_sql(n)}\n)" for n in order)
-    return f"WITH {ctes}\n{report_sql}" if ctes else report_sql
+    if not ctes:
+        return report_sql
+    body = report_sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{report_sql}"
