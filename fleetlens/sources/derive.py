@@ -104,6 +104,49 @@ SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(p_partk
   CAST(p_partkey % 100 AS DOUBLE) AS avg_user_impact, {seeks} AS user_seeks, p_partkey % 5 AS user_scans
 FROM {{part}} {where}"""
 
+
+_OBJ_KEY = "concat('srv', CAST({k} % 4 AS STRING)) AS instance_id, CAST(1 + {k} % 3 AS INT) AS database_id, CAST({k} AS INT) AS object_id"
+
+
+def _index_operational_stats(cut: str | None) -> str:
+    where = f"WHERE l_shipdate < TS'{cut}'" if cut else ""
+    return f"""
+SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_suppkey % 5 AS INT) AS index_id,
+  CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS row_lock_wait_in_ms,
+  count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS row_lock_wait_count,
+  CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS page_latch_wait_in_ms,
+  count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS page_latch_wait_count,
+  CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS page_io_latch_wait_in_ms,
+  count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS page_io_latch_wait_count,
+  count(*) AS index_lock_promotion_attempt_count,
+  count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS index_lock_promotion_count,
+  count(CASE WHEN l_linenumber > 2 THEN 1 END) AS leaf_allocation_count,
+  count(CASE WHEN l_linenumber > 5 THEN 1 END) AS nonleaf_allocation_count,
+  CAST(sum(l_linenumber) AS BIGINT) AS leaf_insert_count,
+  count(CASE WHEN l_discount > 0.05 THEN 1 END) AS leaf_delete_count,
+  count(CASE WHEN l_tax > 0.04 THEN 1 END) AS leaf_update_count,
+  count(CASE WHEN l_discount = 0 THEN 1 END) AS leaf_ghost_count,
+  CAST(sum(l_linenumber % 3) AS BIGINT) AS range_scan_count,
+  CAST(sum(l_orderkey % 7) AS BIGINT) AS singleton_lookup_count
+FROM {{lineitem}} {where} GROUP BY l_partkey, l_suppkey % 5"""
+
+
+def _index_usage(cut: str | None) -> str:
+    where = f"WHERE l_shipdate < TS'{cut}'" if cut else ""
+    return f"""
+SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_suppkey % 5 AS INT) AS index_id,
+  count(CASE WHEN l_returnflag = 'R' AND l_suppkey % 5 <> 4 THEN 1 END) AS user_seeks,
+  count(CASE WHEN l_returnflag = 'A' AND l_suppkey % 5 <> 4 THEN 1 END) AS user_scans,
+  count(CASE WHEN l_returnflag = 'N' AND l_suppkey % 5 <> 4 THEN 1 END) AS user_lookups,
+  count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS user_updates,
+  count(CASE WHEN l_linenumber = 7 THEN 1 END) AS system_seeks,
+  count(CASE WHEN l_linenumber = 6 AND l_partkey % 2 = 0 THEN 1 END) AS system_scans,
+  count(CASE WHEN l_linenumber = 5 AND l_partkey % 3 = 0 THEN 1 END) AS system_lookups,
+  max(CASE WHEN l_returnflag = 'R' AND l_suppkey % 5 <> 4 THEN l_shipdate END) AS last_user_seek,
+  max(CASE WHEN l_returnflag = 'A' AND l_suppkey % 5 <> 4 THEN l_shipdate END) AS last_user_scan,
+  max(CASE WHEN l_returnflag = 'N' AND l_suppkey % 5 <> 4 THEN l_shipdate END) AS last_user_lookup
+FROM {{lineitem}} {where} GROUP BY l_partkey, l_suppkey % 5"""
+
 VIEWS: dict[str, str] = {
     # ---- statements and cached plans -------------------------------------------------
     "query_stats": _query_stats(POST_CAPTURE),
@@ -152,6 +195,51 @@ SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(p_partk
 FROM {part}""",
 })
 
+VIEWS.update({
+    # ---- index catalog and index statistics ------------------------------------------
+    "objects": f"""
+SELECT {_OBJ_KEY.format(k='p_partkey')}, CAST(p_partkey % 8 AS INT) AS schema_id, concat('t', CAST(p_partkey AS STRING)) AS name,
+  p_partkey % 25 = 0 AS is_ms_shipped, CASE WHEN p_partkey % 25 = 0 THEN 'S' ELSE 'U' END AS type,
+  CASE WHEN p_partkey % 25 = 0 THEN 'SYSTEM_TABLE' ELSE 'USER_TABLE' END AS type_desc
+FROM {{part}}""",
+    "schemas": """
+SELECT DISTINCT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(1 + p_partkey % 3 AS INT) AS database_id,
+  CAST(p_partkey % 8 AS INT) AS schema_id, CASE WHEN p_partkey % 8 = 0 THEN 'dbo' ELSE concat('s', CAST(p_partkey % 8 AS STRING)) END AS name
+FROM {part}""",
+    "indexes": f"""
+SELECT DISTINCT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_linenumber - 1 AS INT) AS index_id,
+  CASE WHEN l_linenumber = 1 THEN NULL ELSE concat('ix', CAST(l_linenumber - 1 AS STRING)) END AS name,
+  CASE WHEN l_linenumber = 1 THEN 'HEAP' WHEN l_linenumber = 2 THEN 'CLUSTERED' ELSE 'NONCLUSTERED' END AS type_desc,
+  CAST(CASE WHEN l_linenumber = 1 THEN 0 ELSE 78 + l_linenumber + CAST(l_partkey % 3 AS INT) END AS INT) AS fill_factor,
+  l_linenumber = 2 AS is_primary_key, l_linenumber = 7 AS is_disabled
+FROM {{lineitem}}""",
+    "index_usage": _index_usage(None),
+    "index_usage_pre": _index_usage("1997-01-01 00:00:00"),
+    "index_physical_stats": """
+SELECT instance_id, database_id, object_id, index_id,
+  CAST((user_updates * 3700 + object_id * 13) % 10000 AS DOUBLE) / 100 AS avg_fragmentation_in_percent,
+  CAST((user_seeks * 3100 + object_id * 7) % 10000 AS DOUBLE) / 100 AS avg_page_space_used_in_percent,
+  user_updates * 500 + object_id AS page_count
+FROM {index_usage}""",
+    "index_operational_stats": _index_operational_stats(None),
+    "index_operational_stats_pre": _index_operational_stats("1997-01-01 00:00:00"),
+    "partition_stats": f"""
+SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_suppkey % 5 AS INT) AS index_id, CAST(l_linenumber AS INT) AS partition_number,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) - CASE WHEN l_suppkey % 5 = 3 THEN CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) ELSE 0 END AS used_page_count,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) + 8 AS reserved_page_count, count(*) AS row_count
+FROM {{lineitem}} GROUP BY l_partkey, l_suppkey % 5, l_linenumber""",
+    "index_row_counts": f"""
+SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_linenumber - 1 AS INT) AS index_id,
+  CASE WHEN l_linenumber = 1 THEN NULL ELSE concat('ix', CAST(l_linenumber - 1 AS STRING)) END AS name,
+  count(*) * 150 AS rowcnt, CAST(sum(CAST(l_quantity AS BIGINT) * l_linenumber) AS BIGINT) AS rowmodctr,
+  max(l_shipdate) AS stats_date
+FROM {{lineitem}} GROUP BY l_partkey, l_linenumber""",
+    "missing_index_groups": """
+SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(p_partkey AS INT) AS index_group_handle,
+  CAST(p_partkey AS INT) AS index_handle
+FROM {part}""",
+})
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
