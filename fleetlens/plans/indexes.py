@@ -184,3 +184,60 @@ def statistics_staleness(row_counts, objects, schemas, min_rows: int = 500) -> D
                     F.col("stats_date").alias("statistics_last_updated"), F.col("rowcnt").alias("row_count"),
                     F.col("rowmodctr").alias("number_of_changes"),
                     exact_ratio("rowmodctr", "rowcnt", factor=100).alias("pct_rows_changed"))
+
+
+USAGE_COUNTERS = ["user_updates", "user_seeks", "user_scans", "user_lookups"]
+
+
+def index_usage_between(pre_usage, post_usage, indexes, objects, schemas, row_counts) -> DataFrame:
+    """Usage, row and modification deltas of indexes touched between two
+    captures (any of the four usage counters changed).
+
+    Each capture is usage joined to its named index, its row counts and its
+    user table; captures pair on the index key (the source pairs on schema,
+    table, index name and type, which name the same index)."""
+    rc = row_counts.select(*IDX, "rowcnt", "rowmodctr")
+
+    def capture(u: DataFrame) -> DataFrame:
+        c = _names(u.select(*IDX, *USAGE_COUNTERS), indexes, objects, schemas,
+                   index_cols=[F.col("type_desc").alias("index_type"), "fill_factor"])
+        return c.join(rc, IDX)
+
+    post, pre = capture(post_usage), capture(pre_usage)
+    p = pre.select(*[F.col(k).alias(f"_p_{k}") for k in IDX],
+                   *[F.col(c).alias(f"_p_{c}") for c in USAGE_COUNTERS + ["rowcnt", "rowmodctr"]])
+    j = post.join(p, [post[k] == p[f"_p_{k}"] for k in IDX], "left")
+    d = {c: F.col(c) - F.coalesce(F.col(f"_p_{c}"), F.lit(0)) for c in USAGE_COUNTERS}
+    changed = d["user_updates"] != 0
+    for c in USAGE_COUNTERS[1:]:
+        changed = changed | (d[c] != 0)
+    return j.filter(changed).select(
+        *DB, "schema_name", "table_name", "index_name", "index_type",
+        *[d[c].alias(c) for c in USAGE_COUNTERS],
+        (F.col("rowcnt") - F.col("_p_rowcnt")).alias("rows_inserted"),
+        (F.col("rowmodctr") - F.col("_p_rowmodctr")).alias("updates_iud"), "fill_factor")
+
+
+ROW_ACTIVITY = ["leaf_delete_count", "leaf_ghost_count", "leaf_insert_count", "leaf_update_count",
+                "range_scan_count", "singleton_lookup_count"]
+
+
+def index_row_activity(pre_ops, post_ops, indexes, objects, schemas) -> DataFrame:
+    """Leaf delete / ghost / insert / update, range scan and singleton
+    lookup deltas per index; rows where any delta is positive."""
+    from ..operators import snapshot_delta
+    d = snapshot_delta(pre_ops, post_ops, IDX, ROW_ACTIVITY, keep="positive", on_reset="raw")
+    d = _names(d, indexes, objects, schemas, named_only=False)
+    return d.select(*DB, "schema_name", "table_name", "index_name",
+                    *[F.col(f"delta_{c}").alias(f"{c}_delta") for c in ROW_ACTIVITY])
+
+
+def row_lock_delta(pre_ops, post_ops, indexes, objects, schemas) -> DataFrame:
+    """Row-lock wait growth between two captures of indexes under row-lock pressure."""
+    from ..operators import snapshot_delta
+    pre = pre_ops.filter(F.col("row_lock_wait_in_ms") > 0)
+    post = post_ops.filter(F.col("row_lock_wait_in_ms") > 0)
+    d = snapshot_delta(pre, post, IDX, ["row_lock_wait_in_ms"], keep="positive", on_reset="raw")
+    d = _names(d, indexes, objects, schemas, named_only=False)
+    return d.select(*DB, "schema_name", "table_name", "index_name",
+                    F.col("delta_row_lock_wait_in_ms").alias("row_lock_wait_time_delta_ms"))
