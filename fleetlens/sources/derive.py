@@ -240,6 +240,36 @@ SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(p_partk
 FROM {part}""",
 })
 
+VIEWS.update({
+    # ---- extended-event ring buffers with deadlock reports ---------------------------
+    # One ring-buffer document per (instance, block of ten conversations); each
+    # conversation is one deadlock event, each turn one process (turn 3 has no frame).
+    "event_targets": """
+SELECT concat('srv', CAST(b % 4 AS STRING)) AS instance_id, 'system_health' AS session_name, 'ring_buffer' AS target_name,
+  concat('<RingBufferTarget truncated="0" eventCount="', CAST(count(*) + 1 AS STRING), '">',
+    listagg(ev, '') WITHIN GROUP (ORDER BY conv_id),
+    '<event name="sp_server_diagnostics_component_result" package="sqlserver" timestamp="2024-02-01T00:00:00.000Z">',
+    '<data name="state"><value>1</value></data></event></RingBufferTarget>') AS target_data
+FROM (
+  SELECT conv_id, b, concat('<event name="xml_deadlock_report" package="sqlserver" timestamp="2024-01-',
+      lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0'), 'T', lpad(CAST(conv_id % 24 AS STRING), 2, '0'), ':',
+      lpad(CAST(conv_id % 60 AS STRING), 2, '0'), ':00.000Z"><data name="xml_report"><value><deadlock><victim-list>',
+      '<victimProcess id="p1"/>', CASE WHEN conv_id % 5 = 0 THEN '<victimProcess id="p2"/>' ELSE '' END,
+      '</victim-list><process-list>', listagg(proc, '') WITHIN GROUP (ORDER BY turn),
+      '</process-list></deadlock></value></data></event>') AS ev
+  FROM (
+    SELECT conv_id, CAST(floor(conv_id / 10) AS BIGINT) AS b, turn,
+      CASE WHEN turn = 3 THEN concat('<process id="p', CAST(turn AS STRING), '"/>')
+      ELSE concat('<process id="p', CAST(turn AS STRING), '" waittime="', CAST(100 * turn AS STRING),
+        '"><executionStack><frame sqlhandle="', CAST(4 * turn + CAST(floor(conv_id / 10) AS BIGINT) % 4 AS STRING),
+        '" stmtstart="', CAST(2 * turn AS STRING), '"',
+        CASE WHEN turn % 2 = 0 THEN concat(' stmtend="', CAST(2 * turn + 60 AS STRING), '"') ELSE '' END,
+        '/></executionStack></process>') END AS proc
+    FROM {conversations}) p
+  GROUP BY conv_id, b) e
+GROUP BY b""",
+})
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -253,8 +283,12 @@ def spark_sql(name: str) -> tuple[str, list[str]]:
     return sql, deps_of(name)
 
 
+_LISTAGG = re.compile(r"listagg\((.*?), ''\) WITHIN GROUP \(ORDER BY (\w+)\)")
+
+
 def duckdb_sql(name: str) -> str:
-    return _REF.sub(lambda m: m.group(1), VIEWS[name]).replace("TS'", "TIMESTAMP '")
+    sql = _REF.sub(lambda m: m.group(1), VIEWS[name]).replace("TS'", "TIMESTAMP '")
+    return _LISTAGG.sub(lambda m: f"string_agg({m.group(1)}, '' ORDER BY {m.group(2)})", sql)
 
 
 def duckdb_with(report_sql: str, names: list[str]) -> str:
