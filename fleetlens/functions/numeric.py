@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ def exact_ratio(num, den, scale: int = 2, factor: int = 1, precision: int = 28)
     two = F.lit(2).cast("decimal(38,0)")
     q = _trunc_div(two * F.abs(n) + F.abs(d), two * F.abs(d))
     signed = (F.signum(n) * F.signum(d)).cast("decimal(38,0)") * q
-    scaled = signed.cast("decimal(38,0)") / F.lit(10 ** scale).cast("decimal(38,0)")
+    # multiply by 10^-scale (not divide: Spark caps a quotient's scale at 6)
+    unit = F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({max(scale, 1)},{scale})")
+    scaled = signed.cast("decimal(30,0)") * unit
     return F.when(d != 0, scaled.cast(f"decimal({precision},{scale})"))
 
 

@@ -169,7 +169,7 @@ SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, concat(CAST(us
 FROM {{events}} WHERE ts < TS'{POST_CAPTURE}' GROUP BY user_id, event_type""",
     "databases": """
 SELECT concat('srv', CAST(c_custkey % 4 AS STRING)) AS instance_id, CAST(floor(c_custkey / 4) AS INT) AS database_id,
-  concat('db_', c_name) AS name, d.create_date,
+  concat('db_', CAST(c_custkey AS STRING)) AS name, d.create_date,
   c_custkey % 2 = 0 AS is_auto_create_stats_on, c_custkey % 3 <> 0 AS is_auto_update_stats_on,
   c_custkey % 5 = 0 AS is_auto_update_stats_async_on, CAST(100 + 10 * (c_custkey % 6) AS INT) AS compatibility_level,
   c_mktsegment AS collation_name
@@ -270,6 +270,92 @@ FROM (
 GROUP BY b""",
 })
 
+VIEWS.update({
+    # ---- modules, dependencies, procedures, columns ----------------------------------
+    "sysobjects": """
+SELECT concat('srv', CAST(s_suppkey % 4 AS STRING)) AS instance_id, s_suppkey AS id, concat('usp_', CAST(s_suppkey AS STRING)) AS name,
+  'P' AS xtype FROM {supplier}
+UNION ALL
+SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, 1000000 + p_partkey AS id, concat('t', CAST(p_partkey AS STRING)) AS name,
+  'U' AS xtype FROM {part}""",
+    "dependencies": """
+SELECT concat('srv', CAST(l_suppkey % 4 AS STRING)) AS instance_id, l_suppkey AS id, 1000000 + l_partkey AS depid
+FROM {lineitem}""",
+    "module_objects": """
+SELECT concat('srv', CAST(doc_id % 4 AS STRING)) AS instance_id, doc_id AS object_id, concat('m', CAST(doc_id AS STRING)) AS name,
+  CASE doc_id % 6 WHEN 0 THEN 'V' WHEN 1 THEN 'FN' WHEN 2 THEN 'IF' WHEN 3 THEN 'P' WHEN 4 THEN 'TF' ELSE 'TR' END AS type
+FROM {documents}""",
+    "sql_modules": """
+SELECT concat('srv', CAST(doc_id % 4 AS STRING)) AS instance_id, doc_id AS object_id, text AS definition FROM {documents}""",
+    "procedures": """
+SELECT concat('srv', CAST(s_suppkey % 4 AS STRING)) AS instance_id, s_suppkey AS object_id, concat('usp_', CAST(s_suppkey AS STRING)) AS name,
+  'SQL_STORED_PROCEDURE' AS type_desc FROM {supplier}""",
+    "procedure_stats": """
+SELECT concat('srv', CAST(l_suppkey % 4 AS STRING)) AS instance_id, l_suppkey AS object_id, count(*) AS execution_count
+FROM {lineitem} WHERE l_shipdate >= TS'2001-10-25 00:00:00' GROUP BY l_suppkey""",
+    "columns_inventory": """
+SELECT DISTINCT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CASE WHEN p_size % 7 = 0 THEN 'sales' ELSE 'dbo' END AS table_schema,
+  p_brand AS table_name, split_part(p_name, ' ', 1) AS column_name,
+  CASE WHEN p_size < 40 THEN 'int' ELSE lower(split_part(p_type, ' ', 3)) END AS data_type,
+  CASE WHEN p_size < 40 THEN NULL ELSE CAST(p_size AS INT) END AS character_maximum_length,
+  CASE WHEN p_size < 40 THEN CAST(10 + p_size % 2 AS INT) ELSE NULL END AS numeric_precision,
+  CASE WHEN p_size < 40 THEN CAST(0 AS INT) ELSE NULL END AS numeric_scale
+FROM {part}""",
+    # ---- files, space, restores, start times -----------------------------------------
+    "file_stats": """
+SELECT concat('srv', CAST(l_suppkey % 4 AS STRING)) AS instance_id, CAST(1 + l_suppkey % 3 AS INT) AS database_id,
+  CAST(l_suppkey AS INT) AS file_id,
+  count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS num_of_reads, count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS num_of_writes,
+  CAST(sum(CASE WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS io_stall_read_ms,
+  CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS io_stall_write_ms,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) + count(*) AS io_stall,
+  CAST(sum(CASE WHEN l_returnflag <> 'N' THEN CAST(floor(l_extendedprice) AS BIGINT) ELSE 0 END) AS BIGINT) AS num_of_bytes_read,
+  CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(floor(l_extendedprice) AS BIGINT) ELSE 0 END) AS BIGINT) AS num_of_bytes_written
+FROM {lineitem} GROUP BY l_suppkey""",
+    "database_files": """
+SELECT concat('srv', CAST(s_suppkey % 4 AS STRING)) AS instance_id, CAST(1 + s_suppkey % 3 AS INT) AS database_id,
+  CAST(s_suppkey AS INT) AS file_id, concat('f', CAST(s_suppkey AS STRING)) AS name,
+  concat(CASE s_suppkey % 3 WHEN 0 THEN 'c:' WHEN 1 THEN 'D:' ELSE 'e:' END, '/data/f', CAST(s_suppkey AS STRING), '.mdf') AS physical_name,
+  CAST(floor(abs(s_acctbal)) AS BIGINT) + 20000 AS size, CAST(floor(abs(s_acctbal)) AS BIGINT) AS space_used
+FROM {supplier}""",
+    "db_size_counters": """
+SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, 'SQLServer:Databases   ' AS object_name,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'Data File(s) Size (KB)' WHEN '2-HIGH' THEN 'Log File(s) Size (KB)'
+    WHEN '3-MEDIUM' THEN 'Log File(s) Used Size (KB)' ELSE 'Percent Log Used' END AS counter_name,
+  concat('db_', CAST(o_custkey AS STRING)) AS instance_name, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS cntr_value
+FROM {orders} GROUP BY o_custkey, o_orderpriority""",
+    "file_space_usage": """
+SELECT concat('srv', CAST(o_orderkey % 4 AS STRING)) AS instance_id, CAST(o_custkey % 8 AS INT) AS file_id,
+  CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 8 END) AS BIGINT) AS user_object_reserved_page_count,
+  CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 8 END) AS BIGINT) AS internal_object_reserved_page_count,
+  CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 8 END) AS BIGINT) AS version_store_reserved_page_count,
+  CAST(sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END) AS BIGINT) AS mixed_extent_page_count,
+  CAST(sum(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 16 END) AS BIGINT) AS unallocated_extent_page_count
+FROM {orders} GROUP BY o_orderkey % 4, o_custkey % 8""",
+    "restore_history": """
+SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, o_orderkey AS restore_history_id,
+  concat('db_', CAST(o_custkey AS STRING)) AS destination_database_name, o_orderdate AS restore_date, o_orderpriority AS restore_type
+FROM {orders} WHERE o_custkey % 3 <> 0""",
+    "system_info": """
+SELECT concat('srv', CAST(o_orderkey % 4 AS STRING)) AS instance_id, o_orderdate AS sqlserver_start_time FROM {orders}""",
+})
+
+VIEWS.update({
+    "partitions": f"""
+SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_suppkey % 5 AS INT) AS index_id,
+  l_partkey * 10 + l_suppkey % 5 AS partition_id, count(*) AS rows
+FROM {{lineitem}} GROUP BY l_partkey, l_suppkey % 5""",
+    "allocation_units": """
+SELECT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, l_partkey * 10 + l_suppkey % 5 AS container_id,
+  'IN_ROW_DATA' AS type_desc, CAST(sum(CAST(l_quantity AS BIGINT)) * 40 AS BIGINT) AS total_pages,
+  CAST(sum(CAST(l_quantity AS BIGINT)) * 37 AS BIGINT) AS used_pages
+FROM {lineitem} GROUP BY l_partkey, l_suppkey % 5
+UNION ALL
+SELECT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, l_partkey * 10 + l_suppkey % 5 AS container_id,
+  'LOB_DATA' AS type_desc, count(*) * 90 AS total_pages, count(*) * 64 AS used_pages
+FROM {lineitem} WHERE l_linenumber > 4 GROUP BY l_partkey, l_suppkey % 5""",
+})
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
