@@ -356,6 +356,63 @@ SELECT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, l_partkey *
 FROM {lineitem} WHERE l_linenumber > 4 GROUP BY l_partkey, l_suppkey % 5""",
 })
 
+_REQ_GROUP = "FROM {orders} WHERE o_orderstatus = 'P' GROUP BY o_custkey"
+_BLOCKER = "CASE WHEN max(o_orderkey) % 3 = 0 THEN 0 ELSE CAST((max(o_orderkey) % 150) * 4 + o_custkey % 4 AS INT) END"
+
+VIEWS.update({
+    # ---- one sample of sessions, connections, requests, waits and locks -------------
+    "sessions": """
+SELECT concat('srv', CAST(c_custkey % 4 AS STRING)) AS instance_id, CAST(c_custkey AS INT) AS session_id, c_name AS login_name,
+  c_mktsegment AS host_name, concat('app', CAST(c_nationkey AS STRING)) AS program_name, c_custkey % 10 <> 0 AS is_user_process,
+  CAST(c_nationkey AS INT) AS user_id
+FROM {customer}""",
+    "connections": """
+SELECT concat('srv', CAST(c_custkey % 4 AS STRING)) AS instance_id, CAST(c_custkey AS INT) AS session_id,
+  CAST(c_custkey AS INT) AS most_recent_session_id, concat('cn', CAST(c_custkey AS STRING)) AS connection_id,
+  CAST(c_custkey % 1000 AS STRING) AS most_recent_sql_handle,
+  TS'2024-01-31 12:00:00' AS last_read, TS'2024-01-31 11:00:00' AS last_write
+FROM {customer} WHERE c_custkey % 3 <> 0""",
+    "requests": f"""
+SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, CAST(o_custkey AS INT) AS session_id,
+  {_BLOCKER} AS blocking_session_id, concat('cn', CAST(o_custkey AS STRING)) AS connection_id,
+  CASE WHEN count(*) % 2 = 0 THEN 'running' ELSE 'suspended' END AS status,
+  CASE WHEN max(o_orderkey) % 3 = 0 THEN NULL ELSE 'LCK_M_X' END AS wait_type, 'PAGEIOLATCH_SH' AS last_wait_type,
+  CAST(o_custkey % 1000 AS STRING) AS sql_handle, concat(CAST(o_custkey % 148 AS STRING), '-click') AS plan_handle,
+  CAST(2 * (o_custkey % 10) AS INT) AS statement_start_offset,
+  CAST(CASE WHEN o_custkey % 4 = 0 THEN -1 ELSE 2 * (o_custkey % 10) + 40 END AS INT) AS statement_end_offset,
+  CAST(o_custkey % 3 AS INT) AS database_id, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) % 100000 AS BIGINT) AS cpu_time,
+  CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS total_elapsed_time, count(*) * 8 AS logical_reads,
+  max(o_orderdate) AS start_time, CAST(count(*) % 100 AS DOUBLE) AS percent_complete,
+  CAST(count(*) % 3 AS INT) AS open_transaction_count, CAST(o_custkey % 25 AS INT) AS user_id
+{_REQ_GROUP}""",
+    "waiting_tasks": f"""
+SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, CAST(o_custkey AS INT) AS session_id, 'LCK_M_X' AS wait_type,
+  max(CAST(floor(o_totalprice) AS BIGINT)) AS wait_duration_ms, {_BLOCKER} AS blocking_session_id
+{_REQ_GROUP} HAVING max(o_orderkey) % 3 <> 0""",
+    "session_transactions": """
+SELECT concat('srv', CAST(c_custkey % 4 AS STRING)) AS instance_id, CAST(c_custkey AS INT) AS session_id, c_custkey AS transaction_id
+FROM {customer} WHERE c_acctbal < 1000""",
+    "session_space": """
+SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, CAST(user_id AS INT) AS session_id,
+  CAST(sum(event_id % 512) AS BIGINT) AS user_objects_alloc_page_count, CAST(sum(event_id % 64) AS BIGINT) AS user_objects_dealloc_page_count,
+  CAST(sum(event_id % 128) AS BIGINT) AS internal_objects_alloc_page_count, CAST(sum(event_id % 16) AS BIGINT) AS internal_objects_dealloc_page_count
+FROM {events} GROUP BY user_id""",
+    "task_space": """
+SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, CAST(user_id AS INT) AS session_id,
+  CAST(event_id % 3 AS INT) AS exec_context_id,
+  CAST(sum(event_id % 256) AS BIGINT) AS user_objects_alloc_page_count, CAST(sum(event_id % 32) AS BIGINT) AS user_objects_dealloc_page_count,
+  CAST(sum(event_id % 64) AS BIGINT) AS internal_objects_alloc_page_count, CAST(sum(event_id % 8) AS BIGINT) AS internal_objects_dealloc_page_count
+FROM {events} GROUP BY user_id, event_id % 3""",
+    "locks": """
+SELECT DISTINCT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, CAST(1 + l_partkey % 3 AS INT) AS resource_database_id,
+  CASE WHEN l_linenumber = 1 THEN 'OBJECT' ELSE 'KEY' END AS resource_type,
+  CASE WHEN l_linenumber = 1 THEN l_partkey ELSE l_partkey * 10 + l_suppkey % 5 END AS resource_associated_entity_id,
+  CASE WHEN l_linenumber = 1 THEN NULL ELSE concat('(', CAST(l_orderkey % 7 AS STRING), ')') END AS resource_description,
+  CAST(l_suppkey * 4 + l_partkey % 4 AS INT) AS request_session_id,
+  CASE WHEN l_linestatus = 'F' THEN 'GRANT' ELSE 'WAIT' END AS request_status, l_returnflag AS request_mode
+FROM {lineitem}""",
+})
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
