@@ -413,6 +413,31 @@ SELECT DISTINCT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, CAS
 FROM {lineitem}""",
 })
 
+VIEWS.update({
+    "stats_properties": f"""
+SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_linenumber AS INT) AS stats_id,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS modification_counter
+FROM {{lineitem}} GROUP BY l_partkey, l_linenumber""",
+    # index key columns: table = order, index = line number, columns from the supplier key
+    "index_columns": """
+SELECT DISTINCT concat('srv', CAST(l_orderkey % 4 AS STRING)) AS instance_id, CAST(1 + l_orderkey % 3 AS INT) AS database_id,
+  CAST(l_orderkey AS INT) AS object_id, CAST(l_linenumber AS INT) AS index_id, CAST(l_suppkey % 3 AS INT) AS key_ordinal,
+  concat('c', CAST(l_suppkey % 3 AS STRING), CASE WHEN l_suppkey % 11 = 0 THEN '_x' ELSE '' END) AS column_name,
+  l_suppkey % 3 = 1 AS is_descending_key, l_partkey % 9 = 0 AS is_included_column
+FROM {lineitem}""",
+    "order_tables": """
+SELECT concat('srv', CAST(o_orderkey % 4 AS STRING)) AS instance_id, CAST(1 + o_orderkey % 3 AS INT) AS database_id,
+  CAST(o_orderkey AS INT) AS object_id, concat('order_', CAST(o_orderkey AS STRING)) AS table_name,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'sales' ELSE 'dbo' END AS schema_name, o_orderstatus = 'P' AS is_ms_shipped
+FROM {orders}""",
+    "order_indexes": """
+SELECT DISTINCT concat('srv', CAST(l_orderkey % 4 AS STRING)) AS instance_id, CAST(1 + l_orderkey % 3 AS INT) AS database_id,
+  CAST(l_orderkey AS INT) AS object_id, CAST(l_linenumber AS INT) AS index_id, concat('ix_', CAST(l_linenumber AS STRING)) AS index_name,
+  CASE WHEN l_linenumber = 1 THEN 'CLUSTERED' WHEN l_linenumber = 7 THEN 'HEAP' ELSE 'NONCLUSTERED' END AS type_desc,
+  l_linenumber = 6 AS is_disabled
+FROM {lineitem}""",
+})
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
