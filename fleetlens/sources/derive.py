@@ -438,6 +438,16 @@ SELECT DISTINCT concat('srv', CAST(l_orderkey % 4 AS STRING)) AS instance_id, CA
 FROM {lineitem}""",
 })
 
+VIEWS.update({
+    # one counter sample per event (the sampler's one-second readings)
+    "counter_samples": """
+SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, event_type AS object_name,
+  concat('counter_', CAST(user_id % 3 AS STRING)) AS counter_name,
+  CASE WHEN user_id % 20 = 0 THEN NULL ELSE concat('u', CAST(user_id % 20 AS STRING)) END AS instance_name,
+  ts AS captured_at, CAST(floor(value * 1000) AS BIGINT) AS cntr_value
+FROM {events}""",
+})
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
