@@ -121,17 +121,17 @@ def fragmentation_with_usage(usage, physical, indexes, objects, schemas) -> Data
 
 # --- operational-stats contention family (R08-R13): one parametrised function
 CONTENTION = {
-    "row_lock_pressure": (F.col("row_lock_wait_in_ms"), "row_lock_wait_in_ms",
+    "row_lock_pressure": (lambda: F.col("row_lock_wait_in_ms"), "row_lock_wait_in_ms",
                           ["row_lock_wait_in_ms", "row_lock_wait_count"]),
-    "page_latch_contention": (F.col("page_latch_wait_in_ms"), "page_latch_wait_in_ms",
+    "page_latch_contention": (lambda: F.col("page_latch_wait_in_ms"), "page_latch_wait_in_ms",
                               ["page_latch_wait_in_ms", "page_latch_wait_count"]),
-    "page_io_latch_contention": (F.col("page_io_latch_wait_in_ms"), "page_io_latch_wait_in_ms",
+    "page_io_latch_contention": (lambda: F.col("page_io_latch_wait_in_ms"), "page_io_latch_wait_in_ms",
                                  ["page_io_latch_wait_in_ms", "page_io_latch_wait_count"]),
-    "lock_escalations": (F.col("index_lock_promotion_count"), "index_lock_promotion_count",
+    "lock_escalations": (lambda: F.col("index_lock_promotion_count"), "index_lock_promotion_count",
                          ["index_lock_promotion_count"]),
-    "failed_lock_promotions": (F.col("index_lock_promotion_attempt_count") - F.col("index_lock_promotion_count"),
+    "failed_lock_promotions": (lambda: F.col("index_lock_promotion_attempt_count") - F.col("index_lock_promotion_count"),
                                "index_lock_promotion_count", ["unsuccessful_lock_promotions"]),
-    "page_splits": (F.col("leaf_allocation_count"), "leaf_allocation_count",
+    "page_splits": (lambda: F.col("leaf_allocation_count"), "leaf_allocation_count",
                     ["leaf_allocation_count", "nonleaf_allocation_count"]),
 }
 
@@ -142,7 +142,8 @@ def index_contention(opstats, indexes, objects, schemas, kind: str, n: int = 20,
 
     ``failed_lock_promotions`` shows attempts - promotions but ranks by
     promotions, as the source does (``by=`` changes the ranking column)."""
-    metric, order_col, cols = CONTENTION[kind]
+    metric_of, order_col, cols = CONTENTION[kind]
+    metric = metric_of()
     s = opstats.withColumn("unsuccessful_lock_promotions",
                            F.col("index_lock_promotion_attempt_count") - F.col("index_lock_promotion_count"))
     s = s.filter(metric > 0)

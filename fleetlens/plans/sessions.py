@@ -38,9 +38,14 @@ def temp_space_by_session_detail(space, sessions, connections, texts) -> DataFra
                     "internal_objects_alloc_page_count", "internal_objects_dealloc_page_count")
 
 
-_USED = F.col("user_objects_alloc_page_count") + F.col("internal_objects_alloc_page_count")
-_STILL = (F.col("user_objects_alloc_page_count") - F.col("user_objects_dealloc_page_count")
-          + F.col("internal_objects_alloc_page_count") - F.col("internal_objects_dealloc_page_count"))
+def _used():
+    return F.col("user_objects_alloc_page_count") + F.col("internal_objects_alloc_page_count")
+
+
+def _still():
+    return (F.col("user_objects_alloc_page_count") - F.col("user_objects_dealloc_page_count")
+            + F.col("internal_objects_alloc_page_count") - F.col("internal_objects_dealloc_page_count"))
+
 _GROUP = ["session_id", "connection_id", "login_name", "host_name", "most_recent_sql_handle", "last_read",
           "last_write", "program_name"]
 
@@ -54,7 +59,7 @@ def temp_space_by_session(space, sessions, connections, texts) -> DataFrame:
     c = connections.select(*I, F.col("most_recent_session_id").alias("session_id"), "connection_id",
                            "most_recent_sql_handle", "last_read", "last_write")
     j = space.filter(F.col("session_id") > 50).join(s, I + ["session_id"]).join(c, I + ["session_id"], "left")
-    g = j.groupBy(*I, *_GROUP).agg(F.sum(_USED).alias("_u"), F.sum(_STILL).alias("_s"))
+    g = j.groupBy(*I, *_GROUP).agg(F.sum(_used()).alias("_u"), F.sum(_still()).alias("_s"))
     t = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
     g = g.join(t, I + ["most_recent_sql_handle"], "left")
     return g.select(*I, _mb3("_u").alias("space_used_mb"), _mb3("_s").alias("space_still_used_mb"),
@@ -71,7 +76,7 @@ def temp_space_by_task(task_space, sessions, connections, texts, requests) -> Da
     j = task_space.filter(F.col("session_id") > 50).join(s, I + ["session_id"]).join(c, I + ["session_id"], "left")
     j = j.join(r, I + ["session_id"], "left")
     g = j.groupBy(*I, *_GROUP, "statement_start_offset", "statement_end_offset").agg(
-        F.sum(_USED).alias("_u"), F.sum(_STILL).alias("_s"))
+        F.sum(_used()).alias("_u"), F.sum(_still()).alias("_s"))
     t = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
     g = g.join(t, I + ["most_recent_sql_handle"], "left")
     return g.select(*I, _mb3("_u").alias("space_used_mb"), _mb3("_s").alias("space_still_used_mb"),
