@@ -52,3 +52,15 @@ def rewrite_text(col, replacements) -> Column:
 def quote_name(col) -> Column:
     """``QUOTENAME(x)``: wrap in brackets, doubling any closing bracket."""
     return F.concat(F.lit("["), F.replace(col_of(col), F.lit("]"), F.lit("]]")), F.lit("]"))
+
+
+def render_statement(*parts, skip_null: bool = False) -> Column:
+    """Build a statement text from literal strings and columns.
+
+    Strings are literals, Columns are values.  Like T-SQL ``+`` a NULL part
+    makes the whole text NULL, unless ``skip_null`` (then missing parts are
+    left out, as ``CONCAT_WS('')`` would)."""
+    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    if skip_null:
+        return F.concat_ws("", *cols)
+    return F.concat(*cols)

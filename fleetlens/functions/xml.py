@@ -27,3 +27,20 @@ def xml_scalar(col, path: str, kind: str = "string") -> Column:
     fn = {"string": "xpath_string", "int": "xpath_int", "long": "xpath_long",
           "double": "xpath_double", "boolean": "xpath_boolean"}[kind]
     return F.call_function(fn, col_of(col), F.lit(path))
+
+
+def xml_rows(df, col: str, schema: str, path: list[str], alias: str = "node", outer: bool = True,
+             doc_alias: str | None = None):
+    """Shred an XML column to one row per node (G17): parse once with
+    ``schema``, follow ``path`` (field names down to an array of nodes) and
+    explode it — ``outer=True`` keeps rows without nodes (OUTER APPLY),
+    ``False`` drops them (CROSS APPLY).  With ``doc_alias`` the parsed
+    document is kept in that column, so other values of the same document
+    are read without a second parse."""
+    doc = doc_alias or "_xml_doc"
+    parsed = df.withColumn(doc, parse_xml(F.col(col), schema))
+    node = F.col(doc)
+    for p in path:
+        node = node[p]
+    out = parsed.select("*", (F.explode_outer(node) if outer else F.explode(node)).alias(alias))
+    return out if doc_alias else out.drop(doc)

@@ -73,10 +73,11 @@ def consecutive_delta(samples: DataFrame, keys: Sequence[str], counter: str,
     last = b.groupBy(*keys, "_bucket").agg(
         F.max_by(F.col(counter), F.col(ts)).alias("_last_val"), F.max(ts).alias("_last_ts"))
     wb = Window.partitionBy(*keys).orderBy("_bucket")
-    seed = last.select(*keys, "_bucket",
+    seed = last.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_bucket").alias("_s__bucket"),
                        F.lag("_last_val").over(wb).alias("_seed_val"),
                        F.lag("_last_ts").over(wb).alias("_seed_ts"))
-    j = inner.join(seed, keys + ["_bucket"], "left")
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys + ["_bucket"]])
+    j = inner.join(seed, cond, "left").drop(*[f"_s_{k}" for k in keys + ["_bucket"]])
     first = F.col("_prev_ts_in").isNull()
     prev = F.when(first, F.col("_seed_val")).otherwise(F.col("_prev_in"))
     prev_ts = F.when(first, F.col("_seed_ts")).otherwise(F.col("_prev_ts_in"))

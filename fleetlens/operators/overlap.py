@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,30 +18,28 @@ def prefix_overlap(df: DataFrame, group: Sequence[str], items: str, id_col: str,
     element boundaries and compared as joined strings (the reference compares
     the rendered text with ``LIKE LEFT(...)``; wildcards are taken literally).
 
-    No pair of rows is ever formed, so a group with many identical lists
-    costs linear work: every row emits its prefixes, and two aggregated count
-    tables answer both directions with equi joins:
+    No pair of rows is ever formed, and the input is read once: every row
+    emits its prefixes (an index has at most a few dozen key columns), and
+    per ``(group, prefix)`` two counts are taken with one window —
+    ``n`` = rows having that prefix, ``f`` = rows whose whole list is it.
+    Then per row, with a second window over the row's own prefixes:
 
-    * ``n_with_prefix(g, p)`` = rows whose list starts with ``p``; R's list is
-      a prefix of another row's iff ``n_with_prefix(g, R.list) >= 2``.
-    * ``n_full(g, p)`` = rows whose full list is ``p``; another row's list is a
-      prefix of R's iff the sum over R's prefixes ``p`` of ``n_full`` is
-      ``>= 2`` (R itself counts once, at ``p = R.list``).
+    * R's list is a prefix of another row's iff ``n(R.list) >= 2``;
+    * another row's list is a prefix of R's iff ``sum over R's prefixes of
+      f >= 2`` (R itself counts once, at its full list).
 
-    Rows with a NULL list or NULL id never match (``LIKE NULL`` / ``<> NULL``).
+    Rows with a NULL / empty list or NULL id never match.
     """
     g = list(group)
     base = df.filter(F.col(items).isNotNull() & (F.size(items) > 0) & F.col(id_col).isNotNull())
-    base = base.withColumn("_full", F.array_join(F.col(items), sep))
-    pref = base.select(*g, id_col, "_full", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(items)),
-        lambda i: F.array_join(F.slice(F.col(items), F.lit(1), i), sep))).alias("_p"))
-    n_with_prefix = pref.groupBy(*g, "_p").agg(F.count("*").alias("_n_pref"))
-    n_full = base.groupBy(*g, "_full").agg(F.count("*").alias("_n_full")).withColumnRenamed("_full", "_p")
-    down = base.select(*g, id_col, "_full").join(
-        n_with_prefix.withColumnRenamed("_p", "_full"), g + ["_full"]).filter(
-        F.col("_n_pref") >= 2).select(*g, id_col)
-    up = pref.join(n_full, g + ["_p"]).groupBy(*g, id_col).agg(
-        F.sum("_n_full").alias("_s")).filter(F.col("_s") >= 2).select(*g, id_col)
-    hits = down.unionByName(up).dropDuplicates(g + [id_col])
-    return df.join(hits, g + [id_col], "left_semi")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(items)),
+                           lambda i: F.array_join(F.slice(F.col(items), F.lit(1), i), sep))
+    pref = base.withColumn("_full", F.array_join(F.col(items), sep)).withColumn("_p", F.explode(prefixes))
+    pref = pref.withColumn("_is_full", (F.col("_p") == F.col("_full")).cast("int"))
+    by_prefix = Window.partitionBy(*g, "_p")
+    pref = pref.withColumn("_n", F.count("*").over(by_prefix)).withColumn("_f", F.sum("_is_full").over(by_prefix))
+    by_row = Window.partitionBy(*g, id_col)
+    pref = pref.withColumn("_down", F.max(F.when(F.col("_is_full") == 1, F.col("_n"))).over(by_row)) \
+               .withColumn("_up", F.sum("_f").over(by_row))
+    hits = pref.filter((F.col("_is_full") == 1) & ((F.col("_down") >= 2) | (F.col("_up") >= 2)))
+    return hits.drop("_full", "_p", "_is_full", "_n", "_f", "_down", "_up")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import statement_slice
-from ..functions.xml import parse_xml
+from ..functions.xml import parse_xml, xml_rows  # noqa: F401
 
 DEADLOCK_EVENT = r'<event name="xml_deadlock_report"[\s\S]*?</event>'
 # Fixed value: the victim-id separator is the literal four characters \r\n
@@ -43,11 +43,10 @@ def deadlock_processes(targets: DataFrame, texts: DataFrame) -> DataFrame:
     batch text (outer lookup) and statement slice.  Events without processes
     keep one row (OUTER APPLY)."""
     ev = deadlock_events(targets)
-    doc = parse_xml(F.col("extend_event"), EVENT_SCHEMA)
-    dl = doc["data"]["value"]["deadlock"]
-    victims = F.array_join(F.transform(dl["victim-list"]["victimProcess"], lambda v: v["_id"]), VICTIM_SEP)
-    e = ev.select("instance_id", "creation_date", victims.alias("victim_ids"),
-                  F.explode_outer(dl["process-list"]["process"]).alias("p"))
+    e = xml_rows(ev, "extend_event", EVENT_SCHEMA, ["data", "value", "deadlock", "process-list", "process"],
+                 alias="p", outer=True, doc_alias="_doc")
+    victims = F.transform(F.col("_doc.data.value.deadlock.victim-list.victimProcess"), lambda v: v["_id"])
+    e = e.withColumn("victim_ids", F.array_join(victims, VICTIM_SEP))
     frame = F.col("p.executionStack.frame").getItem(0)
     e = e.select("instance_id", "creation_date", "victim_ids", F.col("p._id").alias("process_id"),
                  frame["_sqlhandle"].alias("handle"), frame["_stmtstart"].cast("int").alias("stmtstart"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quote_name
+from ..functions.text import render_statement
 from ..operators import ordered_string_agg, prefix_overlap, upsert_ledger
 
 LEDGER_KEYS = ["instance_id", "database_id", "database_name", "schema_name", "table_name", "index_name"]
@@ -61,10 +62,10 @@ def index_maintenance_plan(ledger, physical, indexes, reorganize: float = 5, reb
     frag = F.round("avg_fragmentation_in_percent", 2)
     j = j.filter((F.col("diff_update_usage") > 0) & F.col("_iname").isNotNull()
                  & (F.col("page_count") > min_pages) & (frag > reorganize))
-    target = F.concat(quote_name("_iname"), F.lit(" ON "), quote_name("database_name"), F.lit("."),
-                      quote_name("schema_name"), F.lit("."), quote_name("table_name"))
-    sentence = (F.when(frag > rebuild, F.concat(F.lit("ALTER INDEX "), target, F.lit(" REBUILD WITH (ONLINE = OFF);")))
-                .when(frag > reorganize, F.concat(F.lit("ALTER INDEX "), target, F.lit(" REORGANIZE;"))))
+    target = [quote_name("_iname"), " ON ", quote_name("database_name"), ".", quote_name("schema_name"), ".",
+              quote_name("table_name")]
+    sentence = (F.when(frag > rebuild, render_statement("ALTER INDEX ", *target, " REBUILD WITH (ONLINE = OFF);"))
+                .when(frag > reorganize, render_statement("ALTER INDEX ", *target, " REORGANIZE;")))
     return j.select("instance_id", "database_name", "schema_name", "table_name", "index_name",
                     frag.alias("fragmentation_pct"), F.round("avg_page_space_used_in_percent", 2).alias("page_density_pct"),
                     "page_count", F.lit(-1).cast("long").alias("modification_counter"), sentence.alias("sentence"),
