@@ -28,7 +28,8 @@ def query_delta(pre: DataFrame, post: DataFrame, texts: DataFrame, plans: DataFr
     Keys match null-safely (the source's ``ISNULL`` join lets a NULL pre key
     match everything); ``keys`` without ``plan_handle`` gives the variant of
     the combined snapshot report."""
-    d = snapshot_delta(pre, post, keys, QUERY_COUNTERS, keep=None, on_reset="raw")
+    carry = [k for k in QUERY_KEYS if k not in keys]   # e.g. the plan handle when it is not a key
+    d = snapshot_delta(pre, post, keys, QUERY_COUNTERS, keep=None, on_reset="raw", carry=carry)
     d = d.filter(F.col("delta_execution_count") != 0)
     p = plans.select("instance_id", "plan_handle", "dbid", "query_plan")
     t = texts.select("instance_id", "sql_handle", F.col("text").alias("parent_query"))
@@ -86,7 +87,8 @@ def combined_delta(pre: dict, post: dict, texts, plans, databases, details) -> d
     DataFrames; persist them first when all four results are computed."""
     return {
         "queries": query_delta(pre["query_stats"], post["query_stats"], texts, plans, databases,
-                               keys=[k for k in QUERY_KEYS if k != "plan_handle"]),
+                               keys=[k for k in QUERY_KEYS if k != "plan_handle"],
+                               exclude_prefix="--This routine identifier AMALGATEDDMV_snapshot"),
         "waits": wait_delta(pre["wait_stats"], post["wait_stats"], sleep_pattern="%SLEEP%"),
         "missing_indexes": missing_index_delta(pre["missing_indexes"], post["missing_indexes"], details),
         "counters": counter_delta(pre["perf_counters"], post["perf_counters"]),
