@@ -71,27 +71,29 @@ _PLAN_XML = """concat('<ShowPlanXML xmlns="http://schemas.microsoft.com/sqlserve
 
 
 def _wait_stats(cut: str | None) -> str:
+    # one server per 50 customers (the fleet grows with the data), ~60 wait types each
     where = f"WHERE o_orderdate < TS'{cut}'" if cut else ""
     return f"""
-SELECT concat('srv', CAST(o_orderkey % 4 AS STRING)) AS instance_id,
-  CASE o_custkey % 60 WHEN 0 THEN 'SLEEP_TASK' WHEN 1 THEN 'LAZYWRITER_SLEEP' WHEN 2 THEN 'WAITFOR'
+SELECT concat('srv', CAST(CAST(floor(o_custkey / 50) AS BIGINT) AS STRING)) AS instance_id,
+  CASE o_orderkey % 60 WHEN 0 THEN 'SLEEP_TASK' WHEN 1 THEN 'LAZYWRITER_SLEEP' WHEN 2 THEN 'WAITFOR'
     WHEN 3 THEN 'CXCONSUMER' WHEN 4 THEN 'XE_TIMER_EVENT' WHEN 5 THEN 'BROKER_TASK_STOP'
     WHEN 6 THEN 'CUSTOM_SLEEP' WHEN 7 THEN 'SOS_WORK_DISPATCHER' WHEN 9 THEN 'SLEEP_CUSTOM_WAKE'
-    ELSE concat('WAIT_', CAST(o_custkey % 60 AS STRING)) END AS wait_type,
-  count(CASE WHEN o_custkey % 60 <> 8 THEN 1 END) AS waiting_tasks_count,
+    ELSE concat('WAIT_', CAST(o_orderkey % 60 AS STRING)) END AS wait_type,
+  count(CASE WHEN o_orderkey % 60 <> 8 THEN 1 END) AS waiting_tasks_count,
   CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS wait_time_ms,
   max(CAST(floor(o_totalprice) AS BIGINT)) AS max_wait_time_ms,
   CAST(sum(o_orderkey % 1000) AS BIGINT) AS signal_wait_time_ms
-FROM {{orders}} {where} GROUP BY o_orderkey % 4, o_custkey % 60"""
+FROM {{orders}} {where} GROUP BY CAST(floor(o_custkey / 50) AS BIGINT), o_orderkey % 60"""
 
 
 def _perf_counters(cut: str) -> str:
+    # one server per ten users; within it each user is one (counter, instance_name) pair per object
     return f"""
-SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, TS'{cut}' AS captured_at, event_type AS object_name,
-  concat('counter_', CAST(user_id % 3 AS STRING)) AS counter_name,
+SELECT concat('srv', CAST(CAST(floor(user_id / 10) AS BIGINT) AS STRING)) AS instance_id, TS'{cut}' AS captured_at,
+  event_type AS object_name, concat('counter_', CAST(user_id % 3 AS STRING)) AS counter_name,
   CASE WHEN user_id % 20 = 0 THEN NULL ELSE concat('u', CAST(user_id % 20 AS STRING)) END AS instance_name,
   CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS cntr_value, CAST(65792 AS INT) AS cntr_type
-FROM {{events}} WHERE ts < TS'{cut}' GROUP BY user_id % 4, event_type, user_id % 3, user_id % 20"""
+FROM {{events}} WHERE ts < TS'{cut}' GROUP BY user_id, event_type"""
 
 
 def _missing_indexes(pre: bool) -> str:
@@ -325,13 +327,13 @@ SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, 'SQLServer:D
   concat('db_', CAST(o_custkey AS STRING)) AS instance_name, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS cntr_value
 FROM {orders} GROUP BY o_custkey, o_orderpriority""",
     "file_space_usage": """
-SELECT concat('srv', CAST(o_orderkey % 4 AS STRING)) AS instance_id, CAST(o_custkey % 8 AS INT) AS file_id,
+SELECT concat('srv', CAST(CAST(floor(o_custkey / 50) AS BIGINT) AS STRING)) AS instance_id, CAST(o_custkey % 50 AS INT) AS file_id,
   CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 8 END) AS BIGINT) AS user_object_reserved_page_count,
   CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 8 END) AS BIGINT) AS internal_object_reserved_page_count,
   CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 8 END) AS BIGINT) AS version_store_reserved_page_count,
   CAST(sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END) AS BIGINT) AS mixed_extent_page_count,
   CAST(sum(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 16 END) AS BIGINT) AS unallocated_extent_page_count
-FROM {orders} GROUP BY o_orderkey % 4, o_custkey % 8""",
+FROM {orders} GROUP BY o_custkey""",
     "restore_history": """
 SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, o_orderkey AS restore_history_id,
   concat('db_', CAST(o_custkey AS STRING)) AS destination_database_name, o_orderdate AS restore_date, o_orderpriority AS restore_type
