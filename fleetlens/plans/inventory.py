@@ -39,23 +39,26 @@ def column_type_conflicts(columns: DataFrame) -> DataFrame:
     """Columns whose name appears elsewhere with a different type,
     length, precision or scale, with the name's prevalence %.
 
-    No self join: per (instance, name) the number of distinct values of each
-    attribute is counted; a row conflicts when, for some attribute, its own
-    value is not NULL and the name has >= 2 distinct non-NULL values (the
-    same rows the source's ``c1.x != c2.x`` self join keeps).  Prevalence is
+    No self join: per (instance, name) the smallest and largest non-NULL
+    value of each attribute are taken (plain partial aggregates, no
+    distinct-count expansion); a row conflicts when, for some attribute, its
+    own value is not NULL and the name has two different non-NULL values,
+    i.e. ``min < max`` (the same rows the source's ``c1.x != c2.x`` self join
+    keeps).  Prevalence is
     the source's ``COUNT(name) * 100 / COUNT(*) OVER ()`` after grouping by
     name, i.e. divided by the number of distinct names, integer division."""
     attrs = ["data_type", "character_maximum_length", "numeric_precision", "numeric_scale"]
     key = ["instance_id", "column_name"]
     per_name = columns.groupBy(*key).agg(F.count("column_name").alias("_n"),
-                                         *[F.countDistinct(a).alias(f"_d_{a}") for a in attrs])
+                                         *[x for a in attrs for x in (F.min(a).alias(f"_lo_{a}"),
+                                                                      F.max(a).alias(f"_hi_{a}"))])
     names = per_name.groupBy("instance_id").agg(F.count("*").alias("_groups"))
     per_name = per_name.join(names, "instance_id").withColumn(
         "pct", int_div(F.col("_n") * 100, "_groups").cast("decimal(12,2)"))
     j = columns.join(per_name, key)
     cond = None
     for a in attrs:
-        c = F.col(a).isNotNull() & (F.col(f"_d_{a}") >= 2)
+        c = F.col(a).isNotNull() & (F.col(f"_lo_{a}") < F.col(f"_hi_{a}"))
         cond = c if cond is None else cond | c
     return j.filter(cond).select("instance_id", "column_name", "table_schema", "table_name", *attrs, "pct").distinct()
 
