@@ -17,30 +17,31 @@ from pyspark.sql import functions as F
 FLEET = ["instance_id"]
 
 
-def with_index_names(fact: DataFrame, indexes: DataFrame, objects: DataFrame,
-                     user_only: bool = True, named_only: bool = True,
-                     schemas: DataFrame | None = None,
-                     keys: Sequence[str] = ("instance_id", "database_id")) -> DataFrame:
-    """Attach table and index names to rows keyed by (object_id, index_id).
+def with_index_names(fact: DataFrame, indexes: DataFrame, objects: DataFrame, schemas: DataFrame,
+                     named_only: bool = True, user_only: bool = True, user_tables_only: bool = False,
+                     index_cols=()) -> DataFrame:
+    """Attach schema, table and index names to rows keyed by
+    ``(instance_id, database_id, object_id, index_id)`` (G02).
 
-    ``user_only`` drops system objects (``is_ms_shipped``); ``named_only`` drops
-    heaps (index name NULL), as the reports ask.
+    ``user_only`` drops system objects (``is_ms_shipped``), ``user_tables_only``
+    keeps objects of type ``U``, ``named_only`` drops heaps (index name NULL),
+    as each report asks.  ``index_cols`` are extra columns of ``indexes`` to
+    carry (names or Columns).  Plain equi joins on the full key: the catalog
+    sides are broadcast by the planner when they are small enough.
     """
-    keys = list(keys)
-    obj = objects.select(*keys, "object_id", F.col("name").alias("table_name"),
-                         *(["schema_id"] if schemas is not None else []),
-                         "is_ms_shipped")
+    db = ["instance_id", "database_id"]
+    obj, idx = db + ["object_id"], db + ["object_id", "index_id"]
+    o = objects
     if user_only:
-        obj = obj.filter(~F.col("is_ms_shipped"))
-    idx = indexes.select(*keys, "object_id", "index_id", F.col("name").alias("index_name"))
+        o = o.filter(~F.col("is_ms_shipped"))
+    if user_tables_only:
+        o = o.filter(F.col("type") == "U")
+    o = o.select(*obj, "schema_id", F.col("name").alias("table_name"), F.col("type_desc").alias("object_type_desc"))
+    i = indexes.select(*idx, F.col("name").alias("index_name"), *index_cols)
     if named_only:
-        idx = idx.filter(F.col("index_name").isNotNull())
-    out = fact.join(obj.drop("is_ms_shipped"), keys + ["object_id"]).join(
-        idx, keys + ["object_id", "index_id"])
-    if schemas is not None:
-        out = out.join(schemas.select(*keys, "schema_id", F.col("name").alias("schema_name")),
-                       keys + ["schema_id"])
-    return out
+        i = i.filter(F.col("index_name").isNotNull())
+    s = schemas.select(*db, "schema_id", F.col("name").alias("schema_name"))
+    return fact.join(i, idx).join(o, obj).join(s, db + ["schema_id"])
 
 
 def resolve_handle(df: DataFrame, lookup: DataFrame, on: Sequence[str],

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact_ratio
-from ..operators import top_n, unused_keys
+from ..operators import top_n, unused_keys, with_index_names
 
 DB = ["instance_id", "database_id"]
 OBJ = DB + ["object_id"]
@@ -20,22 +20,9 @@ IDX = OBJ + ["index_id"]
 NAME_ORDER = ["instance_id", "database_id", "object_id", "index_id"]
 
 
-def _names(fact: DataFrame, indexes: DataFrame, objects: DataFrame, schemas: DataFrame,
-           named_only: bool = True, user_only: bool = True, user_tables_only: bool = False,
-           index_cols=()) -> DataFrame:
-    """Attach schema, table and index names; drop system objects and heaps."""
-    o = objects
-    if user_only:
-        o = o.filter(~F.col("is_ms_shipped"))
-    if user_tables_only:
-        o = o.filter(F.col("type") == "U")
-    o = o.select(*OBJ, "schema_id", F.col("name").alias("table_name"),
-                 F.col("type_desc").alias("object_type_desc"))
-    i = indexes.select(*IDX, F.col("name").alias("index_name"), *index_cols)
-    if named_only:
-        i = i.filter(F.col("index_name").isNotNull())
-    s = schemas.select(*DB, "schema_id", F.col("name").alias("schema_name"))
-    return fact.join(i, IDX).join(o, OBJ).join(s, DB + ["schema_id"])
+def _names(fact, indexes, objects, schemas, **kw) -> DataFrame:
+    """G02 name resolution (see ``operators.with_index_names``)."""
+    return with_index_names(fact, indexes, objects, schemas, **kw)
 
 
 def _key_order() -> list[Column]:

@@ -66,22 +66,22 @@ def parallel_ratio(qs, cached_plans, plans, texts) -> DataFrame:
     p = plans.select("instance_id", "plan_handle", parallel_flag(F.col("query_plan")).alias("has_parallel"))
     j = agg.join(cp, ["instance_id", "plan_handle"]).join(p, ["instance_id", "plan_handle"])
     j = j.join(texts.select("instance_id", "sql_handle"), ["instance_id", "sql_handle"], "left_semi")
-    par, ser = F.col("has_parallel") > 0, F.col("has_parallel") == 0
-
-    def s(cond: Column, c: str) -> Column:
-        return F.sum(F.when(cond, F.col(c)).otherwise(F.lit(0)))
-
-    g = j.groupBy("instance_id").agg(
-        F.sum("total_worker_time").alias("total_worker_time"),
-        s(ser, "total_worker_time").alias("nonparallel_total_worker_time"),
-        s(par, "total_worker_time").alias("parallel_total_worker_time"),
-        F.sum("execution_count").alias("total_execution_count"),
-        s(ser, "execution_count").alias("nonparallel_execution_count"),
-        s(ser, "total_dop").alias("nonparallel_total_dop"),
-        s(par, "execution_count").alias("parallel_execution_count"),
-        s(par, "total_dop").alias("parallel_total_dop"),
-        s(ser, "execution_count_for_dop").alias("_ser_dop_n"),
-        s(par, "execution_count_for_dop").alias("_par_dop_n"))
+    # One aggregation splits every measure on "has a parallel operator";
+    # plans without any operator (flag NULL) fall on neither side
+    g = conditional_split(j, F.col("has_parallel") > 0,
+                          ["total_worker_time", "execution_count", "total_dop", "execution_count_for_dop"],
+                          keys=["instance_id"])
+    g = g.select("instance_id",
+                 F.col("total_total_worker_time").alias("total_worker_time"),
+                 F.col("false_total_worker_time").alias("nonparallel_total_worker_time"),
+                 F.col("true_total_worker_time").alias("parallel_total_worker_time"),
+                 F.col("total_execution_count").alias("total_execution_count"),
+                 F.col("false_execution_count").alias("nonparallel_execution_count"),
+                 F.col("false_total_dop").alias("nonparallel_total_dop"),
+                 F.col("true_execution_count").alias("parallel_execution_count"),
+                 F.col("true_total_dop").alias("parallel_total_dop"),
+                 F.col("false_execution_count_for_dop").alias("_ser_dop_n"),
+                 F.col("true_execution_count_for_dop").alias("_par_dop_n"))
 
     def pct(a: str, b: str) -> Column:
         return exact_ratio(a, b, factor=100, scale=6, precision=38)
