@@ -169,3 +169,84 @@ def last_table_writes(qs, texts, plans, databases, table: str, n: int = 20, data
     out = _decorate(top, plans, texts, databases)
     return out.select("instance_id", "last_execution_time", "sql_text", "parent_query", "query_plan",
                       "database_name", "dbid")
+
+
+def cached_plans_matching(cached_plans, texts, plans, databases, text: str, n: int = 20, database_id=None,
+                          per=None) -> DataFrame:
+    """Cached plans whose text contains ``text``; database name falls back
+    from the plan's database to the plan attribute's (marked ``*``) to
+    'Resource'.  Unordered in the source; ordered by key here."""
+    hits = texts.filter(contains_ci("text", text)).select("instance_id", "sql_handle")
+    p = database_scope(plans.select("instance_id", "plan_handle", "dbid"), "dbid", database_id)
+    cp = cached_plans.select("instance_id", "plan_handle", "sql_handle", "cacheobjtype", "usecounts", "attribute_dbid")
+    j = cp.join(hits, ["instance_id", "sql_handle"], "left_semi").join(p, ["instance_id", "plan_handle"])
+    top = top_n(j, [F.col("instance_id"), F.col("plan_handle")], n, per)
+    d = databases.select("instance_id", "database_id", "name")
+    d1 = d.select("instance_id", F.col("database_id").alias("dbid"), F.col("name").alias("_db1"))
+    d2 = d.select("instance_id", F.col("database_id").alias("attribute_dbid"), F.col("name").alias("_db2"))
+    out = top.join(d1, ["instance_id", "dbid"], "left").join(d2, ["instance_id", "attribute_dbid"], "left")
+    out = out.join(texts.select("instance_id", "sql_handle", F.col("text").alias("sql")), ["instance_id", "sql_handle"])
+    out = out.join(plans.select("instance_id", "plan_handle", "query_plan"), ["instance_id", "plan_handle"])
+    name = F.coalesce(F.col("_db1"), F.concat(F.col("_db2"), F.lit("*")), F.lit("Resource"))
+    return out.select("instance_id", "plan_handle", "sql", "cacheobjtype", name.alias("database_name"),
+                      F.col("usecounts").alias("plan_usage"), "query_plan")
+
+
+def _run_history(qs: DataFrame, min_last: int) -> DataFrame:
+    """Average of the runs before the last one, the last run's deviation and
+    IO (R42/R43 shared columns).  Integer arithmetic as in the source; the
+    % deviation is exact: x / ((total - last) / (runs - 1)) = x * (runs - 1) / (total - last)."""
+    q = qs.filter((F.col("execution_count") > 1) & (F.col("total_worker_time") != F.col("last_worker_time"))
+                  & (F.col("last_worker_time") > min_last))
+    prior = F.col("total_worker_time") - F.col("last_worker_time")
+    runs1 = F.col("execution_count") - 1
+    avg = int_div(prior, runs1)
+    dev_num = F.when(F.col("last_worker_time") == 0, F.lit(100)).otherwise(
+        (F.col("last_worker_time") - avg) * 100)
+    last_io = F.col("last_logical_reads") + F.col("last_logical_writes") + F.col("last_physical_reads")
+    total_io = F.col("total_logical_reads") + F.col("total_logical_writes") + F.col("total_physical_reads")
+    return q.select(
+        "*", F.col("total_worker_time").alias("total_time"), F.col("execution_count").alias("runs"),
+        avg.alias("avg_time"), F.col("last_worker_time").alias("last_time"),
+        (F.col("last_worker_time") - avg).alias("time_deviation"),
+        exact_ratio(dev_num * runs1, prior, scale=6, precision=38).alias("pct_time_deviation"),
+        last_io.alias("last_io"), int_div(total_io - last_io, runs1).alias("avg_io"))
+
+
+_HISTORY_COLS = ["runs", "avg_time", "last_time", "time_deviation", "pct_time_deviation", "last_io", "avg_io"]
+
+
+def longest_statements(qs, texts, plans, databases, n: int = 100, by: str = "total", min_last: int = 0,
+                       per=None) -> DataFrame:
+    """Statements by total CPU (``by='total'``) or by average CPU of the
+    runs before the last (``by='avg'``), with the last run's deviation and IO.
+    The source keeps only plans of a named database (``dbid IS NOT NULL``)."""
+    q = _scoped(_run_history(qs, min_last), plans, texts, None, adhoc="not_null")
+    key = "total_time" if by == "total" else "avg_time"
+    top = top_n(q, [F.col(key).desc()] + _tiebreak(), n, per)
+    out = _decorate(top, plans, texts, databases)
+    return out.select("instance_id", "total_time", *_HISTORY_COLS, "sql_text", "parent_query", "query_plan",
+                      "database_name")
+
+
+def slower_than_usual(qs, texts, plans, databases, n: int = 100, impedance: int = 20, min_last: int = 0,
+                      database_id=None) -> DataFrame:
+    """Three chained stages, each keeping its top ``n``: by % time
+    deviation (descending), then by it ascending with the IO deviation added,
+    then rows whose |time %| - |IO %| exceeds ``impedance``, by impedance.
+
+    Every stage works on the ``n`` rows of the one before (the first is a
+    TakeOrderedAndProject), so only the first touches the whole table."""
+    q = _scoped(_run_history(qs, min_last), plans, texts, database_id)
+    s1 = top_n(q, [F.col("pct_time_deviation").desc()] + _tiebreak(), n)
+    io_dev = F.col("last_io") - F.col("avg_io")
+    s2 = s1.withColumn("io_deviation", io_dev).withColumn(
+        "pct_io_deviation", F.when(F.col("avg_io") == 0, F.lit(0).cast("long")).otherwise(
+            int_div(io_dev * 100, "avg_io")))
+    s2 = top_n(s2, [F.col("pct_time_deviation").asc()] + _tiebreak(), n)
+    s3 = s2.withColumn("impedance", F.col("pct_time_deviation") - F.col("pct_io_deviation"))
+    s3 = s3.filter(F.abs("pct_time_deviation") - F.abs("pct_io_deviation") > impedance)
+    s3 = top_n(s3, [F.col("impedance").asc()] + _tiebreak(), n)
+    out = _decorate(s3, plans, texts, databases)
+    return out.select("instance_id", *_HISTORY_COLS, "pct_io_deviation", "impedance", "sql_text", "parent_query",
+                      "query_plan", "database_name")
