@@ -65,9 +65,15 @@ def read_landed(spark: SparkSession, path: str, schema=None, captured_from=None,
     return df
 
 
-def write_landed(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Land a capture: partitioned by capture date, clustered by instance."""
+def write_landed(df: DataFrame, path: str, mode: str = "append", max_records_per_file: int = 5_000_000) -> None:
+    """Land a capture, partitioned by capture date.
+
+    No shuffle before the write: each task writes its own rows per date, so
+    an instance holding a third of a capture is spread over the tasks that
+    read it instead of landing in one; rows are sorted by instance inside
+    each task so parquet row-group statistics prune by instance on read."""
     from pyspark.sql import functions as F
     (df.withColumn("capture_date", F.to_date("captured_at"))
-       .repartition("capture_date", "instance_id")
-       .write.mode(mode).partitionBy("capture_date").parquet(path))
+       .sortWithinPartitions("capture_date", "instance_id")
+       .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
+       .partitionBy("capture_date").parquet(path))
