@@ -59,14 +59,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     when it is unset (local tests) is a fresh scratch folder set.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = None
+    try:                      # no SparkContext under Spark Connect
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001
+        pass
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # static in some deployments; the context setting below suffices
             pass
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d

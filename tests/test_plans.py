@@ -35,3 +35,34 @@ def test_every_query_has_an_oracle_or_is_declared(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 80
+
+
+def test_statement_report_ranks_before_attaching_wide_columns(spark):
+    """Key-only semi join on the texts; the top-N runs before the text join."""
+    import __spark_entry__ as e
+    plan = _plan(e.queries()["top_cpu_statements"](spark, SF))
+    assert "TakeOrderedAndProject" in plan
+    assert "ReadSchema: struct<doc_id:bigint>" in plan          # existence check reads the key only
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    # the wide text column is read only outside the subtree that ranks the rows
+    lines = plan.splitlines()
+    i = next(k for k, line in enumerate(lines) if "TakeOrderedAndProject" in line)
+    indent = len(lines[i]) - len(lines[i].lstrip(" :+-"))
+    subtree = []
+    for line in lines[i + 1:]:
+        if len(line) - len(line.lstrip(" :+-")) <= indent:
+            break
+        subtree.append(line)
+    assert subtree and not any("text:string" in line for line in subtree)
+
+
+def test_per_instance_top_n_uses_a_group_limit(spark):
+    import __spark_entry__ as e
+    plan = _plan(e.queries()["top_waits_per_instance"](spark, SF))
+    assert "WindowGroupLimit" in plan
+
+
+def test_latest_restore_is_an_aggregate_not_a_window(spark):
+    import __spark_entry__ as e
+    plan = _plan(e.queries()["latest_restore"](spark, SF))
+    assert "Window" not in plan and "HashAggregate" in plan
