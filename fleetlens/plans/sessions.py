@@ -7,7 +7,7 @@ something there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact_ratio, int_div, statement_slice
@@ -158,21 +158,23 @@ def blocked_sessions(connections, requests, waits, sessions, transactions, texts
 
 def _resource_names(locks, objects, partitions) -> DataFrame:
     """Object name of each lock: OBJECT -> the object; KEY / PAGE / RID -> the
-    object of the partition whose hobt id it names (the correlated scalar
-    subqueries become two left joins on unique keys)."""
-    o = objects.select(*I, F.col("database_id").alias("resource_database_id"),
-                       F.col("object_id").cast("long").alias("_oid"), F.col("name").alias("_oname"))
-    p = partitions.select(*I, F.col("database_id").alias("resource_database_id"),
-                          F.col("partition_id").alias("_hobt"), F.col("object_id").cast("long").alias("_pobj"))
-    po = o.select(*I, "resource_database_id", F.col("_oid").alias("_pobj"), F.col("_oname").alias("_pname"))
-    is_obj = F.col("resource_type") == "OBJECT"
-    is_row = F.col("resource_type").isin("KEY", "PAGE", "RID")
-    l = locks.withColumn("_oid", F.when(is_obj, F.col("resource_associated_entity_id"))) \
-             .withColumn("_hobt", F.when(is_row, F.col("resource_associated_entity_id")))
-    l = l.join(o, I + ["resource_database_id", "_oid"], "left").join(p, I + ["resource_database_id", "_hobt"], "left")
-    l = l.join(po, I + ["resource_database_id", "_pobj"], "left")
-    return l.withColumn("resource_type_name", F.when(is_obj, F.col("_oname")).when(is_row, F.col("_pname"))) \
-            .drop("_oid", "_hobt", "_oname", "_pobj", "_pname")
+    object of the partition whose hobt id it names.
+
+    The source's correlated scalar subqueries become one lookup table of
+    ``(kind, entity id) -> name`` (objects by id, plus partitions joined to
+    their objects by hobt id; both catalog-sized) and a single left join."""
+    o = objects.select(*I, F.col("database_id").alias("resource_database_id"), "object_id", "name")
+    by_object = o.select(*I, "resource_database_id", F.lit("OBJECT").alias("_kind"),
+                         F.col("object_id").cast("long").alias("_entity"), F.col("name").alias("resource_type_name"))
+    p = partitions.select(*I, F.col("database_id").alias("resource_database_id"), "object_id",
+                          F.col("partition_id").cast("long").alias("_entity"))
+    by_hobt = p.join(o, I + ["resource_database_id", "object_id"]).select(
+        *I, "resource_database_id", F.lit("ROW").alias("_kind"), "_entity", F.col("name").alias("resource_type_name"))
+    lookup = by_object.unionByName(by_hobt)
+    kind = (F.when(F.col("resource_type") == "OBJECT", F.lit("OBJECT"))
+            .when(F.col("resource_type").isin("KEY", "PAGE", "RID"), F.lit("ROW")))
+    l = locks.withColumn("_kind", kind).withColumn("_entity", F.col("resource_associated_entity_id").cast("long"))
+    return l.join(lookup, I + ["resource_database_id", "_kind", "_entity"], "left").drop("_kind", "_entity")
 
 
 def locks_held(locks, objects, partitions, databases, exclude_session=None) -> DataFrame:
@@ -196,10 +198,13 @@ def contended_resources(locks, objects, partitions, databases, connections, text
     (the source compares a column with itself)."""
     key = I + ["resource_associated_entity_id", "_desc"]
     l = locks.withColumn("_desc", F.coalesce(F.col("resource_description"), F.lit("\u0000null")))
-    per_res = l.groupBy(*key).agg(F.count("*").alias("_n"))
+    # one partial aggregation per (resource, status); the per-resource total is a
+    # window over those few rows (a resource has a handful of statuses)
     per_status = l.groupBy(*key, "request_status").agg(F.count("*").alias("_ns"))
-    l = l.join(per_res, key).join(per_status, key + ["request_status"])
-    l = l.withColumn("contending_locks", F.col("_n") - F.col("_ns")).filter(F.col("contending_locks") > 0)
+    per_status = per_status.withColumn("_n", F.sum("_ns").over(Window.partitionBy(*key)))
+    per_status = per_status.filter(F.col("_n") > F.col("_ns"))
+    l = l.join(per_status, key + ["request_status"])
+    l = l.withColumn("contending_locks", F.col("_n") - F.col("_ns"))
     l = _resource_names(l.drop("_n", "_ns", "_desc"), objects, partitions)
     c = connections.select(*I, F.col("most_recent_session_id").alias("request_session_id"), "connection_id",
                            "most_recent_sql_handle")
