@@ -68,15 +68,26 @@ def unused_indexes(usage, indexes, objects, schemas) -> DataFrame:
     return named.select(*DB, "schema_name", "table_name", "index_name")
 
 
-def largest_unused_indexes(usage, indexes, objects, schemas, partition_stats) -> DataFrame:
-    """Size (used pages * 8 KB, > 0) of indexes with no system usage."""
+def largest_unused_indexes(usage, indexes, objects, schemas, partition_stats,
+                           include_user_reads: bool = False) -> DataFrame:
+    """Size (used pages * 8 KB, > 0) of indexes with no system usage.
+
+    The source tests only the system counters; ``include_user_reads=True``
+    also requires no user seek, scan or lookup."""
     size = partition_stats.groupBy(*IDX).agg((F.sum("used_page_count") * 8).alias("index_size_kb")) \
         .filter(F.col("index_size_kb") > 0)
-    u = usage.select(*IDX, "user_updates", "system_seeks", "system_scans", "system_lookups")
+    u = usage.select(*IDX, "user_updates", "system_seeks", "system_scans", "system_lookups",
+                     "user_seeks", "user_scans", "user_lookups")
     j = _names(size, indexes, objects, schemas).join(u, IDX, "left")
-    sys_usage = (F.coalesce(F.col("system_seeks"), F.lit(0)) + F.coalesce(F.col("system_scans"), F.lit(0))
-                 + F.coalesce(F.col("system_lookups"), F.lit(0)))
+
+    def zero_sum(prefix: str) -> F.Column:
+        return (F.coalesce(F.col(f"{prefix}_seeks"), F.lit(0)) + F.coalesce(F.col(f"{prefix}_scans"), F.lit(0))
+                + F.coalesce(F.col(f"{prefix}_lookups"), F.lit(0)))
+
+    sys_usage = zero_sum("system")
     j = j.filter(sys_usage == 0)
+    if include_user_reads:
+        j = j.filter(zero_sum("user") == 0)
     return j.select(*DB, "schema_name", "table_name", "index_name",
                     F.coalesce(F.col("user_updates"), F.lit(0)).alias("user_updates"),
                     sys_usage.alias("system_usage"), "index_size_kb")

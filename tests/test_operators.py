@@ -93,3 +93,22 @@ def test_ledger_upsert_is_idempotent_for_an_unchanged_capture(spark):
     # reads went down (restart): the delta taken is the previous value
     assert (row.current_r, row.last_r, row.diff_r, row.accumulated_r) == (4, 10, 10, 20)
     assert (row.diff_u, row.accumulated_u) == (4, 9)
+
+
+def test_overlap_is_symmetric_and_pareto_keeps_the_top_row(spark):
+    rnd = random.Random(11)
+    rows = [(g, f"ix{i}", [rnd.choice(["a ASC", "b ASC"]) for _ in range(rnd.randint(1, 3))])
+            for g in range(20) for i in range(rnd.randint(1, 5))]
+    df = spark.createDataFrame(rows, "g int, id string, items array<string>")
+    hits = {(r.g, r.id) for r in prefix_overlap(df, ["g"], "items", "id").collect()}
+    lists = {(g, i): ", ".join(it) for g, i, it in rows}
+    for (g, i) in hits:     # every hit has a partner that is a hit too
+        partners = [j for (h, j), s in lists.items() if h == g and j != i
+                    and (s.startswith(lists[(g, i)]) or lists[(g, i)].startswith(s))]
+        assert partners and all((g, j) in hits for j in partners)
+    w = spark.createDataFrame([("s", f"w{i}", rnd.randint(1, 1000)) for i in range(40)],
+                              "instance_id string, w string, v long")
+    top = w.orderBy(F.col("v").desc(), "w").first().w
+    for pct in (1, 50, 95):
+        kept = {r.w for r in pareto_cutoff(w, "v", [F.col("v").desc(), F.col("w")], pct).collect()}
+        assert top in kept
