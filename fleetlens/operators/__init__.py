@@ -4,7 +4,7 @@ from .topn import top_n
 from .scope import database_scope, multi_filter
 from .joins import blocking_pairs, resolve_handle, unused_keys, with_index_names
 from .shares import conditional_split, pareto_cutoff, share_of_total
-from .deltas import consecutive_delta, snapshot_delta
+from .deltas import capture_range_delta, consecutive_delta, snapshot_delta
 from .dedup import distinct_pairs, latest_per_key
 from .strings import ordered_string_agg, distinct_string_agg
 from .overlap import prefix_overlap
@@ -13,7 +13,7 @@ from .ledger import upsert_ledger
 __all__ = [
     "top_n", "database_scope", "multi_filter", "blocking_pairs", "resolve_handle",
     "unused_keys", "with_index_names", "conditional_split", "pareto_cutoff",
-    "share_of_total", "consecutive_delta", "snapshot_delta", "distinct_pairs",
+    "share_of_total", "capture_range_delta", "consecutive_delta", "snapshot_delta", "distinct_pairs",
     "latest_per_key", "ordered_string_agg", "distinct_string_agg", "prefix_overlap",
     "upsert_ledger",
 ]

@@ -86,3 +86,37 @@ def consecutive_delta(samples: DataFrame, keys: Sequence[str], counter: str,
         _reset_delta(F.col(counter), F.col("prev_value"), on_reset))
     return out.withColumn("delta_value", delta).drop(
         "_bucket", "_prev_in", "_prev_ts_in", "_seed_val", "_seed_ts")
+
+
+def capture_range_delta(captures: DataFrame, keys: Sequence[str], counters: Sequence[str], start, end,
+                        ts: str = "captured_at", keep: str | None = "changed", on_reset: str = "raw",
+                        carry: Sequence[str] = (), prefix: str = "delta_") -> DataFrame:
+    """G06 in one pass over a table holding many captures.
+
+    Instead of joining two filtered copies of the table, the rows of the
+    captures ``start`` .. ``end`` are grouped by key once (partial
+    aggregation, one shuffle): the row of the first and of the last capture
+    of each key are picked with ``min_by`` / ``max_by``.  A key missing from
+    the ``start`` capture counts from 0; a key missing from the ``end``
+    capture is dropped (the right join of the two-capture form).  Grouping
+    treats NULL keys as equal, like the null-safe join."""
+    keys, counters, carry = list(keys), list(counters), [c for c in carry if c not in keys]
+    # capture times as literals of the column's own type (wall-clock strings are exact for both kinds)
+    ts_type = captures.schema[ts].dataType
+    start, end = (F.lit(str(v)).cast(ts_type) if not isinstance(v, F.Column) else v for v in (start, end))
+    rng = captures.filter((F.col(ts) == start) | (F.col(ts) == end))
+    vals = F.struct(*[F.col(c) for c in counters + carry])
+    g = rng.groupBy(*keys).agg(F.min(ts).alias("_first_ts"), F.max(ts).alias("_last_ts"),
+                               F.min_by(vals, F.col(ts)).alias("_first"), F.max_by(vals, F.col(ts)).alias("_last"))
+    g = g.filter(F.col("_last_ts") == end)
+    at_start = F.col("_first_ts") == start
+    out = g.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in carry],
+                   *[F.when(at_start, F.col(f"_first.{c}")).otherwise(F.lit(0)).alias(f"pre_{c}") for c in counters],
+                   *[F.col(f"_last.{c}").alias(f"post_{c}") for c in counters],
+                   *[_reset_delta(F.col(f"_last.{c}"), F.when(at_start, F.col(f"_first.{c}")), on_reset)
+                     .alias(f"{prefix}{c}") for c in counters])
+    if keep == "changed":
+        out = out.filter(reduce(lambda a, b: a | b, [F.col(f"{prefix}{c}") != 0 for c in counters]))
+    elif keep == "positive":
+        out = out.filter(reduce(lambda a, b: a | b, [F.col(f"{prefix}{c}") > 0 for c in counters]))
+    return out

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import int_div, statement_slice
 from ..operators import database_scope, snapshot_delta
+from ..operators.deltas import capture_range_delta
 from .waits import wait_delta
 
 QUERY_KEYS = ["instance_id", "sql_handle", "plan_handle", "statement_start_offset", "statement_end_offset"]
@@ -30,6 +31,19 @@ def query_delta(pre: DataFrame, post: DataFrame, texts: DataFrame, plans: DataFr
     the combined snapshot report."""
     carry = [k for k in QUERY_KEYS if k not in keys]   # e.g. the plan handle when it is not a key
     d = snapshot_delta(pre, post, keys, QUERY_COUNTERS, keep=None, on_reset="raw", carry=carry)
+    return _finish_query_delta(d, texts, plans, databases, database_id, exclude_prefix)
+
+
+def query_delta_between(captures: DataFrame, start, end, texts: DataFrame, plans: DataFrame,
+                        databases: DataFrame, database_id=None,
+                        exclude_prefix: str = "--ThisRoutineIdentifier99") -> DataFrame:
+    """R75 over a table of many landed captures: the delta between the
+    captures ``start`` and ``end`` in one grouped pass (``capture_range_delta``)."""
+    d = capture_range_delta(captures, QUERY_KEYS, QUERY_COUNTERS, start, end, keep=None, on_reset="raw")
+    return _finish_query_delta(d, texts, plans, databases, database_id, exclude_prefix)
+
+
+def _finish_query_delta(d, texts, plans, databases, database_id, exclude_prefix) -> DataFrame:
     d = d.filter(F.col("delta_execution_count") != 0)
     p = plans.select("instance_id", "plan_handle", "dbid", "query_plan")
     t = texts.select("instance_id", "sql_handle", F.col("text").alias("parent_query"))

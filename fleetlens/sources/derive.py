@@ -153,6 +153,11 @@ VIEWS: dict[str, str] = {
     # ---- statements and cached plans -------------------------------------------------
     "query_stats": _query_stats(POST_CAPTURE),
     "query_stats_pre": _query_stats(PRE_CAPTURE),
+    # both captures landed in one table, as a fleet collector appends them
+    "query_stats_captures": f"""
+{_query_stats(PRE_CAPTURE)}
+UNION ALL
+{_query_stats(POST_CAPTURE)}""",
     "sql_texts": """
 SELECT concat('srv', CAST(doc_id % 4 AS STRING)) AS instance_id, CAST(doc_id AS STRING) AS sql_handle, text
 FROM {documents}""",

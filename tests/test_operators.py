@@ -112,3 +112,17 @@ def test_overlap_is_symmetric_and_pareto_keeps_the_top_row(spark):
     for pct in (1, 50, 95):
         kept = {r.w for r in pareto_cutoff(w, "v", [F.col("v").desc(), F.col("w")], pct).collect()}
         assert top in kept
+
+
+def test_capture_range_delta_equals_two_capture_join(spark):
+    from fleetlens.operators import capture_range_delta
+    t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    rows = [("a", None, 5, t1), ("a", None, 9, t2), ("b", "x", 4, t1), ("b", "x", 1, t2), ("c", "y", 3, t2),
+            ("d", "z", 8, t1)]
+    df = spark.createDataFrame(rows, "i string, k string, c long, captured_at timestamp_ntz")
+    one = capture_range_delta(df, ["i", "k"], ["c"], t1, t2, keep=None)
+    two = snapshot_delta(df.filter(F.col("captured_at") == F.lit("2024-01-01").cast("timestamp_ntz")),
+                         df.filter(F.col("captured_at") == F.lit("2024-01-02").cast("timestamp_ntz")),
+                         ["i", "k"], ["c"], keep=None)
+    cols = ["i", "k", "pre_c", "post_c", "delta_c"]
+    assert sorted(map(tuple, one.select(cols).collect()), key=str) == sorted(map(tuple, two.select(cols).collect()), key=str)
