@@ -22,10 +22,12 @@ def _trunc_div(a: Column, b: Column) -> Column:
 
 
 def int_div(num, den) -> Column:
-    """T-SQL ``int / int``: truncates toward zero; NULL when ``den = 0``."""
-    n, d = col_of(num).cast("decimal(38,0)"), col_of(den).cast("decimal(38,0)")
-    q = _trunc_div(F.abs(n), F.abs(d)) * (F.signum(n) * F.signum(d)).cast("decimal(38,0)")
-    return F.when(d != 0, q.cast("long"))
+    """T-SQL ``int / int``: truncates toward zero; NULL when ``den = 0``.
+
+    Spark's integral ``div`` has exactly these semantics on longs (and is
+    only evaluated on the non-zero branch, so ANSI mode does not raise)."""
+    n, d = col_of(num).cast("long"), col_of(den).cast("long")
+    return F.when(d != 0, F.call_function("div", n, d))
 
 
 def exact_ratio(num, den, scale: int = 2, factor: int = 1, precision: int = 28) -> Column:
@@ -57,3 +59,25 @@ def safe_ratio(num, den, default=None) -> Column:
     if default is None:
         return q
     return F.when(d == 0, F.lit(default)).otherwise(q)
+
+
+def rounded_key(num, divisor: int, scale: int = 2) -> Column:
+    """Ordering key equal to ``exact_ratio(num, divisor, scale)`` for a
+    constant divisor, in plain long arithmetic (codegen'd, no BigDecimal):
+    ``round_half_away(num * 10^scale / divisor)``.  Used to rank the whole
+    table; the decimal itself is computed only for the rows that survive."""
+    d = divisor
+    for _ in range(scale):
+        if d % 10 == 0:
+            d //= 10
+        else:
+            raise ValueError("divisor must be a multiple of 10^scale")
+    n = col_of(num).cast("long")
+    # (2|n| + d) div 2d, exact in longs: Spark's ``div`` on integrals is integer division
+    half_up = _long_div(F.abs(n) * 2 + d, 2 * d)
+    return F.when(n >= 0, half_up).otherwise(-half_up)
+
+
+def _long_div(a: Column, b: int) -> Column:
+    """Integer division of a long column by a positive constant."""
+    return F.call_function("div", a, F.lit(b).cast("long"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact_ratio, int_div, statement_slice
+from ..functions.numeric import rounded_key
 from ..functions.text import contains_ci
 from ..operators import database_scope, top_n
 
@@ -55,11 +56,13 @@ def _tiebreak() -> list[Column]:
 def _time_share_report(qs, texts, plans, databases, metric: Column, metric_name: str,
                        avg_name: str, n: int, database_id, per) -> DataFrame:
     q = _scoped(qs.filter(F.col("total_elapsed_time") > 0), plans, texts, database_id)
-    q = q.withColumn(metric_name, exact_ratio(metric, F.lit(1000000)))
-    top = top_n(q, [F.col(metric_name).desc()] + _tiebreak(), n, per)
+    # rank on the seconds rounded to 2 decimals (the source orders by the rounded
+    # value) computed in longs; the decimals are built for the n ranked rows only
+    q = q.withColumn("_rank", rounded_key(metric, 1000000))
+    top = top_n(q, [F.col("_rank").desc()] + _tiebreak(), n, per)
     out = _decorate(top, plans, texts, databases)
     return out.select(
-        "instance_id", metric_name,
+        "instance_id", exact_ratio(metric, F.lit(1000000)).alias(metric_name),
         exact_ratio(F.col("total_worker_time"), F.col("total_elapsed_time"), factor=100).alias("pct_cpu"),
         exact_ratio(F.col("total_elapsed_time") - F.col("total_worker_time"), F.col("total_elapsed_time"),
                     factor=100).alias("pct_waiting"),

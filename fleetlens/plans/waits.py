@@ -21,13 +21,13 @@ def top_waits(waits: DataFrame, n: int = 20, benign=TOP_WAITS_BENIGN, per=None)
     ``OVER ()`` window."""
     w = waits.filter(~F.col("wait_type").isin(list(benign)))
     w = share_of_total(w, "wait_time_ms", FLEET, "_total")
-    w = w.select(
+    w = top_n(w, [F.col("wait_time_ms").desc(), F.col("instance_id"), F.col("wait_type")], n, per)
+    return w.select(
         "instance_id", "wait_type", "wait_time_ms", "signal_wait_time_ms",
         (F.col("wait_time_ms") - F.col("signal_wait_time_ms")).alias("real_wait"),
         exact_ratio("wait_time_ms", "_total", factor=100, precision=12).alias("pct_waiting"),
         exact_ratio(F.col("wait_time_ms") - F.col("signal_wait_time_ms"), "_total", factor=100,
                     precision=12).alias("pct_real_time"))
-    return top_n(w, [F.col("wait_time_ms").desc(), F.col("instance_id"), F.col("wait_type")], n, per)
 
 
 def wait_pareto(waits: DataFrame, pct: int = 95, benign=PARETO_WAITS_BENIGN) -> DataFrame:

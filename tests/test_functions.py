@@ -30,3 +30,13 @@ def test_statement_slice_edges(spark):
     out = [r[0] for r in df.select(statement_slice("t", "s", "e")).collect()]
     # end -1 / NULL: to the end (LEN ignores trailing blanks); negative length: ''
     assert out == ["abcdefghij", "cde", "cdefghij", "abc ", "", "😀b", "bc"]
+
+
+def test_rounded_key_matches_the_exact_decimal(spark):
+    import random
+    from fleetlens.functions.numeric import rounded_key
+    rnd = random.Random(5)
+    vals = [rnd.randint(-10**12, 10**12) for _ in range(300)] + [1005000, 1004999, -1005000, 0, 5000, 4999]
+    df = spark.createDataFrame([(v,) for v in vals], "n long")
+    rows = df.select(rounded_key("n", 1000000).alias("k"), exact_ratio("n", F.lit(1000000)).alias("d")).collect()
+    assert all(Decimal(r.k) / 100 == r.d for r in rows)
