@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import statement_slice
-from ..functions.xml import parse_xml, xml_rows  # noqa: F401
+from ..functions.xml import parse_xml, xml_rows
 
 DEADLOCK_EVENT = r'<event name="xml_deadlock_report"[\s\S]*?</event>'
 # Fixed value: the victim-id separator is the literal four characters \r\n
