@@ -15,8 +15,8 @@ def ratio(num: str, den: str, scale: int = 2, factor: int = 1, precision: int =
 
 def stmt_slice(text: str, start: str, end: str) -> str:
     stop = f"(CASE WHEN {end} IS NULL OR {end} = -1 THEN length(rtrim({text})) * 2 ELSE {end} END)"
-    return (f"substring({text}, CAST(coalesce({start}, 0) // 2 + 1 AS BIGINT), "
-            f"CAST(greatest(({stop} - coalesce({start}, 0)) // 2 + 1, 0) AS BIGINT))")
+    return (f"substring({text}, CAST({start} // 2 + 1 AS BIGINT), "
+            f"CAST(greatest(({stop} - {start}) // 2 + 1, 0) AS BIGINT))")
 
 
 def idiv(a: str, b: str) -> str:

@@ -17,10 +17,11 @@ def statement_slice(text, start, end) -> Column:
     ``SUBSTRING(text, start/2 + 1, ((CASE WHEN end = -1 THEN LEN(text)*2 ELSE end
     END - start)/2) + 1)``; a NULL end (deadlock frames) also means "to the end".
     ``LEN`` ignores trailing blanks.  Offsets are halved as in the source; the
-    position counts characters (code points).  A negative length gives ''.
+    position counts characters (code points; the server counts UTF-16 units,
+    so texts with characters outside the BMP shift).  A negative length gives
+    ''; a NULL start gives NULL, as in the source.
     """
     t, s, e = col_of(text), col_of(start).cast("long"), col_of(end).cast("long")
-    s = F.coalesce(s, F.lit(0).cast("long"))
     stop = F.when(e.isNull() | (e == -1), F.length(F.rtrim(t)).cast("long") * 2).otherwise(e)
     diff = stop - s
     # (diff / 2) truncated toward zero, as T-SQL integer division does

@@ -25,11 +25,11 @@ def test_int_div_truncates_toward_zero(spark):
 
 def test_statement_slice_edges(spark):
     rows = [("abcdefghij", 0, -1), ("abcdefghij", 4, 9), ("abcdefghij", 4, None), ("abc  ", 0, -1),
-            ("ab", 18, -1), ("a😀bcd", 2, 5), ("abcdefghij", 3, 6)]
+            ("ab", 18, -1), ("a😀bcd", 2, 5), ("abcdefghij", 3, 6), ("abcdefghij", None, 6)]
     df = spark.createDataFrame(rows, "t string, s int, e int")
     out = [r[0] for r in df.select(statement_slice("t", "s", "e")).collect()]
     # end -1 / NULL: to the end (LEN ignores trailing blanks); negative length: ''
-    assert out == ["abcdefghij", "cde", "cdefghij", "abc ", "", "😀b", "bc"]
+    assert out == ["abcdefghij", "cde", "cdefghij", "abc ", "", "😀b", "bc", None]
 
 
 def test_rounded_key_matches_the_exact_decimal(spark):
