@@ -22,6 +22,9 @@ DEFAULTS = {
     # back to a shuffle join beyond it.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # partitions sized for executor memory at fleet scale; AQE merges small ones
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
 }
 
 

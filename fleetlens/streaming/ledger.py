@@ -19,12 +19,17 @@ CAPTURE_SCHEMA = ("instance_id STRING, database_id INT, database_name STRING, sc
                   "update_usage BIGINT, modification_date DATE")
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest ledger version (strictly older than ``before`` when given)."""
     try:
         df = spark.read.parquet(path)
     except Exception:  # no version written yet  # noqa: BLE001
         return None
-    last = df.agg(F.max("v")).first()[0]
+    if before is not None:
+        df = df.filter(F.col("v") < before)
+    last = df.agg(F.max("v")).first()[0]   # one value: the partition to read
+    if last is None:
+        return None
     return df.filter(F.col("v") == last).drop("v")
 
 
@@ -33,7 +38,9 @@ def start_ledger_stream(spark: SparkSession, source: str, ledger_path: str, chec
     stream = spark.readStream.schema(CAPTURE_SCHEMA).parquet(source)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        ledger = read_ledger(spark, ledger_path)
+        # a replayed batch starts again from the version before it, so it rewrites
+        # the same result (and the newer-than rule makes a re-applied capture a no-op)
+        ledger = read_ledger(spark, ledger_path, before=batch_id)
         # the distinct capture dates of one micro-batch: a handful of values
         days = sorted(r[0] for r in batch.select("modification_date").distinct().collect())
         for day in days:
