@@ -230,3 +230,10 @@ def idle_open_transactions(sessions, transactions, connections, texts, requests)
     j = s.join(tx, I + ["session_id"]).join(c, I + ["session_id"]).join(t, I + ["most_recent_sql_handle"])
     j = j.join(requests.select(*I, "session_id"), I + ["session_id"], "left_anti")
     return j.select(*I, "session_id", "login_name", "host_name", "text", "last_read", "last_write", "program_name")
+
+
+def blocked_longer_than(connections, requests, waits, sessions, transactions, texts, databases,
+                        seconds: int = 30) -> DataFrame:
+    """R67 for waits longer than ``seconds`` (the source leaves the statement out)."""
+    return blocked_sessions(connections, requests, waits, sessions, transactions, texts, databases,
+                            min_wait_ms=seconds * 1000, with_statement=False)
