@@ -27,3 +27,18 @@ def multi_filter(df: DataFrame, needles: dict[str, str | None]) -> DataFrame:
     if not conds:
         return df
     return df.filter(reduce(lambda a, b: a & b, conds))
+
+
+def latest_capture(df: DataFrame, at=None, ts: str = "captured_at",
+                   per: tuple[str, ...] = ("instance_id",)) -> DataFrame:
+    """Each instance's newest capture (at or before ``at`` when given).
+
+    Servers are captured at their own times, so a fleet-wide point-in-time
+    report takes every instance's latest capture: the newest time per
+    instance is a small aggregate (one row per instance), joined back with a
+    semi join on (instance, time)."""
+    d = df
+    if at is not None:
+        d = d.filter(F.col(ts) <= F.lit(str(at)).cast(df.schema[ts].dataType))
+    newest = d.groupBy(*per).agg(F.max(ts).alias(ts))
+    return d.join(newest, list(per) + [ts], "left_semi")

@@ -126,3 +126,12 @@ def test_capture_range_delta_equals_two_capture_join(spark):
                          ["i", "k"], ["c"], keep=None)
     cols = ["i", "k", "pre_c", "post_c", "delta_c"]
     assert sorted(map(tuple, one.select(cols).collect()), key=str) == sorted(map(tuple, two.select(cols).collect()), key=str)
+
+
+def test_latest_capture_per_instance(spark):
+    from fleetlens.operators import latest_capture
+    t = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    df = spark.createDataFrame([("a", t[0], 1), ("a", t[1], 2), ("b", t[0], 3), ("b", t[2], 4), ("b", t[2], 5)],
+                               "instance_id string, captured_at timestamp_ntz, v long")
+    assert sorted(r.v for r in latest_capture(df).collect()) == [2, 4, 5]
+    assert sorted(r.v for r in latest_capture(df, at="2024-01-02 00:00:00").collect()) == [2, 3]
