@@ -44,16 +44,21 @@ class Telemetry:
 
 
 def read_landed(spark: SparkSession, path: str, schema=None, captured_from=None,
-                captured_to=None) -> DataFrame:
+                captured_to=None, table: str | None = None) -> DataFrame:
     """Read a landed telemetry table (parquet, partitioned by ``capture_date``).
 
     Capture bounds become partition filters, so only the needed days are
-    listed and read."""
+    listed and read.  With ``table`` the columns are checked against that
+    table's schema (``sources.schemas``) at load."""
     from pyspark.sql import functions as F
+
+    from .schemas import check_schema
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
     df = r.parquet(path)
+    if table is not None:
+        check_schema(df, table)
     if captured_from is not None:
         df = df.filter(F.col("captured_at") >= F.lit(captured_from))
         if "capture_date" in df.columns:

@@ -13,3 +13,19 @@ def test_landed_captures_prune_by_capture_date(spark):
     assert sorted(r.wait_type for r in got.collect()) == sorted(f"W{i}" for i in range(50) if i % 5 in (2, 3))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(capture_date" in plan
+
+
+def test_every_derived_view_matches_its_schema(spark):
+    from fleetlens.sources.schemas import TELEMETRY_SCHEMAS, check_schema
+    from fleetlens.sources.telemetry import Telemetry
+    t = Telemetry(spark, "/root/testdata/sf0.001")
+    for name in TELEMETRY_SCHEMAS:
+        check_schema(t[name], name)
+
+
+def test_schema_check_names_the_problem(spark):
+    import pytest
+    from fleetlens.sources.schemas import check_schema
+    df = spark.createDataFrame([("s", "w", 1)], "instance_id string, wait_type string, wait_time_ms int")
+    with pytest.raises(ValueError, match="waiting_tasks_count"):
+        check_schema(df, "wait_stats")
