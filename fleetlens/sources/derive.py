@@ -158,8 +158,12 @@ VIEWS: dict[str, str] = {
 {_query_stats(PRE_CAPTURE)}
 UNION ALL
 {_query_stats(POST_CAPTURE)}""",
+    # batch texts: each document behind a statement head, so searches for writes find some
     "sql_texts": """
-SELECT concat('srv', CAST(doc_id % 4 AS STRING)) AS instance_id, CAST(doc_id AS STRING) AS sql_handle, text
+SELECT concat('srv', CAST(doc_id % 4 AS STRING)) AS instance_id, CAST(doc_id AS STRING) AS sql_handle,
+  concat(CASE doc_id % 4 WHEN 0 THEN concat('INSERT INTO t', CAST(doc_id % 7 AS STRING), ' ')
+    WHEN 1 THEN concat('UPDATE t', CAST(doc_id % 7 AS STRING), ' SET ')
+    WHEN 2 THEN concat('DELETE t', CAST(doc_id % 7 AS STRING), ' WHERE ') ELSE 'SELECT ' END, text) AS text
 FROM {documents}""",
     "query_plans": f"""
 SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, concat(CAST(user_id AS STRING), '-', event_type) AS plan_handle,
@@ -344,7 +348,8 @@ SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, o_orderkey A
   concat('db_', CAST(o_custkey AS STRING)) AS destination_database_name, o_orderdate AS restore_date, o_orderpriority AS restore_type
 FROM {orders} WHERE o_custkey % 3 <> 0""",
     "system_info": """
-SELECT concat('srv', CAST(o_orderkey % 4 AS STRING)) AS instance_id, o_orderdate AS sqlserver_start_time FROM {orders}""",
+SELECT concat('srv', CAST(CAST(floor(o_custkey / 50) AS BIGINT) AS STRING)) AS instance_id, o_orderdate AS sqlserver_start_time
+FROM {orders}""",
 })
 
 VIEWS.update({
