@@ -12,19 +12,32 @@ from pyspark.sql import functions as F
 
 from ..functions import exact_ratio, int_div, quote_name, statement_slice
 from ..functions.text import contains_ci
-from ..functions.xml import parse_xml, xml_scalar
+from ..functions.xml import parse_xml
 from ..operators import conditional_split, database_scope, top_n
 
 
+def _parallel_attrs(plan: Column) -> Column:
+    """All ``RelOp/@Parallel`` values of a plan, in one XPath evaluation
+    (operators nest to any depth, so a path query fits better than a schema)."""
+    return F.call_function("xpath", plan, F.lit("//RelOp/@Parallel"))
+
+
+def _is_parallel(v: Column) -> Column:
+    # numeric flags ("1") as in the source; newer plans may write "true"
+    return (F.lower(v) == "true") | (v.try_cast("double") > 0)
+
+
 def has_parallel_operator(plan: Column) -> Column:
     """``max(//RelOp/@Parallel) > 0``: some operator of the plan runs in parallel."""
-    return xml_scalar(plan, "//RelOp[@Parallel > 0]", "boolean")
+    return F.exists(_parallel_attrs(plan), _is_parallel)
 
 
 def parallel_flag(plan: Column) -> Column:
-    """``max(//RelOp/@Parallel)`` as 1 / 0, NULL when the plan has no operator."""
-    return (F.when(~xml_scalar(plan, "//RelOp", "boolean"), F.lit(None))
-            .when(has_parallel_operator(plan), F.lit(1)).otherwise(F.lit(0)))
+    """``max(//RelOp/@Parallel)`` as 1 / 0, NULL when the plan has no operator;
+    the document is parsed once."""
+    attrs = _parallel_attrs(plan)
+    return (F.when(F.size(attrs) == 0, F.lit(None))
+            .when(F.exists(attrs, _is_parallel), F.lit(1)).otherwise(F.lit(0)))
 
 
 def _compiled(cached_plans: DataFrame) -> DataFrame:
