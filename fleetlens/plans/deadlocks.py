@@ -49,8 +49,8 @@ def deadlock_processes(targets: DataFrame, texts: DataFrame) -> DataFrame:
     e = e.withColumn("victim_ids", F.array_join(victims, VICTIM_SEP))
     frame = F.col("p.executionStack.frame").getItem(0)
     e = e.select("instance_id", "creation_date", "victim_ids", F.col("p._id").alias("process_id"),
-                 frame["_sqlhandle"].alias("handle"), frame["_stmtstart"].cast("int").alias("stmtstart"),
-                 frame["_stmtend"].cast("int").alias("stmtend"))
+                 frame["_sqlhandle"].alias("handle"), frame["_stmtstart"].try_cast("int").alias("stmtstart"),
+                 frame["_stmtend"].try_cast("int").alias("stmtend"))
     t = texts.select("instance_id", F.col("sql_handle").alias("handle"), F.col("text").alias("parent_sql_text"))
     e = e.join(t, ["instance_id", "handle"], "left")
     return e.select("instance_id", "creation_date", "victim_ids", "process_id", "parent_sql_text",
