@@ -56,3 +56,40 @@ PARETO_WAITS_BENIGN = (
 
 # Fixed value: prefix of the help link the Pareto report renders per wait type.
 WAIT_HELP_URL = "https://www.sqlskills.com/help/waits/"
+
+# Names, markers and statement formats the reports match or
+# produce, kept as the source has them.
+XE_SESSION = "system_health"
+XE_TARGET = "ring_buffer"
+DEADLOCK_EVENT_NAME = "xml_deadlock_report"
+VICTIM_SEPARATOR = "\\r\\n"                      # the literal four characters \r\n
+QUERY_DELTA_SELF_MARK = "--ThisRoutineIdentifier99"
+COMBINED_DELTA_SELF_MARK = "--This routine identifier AMALGATEDDMV_snapshot"
+WAIT_SLEEP_PATTERN = "%SLEEP"
+COMBINED_SLEEP_PATTERN = "%SLEEP%"
+WAITFOR_WAIT = "WAITFOR"
+COMPILED_PLAN = "Compiled Plan"
+PLAN_FEATURES = {
+    "implicit_conversion": "CONVERT_IMPLICIT",
+    "missing_index": "<MissingIndexes>",
+    "missing_statistics": "<ColumnsWithNoStatistics>",
+    "table_scan": "<TableScan",
+}
+DB_COUNTER_OBJECT_PATTERN = "%:Databases"
+DB_SIZE_COUNTERS = ("Data File(s) Size (KB)", "Log File(s) Size (KB)", "Log File(s) Used Size (KB)")
+MODULE_REWRITES = (("[RPS2017].", ""), ("[rps2017].", ""), ("CREATE VIEW", "ALTER VIEW"),
+                   ("CREATE FUNCTION", "ALTER FUNCTION"), ("CREATE PROCEDURE", "ALTER PROCEDURE"))
+MODULE_TYPES = ("V", "FN", "IF", "P", "TF")
+DUPLICATE_INDEX_TYPES = ("NONCLUSTERED", "CLUSTERED")
+LOCK_OBJECT = "OBJECT"
+LOCK_ROW_KINDS = ("KEY", "PAGE", "RID")
+ALTER_INDEX = "ALTER INDEX "
+REBUILD_SUFFIX = " REBUILD WITH (ONLINE = OFF);"
+REORGANIZE_SUFFIX = " REORGANIZE;"
+STATS_REFRESH_PREFIX = "Update Statistics ["
+STATS_REFRESH_SUFFIX = "] With FULLSCAN"
+SYSTEM_STATS_PREFIX = "UPDATE STATISTICS "
+CREATE_INDEX_PREFIX = "CREATE NONCLUSTERED INDEX "
+INCLUDE_PREFIX = " INCLUDE ("
+FILLFACTOR_CLAUSE = " WITH (FILLFACTOR = 90"
+ONLINE_CLAUSE = ",ONLINE = ON"

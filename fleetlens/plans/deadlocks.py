@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import statement_slice
 from ..functions.xml import parse_xml, xml_rows
+from .constants import DEADLOCK_EVENT_NAME, VICTIM_SEPARATOR, XE_SESSION, XE_TARGET
 
-DEADLOCK_EVENT = r'<event name="xml_deadlock_report"[\s\S]*?</event>'
-# Fixed value: the victim-id separator is the literal four characters \r\n
-# (a T-SQL string literal does not interpret escapes).
-VICTIM_SEP = "\\r\\n"
+DEADLOCK_EVENT = rf'<event name="{DEADLOCK_EVENT_NAME}"[\s\S]*?</event>'
+VICTIM_SEP = VICTIM_SEPARATOR
 
 EVENT_SCHEMA = (
     "_name STRING, _timestamp STRING, data STRUCT<value: STRUCT<deadlock: STRUCT<"
@@ -25,7 +24,7 @@ EVENT_SCHEMA = (
 
 
 def _health_targets(targets: DataFrame) -> DataFrame:
-    return targets.filter((F.col("session_name") == "system_health") & (F.col("target_name") == "ring_buffer"))
+    return targets.filter((F.col("session_name") == XE_SESSION) & (F.col("target_name") == XE_TARGET))
 
 
 def deadlock_events(targets: DataFrame) -> DataFrame:
@@ -64,4 +63,4 @@ def deadlock_counts(targets: DataFrame) -> DataFrame:
     doc = parse_xml(F.col("target_data"), "_eventCount INT, event ARRAY<STRUCT<_name: STRING>>")
     t = _health_targets(targets).select("instance_id", doc.alias("d"))
     return t.select("instance_id", F.col("d._eventCount").alias("ring_buffer_event_count"),
-                    F.size(F.filter("d.event", lambda e: e["_name"] == "xml_deadlock_report")).alias("event_deadlock"))
+                    F.size(F.filter("d.event", lambda e: e["_name"] == DEADLOCK_EVENT_NAME)).alias("event_deadlock"))

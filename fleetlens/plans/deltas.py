@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import int_div, statement_slice
 from ..operators import database_scope, snapshot_delta
 from ..operators.deltas import capture_range_delta
+from .constants import COMBINED_DELTA_SELF_MARK, COMBINED_SLEEP_PATTERN, QUERY_DELTA_SELF_MARK
 from .waits import wait_delta
 
 QUERY_KEYS = ["instance_id", "sql_handle", "plan_handle", "statement_start_offset", "statement_end_offset"]
@@ -22,7 +23,7 @@ QUERY_COUNTERS = ["total_elapsed_time", "total_worker_time", "total_logical_read
 
 def query_delta(pre: DataFrame, post: DataFrame, texts: DataFrame, plans: DataFrame,
                 databases: DataFrame, keys=QUERY_KEYS, database_id=None,
-                exclude_prefix: str = "--ThisRoutineIdentifier99") -> DataFrame:
+                exclude_prefix: str = QUERY_DELTA_SELF_MARK) -> DataFrame:
     """Duration, CPU, blocked time, reads, writes, CLR time and executions
     of statements that ran between the captures (execution count changed).
 
@@ -36,7 +37,7 @@ def query_delta(pre: DataFrame, post: DataFrame, texts: DataFrame, plans: DataFr
 
 def query_delta_between(captures: DataFrame, start, end, texts: DataFrame, plans: DataFrame,
                         databases: DataFrame, database_id=None,
-                        exclude_prefix: str = "--ThisRoutineIdentifier99") -> DataFrame:
+                        exclude_prefix: str = QUERY_DELTA_SELF_MARK) -> DataFrame:
     """R75 over a table of many landed captures: the delta between the
     captures ``start`` and ``end`` in one grouped pass (``capture_range_delta``)."""
     d = capture_range_delta(captures, QUERY_KEYS, QUERY_COUNTERS, start, end, keep=None, on_reset="raw")
@@ -102,8 +103,8 @@ def combined_delta(pre: dict, post: dict, texts, plans, databases, details) -> d
     return {
         "queries": query_delta(pre["query_stats"], post["query_stats"], texts, plans, databases,
                                keys=[k for k in QUERY_KEYS if k != "plan_handle"],
-                               exclude_prefix="--This routine identifier AMALGATEDDMV_snapshot"),
-        "waits": wait_delta(pre["wait_stats"], post["wait_stats"], sleep_pattern="%SLEEP%"),
+                               exclude_prefix=COMBINED_DELTA_SELF_MARK),
+        "waits": wait_delta(pre["wait_stats"], post["wait_stats"], sleep_pattern=COMBINED_SLEEP_PATTERN),
         "missing_indexes": missing_index_delta(pre["missing_indexes"], post["missing_indexes"], details),
         "counters": counter_delta(pre["perf_counters"], post["perf_counters"]),
     }

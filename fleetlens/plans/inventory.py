@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exact_ratio, int_div, rewrite_text
 from ..functions.text import contains_ci
 from ..operators import distinct_pairs, latest_per_key, multi_filter, unused_keys
+from .constants import DB_COUNTER_OBJECT_PATTERN, DB_SIZE_COUNTERS, MODULE_REWRITES, MODULE_TYPES
 
 
 # ---------------------------------------------------------------- modules and columns
@@ -63,11 +64,6 @@ def column_type_conflicts(columns: DataFrame) -> DataFrame:
     return j.filter(cond).select("instance_id", "column_name", "table_schema", "table_name", *attrs, "pct").distinct()
 
 
-# The replacements of the module rewrite, in order (the
-# destination database prefix defaults to empty).
-MODULE_REWRITES = (("[RPS2017].", ""), ("[rps2017].", ""), ("CREATE VIEW", "ALTER VIEW"),
-                   ("CREATE FUNCTION", "ALTER FUNCTION"), ("CREATE PROCEDURE", "ALTER PROCEDURE"))
-MODULE_TYPES = ("V", "FN", "IF", "P", "TF")
 
 
 def rewrite_modules(module_objects: DataFrame, sql_modules: DataFrame, replacements=MODULE_REWRITES) -> DataFrame:
@@ -151,13 +147,11 @@ def file_free_space(database_files: DataFrame) -> DataFrame:
                                              precision=38).alias("available_space_mb"))
 
 
-# The database size counters the report reads.
-DB_SIZE_COUNTERS = ("Data File(s) Size (KB)", "Log File(s) Size (KB)", "Log File(s) Used Size (KB)")
 
 
 def database_sizes(counters: DataFrame) -> DataFrame:
     """Data, log and used-log size in MB per database."""
-    c = counters.filter(F.rtrim("object_name").like("%:Databases") & F.col("counter_name").isin(list(DB_SIZE_COUNTERS)))
+    c = counters.filter(F.rtrim("object_name").like(DB_COUNTER_OBJECT_PATTERN) & F.col("counter_name").isin(list(DB_SIZE_COUNTERS)))
     return c.select("instance_id", "instance_name", "counter_name",
                     exact_ratio("cntr_value", F.lit(1024), scale=6, precision=38).alias("size_mb"))
 

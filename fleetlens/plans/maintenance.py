@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import quote_name
 from ..functions.text import render_statement
+from .constants import (ALTER_INDEX, DUPLICATE_INDEX_TYPES, REBUILD_SUFFIX, REORGANIZE_SUFFIX, STATS_REFRESH_PREFIX,
+                        STATS_REFRESH_SUFFIX, SYSTEM_STATS_PREFIX)
 from ..operators import ordered_string_agg, prefix_overlap, upsert_ledger
 
 LEDGER_KEYS = ["instance_id", "database_id", "database_name", "schema_name", "table_name", "index_name"]
@@ -64,8 +66,8 @@ def index_maintenance_plan(ledger, physical, indexes, reorganize: float = 5, reb
                  & (F.col("page_count") > min_pages) & (frag > reorganize))
     target = [quote_name("_iname"), " ON ", quote_name("database_name"), ".", quote_name("schema_name"), ".",
               quote_name("table_name")]
-    sentence = (F.when(frag > rebuild, render_statement("ALTER INDEX ", *target, " REBUILD WITH (ONLINE = OFF);"))
-                .when(frag > reorganize, render_statement("ALTER INDEX ", *target, " REORGANIZE;")))
+    sentence = (F.when(frag > rebuild, render_statement(ALTER_INDEX, *target, REBUILD_SUFFIX))
+                .when(frag > reorganize, render_statement(ALTER_INDEX, *target, REORGANIZE_SUFFIX)))
     return j.select("instance_id", "database_name", "schema_name", "table_name", "index_name",
                     frag.alias("fragmentation_pct"), F.round("avg_page_space_used_in_percent", 2).alias("page_density_pct"),
                     "page_count", F.lit(-1).cast("long").alias("modification_counter"), sentence.alias("sentence"),
@@ -83,8 +85,8 @@ def statistics_refresh_plan(objects, schemas, stats_properties, databases) -> Da
         s, ["instance_id", "database_id", "schema_id"]).join(d, ["instance_id", "database_id"])
     g = j.groupBy("instance_id", "database_id", "database_name", "schema_name", "table_name").agg(
         F.max("modification_counter").alias("modification_counter"))
-    sentence = F.concat(F.lit("Update Statistics ["), F.col("database_name"), F.lit("].["), F.col("schema_name"),
-                        F.lit("].["), F.col("table_name"), F.lit("] With FULLSCAN"))
+    sentence = render_statement(STATS_REFRESH_PREFIX, F.col("database_name"), "].[", F.col("schema_name"), "].[",
+                                F.col("table_name"), STATS_REFRESH_SUFFIX)
     return g.select("instance_id", "database_name", "schema_name", "table_name", F.lit(None).cast("string").alias("index_name"),
                     F.lit(-1).cast("double").alias("fragmentation_pct"), F.lit(-1).cast("double").alias("page_density_pct"),
                     F.lit(-1).cast("long").alias("page_count"), "modification_counter", sentence.alias("sentence"),
@@ -107,8 +109,8 @@ def system_stats_refresh_list(indexes, partitions, objects, schemas) -> DataFram
     s = schemas.select("instance_id", "database_id", "schema_id", F.col("name").alias("schema_name"))
     j = i.join(p, ["instance_id", "database_id", "object_id", "index_id"]).join(
         o, ["instance_id", "database_id", "object_id"]).join(s, ["instance_id", "database_id", "schema_id"])
-    j = j.withColumn("stmt", F.concat(F.lit("UPDATE STATISTICS "), quote_name("schema_name"), F.lit("."),
-                                      quote_name("table_name"), F.lit(";")))
+    j = j.withColumn("stmt", render_statement(SYSTEM_STATS_PREFIX, quote_name("schema_name"), ".",
+                                              quote_name("table_name"), ";"))
     return ordered_string_agg(j, ["instance_id", "database_id"], "stmt", ["object_id", "index_id", "partition_id"],
                               sep="", alias="sql")
 
@@ -118,7 +120,7 @@ def duplicate_or_overlapping_indexes(tables, indexes, index_columns) -> DataFram
     list equals, or is a prefix of, another index's key list on the same
     table (either direction).  See ``prefix_overlap`` for the linear-time
     method (no pairs of indexes are formed)."""
-    ix = indexes.filter(F.col("type_desc").isin("NONCLUSTERED", "CLUSTERED"))
+    ix = indexes.filter(F.col("type_desc").isin(*DUPLICATE_INDEX_TYPES))
     t = tables.filter(~F.col("is_ms_shipped")).select("instance_id", "database_id", "object_id", "schema_name",
                                                       "table_name")
     keys = ["instance_id", "database_id", "object_id", "index_id"]

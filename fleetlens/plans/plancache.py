@@ -14,6 +14,8 @@ from ..functions import exact_ratio, int_div, quote_name, statement_slice
 from ..functions.text import contains_ci
 from ..functions.xml import parse_xml
 from ..operators import conditional_split, database_scope, top_n
+from .constants import (COMPILED_PLAN, CREATE_INDEX_PREFIX, FILLFACTOR_CLAUSE, INCLUDE_PREFIX, ONLINE_CLAUSE,
+                        PLAN_FEATURES)
 
 
 def _parallel_attrs(plan: Column) -> Column:
@@ -41,7 +43,7 @@ def parallel_flag(plan: Column) -> Column:
 
 
 def _compiled(cached_plans: DataFrame) -> DataFrame:
-    return cached_plans.filter(F.col("cacheobjtype") == "Compiled Plan")
+    return cached_plans.filter(F.col("cacheobjtype") == COMPILED_PLAN)
 
 
 def parallel_plan_statements(qs, cached_plans, plans, texts, objects, n: int = 50, per=None) -> DataFrame:
@@ -133,13 +135,6 @@ def parallel_statements_with_text(qs, cached_plans, plans, texts, databases, tex
         int_div("total_worker_time", "execution_count").alias("avg_worker_time"), "plan_handle", "database_name")
 
 
-# The plan markers each feature report searches for.
-PLAN_FEATURES = {
-    "implicit_conversion": "CONVERT_IMPLICIT",
-    "missing_index": "<MissingIndexes>",
-    "missing_statistics": "<ColumnsWithNoStatistics>",
-    "table_scan": "<TableScan",
-}
 
 
 def plans_with_feature(cached_plans, plans, texts, databases, marker: str, n: int = 20,
@@ -216,10 +211,10 @@ def missing_indexes_from_plans(qs, plans, engine_edition: int = 2) -> DataFrame:
     key_cols = (F.when(e.isNotNull() & i.isNotNull(), F.concat(e, _strip_last(i)))
                 .when(e.isNotNull(), _strip_last(e)).when(i.isNotNull(), _strip_last(i)))
     create = F.concat(
-        F.lit("CREATE NONCLUSTERED INDEX "), quote_name(name), F.lit(" ON "), F.col("object"),
+        F.lit(CREATE_INDEX_PREFIX), quote_name(name), F.lit(" ON "), F.col("object"),
         F.coalesce(F.concat(F.lit("("), key_cols, F.lit(")")), F.lit("")),
-        F.when(c.isNotNull(), F.concat(F.lit(" INCLUDE ("), _strip_last(c), F.lit(")"))).otherwise(F.lit("")),
-        F.lit(" WITH (FILLFACTOR = 90" + (",ONLINE = ON" if engine_edition == 3 else "") + ");"))
+        F.when(c.isNotNull(), F.concat(F.lit(INCLUDE_PREFIX), _strip_last(c), F.lit(")"))).otherwise(F.lit("")),
+        F.lit(FILLFACTOR_CLAUSE + (ONLINE_CLAUSE if engine_edition == 3 else "") + ");"))
     p = p.withColumn("miss_index_creation", create).drop("_eq", "_ineq", "_inc")
     q = qs.select("instance_id", "plan_handle", "query_hash", "query_plan_hash", "creation_time",
                   "last_execution_time", "execution_count", "total_worker_time", "last_worker_time",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact_ratio, int_div, statement_slice
 from ..operators import blocking_pairs, database_scope
+from .constants import LOCK_OBJECT, LOCK_ROW_KINDS
 
 I = ["instance_id"]
 
@@ -164,15 +165,15 @@ def _resource_names(locks, objects, partitions) -> DataFrame:
     ``(kind, entity id) -> name`` (objects by id, plus partitions joined to
     their objects by hobt id; both catalog-sized) and a single left join."""
     o = objects.select(*I, F.col("database_id").alias("resource_database_id"), "object_id", "name")
-    by_object = o.select(*I, "resource_database_id", F.lit("OBJECT").alias("_kind"),
+    by_object = o.select(*I, "resource_database_id", F.lit(LOCK_OBJECT).alias("_kind"),
                          F.col("object_id").cast("long").alias("_entity"), F.col("name").alias("resource_type_name"))
     p = partitions.select(*I, F.col("database_id").alias("resource_database_id"), "object_id",
                           F.col("partition_id").cast("long").alias("_entity"))
     by_hobt = p.join(o, I + ["resource_database_id", "object_id"]).select(
         *I, "resource_database_id", F.lit("ROW").alias("_kind"), "_entity", F.col("name").alias("resource_type_name"))
     lookup = by_object.unionByName(by_hobt)
-    kind = (F.when(F.col("resource_type") == "OBJECT", F.lit("OBJECT"))
-            .when(F.col("resource_type").isin("KEY", "PAGE", "RID"), F.lit("ROW")))
+    kind = (F.when(F.col("resource_type") == LOCK_OBJECT, F.lit(LOCK_OBJECT))
+            .when(F.col("resource_type").isin(*LOCK_ROW_KINDS), F.lit("ROW")))
     l = locks.withColumn("_kind", kind).withColumn("_entity", F.col("resource_associated_entity_id").cast("long"))
     return l.join(lookup, I + ["resource_database_id", "_kind", "_entity"], "left").drop("_kind", "_entity")
 

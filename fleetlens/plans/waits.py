@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exact_ratio
 from ..operators import pareto_cutoff, share_of_total, snapshot_delta, top_n
-from .constants import PARETO_WAITS_BENIGN, TOP_WAITS_BENIGN, WAIT_HELP_URL
+from .constants import (PARETO_WAITS_BENIGN, TOP_WAITS_BENIGN, WAIT_HELP_URL, WAIT_SLEEP_PATTERN,
+                        WAITFOR_WAIT)
 
 FLEET = ["instance_id"]
 
@@ -50,13 +51,13 @@ def wait_pareto(waits: DataFrame, pct: int = 95, benign=PARETO_WAITS_BENIGN) ->
         F.concat(F.lit(WAIT_HELP_URL), F.col("wait_type")).alias("help_url"))
 
 
-def wait_delta(pre: DataFrame, post: DataFrame, sleep_pattern: str = "%SLEEP") -> DataFrame:
+def wait_delta(pre: DataFrame, post: DataFrame, sleep_pattern: str = WAIT_SLEEP_PATTERN) -> DataFrame:
     """Wait, signal and real-wait deltas between two captures; waits that
     grew, without sleeps (``NOT LIKE sleep_pattern``) and WAITFOR."""
     d = snapshot_delta(pre, post, FLEET + ["wait_type"], ["wait_time_ms", "signal_wait_time_ms"],
                        keep=None, on_reset="raw")
     d = d.filter((F.col("delta_wait_time_ms") > 0) & ~F.col("wait_type").like(sleep_pattern)
-                 & (F.col("wait_type") != "WAITFOR"))
+                 & (F.col("wait_type") != WAITFOR_WAIT))
     return d.select("instance_id", "wait_type",
                     F.col("delta_wait_time_ms").alias("wait_time_ms"),
                     F.col("delta_signal_wait_time_ms").alias("signal_wait_time_ms"),
