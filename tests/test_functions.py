@@ -40,3 +40,41 @@ def test_rounded_key_matches_the_exact_decimal(spark):
     df = spark.createDataFrame([(v,) for v in vals], "n long")
     rows = df.select(rounded_key("n", 1000000).alias("k"), exact_ratio("n", F.lit(1000000)).alias("d")).collect()
     assert all(Decimal(r.k) / 100 == r.d for r in rows)
+
+
+def _tsql_slice(text, start, end):
+    """The server's formula, written out in Python (code points, not UTF-16)."""
+    if text is None or start is None:
+        return None
+    stop = len(text.rstrip(" ")) * 2 if end is None or end == -1 else end
+    diff = stop - start
+    length = max(int(diff / 2) + 1, 0)            # int() truncates toward zero like T-SQL
+    pos = start // 2 + 1
+    return text[pos - 1:pos - 1 + length]
+
+
+def test_statement_slice_matches_the_formula_on_random_input(spark):
+    import random
+    rnd = random.Random(17)
+    alphabet = "ab cé😀"
+    rows = []
+    for _ in range(300):
+        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30)))
+        s = rnd.randint(0, 70)
+        e = rnd.choice([-1, None, rnd.randint(0, 80)])
+        rows.append((t, s, e))
+    df = spark.createDataFrame(rows, "t string, s int, e int")
+    got = [r[0] for r in df.select(statement_slice("t", "s", "e")).collect()]
+    assert got == [_tsql_slice(*r) for r in rows]
+
+
+def test_exact_ratio_matches_python_decimal(spark):
+    import random
+    from decimal import ROUND_HALF_UP
+    rnd = random.Random(23)
+    rows = [(rnd.randint(-10**9, 10**9), rnd.choice([1, 3, 7, 1000, 1000000, rnd.randint(1, 10**6)]) * rnd.choice([1, -1]))
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "n long, d long")
+    got = [r[0] for r in df.select(exact_ratio("n", "d", scale=3, factor=100)).collect()]
+    exp = [(Decimal(n) * 100 / Decimal(d)).quantize(Decimal("0.001"), rounding=ROUND_HALF_UP) for n, d in rows]
+    assert got == exp
