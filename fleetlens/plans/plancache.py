@@ -48,23 +48,28 @@ def _compiled(cached_plans: DataFrame) -> DataFrame:
 
 def parallel_plan_statements(qs, cached_plans, plans, texts, objects, n: int = 50, per=None) -> DataFrame:
     """Per plan (max executions, summed counters), plans with a parallel
-    operator, by average CPU per execution (integer division)."""
+    operator, by average CPU per execution (integer division).
+
+    The parallel test runs where the plans are read and keeps only the plan
+    keys; the plan XML itself is joined back for the ``n`` ranked plans."""
     agg = qs.groupBy("instance_id", "plan_handle").agg(
         F.max("execution_count").alias("execution_count"),
         F.sum("total_worker_time").alias("total_worker_time"),
         F.sum("total_logical_reads").alias("total_logical_reads"),
         F.sum("total_elapsed_time").alias("total_elapsed_time"))
     cp = _compiled(cached_plans).select("instance_id", "plan_handle", "sql_handle")
-    p = plans.select("instance_id", "plan_handle", "dbid", "objectid", "query_plan")
-    j = agg.join(cp, ["instance_id", "plan_handle"]).join(p, ["instance_id", "plan_handle"])
-    j = j.filter(has_parallel_operator(F.col("query_plan")))
+    parallel = plans.filter(has_parallel_operator(F.col("query_plan"))).select(
+        "instance_id", "plan_handle", "dbid", "objectid")
+    j = agg.join(cp, ["instance_id", "plan_handle"]).join(parallel, ["instance_id", "plan_handle"])
     j = j.join(texts.select("instance_id", "sql_handle"), ["instance_id", "sql_handle"], "left_semi")
     j = j.withColumn("_avg", int_div("total_worker_time", "execution_count"))
     top = top_n(j, [F.col("_avg").desc(), F.col("instance_id"), F.col("plan_handle")], n, per)
     t = texts.select("instance_id", "sql_handle", "text")
     o = objects.select("instance_id", F.col("database_id").alias("dbid"), F.col("object_id").alias("objectid"),
                        F.col("name").alias("object_name"))
-    out = top.join(t, ["instance_id", "sql_handle"]).join(o, ["instance_id", "dbid", "objectid"], "left")
+    xml = plans.select("instance_id", "plan_handle", "query_plan")
+    out = top.join(t, ["instance_id", "sql_handle"]).join(xml, ["instance_id", "plan_handle"])
+    out = out.join(o, ["instance_id", "dbid", "objectid"], "left")
     return out.select("instance_id", "object_name", "execution_count", "total_worker_time",
                       "total_logical_reads", "total_elapsed_time", "query_plan", "text", "plan_handle")
 

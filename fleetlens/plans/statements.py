@@ -1,4 +1,4 @@
-"""Statement and cached-plan reports.
+"""Statement and cached-plan reports.
 
 Shared shape (the reference's ``query_stats CROSS APPLY sql_text CROSS APPLY
 query_plan``): filter the statistics, join the narrow plan columns for the
