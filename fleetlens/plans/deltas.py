@@ -45,15 +45,19 @@ def query_delta_between(captures: DataFrame, start, end, texts: DataFrame, plans
 
 
 def _finish_query_delta(d, texts, plans, databases, database_id, exclude_prefix) -> DataFrame:
+    """Scope, text filter and names of the changed statements.  Narrow joins
+    first (plan's database, names), the text where its filter needs it, and
+    the plan XML last, so each wide column is moved once."""
     d = d.filter(F.col("delta_execution_count") != 0)
-    p = plans.select("instance_id", "plan_handle", "dbid", "query_plan")
-    t = texts.select("instance_id", "sql_handle", F.col("text").alias("parent_query"))
+    p = plans.select("instance_id", "plan_handle", "dbid")
     d = database_scope(d.join(p, ["instance_id", "plan_handle"]), "dbid", database_id)
+    db = databases.select("instance_id", F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
+    d = d.join(db, ["instance_id", "dbid"], "left")
+    t = texts.select("instance_id", "sql_handle", F.col("text").alias("parent_query"))
     d = d.join(t, ["instance_id", "sql_handle"])
     if exclude_prefix:
         d = d.filter(~F.col("parent_query").startswith(exclude_prefix))
-    db = databases.select("instance_id", F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
-    d = d.join(db, ["instance_id", "dbid"], "left")
+    d = d.join(plans.select("instance_id", "plan_handle", "query_plan"), ["instance_id", "plan_handle"])
     dur, cpu = F.col("delta_total_elapsed_time"), F.col("delta_total_worker_time")
     return d.select(
         "instance_id", dur.alias("duration"), cpu.alias("cpu_time"), (dur - cpu).alias("blocked_time"),

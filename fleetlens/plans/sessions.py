@@ -93,11 +93,11 @@ def running_requests(requests, sessions, texts, plans, databases, exclude_sessio
     if exclude_session is not None:
         s = s.filter(F.col("session_id") != exclude_session)
     t = texts.select(*I, "sql_handle", F.col("text").alias("parent_query"))
-    p = plans.select(*I, "plan_handle", "dbid", "query_plan")
-    j = requests.join(s, I + ["session_id"]).join(t, I + ["sql_handle"]).join(p, I + ["plan_handle"])
-    j = database_scope(j, "dbid", database_id)
+    p = plans.select(*I, "plan_handle", "dbid")
+    j = database_scope(requests.join(s, I + ["session_id"]).join(p, I + ["plan_handle"]), "dbid", database_id)
     d = databases.select(*I, F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
-    j = j.join(d, I + ["dbid"], "left")
+    j = j.join(d, I + ["dbid"], "left").join(t, I + ["sql_handle"])
+    j = j.join(plans.select(*I, "plan_handle", "query_plan"), I + ["plan_handle"])   # wide column last
     return j.select(*I, "session_id", "host_name", "login_name", "status", "database_name",
                     statement_slice("parent_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
                     "parent_query", "program_name", "start_time", "query_plan", "wait_type", "total_elapsed_time",
