@@ -122,16 +122,20 @@ def parallel_ratio(qs, cached_plans, plans, texts) -> DataFrame:
 
 def parallel_statements_with_text(qs, cached_plans, plans, texts, databases, text: str) -> DataFrame:
     """Statements of parallel compiled plans whose batch text contains
-    ``text``, with average CPU per execution."""
+    ``text``, with average CPU per execution.
+
+    Matching texts and parallel plans are reduced to their keys first; the
+    batch text and plan XML are joined to the matching statements last."""
     cp = _compiled(cached_plans).select("instance_id", "plan_handle", F.col("sql_handle").alias("_cp_sql"))
-    p = plans.select("instance_id", "plan_handle", "dbid", "query_plan").filter(
-        has_parallel_operator(F.col("query_plan")))
-    t = texts.filter(contains_ci("text", text)).select("instance_id", F.col("sql_handle").alias("_cp_sql"),
-                                                        F.col("text").alias("parent_query"))
-    j = cp.join(p, ["instance_id", "plan_handle"]).join(t, ["instance_id", "_cp_sql"])
+    parallel = plans.filter(has_parallel_operator(F.col("query_plan"))).select("instance_id", "plan_handle", "dbid")
+    hits = texts.filter(contains_ci("text", text)).select("instance_id", F.col("sql_handle").alias("_cp_sql"))
+    j = cp.join(parallel, ["instance_id", "plan_handle"]).join(hits, ["instance_id", "_cp_sql"], "left_semi")
     j = j.join(qs, ["instance_id", "plan_handle"])
     d = databases.select("instance_id", F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
     j = j.join(d, ["instance_id", "dbid"], "left")
+    t = texts.select("instance_id", F.col("sql_handle").alias("_cp_sql"), F.col("text").alias("parent_query"))
+    j = j.join(t, ["instance_id", "_cp_sql"]).join(plans.select("instance_id", "plan_handle", "query_plan"),
+                                                   ["instance_id", "plan_handle"])
     return j.select(
         "instance_id",
         statement_slice("parent_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
@@ -140,8 +144,6 @@ def parallel_statements_with_text(qs, cached_plans, plans, texts, databases, tex
         int_div("total_worker_time", "execution_count").alias("avg_worker_time"), "plan_handle", "database_name")
 
 
-
-
 def plans_with_feature(cached_plans, plans, texts, databases, marker: str, n: int = 20,
                        database_id=None, per=None) -> DataFrame:
     """Cached plans whose XML contains ``marker``, most used first.
