@@ -200,11 +200,12 @@ def missing_indexes_from_plans(qs, plans, engine_edition: int = 2) -> DataFrame:
     doc = parse_xml(F.col("query_plan"), PLAN_SCHEMA)
     stmts = F.flatten(F.transform(doc["BatchSequence"]["Batch"],
                                   lambda b: F.flatten(F.transform(b["Statements"], lambda s: s["StmtSimple"]))))
-    p = p.select("instance_id", "plan_handle", "query_plan", F.explode(stmts).alias("st"))
+    # the exploded rows carry parsed fields only; the plan XML is joined back once at the end
+    p = p.select("instance_id", "plan_handle", F.explode(stmts).alias("st"))
     p = p.select("*", F.explode(F.col("st.QueryPlan.MissingIndexes.MissingIndexGroup")).alias("grp"))
     mi = F.col("grp.MissingIndex")
     eq, ineq, inc = (_column_list(mi["ColumnGroup"], u) for u in ("EQUALITY", "INEQUALITY", "INCLUDE"))
-    p = p.select("instance_id", "plan_handle", "query_plan",
+    p = p.select("instance_id", "plan_handle",
                  F.col("st._StatementText").alias("sql_text"), F.col("grp._Impact").alias("impact"),
                  F.col("st.QueryPlan._CachedPlanSize").alias("cached_plan_size"),
                  F.col("st.QueryPlan._CompileTime").alias("compile_time"),
@@ -228,4 +229,5 @@ def missing_indexes_from_plans(qs, plans, engine_edition: int = 2) -> DataFrame:
                   "total_physical_reads", "last_physical_reads", "total_logical_writes", "last_logical_writes",
                   "total_logical_reads", "last_logical_reads", "total_clr_time", "total_elapsed_time",
                   "last_elapsed_time")
-    return q.join(p, ["instance_id", "plan_handle"])
+    out = q.join(p, ["instance_id", "plan_handle"])
+    return out.join(plans.select("instance_id", "plan_handle", "query_plan"), ["instance_id", "plan_handle"])
