@@ -211,9 +211,9 @@ def contended_resources(locks, objects, partitions, databases, connections, text
                            "most_recent_sql_handle")
     t = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("parent_query"))
     r = requests.select(*I, "connection_id", "statement_start_offset", "statement_end_offset")
-    j = l.join(c, I + ["request_session_id"]).join(t, I + ["most_recent_sql_handle"]).join(r, I + ["connection_id"], "left")
     d = databases.select(*I, F.col("database_id").alias("resource_database_id"), F.col("name").alias("database_name"))
-    j = j.join(d, I + ["resource_database_id"], "left")
+    j = l.join(c, I + ["request_session_id"]).join(r, I + ["connection_id"], "left")
+    j = j.join(d, I + ["resource_database_id"], "left").join(t, I + ["most_recent_sql_handle"])   # text last
     return j.select(*I, "resource_type", "database_name", "resource_associated_entity_id", "request_session_id",
                     "request_mode", "request_status", "resource_type_name", "parent_query",
                     statement_slice("parent_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
