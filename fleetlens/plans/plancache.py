@@ -189,6 +189,12 @@ def _strip_last(c: Column) -> Column:
     return c.substr(F.lit(1), F.length(c) - 1)
 
 
+# the statement counters the report shows, each as total / last / min / max
+STATEMENT_COUNTERS = [f"{k}_{c}" for c in ("worker_time", "physical_reads", "logical_writes", "logical_reads",
+                                           "clr_time", "elapsed_time", "rows")
+                      for k in ("total", "last", "min", "max")]
+
+
 def missing_indexes_from_plans(qs, plans, engine_edition: int = 2) -> DataFrame:
     """One row per missing-index group of each cached statement: impact,
     target table, CREATE INDEX text and the statement's counters.
@@ -225,9 +231,6 @@ def missing_indexes_from_plans(qs, plans, engine_edition: int = 2) -> DataFrame:
         F.lit(FILLFACTOR_CLAUSE + (ONLINE_CLAUSE if engine_edition == 3 else "") + ");"))
     p = p.withColumn("miss_index_creation", create).drop("_eq", "_ineq", "_inc")
     q = qs.select("instance_id", "plan_handle", "query_hash", "query_plan_hash", "creation_time",
-                  "last_execution_time", "execution_count", "total_worker_time", "last_worker_time",
-                  "total_physical_reads", "last_physical_reads", "total_logical_writes", "last_logical_writes",
-                  "total_logical_reads", "last_logical_reads", "total_clr_time", "total_elapsed_time",
-                  "last_elapsed_time")
+                  "last_execution_time", "execution_count", *STATEMENT_COUNTERS)
     out = q.join(p, ["instance_id", "plan_handle"])
     return out.join(plans.select("instance_id", "plan_handle", "query_plan"), ["instance_id", "plan_handle"])

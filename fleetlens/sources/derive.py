@@ -42,6 +42,15 @@ SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, TS'{cut}' AS c
   max_by(event_id % 77, event_id) AS last_logical_writes,
   max_by(event_id % 13, event_id) AS last_physical_reads,
   CAST(sum(event_id % 7) AS BIGINT) AS total_clr_time,
+  max_by(event_id % 7, event_id) AS last_clr_time, min(event_id % 7) AS min_clr_time, max(event_id % 7) AS max_clr_time,
+  min(CAST(floor(value * 1000) AS BIGINT)) AS min_worker_time, max(CAST(floor(value * 1000) AS BIGINT)) AS max_worker_time,
+  min(CAST(floor(value * 1000) AS BIGINT) + event_id % 5000) AS min_elapsed_time,
+  max(CAST(floor(value * 1000) AS BIGINT) + event_id % 5000) AS max_elapsed_time,
+  min(event_id % 13) AS min_physical_reads, max(event_id % 13) AS max_physical_reads,
+  min(event_id % 77) AS min_logical_writes, max(event_id % 77) AS max_logical_writes,
+  min(event_id % 1000) AS min_logical_reads, max(event_id % 1000) AS max_logical_reads,
+  CAST(sum(event_id % 50) AS BIGINT) AS total_rows, max_by(event_id % 50, event_id) AS last_rows,
+  min(event_id % 50) AS min_rows, max(event_id % 50) AS max_rows,
   CAST(sum(1 + event_id % 4) AS BIGINT) AS total_dop,
   min(ts) AS creation_time, max(ts) AS last_execution_time
 FROM {{events}} WHERE ts < TS'{cut}' GROUP BY user_id, event_type"""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 TELEMETRY_SCHEMAS: dict[str, str] = {
-    "query_stats": "instance_id string, captured_at timestamp_ntz, sql_handle string, plan_handle string, query_hash string, query_plan_hash string, statement_start_offset int, statement_end_offset int, execution_count bigint, plan_generation_num bigint, total_worker_time bigint, total_elapsed_time bigint, last_worker_time bigint, last_elapsed_time bigint, total_logical_reads bigint, total_logical_writes bigint, total_physical_reads bigint, last_logical_reads bigint, last_logical_writes bigint, last_physical_reads bigint, total_clr_time bigint, total_dop bigint, creation_time timestamp_ntz, last_execution_time timestamp_ntz",
+    "query_stats": "instance_id string, captured_at timestamp_ntz, sql_handle string, plan_handle string, query_hash string, query_plan_hash string, statement_start_offset int, statement_end_offset int, execution_count bigint, plan_generation_num bigint, total_worker_time bigint, total_elapsed_time bigint, last_worker_time bigint, last_elapsed_time bigint, total_logical_reads bigint, total_logical_writes bigint, total_physical_reads bigint, last_logical_reads bigint, last_logical_writes bigint, last_physical_reads bigint, total_clr_time bigint, last_clr_time bigint, min_clr_time bigint, max_clr_time bigint, min_worker_time bigint, max_worker_time bigint, min_elapsed_time bigint, max_elapsed_time bigint, min_physical_reads bigint, max_physical_reads bigint, min_logical_writes bigint, max_logical_writes bigint, min_logical_reads bigint, max_logical_reads bigint, total_rows bigint, last_rows bigint, min_rows bigint, max_rows bigint, total_dop bigint, creation_time timestamp_ntz, last_execution_time timestamp_ntz",
     "sql_texts": "instance_id string, sql_handle string, text string",
     "query_plans": "instance_id string, plan_handle string, dbid int, objectid int, query_plan string",
     "cached_plans": "instance_id string, plan_handle string, sql_handle string, cacheobjtype string, objtype string, usecounts bigint, attribute_dbid int",

@@ -99,13 +99,11 @@ def test_missing_index_groups_none_one_two(spark):
                 f'<QueryPlan CachedPlanSize="1">{mi}<RelOp Parallel="0"/></QueryPlan></StmtSimple></Statements></Batch>'
                 '</BatchSequence></ShowPlanXML>')
     plans = spark.createDataFrame([("s", f"p{k}", plan(k)) for k in range(3)], "instance_id string, plan_handle string, query_plan string")
-    cols = ("query_hash query_plan_hash creation_time last_execution_time execution_count total_worker_time last_worker_time "
-            "total_physical_reads last_physical_reads total_logical_writes last_logical_writes total_logical_reads "
-            "last_logical_reads total_clr_time total_elapsed_time last_elapsed_time").split()
-    qs = spark.createDataFrame([("s", f"p{k}") + ("h", "ph", None, None) + (1,) * 12 for k in range(3)],
+    counters = pc.STATEMENT_COUNTERS
+    qs = spark.createDataFrame([("s", f"p{k}", "h", "ph", None, None, 1) + (1,) * len(counters) for k in range(3)],
                                "instance_id string, plan_handle string, query_hash string, query_plan_hash string, "
-                               "creation_time timestamp_ntz, last_execution_time timestamp_ntz, "
-                               + ", ".join(f"{c} long" for c in cols[4:]))
+                               "creation_time timestamp_ntz, last_execution_time timestamp_ntz, execution_count long, "
+                               + ", ".join(f"{c} long" for c in counters))
     out = pc.missing_indexes_from_plans(qs, plans).collect()
     assert sorted(r.plan_handle for r in out) == ["p1", "p2", "p2"]
     assert {r.miss_index_creation for r in out if r.plan_handle == "p1"} == {
