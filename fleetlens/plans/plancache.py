@@ -18,6 +18,12 @@ from .constants import (COMPILED_PLAN, CREATE_INDEX_PREFIX, FILLFACTOR_CLAUSE, I
                         PLAN_FEATURES)
 
 
+# the statement counters the reports show, each as total / last / min / max
+STATEMENT_COUNTERS = [f"{k}_{c}" for c in ("worker_time", "physical_reads", "logical_writes", "logical_reads",
+                                           "clr_time", "elapsed_time", "rows")
+                      for k in ("total", "last", "min", "max")]
+
+
 def _parallel_attrs(plan: Column) -> Column:
     """All ``RelOp/@Parallel`` values of a plan, in one XPath evaluation
     (operators nest to any depth, so a path query fits better than a schema)."""
@@ -139,8 +145,8 @@ def parallel_statements_with_text(qs, cached_plans, plans, texts, databases, tex
     return j.select(
         "instance_id",
         statement_slice("parent_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
-        "parent_query", "query_plan", "execution_count", "total_worker_time", "total_elapsed_time",
-        "statement_start_offset", "statement_end_offset",
+        "parent_query", "query_plan", "sql_handle", "statement_start_offset", "statement_end_offset",
+        "execution_count", *STATEMENT_COUNTERS, "creation_time", "last_execution_time",
         int_div("total_worker_time", "execution_count").alias("avg_worker_time"), "plan_handle", "database_name")
 
 
@@ -189,12 +195,6 @@ def _strip_last(c: Column) -> Column:
     return c.substr(F.lit(1), F.length(c) - 1)
 
 
-# the statement counters the report shows, each as total / last / min / max
-STATEMENT_COUNTERS = [f"{k}_{c}" for c in ("worker_time", "physical_reads", "logical_writes", "logical_reads",
-                                           "clr_time", "elapsed_time", "rows")
-                      for k in ("total", "last", "min", "max")]
-
-
 def missing_indexes_from_plans(qs, plans, engine_edition: int = 2) -> DataFrame:
     """One row per missing-index group of each cached statement: impact,
     target table, CREATE INDEX text and the statement's counters.
