@@ -24,7 +24,7 @@ def _reset_delta(cur: Column, prev: Column, on_reset: str) -> Column:
 
 def snapshot_delta(pre: DataFrame, post: DataFrame, keys: Sequence[str],
                    counters: Sequence[str], keep: str | None = "changed",
-                   on_reset: str = "raw", carry: Sequence[str] = (),
+                   on_reset: str = "current", carry: Sequence[str] = (),
                    prefix: str = "delta_") -> DataFrame:
     """Delta of cumulative counters between two captures.
 
@@ -33,6 +33,9 @@ def snapshot_delta(pre: DataFrame, post: DataFrame, keys: Sequence[str],
     equi join).  A key missing from ``pre`` counts from 0.  ``keep='changed'``
     keeps rows where any delta is non-zero, ``'positive'`` where any is > 0,
     ``None`` keeps all.  ``carry`` columns are taken from ``post``.
+    ``on_reset``: a counter lower than before means a restart; ``'current'``
+    takes the value since the restart, ``'previous'`` the ledger's rule,
+    ``'raw'`` the plain (negative) difference the statement delta reports.
     """
     keys, counters = list(keys), list(counters)
     p = pre.select(*[F.col(k).alias(f"_pre_{k}") for k in keys],
@@ -89,7 +92,7 @@ def consecutive_delta(samples: DataFrame, keys: Sequence[str], counter: str,
 
 
 def capture_range_delta(captures: DataFrame, keys: Sequence[str], counters: Sequence[str], start, end,
-                        ts: str = "captured_at", keep: str | None = "changed", on_reset: str = "raw",
+                        ts: str = "captured_at", keep: str | None = "changed", on_reset: str = "current",
                         carry: Sequence[str] = (), prefix: str = "delta_") -> DataFrame:
     """G06 in one pass over a table holding many captures.
 

@@ -12,13 +12,16 @@ def test_snapshot_delta_null_safe_keys_and_resets(spark):
     pre = spark.createDataFrame([("a", None, 5), ("a", "x", 10), ("a", "y", 0)], "i string, k string, c long")
     post = spark.createDataFrame([("a", None, 7), ("a", "x", 4), ("a", "y", 3), ("a", "z", 2)],
                                  "i string, k string, c long")
-    raw = {(r.k, r.delta_c) for r in snapshot_delta(pre, post, ["i", "k"], ["c"], keep=None).collect()}
+    raw = {(r.k, r.delta_c) for r in snapshot_delta(pre, post, ["i", "k"], ["c"], keep=None, on_reset="raw").collect()}
     assert raw == {(None, 2), ("x", -6), ("y", 3), ("z", 2)}
     cur = {r.k: r.delta_c for r in snapshot_delta(pre, post, ["i", "k"], ["c"], keep=None, on_reset="current").collect()}
     assert cur["x"] == 4
     prev = {r.k: r.delta_c for r in snapshot_delta(pre, post, ["i", "k"], ["c"], keep=None, on_reset="previous").collect()}
     assert prev["x"] == 10
-    assert {r.k for r in snapshot_delta(pre, post, ["i", "k"], ["c"], keep="positive").collect()} == {None, "y", "z"}
+    assert {r.k for r in snapshot_delta(pre, post, ["i", "k"], ["c"], keep="positive", on_reset="raw").collect()} == {
+        None, "y", "z"}
+    # by default a restarted counter counts from the restart, so it grew
+    assert {r.k for r in snapshot_delta(pre, post, ["i", "k"], ["c"], keep="positive").collect()} == {None, "x", "y", "z"}
 
 
 def test_delta_is_additive_without_reset(spark):

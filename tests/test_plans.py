@@ -72,3 +72,19 @@ def test_latest_restore_is_an_aggregate_not_a_window(spark):
     import __spark_entry__ as e
     plan = _plan(e.queries()["latest_restore"](spark, SF))
     assert "Window" not in plan and "HashAggregate" in plan
+
+
+def test_building_a_report_runs_no_spark_job(spark):
+    """Reports are lazy plans: building one runs no job of its own (nothing is
+    pulled to the driver while the plan is put together).  The only jobs are
+    parquet schema discovery of the test tables read without a schema."""
+    import __spark_entry__ as e
+    sc = spark.sparkContext
+    st = sc.statusTracker()
+    for name in _batch_queries():
+        group = f"build-{name}"
+        sc.setJobGroup(group, "build only")
+        e.queries()[name](spark, SF)
+        stages = [st.getStageInfo(s).name for j in st.getJobIdsForGroup(group) for s in st.getJobInfo(j).stageIds]
+        assert all(n.startswith("parquet at ") for n in stages), (name, stages)
+    sc.setJobGroup("", "")
