@@ -51,3 +51,19 @@ def test_query_matches_oracle(spark, duck, name):
     idx = [dcols.index(c) for c in cols]
     exp = sorted((tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()), key=_key)
     assert got == exp
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE"}
+
+
+def test_result_types_match_the_oracle(spark, duck):
+    import __spark_entry__ as e
+    diffs = []
+    for name, sql in sorted(e.oracle_sql().items()):
+        spark_types = {f.name: f.dataType.simpleString() for f in e.queries()[name](spark, SF).schema.fields}
+        rel = duck.sql(sql)
+        duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        diffs += [(name, c, t, duck_types.get(c)) for c, t in spark_types.items()
+                  if duck_types.get(c) != SPARK_TO_DUCK.get(t, t.upper())]
+    assert diffs == []
