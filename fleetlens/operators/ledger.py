@@ -20,22 +20,26 @@ from pyspark.sql import functions as F
 
 def upsert_ledger(ledger: DataFrame | None, current: DataFrame, keys: Sequence[str],
                   counters: Sequence[str], carry: Sequence[str] = (),
-                  modified: str = "modification_date") -> DataFrame:
+                  modified: str = "modification_date", keep: dict | None = None) -> DataFrame:
     """Return the new ledger.
 
     ``current``: one row per key with ``keys``, ``counters``, ``carry`` and the
     capture date ``modified``.  Ledger columns per counter ``c``:
     ``current_c, last_c, diff_c, accumulated_c``; plus ``last_modification``,
     ``current_modification`` and the ``carry`` columns.
-    ``ledger=None`` seeds it (the first run).
+    ``ledger=None`` seeds it (the first run).  ``keep`` maps ledger-only
+    bookkeeping columns to the Column their new rows start with; existing
+    rows keep their values.
     """
+    keep = keep or {}
     keys, counters, carry = list(keys), list(counters), list(carry)
     seeded = current.select(
         *keys, *carry,
         *[x for c in counters for x in (
             F.col(c).cast("long").alias(f"current_{c}"), F.lit(0).cast("long").alias(f"last_{c}"),
             F.col(c).cast("long").alias(f"diff_{c}"), F.col(c).cast("long").alias(f"accumulated_{c}"))],
-        F.col(modified).alias("last_modification"), F.col(modified).alias("current_modification"))
+        F.col(modified).alias("last_modification"), F.col(modified).alias("current_modification"),
+        *[v.alias(k) for k, v in keep.items()])
     if ledger is None:
         return seeded
 
@@ -66,4 +70,5 @@ def upsert_ledger(ledger: DataFrame | None, current: DataFrame, keys: Sequence[s
         F.when(new_only | newer, F.col("_t_mod")).otherwise(F.col("current_modification"))
          .alias("current_modification"),
     ]
+    out += [F.when(new_only, v).otherwise(F.col(k)).alias(k) for k, v in keep.items()]
     return j.select(*keys, *out)

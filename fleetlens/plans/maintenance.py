@@ -23,6 +23,7 @@ from ..operators import ordered_string_agg, prefix_overlap, upsert_ledger
 LEDGER_KEYS = ["instance_id", "database_id", "database_name", "schema_name", "table_name", "index_name"]
 LEDGER_CARRY = ["table_id", "index_id", "fill_factor"]
 LEDGER_COUNTERS = ["read_usage", "update_usage"]
+LEDGER_NEVER = "1980-01-01 00:00:00"   # fixed value: the "no statement yet" date a new ledger row starts with
 
 
 def ledger_capture(usage, indexes, objects, schemas, databases, captured: dt.date) -> DataFrame:
@@ -42,9 +43,52 @@ def ledger_capture(usage, indexes, objects, schemas, databases, captured: dt.dat
                     F.lit(captured).alias("modification_date"))
 
 
+def ledger_bookkeeping() -> dict:
+    """Columns a new ledger row starts with: no statement run yet."""
+    return {"last_sentence": F.lit(""),
+            "last_sentence_date": F.lit(LEDGER_NEVER).cast("timestamp_ntz"),
+            "sentence_counter": F.lit(0).cast("long")}
+
+
 def index_usage_ledger(ledger: DataFrame | None, capture: DataFrame) -> DataFrame:
     """The ledger after one more capture (``ledger=None`` seeds it)."""
-    return upsert_ledger(ledger, capture, LEDGER_KEYS, LEDGER_COUNTERS, LEDGER_CARRY)
+    return upsert_ledger(ledger, capture, LEDGER_KEYS, LEDGER_COUNTERS, LEDGER_CARRY, keep=ledger_bookkeeping())
+
+
+def acknowledge_maintenance(ledger: DataFrame, executed: DataFrame) -> DataFrame:
+    """Record statements that were run: for each executed index
+    (``executed``: ledger keys plus ``sentence`` and ``end_date``) the
+    accumulated usage restarts from 0, the run count goes up and the last
+    statement and its time are kept.  Other rows are unchanged.  One left
+    join on the index key (executed rows are unique per index)."""
+    e = executed.select(*LEDGER_KEYS, F.col("sentence").alias("_sentence"), F.col("end_date").alias("_at"),
+                        F.lit(True).alias("_ran"))
+    j = ledger.join(e, LEDGER_KEYS, "left")
+    ran = F.col("_ran").isNotNull()
+    updates = {
+        "accumulated_read_usage": F.when(ran, F.lit(0).cast("long")).otherwise(F.col("accumulated_read_usage")),
+        "accumulated_update_usage": F.when(ran, F.lit(0).cast("long")).otherwise(F.col("accumulated_update_usage")),
+        "sentence_counter": F.when(ran, F.col("sentence_counter") + 1).otherwise(F.col("sentence_counter")),
+        "last_sentence": F.when(ran, F.col("_sentence")).otherwise(F.col("last_sentence")),
+        "last_sentence_date": F.when(ran, F.col("_at")).otherwise(F.col("last_sentence_date")),
+    }
+    return j.select(*[updates.get(c, F.col(c)).alias(c) for c in ledger.columns])
+
+
+def record_maintenance_runs(plan: DataFrame, executed: DataFrame) -> DataFrame:
+    """Start, end and duration (whole seconds crossed, as DATEDIFF(s) counts)
+    of each executed statement of a plan; statistics rows (no index) match
+    on a NULL index name."""
+    keys = ["instance_id", "database_name", "schema_name", "table_name"]
+    e = executed.select(*[F.col(k).alias(f"_e_{k}") for k in keys + ["index_name"]], "start_date", "end_date")
+    cond = None
+    for k in keys + ["index_name"]:
+        c = F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+        cond = c if cond is None else cond & c
+    j = plan.join(e, cond, "left")
+    secs = (F.unix_timestamp(F.date_trunc("second", F.col("end_date")).cast("timestamp"))
+            - F.unix_timestamp(F.date_trunc("second", F.col("start_date")).cast("timestamp")))
+    return j.select(*plan.columns, "start_date", "end_date", secs.cast("int").alias("duration"))
 
 
 def index_maintenance_plan(ledger, physical, indexes, reorganize: float = 5, rebuild: float = 30,

@@ -34,7 +34,7 @@ def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> Da
 
 
 def start_ledger_stream(spark: SparkSession, source: str, ledger_path: str, checkpoint: str,
-                        keys, counters, carry) -> StreamingQuery:
+                        keys, counters, carry, keep: dict | None = None) -> StreamingQuery:
     stream = spark.readStream.schema(CAPTURE_SCHEMA).parquet(source)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -45,7 +45,7 @@ def start_ledger_stream(spark: SparkSession, source: str, ledger_path: str, chec
         days = sorted(r[0] for r in batch.select("modification_date").distinct().collect())
         for day in days:
             ledger = upsert_ledger(ledger, batch.filter(F.col("modification_date") == F.lit(day)),
-                                   keys, counters, carry)
+                                   keys, counters, carry, keep=keep)
         if ledger is not None:
             ledger.write.mode("overwrite").parquet(f"{ledger_path}/v={batch_id:010d}")
 

@@ -133,3 +133,25 @@ def test_database_never_restored_keeps_a_row(spark):
                               "instance_id string, restore_history_id long, destination_database_name string, restore_date timestamp_ntz, restore_type string")
     got = {x.database_name: x.restore_history_id for x in inv.latest_restore(dbs, r).collect()}
     assert got == {"a": 2, "b": None}
+
+
+def test_acknowledged_statements_reset_the_accumulators(spark):
+    cap = spark.createDataFrame([("s", 1, "db", "dbo", "t", "ix1", 1, 1, 90, 10, 20, dt.date(2024, 1, 1)),
+                                 ("s", 1, "db", "dbo", "t", "ix2", 1, 2, 90, 5, 6, dt.date(2024, 1, 1))],
+                                "instance_id string, database_id int, database_name string, schema_name string, "
+                                "table_name string, index_name string, table_id int, index_id int, fill_factor int, "
+                                "read_usage long, update_usage long, modification_date date")
+    ledger = mt.index_usage_ledger(None, cap)
+    ran = spark.createDataFrame([("s", 1, "db", "dbo", "t", "ix1", "ALTER INDEX [ix1] ON [db].[dbo].[t] REORGANIZE;",
+                                  dt.datetime(2024, 1, 1, 3, 0, 0), dt.datetime(2024, 1, 1, 3, 0, 2, 500000))],
+                                "instance_id string, database_id int, database_name string, schema_name string, "
+                                "table_name string, index_name string, sentence string, start_date timestamp_ntz, "
+                                "end_date timestamp_ntz")
+    rows = {r.index_name: r for r in mt.acknowledge_maintenance(ledger, ran).collect()}
+    assert (rows["ix1"].accumulated_update_usage, rows["ix1"].sentence_counter) == (0, 1)
+    assert rows["ix1"].last_sentence.endswith("REORGANIZE;")
+    assert (rows["ix2"].accumulated_update_usage, rows["ix2"].sentence_counter, rows["ix2"].last_sentence) == (6, 0, "")
+    plan = spark.createDataFrame([("s", "db", "dbo", "t", "ix1"), ("s", "db", "dbo", "t", None)],
+                                 "instance_id string, database_name string, schema_name string, table_name string, index_name string")
+    runs = {r.index_name: r.duration for r in mt.record_maintenance_runs(plan, ran.drop("database_id", "sentence")).collect()}
+    assert runs == {"ix1": 2, None: None}
