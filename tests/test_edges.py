@@ -155,3 +155,25 @@ def test_acknowledged_statements_reset_the_accumulators(spark):
                                  "instance_id string, database_name string, schema_name string, table_name string, index_name string")
     runs = {r.index_name: r.duration for r in mt.record_maintenance_runs(plan, ran.drop("database_id", "sentence")).collect()}
     assert runs == {"ix1": 2, None: None}
+
+
+def test_column_type_conflicts_with_nulls_match_the_pairwise_rule(spark):
+    rows = [("s", "dbo", "t1", "id", "int", None, 10, 0),
+            ("s", "dbo", "t2", "id", "bigint", None, 19, 0),      # type differs: both id rows conflict
+            ("s", "dbo", "t1", "name", "varchar", 50, None, None),
+            ("s", "dbo", "t2", "name", "varchar", None, None, None),  # NULL length never differs
+            ("s", "dbo", "t3", "code", "char", 3, None, None),
+            ("s", "dbo", "t4", "code", "char", 5, None, None)]        # length differs
+    cols = ("instance_id string, table_schema string, table_name string, column_name string, data_type string, "
+            "character_maximum_length int, numeric_precision int, numeric_scale int")
+    df = spark.createDataFrame(rows, cols)
+    got = {(r.table_name, r.column_name) for r in inv.column_type_conflicts(df).collect()}
+    # brute force: the source's self join
+    exp = set()
+    for a in rows:
+        for b in rows:
+            if a[3] == b[3] and any(x is not None and y is not None and x != y for x, y in zip(a[4:], b[4:])):
+                exp.add((a[2], a[3]))
+    assert got == exp == {("t1", "id"), ("t2", "id"), ("t3", "code"), ("t4", "code")}
+    pct = {r.column_name: r.pct for r in inv.column_type_conflicts(df).collect()}
+    assert pct["id"] == Decimal("66.00")     # 2 rows * 100 / 3 names, integer division
