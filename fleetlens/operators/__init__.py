@@ -2,7 +2,7 @@
 
 from .topn import top_n
 from .scope import database_scope, latest_capture, multi_filter
-from .joins import blocking_pairs, resolve_handle, unused_keys, with_index_names
+from .joins import blocking_pairs, resolve_handle, resolve_plan, resolve_text, unused_keys, with_index_names
 from .shares import conditional_split, pareto_cutoff, share_of_total
 from .deltas import capture_range_delta, consecutive_delta, snapshot_delta
 from .dedup import distinct_pairs, latest_per_key
@@ -11,7 +11,7 @@ from .overlap import prefix_overlap
 from .ledger import upsert_ledger
 
 __all__ = [
-    "top_n", "database_scope", "latest_capture", "multi_filter", "blocking_pairs", "resolve_handle",
+    "resolve_plan", "resolve_text", "top_n", "database_scope", "latest_capture", "multi_filter", "blocking_pairs", "resolve_handle",
     "unused_keys", "with_index_names", "conditional_split", "pareto_cutoff",
     "share_of_total", "capture_range_delta", "consecutive_delta", "snapshot_delta", "distinct_pairs",
     "latest_per_key", "ordered_string_agg", "distinct_string_agg", "prefix_overlap",

@@ -51,6 +51,20 @@ def resolve_handle(df: DataFrame, lookup: DataFrame, on: Sequence[str],
     return df.join(lookup, list(on), how)
 
 
+def resolve_text(df: DataFrame, sql_texts: DataFrame, handle: str = "sql_handle", how: str = "inner",
+                 alias: str = "text") -> DataFrame:
+    """Batch text of each row's handle: ``CROSS APPLY sql_text(handle)``
+    (``how='inner'``) or ``OUTER APPLY`` (``'left'``) (G04)."""
+    t = sql_texts.select("instance_id", F.col("sql_handle").alias(handle), F.col("text").alias(alias))
+    return resolve_handle(df, t, ["instance_id", handle], how)
+
+
+def resolve_plan(df: DataFrame, plans: DataFrame, how: str = "inner") -> DataFrame:
+    """Plan XML of each row's plan handle: ``CROSS / OUTER APPLY query_plan(plan_handle)``."""
+    return resolve_handle(df, plans.select("instance_id", "plan_handle", "query_plan"),
+                          ["instance_id", "plan_handle"], how)
+
+
 def unused_keys(inventory: DataFrame, usage: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inventory rows with no usage row: ``LEFT JOIN ... IS NULL`` as a left anti join."""
     return inventory.join(usage.select(*on), list(on), "left_anti")

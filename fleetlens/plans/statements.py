@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import exact_ratio, int_div, statement_slice
 from ..functions.numeric import rounded_key
 from ..functions.text import contains_ci
-from ..operators import database_scope, top_n
+from ..operators import database_scope, resolve_plan, resolve_text, top_n
 
 QS_KEY = ["instance_id", "plan_handle", "sql_handle", "statement_start_offset", "statement_end_offset"]
 
@@ -40,10 +40,8 @@ def _scoped(qs: DataFrame, plans: DataFrame, texts: DataFrame, database_id: int
 
 def _decorate(top: DataFrame, plans: DataFrame, texts: DataFrame, databases: DataFrame) -> DataFrame:
     """Attach batch text, plan XML and database name to the ranked rows."""
-    t = texts.select("instance_id", "sql_handle", F.col("text").alias("parent_query"))
-    p = plans.select("instance_id", "plan_handle", "query_plan")
     d = databases.select("instance_id", F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
-    out = top.join(t, ["instance_id", "sql_handle"]).join(p, ["instance_id", "plan_handle"])
+    out = resolve_plan(resolve_text(top, texts, alias="parent_query"), plans)
     out = out.join(d, ["instance_id", "dbid"], "left")
     return out.withColumn("sql_text", statement_slice("parent_query", "statement_start_offset",
                                                       "statement_end_offset"))
