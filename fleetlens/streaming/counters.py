@@ -60,3 +60,17 @@ def read_counter_windows(spark: SparkSession, out: str) -> DataFrame:
     df = spark.read.parquet(out)
     keys = COUNTER_KEYS + ["window_start"]
     return latest_per_key(df, keys, ["batch_id"], [c for c in OUT_COLS if c not in keys]).select(*OUT_COLS)
+
+
+def compact_counter_windows(spark: SparkSession, out: str, into: str, before_batch: int | None = None) -> None:
+    """Write the newest row of every window emitted so far (or by batches
+    before ``before_batch``) as one compacted folder, so readers of a
+    long-running stream scan the compacted result plus the newer batches
+    instead of every batch ever written.  The source folders are left as
+    they are; the caller points readers at the compacted copy."""
+    df = spark.read.parquet(out)
+    if before_batch is not None:
+        df = df.filter(F.col("batch_id") < before_batch)
+    keys = COUNTER_KEYS + ["window_start"]
+    latest = latest_per_key(df, keys, ["batch_id"], [c for c in OUT_COLS if c not in keys])
+    latest.write.mode("overwrite").parquet(into)

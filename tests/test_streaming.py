@@ -56,3 +56,16 @@ def test_counter_stream_equals_batch_windows(spark):
     got = sorted(map(tuple, stc.read_counter_windows(spark, f"{base}/out").collect()), key=str)
     exp = sorted(map(tuple, stc.counter_windows(df, watermark=None).collect()), key=str)
     assert got == exp
+
+
+def test_compacted_windows_equal_the_read_of_all_batches(spark):
+    base = tempfile.mkdtemp(prefix="fleetlens-test-")
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("s", "o", "c", "x", t0 + dt.timedelta(seconds=41 * i), i) for i in range(40)]
+    df = spark.createDataFrame(rows, stc.SAMPLE_SCHEMA)
+    df.write.parquet(f"{base}/src")
+    stc.start_counter_stream(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt").awaitTermination()
+    stc.compact_counter_windows(spark, f"{base}/out", f"{base}/compact")
+    got = sorted(map(tuple, spark.read.parquet(f"{base}/compact").select(*stc.OUT_COLS).collect()), key=str)
+    exp = sorted(map(tuple, stc.read_counter_windows(spark, f"{base}/out").collect()), key=str)
+    assert got == exp and got
