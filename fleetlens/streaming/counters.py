@@ -55,10 +55,18 @@ def start_counter_stream(spark: SparkSession, source: str, out: str, checkpoint:
     return w.start()
 
 
-def read_counter_windows(spark: SparkSession, out: str) -> DataFrame:
-    """Current result: the newest emitted row of every (counter, window)."""
-    df = spark.read.parquet(out)
+def read_counter_windows(spark: SparkSession, out: str, compacted: str | None = None,
+                         compacted_before: int | None = None) -> DataFrame:
+    """Current result: the newest emitted row of every (counter, window).
+
+    With a ``compacted`` copy made from the batches before
+    ``compacted_before``, only the newer batches are read besides it."""
     keys = COUNTER_KEYS + ["window_start"]
+    df = spark.read.parquet(out)
+    if compacted is not None:
+        newer = df.filter(F.col("batch_id") >= compacted_before)
+        old = spark.read.parquet(compacted).select(*OUT_COLS).withColumn("batch_id", F.lit(-1))
+        df = old.unionByName(newer.select(*OUT_COLS, "batch_id"))
     return latest_per_key(df, keys, ["batch_id"], [c for c in OUT_COLS if c not in keys]).select(*OUT_COLS)
 
 

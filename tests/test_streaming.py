@@ -69,3 +69,5 @@ def test_compacted_windows_equal_the_read_of_all_batches(spark):
     got = sorted(map(tuple, spark.read.parquet(f"{base}/compact").select(*stc.OUT_COLS).collect()), key=str)
     exp = sorted(map(tuple, stc.read_counter_windows(spark, f"{base}/out").collect()), key=str)
     assert got == exp and got
+    both = sorted(map(tuple, stc.read_counter_windows(spark, f"{base}/out", f"{base}/compact", 10**9).collect()), key=str)
+    assert both == exp
