@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     run = sub.add_parser("run", help="run one registered report")
     run.add_argument("name")
     run.add_argument("--sf-dir", default="/root/testdata/sf0.01")
+    run.add_argument("--landed", help="root folder of landed telemetry (one folder per table) instead of --sf-dir")
     run.add_argument("--show", type=int, default=20)
     run.add_argument("--out", help="write the result as parquet here instead of showing it")
     run.add_argument("--explain", action="store_true", help="print the formatted physical plan")
@@ -32,9 +33,10 @@ def main(argv: list[str] | None = None) -> int:
         print(f"unknown report {args.name!r}; see 'python -m fleetlens list'", file=sys.stderr)
         return 2
     from .session import get_session
-    from .sources.telemetry import Telemetry
+    from .sources.telemetry import LandedTelemetry, Telemetry
     spark = get_session()
-    df = reg[args.name].build(Telemetry(spark, args.sf_dir))
+    source = LandedTelemetry(spark, args.landed) if args.landed else Telemetry(spark, args.sf_dir)
+    df = reg[args.name].build(source)
     if args.explain:
         df.explain("formatted")
     if args.out:

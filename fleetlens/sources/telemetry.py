@@ -82,3 +82,34 @@ def write_landed(df: DataFrame, path: str, mode: str = "append", max_records_per
        .sortWithinPartitions("capture_date", "instance_id")
        .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
        .partitionBy("capture_date").parquet(path))
+
+
+class LandedTelemetry:
+    """The same table-by-name interface over landed parquet: ``root/<name>``.
+
+    Every registered report can then run on a fleet's landed captures
+    instead of the stand-in tables (``python -m fleetlens run <name>
+    --landed ROOT``).  Tables partitioned by ``capture_date`` are pruned to
+    the given capture range; known tables are schema-checked at load."""
+
+    def __init__(self, spark: SparkSession, root: str, captured_from=None, captured_to=None):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.captured_from, self.captured_to = captured_from, captured_to
+        self._cache: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.table(name)
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._cache:
+            from .schemas import TELEMETRY_SCHEMAS
+            path = f"{self.root}/{name}"
+            df = self.spark.read.parquet(path)
+            if "captured_at" in df.columns and (self.captured_from or self.captured_to):
+                df = read_landed(self.spark, path, captured_from=self.captured_from, captured_to=self.captured_to)
+            if name in TELEMETRY_SCHEMAS:
+                from .schemas import check_schema
+                check_schema(df, name)
+            self._cache[name] = df.drop("capture_date") if "capture_date" in df.columns else df
+        return self._cache[name]
