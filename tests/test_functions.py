@@ -78,3 +78,26 @@ def test_exact_ratio_matches_python_decimal(spark):
     got = [r[0] for r in df.select(exact_ratio("n", "d", scale=3, factor=100)).collect()]
     exp = [(Decimal(n) * 100 / Decimal(d)).quantize(Decimal("0.001"), rounding=ROUND_HALF_UP) for n, d in rows]
     assert got == exp
+
+
+def test_safe_ratio_quote_name_rewrite_and_render(spark):
+    from fleetlens.functions import quote_name, render_statement, rewrite_text, safe_ratio
+    df = spark.createDataFrame([(6, 3, "a]b", "CREATE VIEW [RPS2017].v"), (1, 0, None, "x")],
+                               "n long, d long, name string, src string")
+    r = df.select(safe_ratio("n", "d").alias("q"), safe_ratio("n", "d", default=0).alias("q0"),
+                  quote_name("name").alias("qn"),
+                  rewrite_text("src", [("[RPS2017].", ""), ("CREATE VIEW", "ALTER VIEW")]).alias("rw"),
+                  render_statement("X ", F.col("name"), ";").alias("st"),
+                  render_statement("X ", F.col("name"), ";", skip_null=True).alias("st2")).collect()
+    assert (r[0].q, r[0].q0, r[0].qn, r[0].rw, r[0].st) == (2.0, 2.0, "[a]]b]", "ALTER VIEW v", "X a]b;")
+    assert (r[1].q, r[1].q0, r[1].qn, r[1].st, r[1].st2) == (None, 0, None, None, "X ;")
+
+
+def test_multi_filter_and_distinct_string_agg(spark):
+    from fleetlens.operators import distinct_string_agg, multi_filter
+    df = spark.createDataFrame([("srv1", "Sales"), ("srv1", "sales"), ("srv2", "Orders"), ("srv1", "Bills")],
+                               "server string, t string")
+    assert {r.t for r in multi_filter(df, {"server": "SRV1", "t": "LES"}).collect()} == {"Sales", "sales"}
+    assert multi_filter(df, {"server": None}).count() == 4
+    got = {r.server: r.t_list for r in distinct_string_agg(df, ["server"], "t").collect()}
+    assert got == {"srv1": "Bills, Sales, sales", "srv2": "Orders"}
