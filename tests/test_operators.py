@@ -138,3 +138,20 @@ def test_latest_capture_per_instance(spark):
                                "instance_id string, captured_at timestamp_ntz, v long")
     assert sorted(r.v for r in latest_capture(df).collect()) == [2, 4, 5]
     assert sorted(r.v for r in latest_capture(df, at="2024-01-02 00:00:00").collect()) == [2, 3]
+
+
+def test_share_of_total_without_a_key_is_an_equi_join(spark):
+    from fleetlens.operators import share_of_total
+    df = spark.createDataFrame([("a", 1), ("b", 3)], "k string, v long")
+    out = share_of_total(df, "v", per=())
+    assert sorted((r.k, r._total) for r in out.collect()) == [("a", 4), ("b", 4)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_blocking_pairs_stay_inside_an_instance(spark):
+    from fleetlens.operators import blocking_pairs
+    blocked = spark.createDataFrame([("s1", 10, 5), ("s2", 11, 5)], "instance_id string, session_id int, blocking_session_id int")
+    blockers = spark.createDataFrame([("s1", 5, "h1"), ("s3", 5, "h3")], "instance_id string, session_id int, handle string")
+    pairs = blocking_pairs(blocked.withColumnRenamed("session_id", "blocked_session_id"), blockers, keys=["instance_id"])
+    assert [(r.instance_id, r.blocked_session_id, r.handle) for r in pairs.collect()] == [("s1", 10, "h1")]
