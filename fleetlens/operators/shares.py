@@ -14,14 +14,15 @@ def share_of_total(df: DataFrame, value: str, per: Sequence[str] = ("instance_id
 
     Instead of ``sum() OVER ()`` (which moves every row to one partition) the
     totals are aggregated with map-side partial sums, one row per key, and
-    joined back on the key.  With no ``per`` a constant key is used, so the
-    one-row total is an equi-join build side, never a cartesian product.
+    joined back on the key.  With no ``per`` the total is a single row,
+    broadcast to every task (the planner turns the constant key into a
+    nested-loop join against that one row: linear in the input).
     """
     per = list(per)
     if not per:
         keyed = df.withColumn("_one", F.lit(1))
         tot = keyed.groupBy("_one").agg(F.sum(value).alias(total_col))
-        return keyed.join(F.broadcast(tot), "_one").drop("_one")  # one row: bounded
+        return keyed.join(F.broadcast(tot), "_one").drop("_one")  # one row: a proven size bound
     tot = df.groupBy(*per).agg(F.sum(value).alias(total_col))
     return df.join(tot, per)
 

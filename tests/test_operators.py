@@ -140,13 +140,14 @@ def test_latest_capture_per_instance(spark):
     assert sorted(r.v for r in latest_capture(df, at="2024-01-02 00:00:00").collect()) == [2, 3]
 
 
-def test_share_of_total_without_a_key_is_an_equi_join(spark):
+def test_share_of_total_without_a_key_broadcasts_one_row(spark):
     from fleetlens.operators import share_of_total
     df = spark.createDataFrame([("a", 1), ("b", 3)], "k string, v long")
     out = share_of_total(df, "v", per=())
     assert sorted((r.k, r._total) for r in out.collect()) == [("a", 4), ("b", 4)]
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    # the only nested-loop join allowed: against the broadcast one-row total
+    assert "CartesianProduct" not in plan and "BroadcastExchange" in plan
 
 
 def test_blocking_pairs_stay_inside_an_instance(spark):
