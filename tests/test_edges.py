@@ -50,14 +50,15 @@ def test_database_scope_keeps_adhoc_rows(spark):
 
 def test_top_n_ties_break_on_the_key(spark):
     t = dt.datetime(2024, 1, 2)
-    qs = _qs(spark, [("s", f"h{i}", f"p{i}", 0, -1, 5, 100, 200, 0, 0, 0, t) for i in range(5)])
-    texts = spark.createDataFrame([("s", f"h{i}", "x") for i in range(5)], "instance_id string, sql_handle string, text string")
+    qs = _qs(spark, [("s", f"h{i}", f"p{i}", 0, -1, 5, 100, 200, 0, 0, 0, t) for i in (3, 0, 4, 1, 2)])
+    texts = spark.createDataFrame([("s", f"h{i}", f"text {i}") for i in range(5)],
+                                  "instance_id string, sql_handle string, text string")
     plans = spark.createDataFrame([("s", f"p{i}", None, "<p/>") for i in range(5)],
                                   "instance_id string, plan_handle string, dbid int, query_plan string")
     dbs = spark.createDataFrame([], "instance_id string, database_id int, name string")
-    for _ in range(2):
+    for _ in range(3):   # every execution count ties: the key decides, the same two rows each time
         out = st.most_executed_statements(qs, texts, plans, dbs, n=2).collect()
-        assert len(out) == 2
+        assert sorted(r.parent_query for r in out) == ["text 0", "text 1"]
 
 
 def test_io_shares_and_latency_with_zero_divisors(spark):
