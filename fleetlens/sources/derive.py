@@ -9,9 +9,12 @@ Template syntax: ``{name}`` is a base or derived table; ``TS'...'`` is a
 timestamp-without-time-zone literal.  Doubles are floored to BIGINT on
 purpose, so the two engines compare exactly.
 
-Fleet mapping used throughout: an entity with key ``k`` lives on instance
-``'srv' || k % 4``; customer ``c`` is database ``floor(c / 4)`` of instance
-``'srv' || c % 4``.
+Fleet mapping: an entity with key ``k`` lives on instance ``'srv' || k % 4``
+and customer ``c`` is database ``floor(c / 4)`` of instance ``'srv' || c % 4``,
+so statements, texts, plans, sessions and catalogs of one server link up.
+Server-level views with no such links (waits, counters, temp space, start
+times) put one server per 50 customers or 10 users instead, so the number of
+servers, and with it those views, grows with the data.
 """
 
 from __future__ import annotations
