@@ -51,3 +51,19 @@ def test_reports_run_unchanged_on_landed_telemetry(spark):
         a = sorted(map(tuple, entry.build(t).collect()), key=str)
         b = sorted(map(tuple, entry.build(landed).collect()), key=str)
         assert a == b and a
+
+
+def test_landed_capture_bounds_select_the_capture(spark):
+    """A report over a landed table of two captures, bounded to the later
+    one, equals the report over that capture alone."""
+    from fleetlens.plans import statements as st
+    from fleetlens.sources.telemetry import LandedTelemetry, Telemetry
+    root = tempfile.mkdtemp(prefix="fleetlens-landed-")
+    t = Telemetry(spark, "/root/testdata/sf0.001")
+    write_landed(t["query_stats_captures"], f"{root}/query_stats", mode="overwrite")
+    landed = LandedTelemetry(spark, root, captured_from="2024-02-01 00:00:00", captured_to="2024-02-01 00:00:00")
+    qs = landed["query_stats"]
+    assert qs.select("captured_at").distinct().count() == 1
+    a = st.most_executed_statements(qs, t["sql_texts"], t["query_plans"], t["databases"]).collect()
+    b = st.most_executed_statements(t["query_stats"], t["sql_texts"], t["query_plans"], t["databases"]).collect()
+    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
