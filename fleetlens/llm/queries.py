@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, mixing, pii, quality_knn, quality_rules, simhash
+from fleetlens.llm import bpe, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup
 from fleetlens.llm.common import shared_folder, table, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte covered by a 400-byte string that also starts anywhere else in the documents."""
+    out = suffix_dedup.deduplicated(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole document by its labelled neighbours in a latent semantic space; labels
     of held-out documents (crc32 of the id mod 4 = 2) are never learned from."""
@@ -100,7 +106,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(raw, 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_knn, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL}
