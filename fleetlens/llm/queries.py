@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup
+from fleetlens.llm import bpe, cover_tree, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup
 from fleetlens.llm.common import shared_folder, table, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -38,6 +38,13 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col(name) >= quality_knn.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link all embeddings of a label at a cosine of 0.93 or more and group them."""
+    shared_folder(spark)
+    out = cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every whole document by the base rules and a decision list learned from labelled statistics."""
     docs = _documents(spark, sf_dir)
@@ -106,7 +113,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(raw, 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op5_cover_tree, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL}
