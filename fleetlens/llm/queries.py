@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, chat, cover_tree, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup
+from fleetlens.llm import bpe, chat, cover_tree, html_text, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup
 from fleetlens.llm.common import shared_folder, table, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -38,6 +38,13 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col(name) >= quality_knn.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extract the main text of every whole page."""
+    shared_folder(spark)
+    out, name = html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "html")
+    return out.select("page_id", "url", F.col(name).alias("text"), F.length(name).cast("long").alias("n_chars"))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations, and one of control strings only, into budgeted windows; digests are read back from those."""
     control = "</s>[INST] ok [/INST]"
@@ -123,7 +130,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(raw, 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op4_chat_windows, op5_cover_tree, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op3_html_text, op4_chat_windows, op5_cover_tree, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL}
