@@ -16,19 +16,19 @@ def statement_slice(text, start, end) -> Column:
 
     ``SUBSTRING(text, start/2 + 1, ((CASE WHEN end = -1 THEN LEN(text)*2 ELSE end
     END - start)/2) + 1)``; a NULL end (deadlock frames) also means "to the end".
-    ``LEN`` ignores trailing blanks.  Offsets are halved as in the source; the
-    position counts characters (code points; the server counts UTF-16 units,
-    so texts with characters outside the BMP shift).  A negative length gives
-    ''; a NULL start gives NULL, as in the source.
+    ``LEN`` ignores trailing blanks.  Offsets are bytes of UTF-16 text, two per
+    unit, so the text is cut as UTF-16: a character outside the BMP takes two
+    units.  A negative length gives ''; a NULL start gives NULL, as in the source.
     """
     t, s, e = col_of(text), col_of(start).cast("long"), col_of(end).cast("long")
-    stop = F.when(e.isNull() | (e == -1), F.length(F.rtrim(t)).cast("long") * 2).otherwise(e)
+    units = F.encode(t, "UTF-16LE")
+    stop = F.when(e.isNull() | (e == -1), F.octet_length(F.encode(F.rtrim(t), "UTF-16LE")).cast("long")).otherwise(e)
     diff = stop - s
     # (diff / 2) truncated toward zero, as T-SQL integer division does
     half = F.when(diff >= 0, F.floor(diff / 2)).otherwise(-F.floor(-diff / 2)).cast("long")
     length = F.greatest(half + 1, F.lit(0).cast("long"))
-    pos = (F.floor(s / 2) + 1).cast("long")
-    return t.substr(pos.cast("int"), length.cast("int"))
+    pos = F.floor(s / 2) * 2 + 1
+    return F.decode(F.substr(units, pos.cast("int"), (length * 2).cast("int")), "UTF-16LE")
 
 
 def contains_ci(col, needle: str) -> Column:

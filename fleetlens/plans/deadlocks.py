@@ -13,7 +13,10 @@ from ..functions import statement_slice
 from ..functions.xml import parse_xml, xml_rows
 from .constants import DEADLOCK_EVENT_NAME, VICTIM_SEPARATOR, XE_SESSION, XE_TARGET
 
-DEADLOCK_EVENT = rf'<event name="{DEADLOCK_EVENT_NAME}"[\s\S]*?</event>'
+# one event element: its tag with attributes in any order and quoting, then text, CDATA sections, comments and other
+# markup up to its end tag; possessive, so that a long buffer is read once
+EVENT = (r"""<event(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:(?<=/)>|(?<!/)>"""
+         r"""(?:[^<]++|<!\[CDATA\[[\s\S]*?\]\]>|<!--[\s\S]*?-->|<(?!/event\s*>))*+</event\s*>)""")
 VICTIM_SEP = VICTIM_SEPARATOR
 
 EVENT_SCHEMA = (
@@ -27,14 +30,25 @@ def _health_targets(targets: DataFrame) -> DataFrame:
     return targets.filter((F.col("session_name") == XE_SESSION) & (F.col("target_name") == XE_TARGET))
 
 
+def event_time(text) -> F.Column:
+    """Wall-clock UTC time of an event's ``timestamp``: with or without fractions, ``Z`` or an
+    offset; NULL when it can't be read."""
+    parts = r"^(.*?)(?:Z|([+-])(\d\d):?(\d\d))?$"
+    base = F.replace(F.regexp_extract(text, parts, 1), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+    sign = F.when(F.regexp_extract(text, parts, 2) == "-", -1).otherwise(1)
+    hours, minutes = (F.coalesce(F.nullif(F.regexp_extract(text, parts, k), F.lit("")).try_cast("int"), F.lit(0)) for k in (3, 4))
+    return base - F.make_dt_interval(hours=sign * hours, mins=sign * minutes)
+
+
 def deadlock_events(targets: DataFrame) -> DataFrame:
-    """One row per deadlock report: its time and its event XML."""
-    ev = _health_targets(targets).select(
-        "instance_id", F.explode(F.regexp_extract_all("target_data", F.lit(DEADLOCK_EVENT), F.lit(0))).alias("ev"))
-    ts = F.regexp_extract("ev", r'timestamp="([^"]*)"', 1)
-    return ev.select("instance_id",
-                     F.to_timestamp_ntz(ts, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("creation_date"),
-                     F.col("ev").alias("extend_event"))
+    """One row per deadlock report: its time and its event XML.
+
+    Events are cut out of the buffer whatever the order of their attributes or the text inside them; name
+    and time are read from the parsed event."""
+    ev = _health_targets(targets).select("instance_id", F.explode(F.regexp_extract_all("target_data", F.lit(EVENT), F.lit(0))).alias("ev"))
+    ev = ev.withColumn("_e", parse_xml(F.col("ev"), "_name STRING, _timestamp STRING"))
+    return ev.filter(F.col("_e._name") == DEADLOCK_EVENT_NAME).select(
+        "instance_id", event_time(F.col("_e._timestamp")).alias("creation_date"), F.col("ev").alias("extend_event"))
 
 
 def deadlock_processes(targets: DataFrame, texts: DataFrame) -> DataFrame:

@@ -188,33 +188,27 @@ def statistics_staleness(row_counts, objects, schemas, min_rows: int = 500) -> D
 USAGE_COUNTERS = ["user_updates", "user_seeks", "user_scans", "user_lookups"]
 
 
-def index_usage_between(pre_usage, post_usage, indexes, objects, schemas, row_counts) -> DataFrame:
+def index_usage_between(pre_usage, post_usage, indexes, objects, schemas, pre_rows, post_rows) -> DataFrame:
     """Usage, row and modification deltas of indexes touched between two
     captures (any of the four usage counters changed).
 
-    Each capture is usage joined to its named index, its row counts and its
-    user table; captures pair on the index key (the source pairs on schema,
-    table, index name and type, which name the same index)."""
-    rc = row_counts.select(*IDX, "rowcnt", "rowmodctr")
+    Each capture has its own usage and row counts; an index that was not in the first
+    counts usage from 0 and has no row delta.  Captures pair on the index key (the source
+    pairs on schema, table, index name and type, which name the same index), and
+    the names are joined once, to the changed rows."""
+    def capture(u: DataFrame, rows: DataFrame, prefix: str = "") -> DataFrame:
+        c = u.select(*IDX, *USAGE_COUNTERS).join(rows.select(*IDX, "rowcnt", "rowmodctr"), IDX)
+        return c.select(*IDX, *[F.col(x).alias(prefix + x) for x in USAGE_COUNTERS + ["rowcnt", "rowmodctr"]])
 
-    def capture(u: DataFrame) -> DataFrame:
-        c = _names(u.select(*IDX, *USAGE_COUNTERS), indexes, objects, schemas,
-                   index_cols=[F.col("type_desc").alias("index_type"), "fill_factor"])
-        return c.join(rc, IDX)
-
-    post, pre = capture(post_usage), capture(pre_usage)
-    p = pre.select(*[F.col(k).alias(f"_p_{k}") for k in IDX],
-                   *[F.col(c).alias(f"_p_{c}") for c in USAGE_COUNTERS + ["rowcnt", "rowmodctr"]])
-    j = post.join(p, [post[k] == p[f"_p_{k}"] for k in IDX], "left")
+    j = capture(post_usage, post_rows).join(capture(pre_usage, pre_rows, "_p_"), IDX, "left")
     d = {c: F.col(c) - F.coalesce(F.col(f"_p_{c}"), F.lit(0)) for c in USAGE_COUNTERS}
     changed = d["user_updates"] != 0
     for c in USAGE_COUNTERS[1:]:
         changed = changed | (d[c] != 0)
-    return j.filter(changed).select(
-        *DB, "schema_name", "table_name", "index_name", "index_type",
-        *[d[c].alias(c) for c in USAGE_COUNTERS],
-        (F.col("rowcnt") - F.col("_p_rowcnt")).alias("rows_inserted"),
-        (F.col("rowmodctr") - F.col("_p_rowmodctr")).alias("updates_iud"), "fill_factor")
+    j = j.filter(changed).select(*IDX, *[d[c].alias(c) for c in USAGE_COUNTERS], (F.col("rowcnt") - F.col("_p_rowcnt")).alias("rows_inserted"),
+                                 (F.col("rowmodctr") - F.col("_p_rowmodctr")).alias("updates_iud"))
+    j = _names(j, indexes, objects, schemas, index_cols=[F.col("type_desc").alias("index_type"), "fill_factor"])
+    return j.select(*DB, "schema_name", "table_name", "index_name", "index_type", *USAGE_COUNTERS, "rows_inserted", "updates_iud", "fill_factor")
 
 
 ROW_ACTIVITY = ["leaf_delete_count", "leaf_ghost_count", "leaf_insert_count", "leaf_update_count",

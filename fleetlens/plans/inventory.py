@@ -13,34 +13,39 @@ from .constants import DB_COUNTER_OBJECT_PATTERN, DB_SIZE_COUNTERS, MODULE_REWRI
 
 
 # ---------------------------------------------------------------- modules and columns
+DB = ["instance_id", "database_id"]   # catalog ids are unique inside one database only
+
+
 def table_references(depends: DataFrame, sysobjects: DataFrame, proc: str = "") -> DataFrame:
-    """Distinct (procedure, table) dependencies of procedures whose name contains ``proc``."""
-    o = sysobjects.filter(F.col("xtype") == "P").select("instance_id", "id", F.col("name").alias("proc_name"))
-    oo = sysobjects.select("instance_id", F.col("id").alias("depid"), F.col("name").alias("table_name"))
-    j = depends.join(o, ["instance_id", "id"]).join(oo, ["instance_id", "depid"])
+    """Distinct (procedure, table) dependencies of procedures whose name contains ``proc``.
+
+    The pairs of ids are reduced before any name is joined."""
+    o = sysobjects.filter(F.col("xtype") == "P").select(*DB, "id", F.col("name").alias("proc_name"))
     if proc:
-        j = j.filter(contains_ci("proc_name", proc))
-    return distinct_pairs(j, ["instance_id", "proc_name", "table_name"])
+        o = o.filter(contains_ci("proc_name", proc))
+    oo = sysobjects.select(*DB, F.col("id").alias("depid"), F.col("name").alias("table_name"))
+    pairs = distinct_pairs(depends, [*DB, "id", "depid"])
+    j = pairs.join(o, [*DB, "id"]).join(oo, [*DB, "depid"])
+    return distinct_pairs(j, [*DB, "proc_name", "table_name"])
 
 
 def modules_mentioning(module_objects: DataFrame, sql_modules: DataFrame, name: str) -> DataFrame:
-    """Distinct modules whose source text contains ``name``."""
+    """Modules whose source text contains ``name``, one row per object (the text is no key)."""
+    o = module_objects.select(*DB, "object_id", "name", F.col("type").alias("xtype")).dropDuplicates([*DB, "object_id"])
     m = sql_modules.filter(contains_ci("definition", name))
-    j = m.join(module_objects, ["instance_id", "object_id"])
-    return j.select("instance_id", "name", F.col("type").alias("xtype"), F.col("definition").alias("text")).distinct()
+    return m.join(o, [*DB, "object_id"]).select(*DB, "name", "xtype", F.col("definition").alias("text"))
 
 
 def unused_procedures(procedures: DataFrame, procedure_stats: DataFrame) -> DataFrame:
-    """Procedures with no execution statistics (left anti join)."""
-    return unused_keys(procedures, procedure_stats, ["instance_id", "object_id"]).select(
-        "instance_id", "name", "type_desc")
+    """Procedures with no execution statistics in their database (left anti join)."""
+    return unused_keys(procedures, procedure_stats, [*DB, "object_id"]).select(*DB, "name", "type_desc")
 
 
 def column_type_conflicts(columns: DataFrame) -> DataFrame:
     """Columns whose name appears elsewhere with a different type,
     length, precision or scale, with the name's prevalence %.
 
-    No self join: per (instance, name) the smallest and largest non-NULL
+    No self join: per (database, name) the smallest and largest non-NULL
     value of each attribute are taken (plain partial aggregates, no
     distinct-count expansion); a row conflicts when, for some attribute, its
     own value is not NULL and the name has two different non-NULL values,
@@ -49,19 +54,19 @@ def column_type_conflicts(columns: DataFrame) -> DataFrame:
     the source's ``COUNT(name) * 100 / COUNT(*) OVER ()`` after grouping by
     name, i.e. divided by the number of distinct names, integer division."""
     attrs = ["data_type", "character_maximum_length", "numeric_precision", "numeric_scale"]
-    key = ["instance_id", "column_name"]
+    key = [*DB, "column_name"]
     per_name = columns.groupBy(*key).agg(F.count("column_name").alias("_n"),
                                          *[x for a in attrs for x in (F.min(a).alias(f"_lo_{a}"),
                                                                       F.max(a).alias(f"_hi_{a}"))])
-    names = per_name.groupBy("instance_id").agg(F.count("*").alias("_groups"))
-    per_name = per_name.join(names, "instance_id").withColumn(
+    names = per_name.groupBy(*DB).agg(F.count("*").alias("_groups"))
+    per_name = per_name.join(names, DB).withColumn(
         "pct", int_div(F.col("_n") * 100, "_groups").cast("decimal(12,2)"))
     j = columns.join(per_name, key)
     cond = None
     for a in attrs:
         c = F.col(a).isNotNull() & (F.col(f"_lo_{a}") < F.col(f"_hi_{a}"))
         cond = c if cond is None else cond | c
-    return j.filter(cond).select("instance_id", "column_name", "table_schema", "table_name", *attrs, "pct").distinct()
+    return j.filter(cond).select(*DB, "column_name", "table_schema", "table_name", *attrs, "pct").distinct()
 
 
 
@@ -70,8 +75,8 @@ def rewrite_modules(module_objects: DataFrame, sql_modules: DataFrame, replaceme
     """New source text of views, functions and procedures after ordered
     literal replacements (G23).  Executing the text is not part of the engine."""
     o = module_objects.filter(F.col("type").isin(list(MODULE_TYPES)))
-    j = o.join(sql_modules, ["instance_id", "object_id"])
-    return j.select("instance_id", "name", rewrite_text("definition", replacements).alias("sentence"))
+    j = o.join(sql_modules, [*DB, "object_id"])
+    return j.select(*DB, "name", rewrite_text("definition", replacements).alias("sentence"))
 
 
 # ---------------------------------------------------------------- IO and space
@@ -129,10 +134,9 @@ def table_sizes(objects, indexes, partitions, allocation_units) -> DataFrame:
         "instance_id", "database_id", "object_id", F.col("name").alias("table_name"))
     i = indexes.filter(F.col("object_id") > 255).select("instance_id", "database_id", "object_id", "index_id")
     p = partitions.select("instance_id", "database_id", "object_id", "index_id", "partition_id", "rows")
-    a = allocation_units.select("instance_id", F.col("container_id").alias("partition_id"), "total_pages",
-                                "used_pages")
+    a = allocation_units.select(*DB, F.col("container_id").alias("partition_id"), "total_pages", "used_pages")
     j = t.join(i, ["instance_id", "database_id", "object_id"]).join(
-        p, ["instance_id", "database_id", "object_id", "index_id"]).join(a, ["instance_id", "partition_id"])
+        p, ["instance_id", "database_id", "object_id", "index_id"]).join(a, [*DB, "partition_id"])
     g = j.groupBy("instance_id", "database_id", "table_name", "rows").agg(
         F.sum("total_pages").alias("_tp"), F.sum("used_pages").alias("_up"))
     return g.select("instance_id", "database_id", "table_name", F.col("rows").alias("row_count"),
@@ -222,4 +226,4 @@ def statistics_options(databases: DataFrame) -> DataFrame:
 
 def last_restart(system_info: DataFrame) -> DataFrame:
     """Newest start time per instance (the counter-reset boundary for deltas)."""
-    return system_info.groupBy("instance_id").agg(F.max("sqlserver_start_time").alias("sqlserver_start_time"))
+    return system_info.groupBy("instance_id").agg(F.max("server_start_time").alias("server_start_time"))

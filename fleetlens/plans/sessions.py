@@ -197,7 +197,7 @@ def contended_resources(locks, objects, partitions, databases, connections, text
     other locks, computed from per-resource counts (no pairs are formed, so
     a hot resource with many waiters stays linear).  The resource is compared
     (the source compares a column with itself)."""
-    key = I + ["resource_associated_entity_id", "_desc"]
+    key = I + ["resource_database_id", "resource_type", "resource_associated_entity_id", "_desc"]
     l = locks.withColumn("_desc", F.coalesce(F.col("resource_description"), F.lit("\u0000null")))
     # one partial aggregation per (resource, status); the per-resource total is a
     # window over those few rows (a resource has a handful of statuses)

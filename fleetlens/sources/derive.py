@@ -26,6 +26,7 @@ POST_CAPTURE = "2024-02-01 00:00:00"
 
 
 def _query_stats(cut: str) -> str:
+    where = f"WHERE ts < TS'{cut}'" if cut == PRE_CAPTURE else ""   # the last capture has seen every event
     return f"""
 SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, TS'{cut}' AS captured_at,
   CAST(user_id AS STRING) AS sql_handle, concat(CAST(user_id AS STRING), '-', event_type) AS plan_handle,
@@ -56,10 +57,10 @@ SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, TS'{cut}' AS c
   min(event_id % 50) AS min_rows, max(event_id % 50) AS max_rows,
   CAST(sum(1 + event_id % 4) AS BIGINT) AS total_dop,
   min(ts) AS creation_time, max(ts) AS last_execution_time
-FROM {{events}} WHERE ts < TS'{cut}' GROUP BY user_id, event_type"""
+FROM {{events}} {where} GROUP BY user_id, event_type"""
 
 
-_PLAN_XML = """concat('<ShowPlanXML xmlns="http://schemas.microsoft.com/sqlserver/2004/07/showplan"><BatchSequence><Batch><Statements>',
+_PLAN_XML = """concat('<ShowPlanXML xmlns="urn:example:showplan"><BatchSequence><Batch><Statements>',
   '<StmtSimple StatementText="SELECT * FROM t', CAST(user_id AS STRING), ' WHERE kind = ', event_type, '">',
   '<QueryPlan CachedPlanSize="', CAST(16 + user_id % 48 AS STRING), '" CompileTime="', CAST(count(*) % 11 AS STRING),
   '" CompileCPU="', CAST(count(*) % 7 AS STRING), '" CompileMemory="', CAST(100 + user_id % 300 AS STRING), '">',
@@ -99,13 +100,14 @@ FROM {{orders}} {where} GROUP BY CAST(floor(o_custkey / 50) AS BIGINT), o_orderk
 
 
 def _perf_counters(cut: str) -> str:
+    where = f"WHERE ts < TS'{cut}'" if cut == PRE_CAPTURE else ""
     # one server per ten users; within it each user is one (counter, instance_name) pair per object
     return f"""
 SELECT concat('srv', CAST(CAST(floor(user_id / 10) AS BIGINT) AS STRING)) AS instance_id, TS'{cut}' AS captured_at,
   event_type AS object_name, concat('counter_', CAST(user_id % 3 AS STRING)) AS counter_name,
   CASE WHEN user_id % 20 = 0 THEN NULL ELSE concat('u', CAST(user_id % 20 AS STRING)) END AS instance_name,
   CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS cntr_value, CAST(65792 AS INT) AS cntr_type
-FROM {{events}} WHERE ts < TS'{cut}' GROUP BY user_id, event_type"""
+FROM {{events}} {where} GROUP BY user_id, event_type"""
 
 
 def _missing_indexes(pre: bool) -> str:
@@ -119,6 +121,15 @@ SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(p_partk
 FROM {{part}} {where}"""
 
 
+# module ids repeat from database to database: (instance, database, id) names one module
+_MODULE = ("concat('srv', CAST({k} % 4 AS STRING)) AS instance_id, CAST(1 + CAST(floor({k} / 4) AS BIGINT) % 3 AS INT) AS database_id,"
+           " {off}CAST(floor({k} / 12) AS BIGINT) AS {id}")
+
+
+def _module(k: str, name: str, off: str = "") -> str:
+    return _MODULE.format(k=k, id=name, off=off)
+
+
 _OBJ_KEY = "concat('srv', CAST({k} % 4 AS STRING)) AS instance_id, CAST(1 + {k} % 3 AS INT) AS database_id, CAST({k} AS INT) AS object_id"
 
 
@@ -161,6 +172,17 @@ SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_suppkey % 5 AS INT) AS index_id,
   max(CASE WHEN l_returnflag = 'N' AND l_suppkey % 5 <> 4 THEN l_shipdate END) AS last_user_lookup
 FROM {{lineitem}} {where} GROUP BY l_partkey, l_suppkey % 5"""
 
+
+def _index_row_counts(cut: str | None) -> str:
+    where = f"WHERE l_shipdate < TS'{cut}'" if cut else ""
+    return f"""
+SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_linenumber - 1 AS INT) AS index_id,
+  CASE WHEN l_linenumber = 1 THEN NULL ELSE concat('ix', CAST(l_linenumber - 1 AS STRING)) END AS name,
+  count(*) * 150 AS rowcnt, CAST(sum(CAST(l_quantity AS BIGINT) * l_linenumber) AS BIGINT) AS rowmodctr,
+  max(l_shipdate) AS stats_date
+FROM {{lineitem}} {where} GROUP BY l_partkey, l_linenumber"""
+
+
 VIEWS: dict[str, str] = {
     # ---- statements and cached plans -------------------------------------------------
     "query_stats": _query_stats(POST_CAPTURE),
@@ -170,26 +192,27 @@ VIEWS: dict[str, str] = {
 {_query_stats(PRE_CAPTURE)}
 UNION ALL
 {_query_stats(POST_CAPTURE)}""",
-    # batch texts: each document behind a statement head, so searches for writes find some
+    # batch texts: each document behind a statement head, so searches for writes find some; some with characters beyond the BMP
     "sql_texts": """
 SELECT concat('srv', CAST(doc_id % 4 AS STRING)) AS instance_id, CAST(doc_id AS STRING) AS sql_handle,
   concat(CASE doc_id % 4 WHEN 0 THEN concat('INSERT INTO t', CAST(doc_id % 7 AS STRING), ' ')
     WHEN 1 THEN concat('UPDATE t', CAST(doc_id % 7 AS STRING), ' SET ')
-    WHEN 2 THEN concat('DELETE t', CAST(doc_id % 7 AS STRING), ' WHERE ') ELSE 'SELECT ' END, text) AS text
+    WHEN 2 THEN concat('DELETE t', CAST(doc_id % 7 AS STRING), ' WHERE ') ELSE 'SELECT ' END,
+    CASE WHEN doc_id % 11 = 5 THEN '😀🚀 ' ELSE '' END, text) AS text
 FROM {documents}""",
     "query_plans": f"""
 SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, concat(CAST(user_id AS STRING), '-', event_type) AS plan_handle,
   CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(user_id % 3 AS INT) END AS dbid,
   CAST(user_id % 50 AS INT) AS objectid,
   {_PLAN_XML} AS query_plan
-FROM {{events}} WHERE ts < TS'{POST_CAPTURE}' GROUP BY user_id, event_type""",
+FROM {{events}} GROUP BY user_id, event_type""",
     "cached_plans": f"""
 SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, concat(CAST(user_id AS STRING), '-', event_type) AS plan_handle,
   CAST(user_id AS STRING) AS sql_handle,
   CASE WHEN count(*) % 6 = 0 THEN 'Compiled Plan Stub' ELSE 'Compiled Plan' END AS cacheobjtype,
   CASE WHEN user_id % 2 = 0 THEN 'Adhoc' ELSE 'Proc' END AS objtype,
   count(*) AS usecounts, CAST(user_id % 5 AS INT) AS attribute_dbid
-FROM {{events}} WHERE ts < TS'{POST_CAPTURE}' GROUP BY user_id, event_type""",
+FROM {{events}} GROUP BY user_id, event_type""",
     "databases": """
 SELECT concat('srv', CAST(c_custkey % 4 AS STRING)) AS instance_id, CAST(floor(c_custkey / 4) AS INT) AS database_id,
   concat('db_', CAST(c_custkey AS STRING)) AS name, d.create_date,
@@ -251,12 +274,8 @@ SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_suppkey % 5 AS INT) AS index_id,
   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) - CASE WHEN l_suppkey % 5 = 3 THEN CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) ELSE 0 END AS used_page_count,
   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) + 8 AS reserved_page_count, count(*) AS row_count
 FROM {{lineitem}} GROUP BY l_partkey, l_suppkey % 5, l_linenumber""",
-    "index_row_counts": f"""
-SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_linenumber - 1 AS INT) AS index_id,
-  CASE WHEN l_linenumber = 1 THEN NULL ELSE concat('ix', CAST(l_linenumber - 1 AS STRING)) END AS name,
-  count(*) * 150 AS rowcnt, CAST(sum(CAST(l_quantity AS BIGINT) * l_linenumber) AS BIGINT) AS rowmodctr,
-  max(l_shipdate) AS stats_date
-FROM {{lineitem}} GROUP BY l_partkey, l_linenumber""",
+    "index_row_counts": _index_row_counts(None),
+    "index_row_counts_pre": _index_row_counts("1997-01-01 00:00:00"),
     "missing_index_groups": """
 SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(p_partkey AS INT) AS index_group_handle,
   CAST(p_partkey AS INT) AS index_handle
@@ -267,57 +286,75 @@ VIEWS.update({
     # ---- extended-event ring buffers with deadlock reports ---------------------------
     # One ring-buffer document per (instance, block of ten conversations); each
     # conversation is one deadlock event, each turn one process (turn 3 has no frame).
+    # Events differ in the order of their attributes, in the form of their time, and in text that looks like markup.
+    "deadlock_processes_true": """
+SELECT conv_id, turn, CAST(floor(conv_id / 10) AS BIGINT) AS b, concat('p', CAST(turn AS STRING)) AS process_id,
+  CASE WHEN turn = 3 THEN NULL ELSE CAST(4 * turn + CAST(floor(conv_id / 10) AS BIGINT) % 4 AS STRING) END AS handle,
+  CASE WHEN turn = 3 THEN NULL ELSE CAST(2 * turn AS INT) END AS stmtstart,
+  CASE WHEN turn <> 3 AND turn % 2 = 0 THEN CAST(2 * turn + 60 AS INT) END AS stmtend
+FROM {conversations}""",
+    "deadlock_reports": """
+SELECT conv_id, b, concat('srv', CAST(b % 4 AS STRING)) AS instance_id, stamp,
+  CASE WHEN conv_id % 5 = 0 THEN concat('p1', chr(92), 'r', chr(92), 'n', 'p2') ELSE 'p1' END AS victim_ids,
+  concat(CASE conv_id % 3 WHEN 0 THEN concat('<event name="xml_deadlock_report" package="engine" timestamp="', written, '">')
+      WHEN 1 THEN concat('<event timestamp="', written, '" package="a > b" name="xml_deadlock_report">')
+      ELSE concat('<event package="engine"  name="xml_deadlock_report" timestamp="', written, '" >') END,
+    CASE WHEN conv_id % 4 = 2 THEN '<action name="note"><value><![CDATA[ </event> <event name="x"> ]]></value></action><!-- </event> -->' ELSE '' END,
+    '<data name="xml_report"><value><deadlock><victim-list><victimProcess id="p1"/>',
+    CASE WHEN conv_id % 5 = 0 THEN '<victimProcess id="p2"/>' ELSE '' END, '</victim-list><process-list>', procs,
+    '</process-list></deadlock></value></data></event>') AS ev
+FROM (
+  SELECT conv_id, b, concat('2024-01-', lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0'), ' ', lpad(CAST(conv_id % 24 AS STRING), 2, '0'), ':',
+      lpad(CAST(conv_id % 60 AS STRING), 2, '0'), ':00') AS stamp,
+    concat('2024-01-', lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0'), 'T', lpad(CAST(conv_id % 24 AS STRING), 2, '0'), ':',
+      lpad(CAST(conv_id % 60 AS STRING), 2, '0'), CASE conv_id % 4 WHEN 0 THEN ':00.000Z' WHEN 1 THEN ':00Z' WHEN 2 THEN ':00.0000000Z' ELSE ':00' END) AS written,
+    listagg(proc, '') WITHIN GROUP (ORDER BY turn) AS procs
+  FROM (
+    SELECT conv_id, b, turn,
+      CASE WHEN handle IS NULL THEN concat('<process id="', process_id, '"/>')
+      ELSE concat('<process id="', process_id, '" waittime="', CAST(100 * turn AS STRING),
+        '"><executionStack><frame sqlhandle="', handle, '" stmtstart="', CAST(stmtstart AS STRING), '"',
+        CASE WHEN stmtend IS NOT NULL THEN concat(' stmtend="', CAST(stmtend AS STRING), '"') ELSE '' END,
+        '/></executionStack></process>') END AS proc
+    FROM {deadlock_processes_true}) p
+  GROUP BY conv_id, b) e""",
     "event_targets": """
 SELECT concat('srv', CAST(b % 4 AS STRING)) AS instance_id, 'system_health' AS session_name, 'ring_buffer' AS target_name,
-  concat('<RingBufferTarget truncated="0" eventCount="', CAST(count(*) + 1 AS STRING), '">',
+  concat('<RingBufferTarget truncated="0" eventCount="', CAST(count(*) + 2 AS STRING), '">',
+    '<event name="heartbeat" timestamp="2024-02-01T00:00:00.000Z"/>',
     listagg(ev, '') WITHIN GROUP (ORDER BY conv_id),
-    '<event name="sp_server_diagnostics_component_result" package="sqlserver" timestamp="2024-02-01T00:00:00.000Z">',
+    '<event name="component_result" package="engine" timestamp="2024-02-01T00:00:00.000Z">',
     '<data name="state"><value>1</value></data></event></RingBufferTarget>') AS target_data
-FROM (
-  SELECT conv_id, b, concat('<event name="xml_deadlock_report" package="sqlserver" timestamp="2024-01-',
-      lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0'), 'T', lpad(CAST(conv_id % 24 AS STRING), 2, '0'), ':',
-      lpad(CAST(conv_id % 60 AS STRING), 2, '0'), ':00.000Z"><data name="xml_report"><value><deadlock><victim-list>',
-      '<victimProcess id="p1"/>', CASE WHEN conv_id % 5 = 0 THEN '<victimProcess id="p2"/>' ELSE '' END,
-      '</victim-list><process-list>', listagg(proc, '') WITHIN GROUP (ORDER BY turn),
-      '</process-list></deadlock></value></data></event>') AS ev
-  FROM (
-    SELECT conv_id, CAST(floor(conv_id / 10) AS BIGINT) AS b, turn,
-      CASE WHEN turn = 3 THEN concat('<process id="p', CAST(turn AS STRING), '"/>')
-      ELSE concat('<process id="p', CAST(turn AS STRING), '" waittime="', CAST(100 * turn AS STRING),
-        '"><executionStack><frame sqlhandle="', CAST(4 * turn + CAST(floor(conv_id / 10) AS BIGINT) % 4 AS STRING),
-        '" stmtstart="', CAST(2 * turn AS STRING), '"',
-        CASE WHEN turn % 2 = 0 THEN concat(' stmtend="', CAST(2 * turn + 60 AS STRING), '"') ELSE '' END,
-        '/></executionStack></process>') END AS proc
-    FROM {conversations}) p
-  GROUP BY conv_id, b) e
-GROUP BY b""",
+FROM {deadlock_reports} GROUP BY b""",
 })
 
 VIEWS.update({
     # ---- modules, dependencies, procedures, columns ----------------------------------
-    "sysobjects": """
-SELECT concat('srv', CAST(s_suppkey % 4 AS STRING)) AS instance_id, s_suppkey AS id, concat('usp_', CAST(s_suppkey AS STRING)) AS name,
-  'P' AS xtype FROM {supplier}
+    "sysobjects": f"""
+SELECT {_module('s_suppkey', 'id')}, concat('usp_', CAST(s_suppkey AS STRING)) AS name, 'P' AS xtype FROM {{supplier}}
 UNION ALL
-SELECT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, 1000000 + p_partkey AS id, concat('t', CAST(p_partkey AS STRING)) AS name,
-  'U' AS xtype FROM {part}""",
-    "dependencies": """
-SELECT concat('srv', CAST(l_suppkey % 4 AS STRING)) AS instance_id, l_suppkey AS id, 1000000 + l_partkey AS depid
-FROM {lineitem}""",
-    "module_objects": """
-SELECT concat('srv', CAST(doc_id % 4 AS STRING)) AS instance_id, doc_id AS object_id, concat('m', CAST(doc_id AS STRING)) AS name,
-  CASE doc_id % 6 WHEN 0 THEN 'V' WHEN 1 THEN 'FN' WHEN 2 THEN 'IF' WHEN 3 THEN 'P' WHEN 4 THEN 'TF' ELSE 'TR' END AS type
-FROM {documents}""",
-    "sql_modules": """
-SELECT concat('srv', CAST(doc_id % 4 AS STRING)) AS instance_id, doc_id AS object_id, text AS definition FROM {documents}""",
-    "procedures": """
-SELECT concat('srv', CAST(s_suppkey % 4 AS STRING)) AS instance_id, s_suppkey AS object_id, concat('usp_', CAST(s_suppkey AS STRING)) AS name,
-  'SQL_STORED_PROCEDURE' AS type_desc FROM {supplier}""",
-    "procedure_stats": """
-SELECT concat('srv', CAST(l_suppkey % 4 AS STRING)) AS instance_id, l_suppkey AS object_id, count(*) AS execution_count
-FROM {lineitem} WHERE l_shipdate >= TS'2001-10-25 00:00:00' GROUP BY l_suppkey""",
+SELECT {_module('p_partkey', 'id', '1000000 + ')}, concat('t', CAST(p_partkey AS STRING)) AS name, 'U' AS xtype FROM {{part}}""",
+    "dependencies": f"""
+SELECT {_module('l_suppkey', 'id')}, 1000000 + CAST(floor(l_partkey / 12) AS BIGINT) AS depid FROM {{lineitem}}""",
+    "module_objects": f"""
+SELECT {_module('doc_id', 'object_id')}, concat('m', CAST(doc_id AS STRING)) AS name,
+  CASE doc_id % 7 WHEN 0 THEN 'V' WHEN 1 THEN 'FN' WHEN 2 THEN 'IF' WHEN 3 THEN 'P' WHEN 4 THEN 'TF' ELSE 'TR' END AS type
+FROM {{documents}}""",
+    "sql_modules": f"""
+SELECT {_module('doc_id', 'object_id')}, text AS definition FROM {{documents}}""",
+    # suppliers' procedures have run, customers' have not
+    "procedures": f"""
+SELECT {_module('s_suppkey', 'object_id')}, concat('usp_', CAST(s_suppkey AS STRING)) AS name, 'SQL_STORED_PROCEDURE' AS type_desc FROM {{supplier}}
+UNION ALL
+SELECT {_module('c_custkey', 'object_id', '500000 + ')}, concat('usp_c', CAST(c_custkey AS STRING)) AS name, 'SQL_STORED_PROCEDURE' AS type_desc
+FROM {{customer}}""",
+    # every seventh supplier's procedure only ran under its id in another database
+    "procedure_stats": f"""
+SELECT instance_id, CASE WHEN l_suppkey % 7 = 3 THEN database_id % 3 + 1 ELSE database_id END AS database_id, object_id, count(*) AS execution_count
+FROM (SELECT {_module('l_suppkey', 'object_id')}, l_suppkey FROM {{lineitem}}) x GROUP BY instance_id, database_id, object_id, l_suppkey""",
     "columns_inventory": """
-SELECT DISTINCT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CASE WHEN p_size % 7 = 0 THEN 'sales' ELSE 'dbo' END AS table_schema,
+SELECT DISTINCT concat('srv', CAST(p_partkey % 4 AS STRING)) AS instance_id, CAST(1 + CAST(floor(p_partkey / 4) AS BIGINT) % 3 AS INT) AS database_id,
+  CASE WHEN p_size % 7 = 0 THEN 'sales' ELSE 'dbo' END AS table_schema,
   p_brand AS table_name, split_part(p_name, ' ', 1) AS column_name,
   CASE WHEN p_size < 40 THEN 'int' ELSE lower(split_part(p_type, ' ', 3)) END AS data_type,
   CASE WHEN p_size < 40 THEN NULL ELSE CAST(p_size AS INT) END AS character_maximum_length,
@@ -342,7 +379,7 @@ SELECT concat('srv', CAST(s_suppkey % 4 AS STRING)) AS instance_id, CAST(1 + s_s
   CAST(floor(abs(s_acctbal)) AS BIGINT) + 20000 AS size, CAST(floor(abs(s_acctbal)) AS BIGINT) AS space_used
 FROM {supplier}""",
     "db_size_counters": """
-SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, 'SQLServer:Databases   ' AS object_name,
+SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, 'Engine:Databases   ' AS object_name,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'Data File(s) Size (KB)' WHEN '2-HIGH' THEN 'Log File(s) Size (KB)'
     WHEN '3-MEDIUM' THEN 'Log File(s) Used Size (KB)' ELSE 'Percent Log Used' END AS counter_name,
   concat('db_', CAST(o_custkey AS STRING)) AS instance_name, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS cntr_value
@@ -355,33 +392,47 @@ SELECT concat('srv', CAST(CAST(floor(o_custkey / 50) AS BIGINT) AS STRING)) AS i
   CAST(sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END) AS BIGINT) AS mixed_extent_page_count,
   CAST(sum(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 16 END) AS BIGINT) AS unallocated_extent_page_count
 FROM {orders} GROUP BY o_custkey""",
+    # every third database was never restored: its restores went into the one before
     "restore_history": """
-SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, o_orderkey AS restore_history_id,
-  concat('db_', CAST(o_custkey AS STRING)) AS destination_database_name, o_orderdate AS restore_date, o_orderpriority AS restore_type
-FROM {orders} WHERE o_custkey % 3 <> 0""",
+SELECT concat('srv', CAST(k % 4 AS STRING)) AS instance_id, o_orderkey AS restore_history_id,
+  concat('db_', CAST(k AS STRING)) AS destination_database_name, o_orderdate AS restore_date, o_orderpriority AS restore_type
+FROM (SELECT *, CASE WHEN o_custkey % 3 = 2 THEN o_custkey - 1 ELSE o_custkey END AS k FROM {orders}) o""",
     "system_info": """
-SELECT concat('srv', CAST(CAST(floor(o_custkey / 50) AS BIGINT) AS STRING)) AS instance_id, o_orderdate AS sqlserver_start_time
+SELECT concat('srv', CAST(CAST(floor(o_custkey / 50) AS BIGINT) AS STRING)) AS instance_id, o_orderdate AS server_start_time
 FROM {orders}""",
 })
 
 VIEWS.update({
     "partitions": f"""
 SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_suppkey % 5 AS INT) AS index_id,
-  l_partkey * 10 + l_suppkey % 5 AS partition_id, count(*) AS rows
+  CAST(floor(l_partkey / 12) AS BIGINT) * 10 + l_suppkey % 5 AS partition_id, count(*) AS rows
 FROM {{lineitem}} GROUP BY l_partkey, l_suppkey % 5""",
+    # container ids repeat from database to database
     "allocation_units": """
-SELECT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, l_partkey * 10 + l_suppkey % 5 AS container_id,
+SELECT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, CAST(1 + l_partkey % 3 AS INT) AS database_id,
+  CAST(floor(l_partkey / 12) AS BIGINT) * 10 + l_suppkey % 5 AS container_id,
   'IN_ROW_DATA' AS type_desc, CAST(sum(CAST(l_quantity AS BIGINT)) * 40 AS BIGINT) AS total_pages,
   CAST(sum(CAST(l_quantity AS BIGINT)) * 37 AS BIGINT) AS used_pages
 FROM {lineitem} GROUP BY l_partkey, l_suppkey % 5
 UNION ALL
-SELECT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, l_partkey * 10 + l_suppkey % 5 AS container_id,
-  'LOB_DATA' AS type_desc, count(*) * 90 AS total_pages, count(*) * 64 AS used_pages
+SELECT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, CAST(1 + l_partkey % 3 AS INT) AS database_id,
+  CAST(floor(l_partkey / 12) AS BIGINT) * 10 + l_suppkey % 5 AS container_id, 'LOB_DATA' AS type_desc, count(*) * 90 AS total_pages, count(*) * 64 AS used_pages
 FROM {lineitem} WHERE l_linenumber > 4 GROUP BY l_partkey, l_suppkey % 5""",
 })
 
-_REQ_GROUP = "FROM {orders} WHERE o_orderstatus = 'P' GROUP BY o_custkey"
-_BLOCKER = "CASE WHEN max(o_orderkey) % 3 = 0 THEN 0 ELSE CAST((max(o_orderkey) % 150) * 4 + o_custkey % 4 AS INT) END"
+# Requests: one per customer with orders; orders of every fifth customer belong to the one before, so some sessions run
+# nothing.  A session's texts, plan and blocker are other keys of the same instance, spread over all of them.
+_REQ_FROM = "FROM (SELECT *, CASE WHEN o_custkey % 5 = 4 THEN o_custkey - 1 ELSE o_custkey END AS k FROM {orders}) o GROUP BY k"
+_BLOCKER = "CASE WHEN max(o_orderkey) % 3 = 0 THEN 0 ELSE CAST(4 * CAST(floor(k / 8) AS BIGINT) + k % 4 AS INT) END"
+
+
+def _text_of(k: str) -> str:   # two texts for every three customers
+    return f"CAST(4 * CAST(floor(floor({k} / 4) * 2 / 3) AS BIGINT) + {k} % 4 AS STRING)"
+
+
+def _user_of(k: str) -> str:   # one user for every ten customers
+    return f"CAST(4 * CAST(floor({k} / 40) AS BIGINT) + {k} % 4 AS STRING)"
+
 
 VIEWS.update({
     # ---- one sample of sessions, connections, requests, waits and locks -------------
@@ -390,32 +441,33 @@ SELECT concat('srv', CAST(c_custkey % 4 AS STRING)) AS instance_id, CAST(c_custk
   c_mktsegment AS host_name, concat('app', CAST(c_nationkey AS STRING)) AS program_name, c_custkey % 10 <> 0 AS is_user_process,
   CAST(c_nationkey AS INT) AS user_id
 FROM {customer}""",
-    "connections": """
+    "connections": f"""
 SELECT concat('srv', CAST(c_custkey % 4 AS STRING)) AS instance_id, CAST(c_custkey AS INT) AS session_id,
-  CAST(c_custkey AS INT) AS most_recent_session_id, concat('cn', CAST(c_custkey AS STRING)) AS connection_id,
-  CAST(c_custkey % 1000 AS STRING) AS most_recent_sql_handle,
+  CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey AS INT) END AS most_recent_session_id, concat('cn', CAST(c_custkey AS STRING)) AS connection_id,
+  {_text_of('c_custkey')} AS most_recent_sql_handle,
   TS'2024-01-31 12:00:00' AS last_read, TS'2024-01-31 11:00:00' AS last_write
-FROM {customer} WHERE c_custkey % 3 <> 0""",
+FROM {{customer}}""",
     "requests": f"""
-SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, CAST(o_custkey AS INT) AS session_id,
-  {_BLOCKER} AS blocking_session_id, concat('cn', CAST(o_custkey AS STRING)) AS connection_id,
+SELECT concat('srv', CAST(k % 4 AS STRING)) AS instance_id, CAST(k AS INT) AS session_id,
+  {_BLOCKER} AS blocking_session_id, concat('cn', CAST(k AS STRING)) AS connection_id,
   CASE WHEN count(*) % 2 = 0 THEN 'running' ELSE 'suspended' END AS status,
   CASE WHEN max(o_orderkey) % 3 = 0 THEN NULL ELSE 'LCK_M_X' END AS wait_type, 'PAGEIOLATCH_SH' AS last_wait_type,
-  CAST(o_custkey % 1000 AS STRING) AS sql_handle, concat(CAST(o_custkey % 148 AS STRING), '-click') AS plan_handle,
-  CAST(2 * (o_custkey % 10) AS INT) AS statement_start_offset,
-  CAST(CASE WHEN o_custkey % 4 = 0 THEN -1 ELSE 2 * (o_custkey % 10) + 40 END AS INT) AS statement_end_offset,
-  CAST(o_custkey % 3 AS INT) AS database_id, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) % 100000 AS BIGINT) AS cpu_time,
+  {_text_of('k')} AS sql_handle, concat({_user_of('k')}, '-click') AS plan_handle,
+  CAST(2 * (k % 10) AS INT) AS statement_start_offset,
+  CAST(CASE WHEN k % 4 = 0 THEN -1 ELSE 2 * (k % 10) + 40 END AS INT) AS statement_end_offset,
+  CAST(k % 3 AS INT) AS database_id, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) % 100000 AS BIGINT) AS cpu_time,
   CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS total_elapsed_time, count(*) * 8 AS logical_reads,
   max(o_orderdate) AS start_time, CAST(count(*) % 100 AS DOUBLE) AS percent_complete,
-  CAST(count(*) % 3 AS INT) AS open_transaction_count, CAST(o_custkey % 25 AS INT) AS user_id
-{_REQ_GROUP}""",
+  CAST(count(*) % 3 AS INT) AS open_transaction_count, CAST(k % 25 AS INT) AS user_id
+{_REQ_FROM}""",
     "waiting_tasks": f"""
-SELECT concat('srv', CAST(o_custkey % 4 AS STRING)) AS instance_id, CAST(o_custkey AS INT) AS session_id, 'LCK_M_X' AS wait_type,
+SELECT concat('srv', CAST(k % 4 AS STRING)) AS instance_id, CAST(k AS INT) AS session_id, 'LCK_M_X' AS wait_type,
   max(CAST(floor(o_totalprice) AS BIGINT)) AS wait_duration_ms, {_BLOCKER} AS blocking_session_id
-{_REQ_GROUP} HAVING max(o_orderkey) % 3 <> 0""",
+{_REQ_FROM} HAVING max(o_orderkey) % 3 <> 0""",
+    # sessions hold none, one or two transactions
     "session_transactions": """
-SELECT concat('srv', CAST(c_custkey % 4 AS STRING)) AS instance_id, CAST(c_custkey AS INT) AS session_id, c_custkey AS transaction_id
-FROM {customer} WHERE c_acctbal < 1000""",
+SELECT concat('srv', CAST(k % 4 AS STRING)) AS instance_id, CAST(k AS INT) AS session_id, c_custkey AS transaction_id
+FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1 ELSE c_custkey END AS k FROM {customer}) c""",
     "session_space": """
 SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, CAST(user_id AS INT) AS session_id,
   CAST(sum(event_id % 512) AS BIGINT) AS user_objects_alloc_page_count, CAST(sum(event_id % 64) AS BIGINT) AS user_objects_dealloc_page_count,
@@ -430,7 +482,7 @@ FROM {events} GROUP BY user_id, event_id % 3""",
     "locks": """
 SELECT DISTINCT concat('srv', CAST(l_partkey % 4 AS STRING)) AS instance_id, CAST(1 + l_partkey % 3 AS INT) AS resource_database_id,
   CASE WHEN l_linenumber = 1 THEN 'OBJECT' ELSE 'KEY' END AS resource_type,
-  CASE WHEN l_linenumber = 1 THEN l_partkey ELSE l_partkey * 10 + l_suppkey % 5 END AS resource_associated_entity_id,
+  CASE WHEN l_linenumber = 1 THEN l_partkey ELSE CAST(floor(l_partkey / 12) AS BIGINT) * 10 + l_suppkey % 5 END AS resource_associated_entity_id,
   CASE WHEN l_linenumber = 1 THEN NULL ELSE concat('(', CAST(l_orderkey % 7 AS STRING), ')') END AS resource_description,
   CAST(l_suppkey * 4 + l_partkey % 4 AS INT) AS request_session_id,
   CASE WHEN l_linestatus = 'F' THEN 'GRANT' ELSE 'WAIT' END AS request_status, l_returnflag AS request_mode

@@ -30,21 +30,21 @@ TELEMETRY_SCHEMAS: dict[str, str] = {
     "index_row_counts": "instance_id string, database_id int, object_id int, index_id int, name string, rowcnt bigint, rowmodctr bigint, stats_date timestamp_ntz",
     "missing_index_groups": "instance_id string, index_group_handle int, index_handle int",
     "event_targets": "instance_id string, session_name string, target_name string, target_data string",
-    "sysobjects": "instance_id string, id bigint, name string, xtype string",
-    "dependencies": "instance_id string, id bigint, depid bigint",
-    "module_objects": "instance_id string, object_id bigint, name string, type string",
-    "sql_modules": "instance_id string, object_id bigint, definition string",
-    "procedures": "instance_id string, object_id bigint, name string, type_desc string",
-    "procedure_stats": "instance_id string, object_id bigint, execution_count bigint",
-    "columns_inventory": "instance_id string, table_schema string, table_name string, column_name string, data_type string, character_maximum_length int, numeric_precision int, numeric_scale int",
+    "sysobjects": "instance_id string, database_id int, id bigint, name string, xtype string",
+    "dependencies": "instance_id string, database_id int, id bigint, depid bigint",
+    "module_objects": "instance_id string, database_id int, object_id bigint, name string, type string",
+    "sql_modules": "instance_id string, database_id int, object_id bigint, definition string",
+    "procedures": "instance_id string, database_id int, object_id bigint, name string, type_desc string",
+    "procedure_stats": "instance_id string, database_id int, object_id bigint, execution_count bigint",
+    "columns_inventory": "instance_id string, database_id int, table_schema string, table_name string, column_name string, data_type string, character_maximum_length int, numeric_precision int, numeric_scale int",
     "file_stats": "instance_id string, database_id int, file_id int, num_of_reads bigint, num_of_writes bigint, io_stall_read_ms bigint, io_stall_write_ms bigint, io_stall bigint, num_of_bytes_read bigint, num_of_bytes_written bigint",
     "database_files": "instance_id string, database_id int, file_id int, name string, physical_name string, size bigint, space_used bigint",
     "db_size_counters": "instance_id string, object_name string, counter_name string, instance_name string, cntr_value bigint",
     "file_space_usage": "instance_id string, file_id int, user_object_reserved_page_count bigint, internal_object_reserved_page_count bigint, version_store_reserved_page_count bigint, mixed_extent_page_count bigint, unallocated_extent_page_count bigint",
     "restore_history": "instance_id string, restore_history_id bigint, destination_database_name string, restore_date timestamp_ntz, restore_type string",
-    "system_info": "instance_id string, sqlserver_start_time timestamp_ntz",
+    "system_info": "instance_id string, server_start_time timestamp_ntz",
     "partitions": "instance_id string, database_id int, object_id int, index_id int, partition_id bigint, rows bigint",
-    "allocation_units": "instance_id string, container_id bigint, type_desc string, total_pages bigint, used_pages bigint",
+    "allocation_units": "instance_id string, database_id int, container_id bigint, type_desc string, total_pages bigint, used_pages bigint",
     "sessions": "instance_id string, session_id int, login_name string, host_name string, program_name string, is_user_process boolean, user_id int",
     "connections": "instance_id string, session_id int, most_recent_session_id int, connection_id string, most_recent_sql_handle string, last_read timestamp_ntz, last_write timestamp_ntz",
     "requests": "instance_id string, session_id int, blocking_session_id int, connection_id string, status string, wait_type string, last_wait_type string, sql_handle string, plan_handle string, statement_start_offset int, statement_end_offset int, database_id int, cpu_time bigint, total_elapsed_time bigint, logical_reads bigint, start_time timestamp_ntz, percent_complete double, open_transaction_count int, user_id int",
