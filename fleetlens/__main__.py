@@ -18,6 +18,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("name")
     run.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     run.add_argument("--landed", help="root folder of landed telemetry (one folder per table) instead of --sf-dir")
+    run.add_argument("--start", help="with --landed: time of the capture a delta starts from")
+    run.add_argument("--end", help="with --landed: time of the capture to report on (default: each server's newest)")
     run.add_argument("--show", type=int, default=20)
     run.add_argument("--out", help="write the result as parquet here instead of showing it")
     run.add_argument("--explain", action="store_true", help="print the formatted physical plan")
@@ -35,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     from .session import get_session
     from .sources.telemetry import LandedTelemetry, Telemetry
     spark = get_session()
-    source = LandedTelemetry(spark, args.landed) if args.landed else Telemetry(spark, args.sf_dir)
+    source = LandedTelemetry(spark, args.landed, start=args.start, end=args.end) if args.landed else Telemetry(spark, args.sf_dir)
     df = reg[args.name].build(source)
     if args.explain:
         df.explain("formatted")

@@ -18,7 +18,8 @@ def statement_slice(text, start, end) -> Column:
     END - start)/2) + 1)``; a NULL end (deadlock frames) also means "to the end".
     ``LEN`` ignores trailing blanks.  Offsets are bytes of UTF-16 text, two per
     unit, so the text is cut as UTF-16: a character outside the BMP takes two
-    units.  A negative length gives ''; a NULL start gives NULL, as in the source.
+    units, and half of one that a cut leaves behind shows as U+FFFD.  A negative length
+    gives ''; a NULL start gives NULL, as in the source.
     """
     t, s, e = col_of(text), col_of(start).cast("long"), col_of(end).cast("long")
     units = F.encode(t, "UTF-16LE")
@@ -28,7 +29,13 @@ def statement_slice(text, start, end) -> Column:
     half = F.when(diff >= 0, F.floor(diff / 2)).otherwise(-F.floor(-diff / 2)).cast("long")
     length = F.greatest(half + 1, F.lit(0).cast("long"))
     pos = F.floor(s / 2) * 2 + 1
-    return F.decode(F.substr(units, pos.cast("int"), (length * 2).cast("int")), "UTF-16LE")
+    cut = F.substr(units, pos.cast("int"), (length * 2).cast("int"))
+    # the high byte of a unit tells the halves of a pair: D8-DB first, DC-DF second
+    low = F.hex(F.substr(cut, F.lit(2), F.lit(1))).between("DC", "DF").cast("int")
+    high = F.hex(F.substr(cut, F.octet_length(cut), F.lit(1))).between("D8", "DB").cast("int")
+    low, high = F.coalesce(low, F.lit(0)), F.coalesce(high, F.lit(0))
+    whole = F.substr(cut, 2 * low + 1, F.greatest(F.octet_length(cut) - 2 * low - 2 * high, F.lit(0)))
+    return F.concat(F.when(low == 1, "\ufffd").otherwise(""), F.decode(whole, "UTF-16LE"), F.when(high == 1, "\ufffd").otherwise(""))
 
 
 def contains_ci(col, needle: str) -> Column:

@@ -1,7 +1,7 @@
 """Generic DataFrame operators (G01-G24 of the blueprint)."""
 
 from .topn import top_n
-from .scope import database_scope, latest_capture, multi_filter
+from .scope import capture_at, captures_at, database_scope, latest_capture, multi_filter, sample_keys
 from .joins import blocking_pairs, resolve_handle, resolve_plan, resolve_text, unused_keys, with_index_names
 from .shares import conditional_split, pareto_cutoff, share_of_total
 from .deltas import capture_range_delta, consecutive_delta, snapshot_delta
@@ -11,7 +11,8 @@ from .overlap import prefix_overlap
 from .ledger import upsert_ledger
 
 __all__ = [
-    "resolve_plan", "resolve_text", "top_n", "database_scope", "latest_capture", "multi_filter", "blocking_pairs", "resolve_handle",
+    "resolve_plan", "resolve_text", "top_n", "capture_at", "captures_at", "database_scope", "latest_capture",
+    "multi_filter", "sample_keys", "blocking_pairs", "resolve_handle",
     "unused_keys", "with_index_names", "conditional_split", "pareto_cutoff",
     "share_of_total", "capture_range_delta", "consecutive_delta", "snapshot_delta", "distinct_pairs",
     "latest_per_key", "ordered_string_agg", "distinct_string_agg", "prefix_overlap",

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scope import captures_at
+
 
 def _reset_delta(cur: Column, prev: Column, on_reset: str) -> Column:
     prev0 = F.coalesce(prev, F.lit(0))
@@ -105,9 +107,9 @@ def capture_range_delta(captures: DataFrame, keys: Sequence[str], counters: Sequ
     treats NULL keys as equal, like the null-safe join."""
     keys, counters, carry = list(keys), list(counters), [c for c in carry if c not in keys]
     # capture times as literals of the column's own type (wall-clock strings are exact for both kinds)
+    rng = captures_at(captures, [start, end], ts)
     ts_type = captures.schema[ts].dataType
     start, end = (F.lit(str(v)).cast(ts_type) if not isinstance(v, F.Column) else v for v in (start, end))
-    rng = captures.filter((F.col(ts) == start) | (F.col(ts) == end))
     vals = F.struct(*[F.col(c) for c in counters + carry])
     g = rng.groupBy(*keys).agg(F.min(ts).alias("_first_ts"), F.max(ts).alias("_last_ts"),
                                F.min_by(vals, F.col(ts)).alias("_first"), F.max_by(vals, F.col(ts)).alias("_last"))

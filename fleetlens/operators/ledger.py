@@ -1,74 +1,72 @@
-"""Keep a usage ledger up to date from a new capture.
+"""Keep a usage ledger up to date from new captures.
 
-Per key: rows only in the ledger stay as they are; rows only in the capture
-are seeded (previous = 0, diff = current, accumulated = current); matched
-rows are advanced only when the capture is newer than the ledger's current
-modification, with the reference's reset rule (a counter lower than before
-means the server restarted, and the delta taken is the *previous* value).
+Per key: rows only in the ledger stay as they are; a key's first capture seeds
+it (previous = 0, diff = current, accumulated = current); every capture newer than
+the ledger's current modification advances it, in order of capture time.  The
+newer-than rule is on the capture's time, so several captures of one day, of one batch
+or of servers captured at different moments are all applied.
 
-One full outer join on the keys (both sides shuffled once on the same keys),
-written out as a new version of the ledger by the caller.
+One shuffle on the keys: the ledger's rows and the captures are put into one
+ordered window per key, so any number of captures is folded in one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def upsert_ledger(ledger: DataFrame | None, current: DataFrame, keys: Sequence[str],
                   counters: Sequence[str], carry: Sequence[str] = (),
-                  modified: str = "modification_date", keep: dict | None = None) -> DataFrame:
+                  modified: str = "captured_at", keep: dict | None = None, on_reset: str = "previous") -> DataFrame:
     """Return the new ledger.
 
-    ``current``: one row per key with ``keys``, ``counters``, ``carry`` and the
-    capture date ``modified``.  Ledger columns per counter ``c``:
-    ``current_c, last_c, diff_c, accumulated_c``; plus ``last_modification``,
-    ``current_modification`` and the ``carry`` columns.
+    ``current``: one or more captures, each with one row per key: ``keys``, ``counters``,
+    ``carry`` and the capture time ``modified`` (a row that is there twice counts once).
+    Ledger columns per counter ``c``: ``current_c, last_c, diff_c, accumulated_c``; plus
+    ``last_modification``, ``current_modification`` and the ``carry`` columns.
     ``ledger=None`` seeds it (the first run).  ``keep`` maps ledger-only
     bookkeeping columns to the Column their new rows start with; existing
-    rows keep their values.
+    rows keep their values.  ``on_reset``: what a counter lower than before (the server
+    restarted) adds: its ``'previous'`` value (the reference's rule) or its ``'current'`` one.
     """
     keep = keep or {}
     keys, counters, carry = list(keys), list(counters), list(carry)
-    seeded = current.select(
-        *keys, *carry,
-        *[x for c in counters for x in (
-            F.col(c).cast("long").alias(f"current_{c}"), F.lit(0).cast("long").alias(f"last_{c}"),
-            F.col(c).cast("long").alias(f"diff_{c}"), F.col(c).cast("long").alias(f"accumulated_{c}"))],
-        F.col(modified).alias("last_modification"), F.col(modified).alias("current_modification"),
-        *[v.alias(k) for k, v in keep.items()])
-    if ledger is None:
-        return seeded
+    values = carry + counters
+    rows = (current.groupBy(*keys, F.col(modified).alias("_at"))
+            .agg(F.max(F.struct(*[F.col(c).cast("long").alias(c) if c in counters else F.col(c) for c in values])).alias("_v"))
+            .withColumn("_l", F.lit(None)).withColumn("_new", F.lit(True)))
+    if ledger is not None:
+        base = ledger.select(*keys, F.col("current_modification").alias("_at"),
+                             F.struct(*[F.col(c) for c in carry], *[F.col(f"current_{c}").alias(c) for c in counters]).alias("_v"),
+                             F.struct(*[F.col(c) for c in ledger.columns]).alias("_l"), F.lit(False).alias("_new"))
+        rows = base.unionByName(rows.withColumn("_l", F.lit(None).cast(base.schema["_l"].dataType)))
+        known = F.max(F.when(~F.col("_new"), F.col("_at"))).over(Window.partitionBy(*keys))
+        rows = rows.withColumn("_known", known).filter(~F.col("_new") | F.col("_known").isNull() | (F.col("_at") > F.col("_known")))
 
-    t = current.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in carry + counters],
-                       F.col(modified).alias("_t_mod"), F.lit(True).alias("_in_t"))
-    lg = ledger.withColumn("_in_l", F.lit(True))
-    j = lg.join(t, keys, "full_outer")
-    in_l, in_t = F.col("_in_l").isNotNull(), F.col("_in_t").isNotNull()
-    newer = in_l & in_t & (F.col("_t_mod") > F.col("current_modification"))
-    new_only = ~in_l
+    before = Window.partitionBy(*keys).orderBy("_at")
+    rows = rows.withColumn("_p", F.lag("_v").over(before)).withColumn("_p_at", F.lag("_at").over(before))
+    diffs = {}
+    for c in counters:
+        now, prev = F.col("_v")[c], F.col("_p")[c]
+        restart = prev if on_reset == "previous" else now
+        diffs[c] = F.when(prev.isNull(), now).when(now >= prev, now - prev).otherwise(restart)
+    step = F.struct(F.col("_v").alias("v"), *[F.coalesce(F.col("_p")[c], F.lit(0).cast("long")).alias(f"last_{c}") for c in counters],
+                    *[diffs[c].alias(f"diff_{c}") for c in counters], F.coalesce("_p_at", "_at").alias("last_at"), F.col("_at").alias("at"))
+    g = rows.groupBy(*keys).agg(
+        F.max_by(step, F.col("_at")).alias("s"), F.max(F.col("_new").cast("int")).alias("_changed"),
+        *([F.first("_l", ignorenulls=True).alias("l")] if ledger is not None else []),
+        *[F.sum(F.when(F.col("_new"), diffs[c])).alias(f"_add_{c}") for c in counters])
 
-    out = []
-    for c in carry:
-        out.append(F.when(newer | new_only, F.col(f"_t_{c}")).otherwise(F.col(c)).alias(c))
+    changed = F.col("_changed") == 1
+    old = (lambda c: F.col(f"l.{c}")) if ledger is not None else (lambda c: F.lit(None))
+    pick = lambda new, c: F.when(changed, new).otherwise(old(c)).alias(c)
+    out = [pick(F.col(f"s.v.{c}"), c) for c in carry]
     for c in counters:
-        cur, tc = F.col(f"current_{c}"), F.col(f"_t_{c}").cast("long")
-        diff = F.when(tc >= cur, tc - cur).otherwise(cur)
-        out += [
-            F.when(new_only, tc).when(newer, tc).otherwise(cur).alias(f"current_{c}"),
-            F.when(new_only, F.lit(0).cast("long")).when(newer, cur).otherwise(F.col(f"last_{c}")).alias(f"last_{c}"),
-            F.when(new_only, tc).when(newer, diff).otherwise(F.col(f"diff_{c}")).alias(f"diff_{c}"),
-            F.when(new_only, tc).when(newer, F.col(f"accumulated_{c}") + diff)
-             .otherwise(F.col(f"accumulated_{c}")).alias(f"accumulated_{c}"),
-        ]
-    out += [
-        F.when(new_only, F.col("_t_mod")).when(newer, F.col("current_modification"))
-         .otherwise(F.col("last_modification")).alias("last_modification"),
-        F.when(new_only | newer, F.col("_t_mod")).otherwise(F.col("current_modification"))
-         .alias("current_modification"),
-    ]
-    out += [F.when(new_only, v).otherwise(F.col(k)).alias(k) for k, v in keep.items()]
-    return j.select(*keys, *out)
+        out += [pick(F.col(f"s.v.{c}"), f"current_{c}"), pick(F.col(f"s.last_{c}"), f"last_{c}"), pick(F.col(f"s.diff_{c}"), f"diff_{c}"),
+                pick(F.coalesce(old(f"accumulated_{c}"), F.lit(0).cast("long")) + F.col(f"_add_{c}"), f"accumulated_{c}")]
+    out += [pick(F.col("s.last_at"), "last_modification"), pick(F.col("s.at"), "current_modification")]
+    out += [(v if ledger is None else F.when(F.col("l").isNull(), v).otherwise(F.col(f"l.{k}"))).alias(k) for k, v in keep.items()]
+    return g.select(*keys, *out)

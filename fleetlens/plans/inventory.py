@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact_ratio, int_div, rewrite_text
 from ..functions.text import contains_ci
-from ..operators import distinct_pairs, latest_per_key, multi_filter, unused_keys
+from ..operators import distinct_pairs, latest_per_key, multi_filter, sample_keys, unused_keys
 from .constants import DB_COUNTER_OBJECT_PATTERN, DB_SIZE_COUNTERS, MODULE_REWRITES, MODULE_TYPES
 
 
@@ -172,16 +172,18 @@ def _mb(pages) -> F.Column:
 def temp_space_total(space: DataFrame) -> DataFrame:
     """Total and used temp space MB per instance."""
     z = [F.coalesce(F.col(c), F.lit(0)) for c in _SPACE]
-    g = space.groupBy("instance_id").agg(F.sum(z[0] + z[1] + z[2] + z[3] + z[4]).alias("_t"),
-                                         F.sum(z[0] + z[1] + z[2] + z[3]).alias("_u"))
-    return g.select("instance_id", _mb("_t").alias("total_size_mb"), _mb("_u").alias("used_size_mb"))
+    keys = sample_keys(space)
+    g = space.groupBy(*keys).agg(F.sum(z[0] + z[1] + z[2] + z[3] + z[4]).alias("_t"),
+                                 F.sum(z[0] + z[1] + z[2] + z[3]).alias("_u"))
+    return g.select(*keys, _mb("_t").alias("total_size_mb"), _mb("_u").alias("used_size_mb"))
 
 
 def temp_space_by_kind(space: DataFrame) -> DataFrame:
     """The five kinds of temp space in MB per instance."""
     names = ["user_objects_mb", "internal_objects_mb", "version_store_mb", "mixed_extent_mb", "unallocated_mb"]
-    g = space.groupBy("instance_id").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in _SPACE])
-    return g.select("instance_id", *[_mb(c).alias(n) for c, n in zip(_SPACE, names)])
+    keys = sample_keys(space)
+    g = space.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in _SPACE])
+    return g.select(*keys, *[_mb(c).alias(n) for c, n in zip(_SPACE, names)])
 
 
 # ---------------------------------------------------------------- inventory

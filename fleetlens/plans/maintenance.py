@@ -26,8 +26,11 @@ LEDGER_COUNTERS = ["read_usage", "update_usage"]
 LEDGER_NEVER = "1980-01-01 00:00:00"   # fixed value: the "no statement yet" date a new ledger row starts with
 
 
-def ledger_capture(usage, indexes, objects, schemas, databases, captured: dt.date) -> DataFrame:
-    """One capture of named user-index usage, shaped for the ledger."""
+def ledger_capture(usage, indexes, objects, schemas, databases, captured: dt.datetime | None = None) -> DataFrame:
+    """Named user-index usage, shaped for the ledger: one capture taken at ``captured``, or all the
+    captures of a landed table (``captured_at``); the catalog is joined once for all of them."""
+    if captured is not None:
+        usage = usage.withColumn("captured_at", F.lit(captured).cast("timestamp_ntz"))
     i = indexes.filter(F.col("name").isNotNull()).select(
         "instance_id", "database_id", "object_id", "index_id", F.col("name").alias("index_name"), "fill_factor")
     o = objects.filter(~F.col("is_ms_shipped")).select("instance_id", "database_id", "object_id", "schema_id",
@@ -40,7 +43,7 @@ def ledger_capture(usage, indexes, objects, schemas, databases, captured: dt.dat
     return j.select(*LEDGER_KEYS, F.col("object_id").alias("table_id"), "index_id", "fill_factor",
                     (F.col("user_seeks") + F.col("user_scans") + F.col("user_lookups")).alias("read_usage"),
                     F.col("user_updates").alias("update_usage"),
-                    F.lit(captured).alias("modification_date"))
+                    "captured_at")
 
 
 def ledger_bookkeeping() -> dict:

@@ -1,8 +1,9 @@
 """Sessions, blocking, locks and temp-space reports over one sample of the
 session views (R58, R59, R65-R71).
 
-Every join is inside one instance (and one sample); session ids only mean
-something there.
+Session ids only mean something inside one instance and one sample: the session views are joined on
+the instance and, where they hold several captures, the capture time; names, texts and plans on
+the instance.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact_ratio, int_div, statement_slice
-from ..operators import blocking_pairs, database_scope
+from ..operators import blocking_pairs, database_scope, sample_keys
 from .constants import LOCK_OBJECT, LOCK_ROW_KINDS
 
-I = ["instance_id"]
+C = ["instance_id"]   # keys of catalogs, texts and plans
 
 
 def _mb3(c) -> F.Column:
@@ -23,16 +24,18 @@ def _mb3(c) -> F.Column:
 
 
 def _space_base(space, sessions, connections, texts):
+    I = sample_keys(space, sessions, connections)
     s = sessions.select(*I, "session_id", "login_name", "host_name", "program_name")
     c = connections.select(*I, F.col("most_recent_session_id").alias("session_id"), "connection_id",
                            "most_recent_sql_handle", "last_read", "last_write")
-    t = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
+    t = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
     j = space.filter(F.col("session_id") > 50).join(s, I + ["session_id"]).join(c, I + ["session_id"], "left")
-    return j.join(t, I + ["most_recent_sql_handle"], "left")
+    return j.join(t, C + ["most_recent_sql_handle"], "left")
 
 
 def temp_space_by_session_detail(space, sessions, connections, texts) -> DataFrame:
     """R58 (first result): per session row with its last statement text."""
+    I = sample_keys(space, sessions, connections)
     j = _space_base(space, sessions, connections, texts)
     return j.select(*I, "session_id", "connection_id", "login_name", "host_name", "last_query", "last_read",
                     "last_write", "program_name", "user_objects_alloc_page_count", "user_objects_dealloc_page_count",
@@ -56,13 +59,14 @@ def temp_space_by_session(space, sessions, connections, texts) -> DataFrame:
 
     Grouped on the keys; the text (a function of the handle) is attached
     after the aggregation instead of being a group key."""
+    I = sample_keys(space, sessions, connections)
     s = sessions.select(*I, "session_id", "login_name", "host_name", "program_name")
     c = connections.select(*I, F.col("most_recent_session_id").alias("session_id"), "connection_id",
                            "most_recent_sql_handle", "last_read", "last_write")
     j = space.filter(F.col("session_id") > 50).join(s, I + ["session_id"]).join(c, I + ["session_id"], "left")
     g = j.groupBy(*I, *_GROUP).agg(F.sum(_used()).alias("_u"), F.sum(_still()).alias("_s"))
-    t = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
-    g = g.join(t, I + ["most_recent_sql_handle"], "left")
+    t = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
+    g = g.join(t, C + ["most_recent_sql_handle"], "left")
     return g.select(*I, _mb3("_u").alias("space_used_mb"), _mb3("_s").alias("space_still_used_mb"),
                     "session_id", "connection_id", "login_name", "host_name", "last_query", "last_read",
                     "last_write", "program_name")
@@ -70,6 +74,7 @@ def temp_space_by_session(space, sessions, connections, texts) -> DataFrame:
 
 def temp_space_by_task(task_space, sessions, connections, texts, requests) -> DataFrame:
     """As R58 over task space, with the running statement in the group."""
+    I = sample_keys(task_space, sessions, connections, requests)
     s = sessions.select(*I, "session_id", "login_name", "host_name", "program_name")
     c = connections.select(*I, F.col("most_recent_session_id").alias("session_id"), "connection_id",
                            "most_recent_sql_handle", "last_read", "last_write")
@@ -78,8 +83,8 @@ def temp_space_by_task(task_space, sessions, connections, texts, requests) -> Da
     j = j.join(r, I + ["session_id"], "left")
     g = j.groupBy(*I, *_GROUP, "statement_start_offset", "statement_end_offset").agg(
         F.sum(_used()).alias("_u"), F.sum(_still()).alias("_s"))
-    t = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
-    g = g.join(t, I + ["most_recent_sql_handle"], "left")
+    t = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
+    g = g.join(t, C + ["most_recent_sql_handle"], "left")
     return g.select(*I, _mb3("_u").alias("space_used_mb"), _mb3("_s").alias("space_still_used_mb"),
                     "session_id", "connection_id", "login_name", "host_name", "last_query",
                     statement_slice("last_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
@@ -89,15 +94,16 @@ def temp_space_by_task(task_space, sessions, connections, texts, requests) -> Da
 def running_requests(requests, sessions, texts, plans, databases, exclude_session=None,
                      database_id=None) -> DataFrame:
     """User requests with statement, resources, wait and blocker."""
+    I = sample_keys(requests, sessions)
     s = sessions.filter(F.col("is_user_process")).select(*I, "session_id", "host_name", "login_name", "program_name")
     if exclude_session is not None:
         s = s.filter(F.col("session_id") != exclude_session)
-    t = texts.select(*I, "sql_handle", F.col("text").alias("parent_query"))
-    p = plans.select(*I, "plan_handle", "dbid")
-    j = database_scope(requests.join(s, I + ["session_id"]).join(p, I + ["plan_handle"]), "dbid", database_id)
-    d = databases.select(*I, F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
-    j = j.join(d, I + ["dbid"], "left").join(t, I + ["sql_handle"])
-    j = j.join(plans.select(*I, "plan_handle", "query_plan"), I + ["plan_handle"])   # wide column last
+    t = texts.select(*C, "sql_handle", F.col("text").alias("parent_query"))
+    p = plans.select(*C, "plan_handle", "dbid")
+    j = database_scope(requests.join(s, I + ["session_id"]).join(p, C + ["plan_handle"]), "dbid", database_id)
+    d = databases.select(*C, F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
+    j = j.join(d, C + ["dbid"], "left").join(t, C + ["sql_handle"])
+    j = j.join(plans.select(*C, "plan_handle", "query_plan"), C + ["plan_handle"])   # wide column last
     return j.select(*I, "session_id", "host_name", "login_name", "status", "database_name",
                     statement_slice("parent_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
                     "parent_query", "program_name", "start_time", "query_plan", "wait_type", "total_elapsed_time",
@@ -107,20 +113,21 @@ def running_requests(requests, sessions, texts, plans, databases, exclude_sessio
 
 def blocking_now(connections, requests, waits, sessions, texts, databases, database_id=None) -> DataFrame:
     """Blocker and blocked with both texts and the wait reason."""
+    I = sample_keys(connections, requests, waits, sessions)
     blocking = connections.select(*I, "session_id", "most_recent_sql_handle")
     blocked = requests.select(*I, F.col("session_id").alias("blocked_session_id"), "blocking_session_id",
                               "sql_handle", "database_id", "user_id")
     pairs = blocking_pairs(blocked, blocking, keys=I)
     w = waits.select(*I, F.col("session_id").alias("blocked_session_id"), F.col("wait_type").alias("why_blocked"))
     sess = sessions.select(*I, F.col("session_id").alias("blocking_session_id"), F.col("login_name").alias("blocking_user"))
-    t1 = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("blocking_sql"))
-    t2 = texts.select(*I, "sql_handle", F.col("text").alias("blocked_sql"))
+    t1 = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("blocking_sql"))
+    t2 = texts.select(*C, "sql_handle", F.col("text").alias("blocked_sql"))
     j = pairs.join(w, I + ["blocked_session_id"]).join(sess, I + ["blocking_session_id"])
-    j = j.join(t1, I + ["most_recent_sql_handle"]).join(t2, I + ["sql_handle"])
+    j = j.join(t1, C + ["most_recent_sql_handle"]).join(t2, C + ["sql_handle"])
     if database_id is not None:
         j = j.filter(F.col("database_id") == database_id)
-    d = databases.select(*I, "database_id", F.col("name").alias("database_name"))
-    j = j.join(d, I + ["database_id"], "left")
+    d = databases.select(*C, "database_id", F.col("name").alias("database_name"))
+    j = j.join(d, C + ["database_id"], "left")
     return j.select(*I, "blocking_session_id", "blocking_user", "blocking_sql", "why_blocked", "blocked_session_id",
                     F.col("user_id").alias("blocked_user_id"), "blocked_sql", "database_name")
 
@@ -129,11 +136,12 @@ def blocked_sessions(connections, requests, waits, sessions, transactions, texts
                      min_wait_ms: int | None = None, with_statement: bool = True) -> DataFrame:
     """Wait seconds, who blocks whom and from where; with
     ``min_wait_ms`` only waits longer than that (R68 drops the statement)."""
+    I = sample_keys(connections, requests, waits, sessions, transactions)
     blocking = connections.select(*I, "session_id", "most_recent_sql_handle")
     blocked = requests.select(*I, F.col("session_id").alias("blocked_session_id"), "blocking_session_id",
                               "sql_handle", "database_id", "statement_start_offset", "statement_end_offset")
     pairs = blocking_pairs(blocked, blocking, keys=I)
-    tx = transactions.select(*I, F.col("session_id").alias("blocking_session_id")).dropDuplicates()
+    tx = transactions.select(*I, F.col("session_id").alias("blocking_session_id"))
     sess = sessions.select(*I, F.col("session_id").alias("blocking_session_id"),
                            F.col("login_name").alias("blocking_user"), F.col("host_name").alias("blocking_location"))
     bsess = sessions.select(*I, F.col("session_id").alias("blocked_session_id"),
@@ -141,13 +149,13 @@ def blocked_sessions(connections, requests, waits, sessions, transactions, texts
     w = waits.select(*I, F.col("session_id").alias("blocked_session_id"), "wait_duration_ms", "wait_type")
     if min_wait_ms is not None:
         w = w.filter(F.col("wait_duration_ms") > min_wait_ms)
-    t1 = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("blocking_sql"))
-    t2 = texts.select(*I, "sql_handle", F.col("text").alias("_blocked_text"))
+    t1 = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("blocking_sql"))
+    t2 = texts.select(*C, "sql_handle", F.col("text").alias("_blocked_text"))
     j = pairs.join(sess, I + ["blocking_session_id"]).join(tx, I + ["blocking_session_id"], "left_semi")
-    j = j.join(w, I + ["blocked_session_id"]).join(t1, I + ["most_recent_sql_handle"])
-    j = j.join(bsess, I + ["blocked_session_id"]).join(t2, I + ["sql_handle"])
-    d = databases.select(*I, "database_id", F.col("name").alias("database_name"))
-    j = j.join(d, I + ["database_id"], "left")
+    j = j.join(w, I + ["blocked_session_id"]).join(t1, C + ["most_recent_sql_handle"])
+    j = j.join(bsess, I + ["blocked_session_id"]).join(t2, C + ["sql_handle"])
+    d = databases.select(*C, "database_id", F.col("name").alias("database_name"))
+    j = j.join(d, C + ["database_id"], "left")
     cols = [int_div("wait_duration_ms", 1000).alias("wait_in_seconds"), "blocking_session_id", "database_name",
             "blocking_user", "blocking_location", "blocking_sql", "blocked_session_id", "blocked_user",
             "blocked_location"]
@@ -164,26 +172,27 @@ def _resource_names(locks, objects, partitions) -> DataFrame:
     The source's correlated scalar subqueries become one lookup table of
     ``(kind, entity id) -> name`` (objects by id, plus partitions joined to
     their objects by hobt id; both catalog-sized) and a single left join."""
-    o = objects.select(*I, F.col("database_id").alias("resource_database_id"), "object_id", "name")
-    by_object = o.select(*I, "resource_database_id", F.lit(LOCK_OBJECT).alias("_kind"),
+    o = objects.select(*C, F.col("database_id").alias("resource_database_id"), "object_id", "name")
+    by_object = o.select(*C, "resource_database_id", F.lit(LOCK_OBJECT).alias("_kind"),
                          F.col("object_id").cast("long").alias("_entity"), F.col("name").alias("resource_type_name"))
-    p = partitions.select(*I, F.col("database_id").alias("resource_database_id"), "object_id",
+    p = partitions.select(*C, F.col("database_id").alias("resource_database_id"), "object_id",
                           F.col("partition_id").cast("long").alias("_entity"))
-    by_hobt = p.join(o, I + ["resource_database_id", "object_id"]).select(
-        *I, "resource_database_id", F.lit("ROW").alias("_kind"), "_entity", F.col("name").alias("resource_type_name"))
+    by_hobt = p.join(o, C + ["resource_database_id", "object_id"]).select(
+        *C, "resource_database_id", F.lit("ROW").alias("_kind"), "_entity", F.col("name").alias("resource_type_name"))
     lookup = by_object.unionByName(by_hobt)
     kind = (F.when(F.col("resource_type") == LOCK_OBJECT, F.lit(LOCK_OBJECT))
             .when(F.col("resource_type").isin(*LOCK_ROW_KINDS), F.lit("ROW")))
     l = locks.withColumn("_kind", kind).withColumn("_entity", F.col("resource_associated_entity_id").cast("long"))
-    return l.join(lookup, I + ["resource_database_id", "_kind", "_entity"], "left").drop("_kind", "_entity")
+    return l.join(lookup, C + ["resource_database_id", "_kind", "_entity"], "left").drop("_kind", "_entity")
 
 
 def locks_held(locks, objects, partitions, databases, exclude_session=None) -> DataFrame:
     """Locks with the locked object's name resolved by resource type."""
+    I = sample_keys(locks)
     l = locks if exclude_session is None else locks.filter(F.col("request_session_id") != exclude_session)
     l = _resource_names(l, objects, partitions)
-    d = databases.select(*I, F.col("database_id").alias("resource_database_id"), F.col("name").alias("database_name"))
-    l = l.join(d, I + ["resource_database_id"], "left")
+    d = databases.select(*C, F.col("database_id").alias("resource_database_id"), F.col("name").alias("database_name"))
+    l = l.join(d, C + ["resource_database_id"], "left")
     return l.select(*I, "database_name", "request_session_id", "resource_type", "resource_type_name",
                     "request_status", "request_mode")
 
@@ -197,6 +206,7 @@ def contended_resources(locks, objects, partitions, databases, connections, text
     other locks, computed from per-resource counts (no pairs are formed, so
     a hot resource with many waiters stays linear).  The resource is compared
     (the source compares a column with itself)."""
+    I = sample_keys(locks, connections, requests)
     key = I + ["resource_database_id", "resource_type", "resource_associated_entity_id", "_desc"]
     l = locks.withColumn("_desc", F.coalesce(F.col("resource_description"), F.lit("\u0000null")))
     # one partial aggregation per (resource, status); the per-resource total is a
@@ -209,11 +219,11 @@ def contended_resources(locks, objects, partitions, databases, connections, text
     l = _resource_names(l.drop("_n", "_ns", "_desc"), objects, partitions)
     c = connections.select(*I, F.col("most_recent_session_id").alias("request_session_id"), "connection_id",
                            "most_recent_sql_handle")
-    t = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("parent_query"))
+    t = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("parent_query"))
     r = requests.select(*I, "connection_id", "statement_start_offset", "statement_end_offset")
-    d = databases.select(*I, F.col("database_id").alias("resource_database_id"), F.col("name").alias("database_name"))
+    d = databases.select(*C, F.col("database_id").alias("resource_database_id"), F.col("name").alias("database_name"))
     j = l.join(c, I + ["request_session_id"]).join(r, I + ["connection_id"], "left")
-    j = j.join(d, I + ["resource_database_id"], "left").join(t, I + ["most_recent_sql_handle"])   # text last
+    j = j.join(d, C + ["resource_database_id"], "left").join(t, C + ["most_recent_sql_handle"])   # text last
     return j.select(*I, "resource_type", "database_name", "resource_associated_entity_id", "request_session_id",
                     "request_mode", "request_status", "resource_type_name", "parent_query",
                     statement_slice("parent_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
@@ -224,11 +234,12 @@ def idle_open_transactions(sessions, transactions, connections, texts, requests)
     """Sessions holding an open transaction with no running request
     (the source's NULL test in the ON clause filters nothing; a left anti
     join does what it means)."""
+    I = sample_keys(sessions, transactions, connections, requests)
     s = sessions.select(*I, "session_id", "login_name", "host_name", "program_name")
     tx = transactions.select(*I, "session_id")
     c = connections.select(*I, "session_id", "most_recent_sql_handle", "last_read", "last_write")
-    t = texts.select(*I, F.col("sql_handle").alias("most_recent_sql_handle"), "text")
-    j = s.join(tx, I + ["session_id"]).join(c, I + ["session_id"]).join(t, I + ["most_recent_sql_handle"])
+    t = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), "text")
+    j = s.join(tx, I + ["session_id"]).join(c, I + ["session_id"]).join(t, C + ["most_recent_sql_handle"])
     j = j.join(requests.select(*I, "session_id"), I + ["session_id"], "left_anti")
     return j.select(*I, "session_id", "login_name", "host_name", "text", "last_read", "last_write", "program_name")
 

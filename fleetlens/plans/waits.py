@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact_ratio
-from ..operators import pareto_cutoff, share_of_total, snapshot_delta, top_n
+from ..operators import pareto_cutoff, sample_keys, share_of_total, snapshot_delta, top_n
 from .constants import (PARETO_WAITS_BENIGN, TOP_WAITS_BENIGN, WAIT_HELP_URL, WAIT_SLEEP_PATTERN,
                         WAITFOR_WAIT)
 
-FLEET = ["instance_id"]
 
 
 def top_waits(waits: DataFrame, n: int = 20, benign=TOP_WAITS_BENIGN, per=None) -> DataFrame:
@@ -20,11 +19,12 @@ def top_waits(waits: DataFrame, n: int = 20, benign=TOP_WAITS_BENIGN, per=None)
     The benign list is an ``IN`` set (pushed into the scan, no join); the
     total is a per-instance aggregate joined back (G08), not an empty
     ``OVER ()`` window."""
+    keys = sample_keys(waits)
     w = waits.filter(~F.col("wait_type").isin(list(benign)))
-    w = share_of_total(w, "wait_time_ms", FLEET, "_total")
-    w = top_n(w, [F.col("wait_time_ms").desc(), F.col("instance_id"), F.col("wait_type")], n, per)
+    w = share_of_total(w, "wait_time_ms", keys, "_total")
+    w = top_n(w, [F.col("wait_time_ms").desc(), *[F.col(k) for k in keys], F.col("wait_type")], n, per)
     return w.select(
-        "instance_id", "wait_type", "wait_time_ms", "signal_wait_time_ms",
+        *keys, "wait_type", "wait_time_ms", "signal_wait_time_ms",
         (F.col("wait_time_ms") - F.col("signal_wait_time_ms")).alias("real_wait"),
         exact_ratio("wait_time_ms", "_total", factor=100, precision=12).alias("pct_waiting"),
         exact_ratio(F.col("wait_time_ms") - F.col("signal_wait_time_ms"), "_total", factor=100,
@@ -34,12 +34,13 @@ def top_waits(waits: DataFrame, n: int = 20, benign=TOP_WAITS_BENIGN, per=None)
 def wait_pareto(waits: DataFrame, pct: int = 95, benign=PARETO_WAITS_BENIGN) -> DataFrame:
     """Waits, largest first, until the share before the row reaches
     ``pct`` % of the instance's total, with averages and a help link."""
+    keys = sample_keys(waits)
     w = waits.filter(~F.col("wait_type").isin(list(benign)) & (F.col("waiting_tasks_count") > 0))
-    w = pareto_cutoff(w, "wait_time_ms", [F.col("wait_time_ms").desc(), F.col("wait_type")], pct, FLEET)
+    w = pareto_cutoff(w, "wait_time_ms", [F.col("wait_time_ms").desc(), F.col("wait_type")], pct, keys)
     res = F.col("wait_time_ms") - F.col("signal_wait_time_ms")
     cnt = F.col("waiting_tasks_count")
     return w.select(
-        "instance_id", "wait_type",
+        *keys, "wait_type",
         exact_ratio("wait_time_ms", F.lit(1000), precision=16).alias("wait_s"),
         exact_ratio(res, F.lit(1000), precision=16).alias("resource_s"),
         exact_ratio("signal_wait_time_ms", F.lit(1000), precision=16).alias("signal_s"),
@@ -54,7 +55,7 @@ def wait_pareto(waits: DataFrame, pct: int = 95, benign=PARETO_WAITS_BENIGN) ->
 def wait_delta(pre: DataFrame, post: DataFrame, sleep_pattern: str = WAIT_SLEEP_PATTERN) -> DataFrame:
     """Wait, signal and real-wait deltas between two captures; waits that
     grew, without sleeps (``NOT LIKE sleep_pattern``) and WAITFOR."""
-    d = snapshot_delta(pre, post, FLEET + ["wait_type"], ["wait_time_ms", "signal_wait_time_ms"],
+    d = snapshot_delta(pre, post, ["instance_id", "wait_type"], ["wait_time_ms", "signal_wait_time_ms"],
                        keep=None, on_reset="raw")
     d = d.filter((F.col("delta_wait_time_ms") > 0) & ~F.col("wait_type").like(sleep_pattern)
                  & (F.col("wait_type") != WAITFOR_WAIT))

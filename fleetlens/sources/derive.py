@@ -524,6 +524,33 @@ SELECT concat('srv', CAST(user_id % 4 AS STRING)) AS instance_id, event_type AS
 FROM {events}""",
 })
 
+# Tables as a collector lands them: the captures of one view in one table, told apart by ``captured_at``.  Cumulative views
+# have an earlier capture of their own; of a point-in-time view the earlier sample saw part of the later one's rows.
+_EARLIER = {
+    "wait_stats": "{wait_stats_pre}", "missing_index_stats": "{missing_index_stats_pre}",
+    "index_operational_stats": "{index_operational_stats_pre}", "index_row_counts": "{index_row_counts_pre}",
+    "index_physical_stats": "{index_physical_stats} WHERE object_id % 2 = 0", "partition_stats": "{partition_stats} WHERE object_id % 2 = 0",
+    "stats_properties": "{stats_properties} WHERE object_id % 2 = 0", "procedure_stats": "{procedure_stats} WHERE object_id % 2 = 0",
+    "file_stats": "{file_stats} WHERE file_id % 2 = 0", "db_size_counters": "{db_size_counters} WHERE cntr_value % 2 = 0",
+    "file_space_usage": "{file_space_usage} WHERE file_id % 2 = 0", "event_targets": "{event_targets} WHERE instance_id <> 'srv1'",
+    "sessions": "{sessions} WHERE session_id % 2 = 0", "connections": "{connections} WHERE session_id % 3 <> 1",
+    "requests": "{requests} WHERE session_id % 2 = 0", "waiting_tasks": "{waiting_tasks} WHERE session_id % 2 = 0",
+    "session_transactions": "{session_transactions} WHERE session_id % 3 <> 1", "session_space": "{session_space} WHERE session_id % 2 = 0",
+    "task_space": "{task_space} WHERE session_id % 2 = 0", "locks": "{locks} WHERE request_session_id % 2 = 0",
+}
+for _name, _source in _EARLIER.items():
+    VIEWS[f"{_name}_captures"] = (f"SELECT TS'{PRE_CAPTURE}' AS captured_at, * FROM {_source}\nUNION ALL\n"
+                                  f"SELECT TS'{POST_CAPTURE}' AS captured_at, * FROM {{{_name}}}")
+VIEWS["perf_counters_captures"] = "SELECT * FROM {perf_counters_pre}\nUNION ALL\nSELECT * FROM {perf_counters}"
+# the usage ledger sees a second capture on the first day, after a restart (counters lower than before)
+SAME_DAY_CAPTURE = "2024-01-16 18:00:00"
+VIEWS["index_usage_restarted"] = _index_usage("1996-01-01 00:00:00")
+VIEWS["index_usage_captures"] = (f"SELECT TS'{PRE_CAPTURE}' AS captured_at, * FROM {{index_usage_pre}}\nUNION ALL\n"
+                                 f"SELECT TS'{SAME_DAY_CAPTURE}' AS captured_at, * FROM {{index_usage_restarted}}\nUNION ALL\n"
+                                 f"SELECT TS'{POST_CAPTURE}' AS captured_at, * FROM {{index_usage}}")
+#: Views that are landed with ``captured_at``, one row set per capture.
+CAPTURED = frozenset(n.removesuffix("_captures") for n in VIEWS if n.endswith("_captures"))
+
 _REF = re.compile(r"\{(\w+)\}")
 
 

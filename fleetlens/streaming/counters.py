@@ -1,11 +1,11 @@
 """ST1: continuous form of the one-second counter sampler.
 
-Samples arrive as landed parquet files.  Per counter and tumbling window the
-stream keeps open (first), close (last) and change of the cumulative value,
-with a watermark so state for closed windows is dropped.  Results leave
-through ``foreachBatch`` in update mode: every micro-batch writes the
-windows it changed to its own ``batch_id=`` folder (overwritten on retry, so
-a replayed batch is idempotent), and readers keep the newest row per window.
+Samples arrive as landed parquet files, in any order.  Every micro-batch is reduced to
+one row per counter and tumbling window (first and last value with their times, and the number of
+samples) and written to its own ``batch_id=`` folder (overwritten on retry, so a
+replayed batch is idempotent).  Readers merge the rows of a window over all batches, so a
+sample that arrives hours late still counts: there is no watermark and no state to drop it from.
+Compaction merges the folders written so far, which keeps reads cheap.
 """
 
 from __future__ import annotations
@@ -14,71 +14,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import latest_per_key
-
 COUNTER_KEYS = ["instance_id", "object_name", "counter_name", "instance_name"]
 SAMPLE_SCHEMA = ("instance_id STRING, object_name STRING, counter_name STRING, instance_name STRING, "
                  "captured_at TIMESTAMP_NTZ, cntr_value BIGINT")
 OUT_COLS = COUNTER_KEYS + ["window_start", "window_end", "open_value", "close_value", "change", "samples"]
+PART_COLS = COUNTER_KEYS + ["window_start", "window_end", "opened", "closed", "samples"]
+
 
+def partial_windows(samples: DataFrame, window: str = "5 minutes") -> DataFrame:
+    """One mergeable row per counter and window: ``opened`` and ``closed`` are (time, value).
 
-def counter_windows(samples: DataFrame, window: str = "5 minutes", watermark: str | None = "10 minutes") -> DataFrame:
-    """Open, close and change per counter and window (batch or stream).
-
-    Capture times are wall-clock (``TIMESTAMP_NTZ``); the watermark needs an
-    instant, so they are read as instants in the session time zone (UTC by
-    the library's defaults) and the window bounds are given back as wall
-    clock."""
-    samples = samples.withColumn("_event", F.col("captured_at").cast("timestamp"))
-    if watermark and samples.isStreaming:
-        samples = samples.withWatermark("_event", watermark)
-    g = samples.groupBy(F.window("_event", window).alias("w"), *COUNTER_KEYS).agg(
-        F.min_by("cntr_value", "_event").alias("open_value"),
-        F.max_by("cntr_value", "_event").alias("close_value"),
-        F.count("*").alias("samples"))
+    Capture times are wall-clock (``TIMESTAMP_NTZ``); windows are cut on them as instants in the
+    session time zone (UTC by the library's defaults) and given back as wall clock."""
+    at = F.struct(F.col("captured_at").alias("at"), F.col("cntr_value").alias("value"))
+    g = samples.groupBy(F.window(F.col("captured_at").cast("timestamp"), window).alias("w"), *COUNTER_KEYS).agg(
+        F.min(at).alias("opened"), F.max(at).alias("closed"), F.count("*").alias("samples"))
     return g.select(*COUNTER_KEYS, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-                    "open_value", "close_value", (F.col("close_value") - F.col("open_value")).alias("change"),
-                    "samples")
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "opened", "closed", "samples")
+
+
+def merge_windows(parts: DataFrame) -> DataFrame:
+    """The rows of every window as one."""
+    return parts.groupBy(*COUNTER_KEYS, "window_start", "window_end").agg(
+        F.min("opened").alias("opened"), F.max("closed").alias("closed"), F.sum("samples").alias("samples")).select(*PART_COLS)
+
+
+def _result(parts: DataFrame) -> DataFrame:
+    first, last = F.col("opened.value"), F.col("closed.value")
+    return parts.select(*COUNTER_KEYS, "window_start", "window_end", first.alias("open_value"), last.alias("close_value"),
+                        (last - first).alias("change"), "samples")
+
+
+def counter_windows(samples: DataFrame, window: str = "5 minutes") -> DataFrame:
+    """Open, close and change per counter and window of a batch of samples."""
+    return _result(partial_windows(samples, window))
 
 
 def start_counter_stream(spark: SparkSession, source: str, out: str, checkpoint: str, window: str = "5 minutes",
-                         watermark: str = "10 minutes", available_now: bool = True) -> StreamingQuery:
-    stream = spark.readStream.schema(SAMPLE_SCHEMA).parquet(source)
-    agg = counter_windows(stream, window, watermark)
+                         available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Keep the windows under ``out`` up to date with the samples landed in ``source``; every sample
+    counts whenever it arrives.  ``max_files_per_trigger`` bounds a micro-batch."""
+    reader = spark.readStream.schema(SAMPLE_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        partial_windows(batch, window).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    w = agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = reader.parquet(source).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
 def read_counter_windows(spark: SparkSession, out: str, compacted: str | None = None,
                          compacted_before: int | None = None) -> DataFrame:
-    """Current result: the newest emitted row of every (counter, window).
+    """Current result: every (counter, window) over all batches.
 
     With a ``compacted`` copy made from the batches before
     ``compacted_before``, only the newer batches are read besides it."""
-    keys = COUNTER_KEYS + ["window_start"]
-    df = spark.read.parquet(out)
+    parts = spark.read.parquet(out)
     if compacted is not None:
-        newer = df.filter(F.col("batch_id") >= compacted_before)
-        old = spark.read.parquet(compacted).select(*OUT_COLS).withColumn("batch_id", F.lit(-1))
-        df = old.unionByName(newer.select(*OUT_COLS, "batch_id"))
-    return latest_per_key(df, keys, ["batch_id"], [c for c in OUT_COLS if c not in keys]).select(*OUT_COLS)
+        newer = parts.filter(F.col("batch_id") >= compacted_before).select(*PART_COLS)
+        parts = spark.read.parquet(compacted).select(*PART_COLS).unionByName(newer)
+    return _result(merge_windows(parts)).select(*OUT_COLS)
 
 
 def compact_counter_windows(spark: SparkSession, out: str, into: str, before_batch: int | None = None) -> None:
-    """Write the newest row of every window emitted so far (or by batches
+    """Write every window merged over the batches written so far (or those
     before ``before_batch``) as one compacted folder, so readers of a
-    long-running stream scan the compacted result plus the newer batches
+    long-running stream scan it plus the newer batches
     instead of every batch ever written.  The source folders are left as
     they are; the caller points readers at the compacted copy."""
-    df = spark.read.parquet(out)
+    parts = spark.read.parquet(out)
     if before_batch is not None:
-        df = df.filter(F.col("batch_id") < before_batch)
-    keys = COUNTER_KEYS + ["window_start"]
-    latest = latest_per_key(df, keys, ["batch_id"], [c for c in OUT_COLS if c not in keys])
-    latest.write.mode("overwrite").parquet(into)
+        parts = parts.filter(F.col("batch_id") < before_batch)
+    merge_windows(parts).write.mode("overwrite").parquet(into)

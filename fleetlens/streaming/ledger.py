@@ -1,53 +1,66 @@
 """ST2: the usage ledger (G12) kept up to date by micro-batch.
 
-Each micro-batch holds one or more captures; they are applied in capture
-order to the last ledger version, and the result is written as a new version
+Each micro-batch holds one or more captures; they are folded into the last
+ledger version in order of capture time, and the result is written as a new version
 ``v=<batch_id>`` (overwritten on retry).  Reading the last version back from
-parquet cuts the lineage between batches.
+parquet cuts the lineage between batches; only the newest versions are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import upsert_ledger
 
 CAPTURE_SCHEMA = ("instance_id STRING, database_id INT, database_name STRING, schema_name STRING, table_name STRING, "
                   "index_name STRING, table_id INT, index_id INT, fill_factor INT, read_usage BIGINT, "
-                  "update_usage BIGINT, modification_date DATE")
+                  "update_usage BIGINT, captured_at TIMESTAMP_NTZ")
+
+#: Versions kept: the newest, the one before it (a replayed batch starts there) and one more.
+KEEP_VERSIONS = 3
+
+
+def _versions(spark: SparkSession, path: str):
+    """The file system and the complete versions (number, folder) under ``path``, oldest first."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    if fs.exists(root):
+        for status in fs.listStatus(root):
+            folder = status.getPath()
+            name = folder.getName()
+            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+                found.append((int(name[2:]), folder))
+    return fs, sorted(found, key=lambda x: x[0])
 
 
 def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest ledger version (strictly older than ``before`` when given)."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # no version written yet  # noqa: BLE001
-        return None
-    if before is not None:
-        df = df.filter(F.col("v") < before)
-    last = df.agg(F.max("v")).first()[0]   # one value: the partition to read
-    if last is None:
-        return None
-    return df.filter(F.col("v") == last).drop("v")
+    """The newest complete ledger version (strictly older than ``before`` when given), or None
+    if there is none yet.  A version that can't be read raises: it is never taken for a
+    missing one, which would start the ledger anew and lose what it has accumulated."""
+    _, versions = _versions(spark, path)
+    versions = [v for v in versions if before is None or v[0] < before]
+    return spark.read.parquet(versions[-1][1].toString()) if versions else None
 
 
 def start_ledger_stream(spark: SparkSession, source: str, ledger_path: str, checkpoint: str,
-                        keys, counters, carry, keep: dict | None = None) -> StreamingQuery:
-    stream = spark.readStream.schema(CAPTURE_SCHEMA).parquet(source)
+                        keys, counters, carry, keep: dict | None = None, keep_versions: int = KEEP_VERSIONS,
+                        max_files_per_trigger: int | None = None) -> StreamingQuery:
+    reader = spark.readStream.schema(CAPTURE_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         # a replayed batch starts again from the version before it, so it rewrites
         # the same result (and the newer-than rule makes a re-applied capture a no-op)
-        ledger = read_ledger(spark, ledger_path, before=batch_id)
-        # the distinct capture dates of one micro-batch: a handful of values
-        days = sorted(r[0] for r in batch.select("modification_date").distinct().collect())
-        for day in days:
-            ledger = upsert_ledger(ledger, batch.filter(F.col("modification_date") == F.lit(day)),
-                                   keys, counters, carry, keep=keep)
-        if ledger is not None:
-            ledger.write.mode("overwrite").parquet(f"{ledger_path}/v={batch_id:010d}")
+        ledger = upsert_ledger(read_ledger(spark, ledger_path, before=batch_id), batch, keys, counters, carry, keep=keep)
+        ledger.write.mode("overwrite").parquet(f"{ledger_path}/v={batch_id:010d}")
+        fs, versions = _versions(spark, ledger_path)
+        for _, folder in versions[:-max(keep_versions, 2)]:
+            fs.delete(folder, True)
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -137,11 +137,11 @@ def test_database_never_restored_keeps_a_row(spark):
 
 
 def test_acknowledged_statements_reset_the_accumulators(spark):
-    cap = spark.createDataFrame([("s", 1, "db", "dbo", "t", "ix1", 1, 1, 90, 10, 20, dt.date(2024, 1, 1)),
-                                 ("s", 1, "db", "dbo", "t", "ix2", 1, 2, 90, 5, 6, dt.date(2024, 1, 1))],
+    cap = spark.createDataFrame([("s", 1, "db", "dbo", "t", "ix1", 1, 1, 90, 10, 20, dt.datetime(2024, 1, 1)),
+                                 ("s", 1, "db", "dbo", "t", "ix2", 1, 2, 90, 5, 6, dt.datetime(2024, 1, 1))],
                                 "instance_id string, database_id int, database_name string, schema_name string, "
                                 "table_name string, index_name string, table_id int, index_id int, fill_factor int, "
-                                "read_usage long, update_usage long, modification_date date")
+                                "read_usage long, update_usage long, captured_at timestamp_ntz")
     ledger = mt.index_usage_ledger(None, cap)
     ran = spark.createDataFrame([("s", 1, "db", "dbo", "t", "ix1", "ALTER INDEX [ix1] ON [db].[dbo].[t] REORGANIZE;",
                                   dt.datetime(2024, 1, 1, 3, 0, 0), dt.datetime(2024, 1, 1, 3, 0, 2, 500000))],
@@ -159,13 +159,14 @@ def test_acknowledged_statements_reset_the_accumulators(spark):
 
 
 def test_column_type_conflicts_with_nulls_match_the_pairwise_rule(spark):
-    rows = [("s", "dbo", "t1", "id", "int", None, 10, 0),
-            ("s", "dbo", "t2", "id", "bigint", None, 19, 0),      # type differs: both id rows conflict
-            ("s", "dbo", "t1", "name", "varchar", 50, None, None),
-            ("s", "dbo", "t2", "name", "varchar", None, None, None),  # NULL length never differs
-            ("s", "dbo", "t3", "code", "char", 3, None, None),
-            ("s", "dbo", "t4", "code", "char", 5, None, None)]        # length differs
-    cols = ("instance_id string, table_schema string, table_name string, column_name string, data_type string, "
+    rows = [("s", 1, "dbo", "t1", "id", "int", None, 10, 0),
+            ("s", 1, "dbo", "t2", "id", "bigint", None, 19, 0),      # type differs: both id rows conflict
+            ("s", 1, "dbo", "t1", "name", "varchar", 50, None, None),
+            ("s", 1, "dbo", "t2", "name", "varchar", None, None, None),  # NULL length never differs
+            ("s", 1, "dbo", "t3", "code", "char", 3, None, None),
+            ("s", 1, "dbo", "t4", "code", "char", 5, None, None),        # length differs
+            ("s", 2, "dbo", "t5", "name", "int", None, 10, 0)]            # another database: no conflict
+    cols = ("instance_id string, database_id int, table_schema string, table_name string, column_name string, data_type string, "
             "character_maximum_length int, numeric_precision int, numeric_scale int")
     df = spark.createDataFrame(rows, cols)
     got = {(r.table_name, r.column_name) for r in inv.column_type_conflicts(df).collect()}
@@ -173,8 +174,8 @@ def test_column_type_conflicts_with_nulls_match_the_pairwise_rule(spark):
     exp = set()
     for a in rows:
         for b in rows:
-            if a[3] == b[3] and any(x is not None and y is not None and x != y for x, y in zip(a[4:], b[4:])):
-                exp.add((a[2], a[3]))
+            if a[1] == b[1] and a[4] == b[4] and any(x is not None and y is not None and x != y for x, y in zip(a[5:], b[5:])):
+                exp.add((a[3], a[4]))
     assert got == exp == {("t1", "id"), ("t2", "id"), ("t3", "code"), ("t4", "code")}
     pct = {r.column_name: r.pct for r in inv.column_type_conflicts(df).collect()}
     assert pct["id"] == Decimal("66.00")     # 2 rows * 100 / 3 names, integer division

@@ -29,7 +29,7 @@ def test_statement_slice_edges(spark):
     df = spark.createDataFrame(rows, "t string, s int, e int")
     out = [r[0] for r in df.select(statement_slice("t", "s", "e")).collect()]
     # end -1 / NULL: to the end (LEN ignores trailing blanks); negative length: ''
-    assert out == ["abcdefghij", "cde", "cdefghij", "abc ", "", "😀b", "bc", None]
+    assert out == ["abcdefghij", "cde", "cdefghij", "abc ", "", "😀", "bc", None]   # two units, one character
 
 
 def test_rounded_key_matches_the_exact_decimal(spark):
@@ -43,14 +43,15 @@ def test_rounded_key_matches_the_exact_decimal(spark):
 
 
 def _tsql_slice(text, start, end):
-    """The server's formula, written out in Python (code points, not UTF-16)."""
+    """The server's formula, written out in Python over UTF-16 units."""
     if text is None or start is None:
         return None
-    stop = len(text.rstrip(" ")) * 2 if end is None or end == -1 else end
+    units = text.encode("utf-16-le")
+    stop = len(text.rstrip(" ").encode("utf-16-le")) if end is None or end == -1 else end
     diff = stop - start
     length = max(int(diff / 2) + 1, 0)            # int() truncates toward zero like T-SQL
     pos = start // 2 + 1
-    return text[pos - 1:pos - 1 + length]
+    return units[2 * (pos - 1):2 * (pos - 1 + length)].decode("utf-16-le", errors="replace")
 
 
 def test_statement_slice_matches_the_formula_on_random_input(spark):

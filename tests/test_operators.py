@@ -87,11 +87,11 @@ def test_latest_per_key_and_top_n(spark):
 
 
 def test_ledger_upsert_is_idempotent_for_an_unchanged_capture(spark):
-    cap = spark.createDataFrame([("i1", 10, 5, dt.date(2024, 1, 1))], "k string, r long, u long, modification_date date")
+    cap = spark.createDataFrame([("i1", 10, 5, dt.datetime(2024, 1, 1))], "k string, r long, u long, captured_at timestamp_ntz")
     seeded = upsert_ledger(None, cap, ["k"], ["r", "u"])
     again = upsert_ledger(seeded, cap, ["k"], ["r", "u"])
     assert sorted(map(tuple, seeded.collect())) == sorted(map(tuple, again.collect()))
-    later = spark.createDataFrame([("i1", 4, 9, dt.date(2024, 1, 2))], "k string, r long, u long, modification_date date")
+    later = spark.createDataFrame([("i1", 4, 9, dt.datetime(2024, 1, 2))], "k string, r long, u long, captured_at timestamp_ntz")
     row = upsert_ledger(seeded, later, ["k"], ["r", "u"]).first()
     # reads went down (restart): the delta taken is the previous value
     assert (row.current_r, row.last_r, row.diff_r, row.accumulated_r) == (4, 10, 10, 20)

@@ -16,8 +16,8 @@ def test_entry_runs(spark):
 
 
 def _batch_queries():
-    import __spark_entry__ as e
-    return sorted(n for n in e.queries() if not n.startswith("stream_"))
+    from fleetlens.registry import load_all
+    return sorted(n for n in load_all() if not n.startswith("stream_"))
 
 
 @pytest.mark.parametrize("name", _batch_queries())
@@ -30,6 +30,22 @@ def test_no_quadratic_operators(spark, name):
     assert "SinglePartition" not in plan
 
 
+@pytest.mark.parametrize("name", _batch_queries())
+def test_no_quadratic_operators_without_broadcasts(spark, name):
+    """The shape on tables too large to broadcast: shuffle joins on keys only."""
+    import __spark_entry__ as e
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in saved:
+            spark.conf.set(k, "-1")
+        plan = _plan(e.queries()[name](spark, SF))
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    for node in ("CartesianProduct", "NestedLoopJoin", "SinglePartition", "BroadcastHashJoin"):
+        assert node not in plan, node
+
+
 def test_benign_waits_filter_is_a_set_not_a_join(spark):
     import __spark_entry__ as e
     plan = _plan(e.queries()["top_waits"](spark, SF))
