@@ -3,8 +3,6 @@ literal rewrites (G23) and bracket quoting for rendered statements (G24)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,10 +43,6 @@ def contains_ci(col, needle: str) -> Column:
     return F.lower(col_of(col)).contains(needle.lower())
 
 
-def any_contains_ci(cols, needle: str) -> Column:
-    return reduce(lambda a, b: a | b, [contains_ci(c, needle) for c in cols])
-
-
 def rewrite_text(col, replacements) -> Column:
     """Ordered literal replacements over a column."""
     out = col_of(col)

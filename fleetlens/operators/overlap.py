@@ -18,11 +18,10 @@ def prefix_overlap(df: DataFrame, group: Sequence[str], items: str, id_col: str,
     element boundaries and compared as joined strings (the reference compares
     the rendered text with ``LIKE LEFT(...)``; wildcards are taken literally).
 
-    No pair of rows is ever formed, and the input is read once: every row
-    emits its prefixes (an index has at most a few dozen key columns), and
-    per ``(group, prefix)`` two counts are taken with one window —
+    No pair of rows is ever formed: every row emits its prefixes (an index has at most a few
+    dozen key columns) with its key only, and per ``(group, prefix)`` two counts are taken with one window:
     ``n`` = rows having that prefix, ``f`` = rows whose whole list is it.
-    Then per row, with a second window over the row's own prefixes:
+    Then per row, over the row's own prefixes (the other columns are joined to the winners):
 
     * R's list is a prefix of another row's iff ``n(R.list) >= 2``;
     * another row's list is a prefix of R's iff ``sum over R's prefixes of
@@ -31,15 +30,13 @@ def prefix_overlap(df: DataFrame, group: Sequence[str], items: str, id_col: str,
     Rows with a NULL / empty list or NULL id never match.
     """
     g = list(group)
-    base = df.filter(F.col(items).isNotNull() & (F.size(items) > 0) & F.col(id_col).isNotNull())
+    base = df.filter(F.col(items).isNotNull() & (F.size(items) > 0) & F.col(id_col).isNotNull()).select(*g, id_col, items)
     prefixes = F.transform(F.sequence(F.lit(1), F.size(items)),
                            lambda i: F.array_join(F.slice(F.col(items), F.lit(1), i), sep))
-    pref = base.withColumn("_full", F.array_join(F.col(items), sep)).withColumn("_p", F.explode(prefixes))
-    pref = pref.withColumn("_is_full", (F.col("_p") == F.col("_full")).cast("int"))
+    pref = base.select(*g, id_col, F.posexplode(prefixes).alias("_k", "_p"), (F.size(items) - 1).alias("_last"))
+    pref = pref.withColumn("_is_full", (F.col("_k") == F.col("_last")).cast("int"))
     by_prefix = Window.partitionBy(*g, "_p")
     pref = pref.withColumn("_n", F.count("*").over(by_prefix)).withColumn("_f", F.sum("_is_full").over(by_prefix))
-    by_row = Window.partitionBy(*g, id_col)
-    pref = pref.withColumn("_down", F.max(F.when(F.col("_is_full") == 1, F.col("_n"))).over(by_row)) \
-               .withColumn("_up", F.sum("_f").over(by_row))
-    hits = pref.filter((F.col("_is_full") == 1) & ((F.col("_down") >= 2) | (F.col("_up") >= 2)))
-    return hits.drop("_full", "_p", "_is_full", "_n", "_f", "_down", "_up")
+    per_row = pref.groupBy(*g, id_col).agg(F.max(F.when(F.col("_is_full") == 1, F.col("_n"))).alias("_down"), F.sum("_f").alias("_up"))
+    hits = per_row.filter((F.col("_down") >= 2) | (F.col("_up") >= 2)).select(*g, id_col)
+    return df.join(hits, [*g, id_col], "left_semi")

@@ -65,6 +65,8 @@ DEADLOCK_EVENT_NAME = "xml_deadlock_report"
 VICTIM_SEPARATOR = "\\r\\n"                      # the literal four characters \r\n
 QUERY_DELTA_SELF_MARK = "--ThisRoutineIdentifier99"
 COMBINED_DELTA_SELF_MARK = "--This routine identifier AMALGATEDDMV_snapshot"
+WAITING_REPORT_SELF_MARK = "--ThisRoutimeIdentifier"
+COMPANION_SELF_TEXT = "--This routine identifier"      # a whole text, not a prefix
 WAIT_SLEEP_PATTERN = "%SLEEP"
 COMBINED_SLEEP_PATTERN = "%SLEEP%"
 WAITFOR_WAIT = "WAITFOR"

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import int_div, statement_slice
 from ..operators import database_scope, snapshot_delta
 from ..operators.deltas import capture_range_delta
-from .constants import COMBINED_DELTA_SELF_MARK, COMBINED_SLEEP_PATTERN, QUERY_DELTA_SELF_MARK
+from .constants import (COMBINED_DELTA_SELF_MARK, COMBINED_SLEEP_PATTERN, COMPANION_SELF_TEXT, QUERY_DELTA_SELF_MARK,
+                        WAITING_REPORT_SELF_MARK)
 from .waits import wait_delta
 
 QUERY_KEYS = ["instance_id", "sql_handle", "plan_handle", "statement_start_offset", "statement_end_offset"]
@@ -44,27 +45,40 @@ def query_delta_between(captures: DataFrame, start, end, texts: DataFrame, plans
     return _finish_query_delta(d, texts, plans, databases, database_id, exclude_prefix)
 
 
-def _finish_query_delta(d, texts, plans, databases, database_id, exclude_prefix) -> DataFrame:
+def _finish_query_delta(d, texts, plans, databases, database_id, exclude_prefix, exclude_text: str | None = None,
+                        with_plan: bool = True) -> DataFrame:
     """Scope, text filter and names of the changed statements.  Narrow joins
     first (plan's database, names), the text where its filter needs it, and
-    the plan XML last, so each wide column is moved once."""
+    the plan XML last, so each wide column is moved once.  ``with_plan=False``
+    keeps statements whose plan has left the cache, and leaves the plan out."""
     d = d.filter(F.col("delta_execution_count") != 0)
     p = plans.select("instance_id", "plan_handle", "dbid")
-    d = database_scope(d.join(p, ["instance_id", "plan_handle"]), "dbid", database_id)
+    d = database_scope(d.join(p, ["instance_id", "plan_handle"], "inner" if with_plan else "left"), "dbid", database_id)
     db = databases.select("instance_id", F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
     d = d.join(db, ["instance_id", "dbid"], "left")
     t = texts.select("instance_id", "sql_handle", F.col("text").alias("parent_query"))
     d = d.join(t, ["instance_id", "sql_handle"])
     if exclude_prefix:
         d = d.filter(~F.col("parent_query").startswith(exclude_prefix))
-    d = d.join(plans.select("instance_id", "plan_handle", "query_plan"), ["instance_id", "plan_handle"])
+    if exclude_text:
+        d = d.filter(F.col("parent_query") != exclude_text)
+    if with_plan:
+        d = d.join(plans.select("instance_id", "plan_handle", "query_plan"), ["instance_id", "plan_handle"])
     dur, cpu = F.col("delta_total_elapsed_time"), F.col("delta_total_worker_time")
     return d.select(
         "instance_id", dur.alias("duration"), cpu.alias("cpu_time"), (dur - cpu).alias("blocked_time"),
         F.col("delta_total_logical_reads").alias("reads"), F.col("delta_total_logical_writes").alias("writes"),
         F.col("delta_total_clr_time").alias("clr_time"), F.col("delta_execution_count").alias("executions"),
         statement_slice("parent_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
-        "parent_query", "database_name", "query_plan")
+        "parent_query", "database_name", *(["query_plan"] if with_plan else []))
+
+
+def companion_query_delta(pre: DataFrame, post: DataFrame, texts, plans, databases, with_plan: bool = True) -> DataFrame:
+    """The statement deltas that R76 (``with_plan``) and R77 show beside theirs: keyed without
+    the plan handle, leaving out only the report's own text."""
+    keys = [k for k in QUERY_KEYS if k != "plan_handle"]
+    d = snapshot_delta(pre, post, keys, QUERY_COUNTERS, keep=None, on_reset="raw", carry=["plan_handle"])
+    return _finish_query_delta(d, texts, plans, databases, None, None, exclude_text=COMPANION_SELF_TEXT, with_plan=with_plan)
 
 
 COUNTER_KEYS = ["instance_id", "object_name", "counter_name", "instance_name"]
@@ -116,14 +130,23 @@ def combined_delta(pre: dict, post: dict, texts, plans, databases, details) -> d
 
 def waiting_queries_report(pre: dict, post: dict, texts, plans, databases,
                            samples: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Statements by blocked time, wait delta, counter delta and the raw
-    counter samples of the interval."""
+    """Statement deltas (a cached plan is not needed), wait delta, counter delta and the raw
+    counter samples of the interval; a reader sorts the statements by blocked time."""
+    d = snapshot_delta(pre["query_stats"], post["query_stats"], QUERY_KEYS, QUERY_COUNTERS, keep=None, on_reset="raw")
     out = {
-        "queries": query_delta(pre["query_stats"], post["query_stats"], texts, plans, databases)
-        .orderBy(F.col("blocked_time").desc()),
+        "queries": _finish_query_delta(d, texts, plans, databases, None, WAITING_REPORT_SELF_MARK, with_plan=False),
         "waits": wait_delta(pre["wait_stats"], post["wait_stats"]),
         "counters": counter_delta(pre["perf_counters"], post["perf_counters"]),
     }
     if samples is not None:
         out["samples"] = samples
     return out
+
+
+def as_one(parts: dict[str, DataFrame]) -> DataFrame:
+    """The parts of a combined report in one table: ``part`` names the part, columns a part lacks are NULL."""
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn("part", F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out

@@ -148,7 +148,10 @@ def maintenance_plan(ledger, physical, indexes, objects, schemas, stats_properti
 
 def system_stats_refresh_list(indexes, partitions, objects, schemas) -> DataFrame:
     """One ``UPDATE STATISTICS [schema].[table];`` per index partition of
-    system tables with rows, concatenated per database (G15)."""
+    system tables with rows.
+
+    The source runs them as one string per database; here each is a row whose ``object_id, index_id,
+    partition_id`` give its place, so no database's statements meet in one value or one task."""
     i = indexes.filter(F.col("index_id") > 0).select("instance_id", "database_id", "object_id", "index_id")
     p = partitions.filter(F.col("rows") > 0).select("instance_id", "database_id", "object_id", "index_id", "partition_id")
     o = objects.filter(F.col("is_ms_shipped")).select("instance_id", "database_id", "object_id", "schema_id",
@@ -156,10 +159,8 @@ def system_stats_refresh_list(indexes, partitions, objects, schemas) -> DataFram
     s = schemas.select("instance_id", "database_id", "schema_id", F.col("name").alias("schema_name"))
     j = i.join(p, ["instance_id", "database_id", "object_id", "index_id"]).join(
         o, ["instance_id", "database_id", "object_id"]).join(s, ["instance_id", "database_id", "schema_id"])
-    j = j.withColumn("stmt", render_statement(SYSTEM_STATS_PREFIX, quote_name("schema_name"), ".",
-                                              quote_name("table_name"), ";"))
-    return ordered_string_agg(j, ["instance_id", "database_id"], "stmt", ["object_id", "index_id", "partition_id"],
-                              sep="", alias="sql")
+    return j.select("instance_id", "database_id", "object_id", "index_id", "partition_id", render_statement(
+        SYSTEM_STATS_PREFIX, quote_name("schema_name"), ".", quote_name("table_name"), ";").alias("sql"))
 
 
 def duplicate_or_overlapping_indexes(tables, indexes, index_columns) -> DataFrame:

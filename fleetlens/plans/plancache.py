@@ -35,17 +35,23 @@ def _is_parallel(v: Column) -> Column:
     return (F.lower(v) == "true") | (v.try_cast("double") > 0)
 
 
+# a flag that is neither 0 nor false, and an operator's flag whatever its value: scans of the raw text, no parse
+_FLAG_SET = r"""\bParallel\s*=\s*["'](?!\s*(?:0+|[Ff]alse)\s*["'])"""
+_FLAG = r"""<(?:\w+:)?RelOp\s(?:[^>"']++|"[^"]*+"|'[^']*+')*?\bParallel\s*="""
+
+
 def has_parallel_operator(plan: Column) -> Column:
-    """``max(//RelOp/@Parallel) > 0``: some operator of the plan runs in parallel."""
-    return F.exists(_parallel_attrs(plan), _is_parallel)
+    """``max(//RelOp/@Parallel) > 0``: some operator of the plan runs in parallel.  Only plans
+    with some flag set are parsed."""
+    return F.when(plan.rlike(_FLAG_SET), F.exists(_parallel_attrs(plan), _is_parallel)).otherwise(F.lit(False))
 
 
 def parallel_flag(plan: Column) -> Column:
-    """``max(//RelOp/@Parallel)`` as 1 / 0, NULL when the plan has no operator;
-    the document is parsed once."""
+    """``max(//RelOp/@Parallel)`` as 1 / 0, NULL when the plan has no operator.  Only plans
+    with some flag set, or with a flag on something else than an operator, are parsed (once)."""
     attrs = _parallel_attrs(plan)
-    return (F.when(F.size(attrs) == 0, F.lit(None))
-            .when(F.exists(attrs, _is_parallel), F.lit(1)).otherwise(F.lit(0)))
+    parsed = F.when(F.size(attrs) == 0, F.lit(None)).when(F.exists(attrs, _is_parallel), F.lit(1)).otherwise(F.lit(0))
+    return F.when(~plan.contains("Parallel"), F.lit(None)).when(~plan.rlike(_FLAG_SET) & plan.rlike(_FLAG), F.lit(0)).otherwise(parsed)
 
 
 def _compiled(cached_plans: DataFrame) -> DataFrame:
@@ -181,18 +187,11 @@ PLAN_SCHEMA = (
 
 
 def _column_list(groups: Column, usage: str) -> Column:
-    """Distinct column names (brackets removed) of one usage, sorted, each
-    followed by ',' (the source's ``FOR XML PATH`` list); NULL when none."""
+    """Distinct column names (brackets removed) of one usage, sorted; empty when none."""
     names = F.flatten(F.transform(F.filter(groups, lambda g: g["_Usage"] == usage),
                                   lambda g: F.transform(g["Column"], lambda c: F.replace(
                                       F.replace(c["_Name"], F.lit("]"), F.lit("")), F.lit("["), F.lit("")))))
-    names = F.array_sort(F.array_distinct(names))
-    return F.when(F.size(names) > 0, F.concat(F.array_join(names, ","), F.lit(",")))
-
-
-def _strip_last(c: Column) -> Column:
-    """``LEFT(c, LEN(c) - 1)``: drop the trailing separator."""
-    return c.substr(F.lit(1), F.length(c) - 1)
+    return F.coalesce(F.array_sort(F.array_distinct(names)), F.array().cast("array<string>"))
 
 
 def missing_indexes_from_plans(qs, plans, engine_edition: int = 2) -> DataFrame:
@@ -220,14 +219,14 @@ def missing_indexes_from_plans(qs, plans, engine_edition: int = 2) -> DataFrame:
                  F.concat(mi["_Database"], F.lit("."), mi["_Schema"], F.lit("."), mi["_Table"]).alias("object"),
                  eq.alias("_eq"), ineq.alias("_ineq"), inc.alias("_inc"))
     e, i, c = F.col("_eq"), F.col("_ineq"), F.col("_inc")
-    name = F.concat(F.lit("IX_"), F.concat_ws("_", *[F.replace(_strip_last(x), F.lit(","), F.lit("_"))
-                                                    for x in (e, i, c)]))
-    key_cols = (F.when(e.isNotNull() & i.isNotNull(), F.concat(e, _strip_last(i)))
-                .when(e.isNotNull(), _strip_last(e)).when(i.isNotNull(), _strip_last(i)))
+    # a column's own commas become underscores in the index name, like the ones between columns
+    name = F.concat(F.lit("IX_"), F.replace(F.array_join(F.concat(e, i, c), "_"), F.lit(","), F.lit("_")))
+    keys = F.concat(e, i)
+    key_cols = F.when(F.size(keys) > 0, F.array_join(keys, ","))
     create = F.concat(
         F.lit(CREATE_INDEX_PREFIX), quote_name(name), F.lit(" ON "), F.col("object"),
         F.coalesce(F.concat(F.lit("("), key_cols, F.lit(")")), F.lit("")),
-        F.when(c.isNotNull(), F.concat(F.lit(INCLUDE_PREFIX), _strip_last(c), F.lit(")"))).otherwise(F.lit("")),
+        F.when(F.size(c) > 0, F.concat(F.lit(INCLUDE_PREFIX), F.array_join(c, ","), F.lit(")"))).otherwise(F.lit("")),
         F.lit(FILLFACTOR_CLAUSE + (ONLINE_CLAUSE if engine_edition == 3 else "") + ");"))
     p = p.withColumn("miss_index_creation", create).drop("_eq", "_ineq", "_inc")
     q = qs.select("instance_id", "plan_handle", "query_hash", "query_plan_hash", "creation_time",

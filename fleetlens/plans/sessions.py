@@ -72,6 +72,11 @@ def temp_space_by_session(space, sessions, connections, texts) -> DataFrame:
                     "last_write", "program_name")
 
 
+def temp_space_by_task_detail(task_space, sessions, connections, texts) -> DataFrame:
+    """R59 (first result): per task row with its session's last statement text."""
+    return temp_space_by_session_detail(task_space, sessions, connections, texts)
+
+
 def temp_space_by_task(task_space, sessions, connections, texts, requests) -> DataFrame:
     """As R58 over task space, with the running statement in the group."""
     I = sample_keys(task_space, sessions, connections, requests)

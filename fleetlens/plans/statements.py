@@ -24,9 +24,10 @@ from ..operators import database_scope, resolve_plan, resolve_text, top_n
 QS_KEY = ["instance_id", "plan_handle", "sql_handle", "statement_start_offset", "statement_end_offset"]
 
 
-def _scoped(qs: DataFrame, plans: DataFrame, texts: DataFrame, database_id: int | None,
+def _scoped(qs: DataFrame, plans: DataFrame, texts: DataFrame | None, database_id: int | None,
             adhoc: str = "keep") -> DataFrame:
-    """Statistics rows that have a plan and a text, within the database scope."""
+    """Statistics rows that have a plan and a text, within the database scope.  ``texts=None``
+    leaves the text out: the caller joins the texts itself."""
     p = plans.select("instance_id", "plan_handle", "dbid")
     q = qs.join(p, ["instance_id", "plan_handle"])
     if adhoc == "keep":
@@ -35,6 +36,8 @@ def _scoped(qs: DataFrame, plans: DataFrame, texts: DataFrame, database_id: int
         q = q.filter(F.col("dbid").isNotNull())
         if database_id is not None:
             q = q.filter(F.col("dbid") == database_id)
+    if texts is None:
+        return q
     return q.join(texts.select("instance_id", "sql_handle"), ["instance_id", "sql_handle"], "left_semi")
 
 
@@ -118,7 +121,7 @@ def most_recompiled_statements(qs, texts, plans, databases, n: int = 20, databas
 
 def statements_last_run(qs, texts, plans, databases, text: str, n: int = 20, database_id=None, per=None):
     """Statements whose *batch* text contains ``text``, oldest last run first."""
-    q = _scoped(qs, plans, texts, database_id)
+    q = _scoped(qs, plans, None, database_id)
     hits = texts.filter(contains_ci("text", text)).select("instance_id", "sql_handle")
     q = q.join(hits, ["instance_id", "sql_handle"], "left_semi")
     top = top_n(q, [F.col("last_execution_time").asc()] + _tiebreak(), n, per)
@@ -131,7 +134,7 @@ def _slice_matches(qs, texts, plans, database_id, pred: Callable[[Column], Colum
 
     The slice needs the text, so the text is joined before the filter; only
     the match flag and keys go on to the ranking."""
-    q = _scoped(qs, plans, texts, database_id)
+    q = _scoped(qs, plans, None, database_id)
     t = texts.select("instance_id", "sql_handle", "text")
     j = q.join(t, ["instance_id", "sql_handle"])
     j = j.withColumn("_stmt", statement_slice("text", "statement_start_offset", "statement_end_offset"))

@@ -7,6 +7,7 @@ fills in settings that are unset, so cluster settings always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -58,8 +59,9 @@ def apply_defaults(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is read, never overridden.  Only
-    when it is unset (local tests) is a fresh scratch folder set.
+    A cluster names a shared folder there; it is read, never overridden.  When it is
+    unset, a local master (tests) gets a fresh scratch folder; any other raises, since its
+    executors don't see the driver's folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -70,6 +72,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        if sc is None or not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
