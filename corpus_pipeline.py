@@ -50,11 +50,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of the ids and of the bytes they decode to."""
+    shared_folder(spark)
     ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
     ids, name = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    back, raw = bpe.decoded(ids, ranks, name)
+    back, raw, digest = bpe.decoded(ids, ranks, name)
     return back.select("doc_id", "lang", "source", F.col(name).alias("ids"), F.size(name).cast("long").alias("n_tokens"),
-                       bpe.id_digest(name).alias("ids_sha256"), F.sha2(raw, 256).alias("decoded_sha256"))
+                       F.col(digest).alias("ids_sha256"), F.sha2(raw, 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality_rules", quality_stage), ("simhash_near_duplicates", near_duplicate_stage), ("pii", pii_stage),

@@ -16,6 +16,7 @@ from fleetlens.session import ensure_checkpoint_dir
 
 #: Rows of a batch are handed to Python in slices of at most this many bytes of text.
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = 1000
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
           "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()),
@@ -28,7 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor can read."""
+    """The folder of ``spark.checkpoint.dir``, which every executor can read.
+
+    Also keeps the session's Arrow batches to BATCH_ROWS rows: texts are long, and a batch is
+    held several times over between the JVM and its Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     return (set_dir or ensure_checkpoint_dir(spark)).rstrip("/")
 
@@ -59,12 +64,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows with about SLICE_BYTES of ``column`` each (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``most`` bytes of ``column`` each (one row at least)."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > SLICE_BYTES:
+        if total and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

@@ -125,8 +125,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole document with a public byte-level vocabulary, and decode the ids."""
     ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
     ids, name = bpe.encoded(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    back, raw = bpe.decoded(ids, ranks, name)
-    return back.select("doc_id", F.size(name).cast("long").alias("n_tokens"), bpe.id_digest(name).alias("ids_sha256"),
+    back, raw, digest = bpe.decoded(ids, ranks, name)
+    return back.select("doc_id", F.size(name).cast("long").alias("n_tokens"), F.col(digest).alias("ids_sha256"),
                        F.sha2(raw, 256).alias("decoded_sha256"))
 
 

@@ -290,6 +290,43 @@ def ranks():
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@pytest.fixture(scope="module")
+def tables(ranks):
+    return bpe.merge_tables(ranks)
+
+
+@pytest.mark.parametrize("few", [0, 6])
+def test_bpe_blocks_of_words(tables, reference, docs, monkeypatch, few):
+    monkeypatch.setattr(bpe, "_FEW", few)
+    texts = [t for _, t in docs] + ["a" * k for k in range(40)] + ["ab" * k + "a" for k in range(40)] + ["aaab" * 9, "   \n\n  x", "ééééé" * 7]
+    got = bpe.Encoder(tables, public_tokenizers.PATTERN).encode(texts)
+    assert [g.tolist() for g in got] == [reference.encode_ordinary(t or "") for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abc", min_size=1, max_size=12), min_size=1, max_size=30),
+       st.lists(st.text(alphabet="abc", min_size=2, max_size=5), unique=True, max_size=25), st.sampled_from([0, 6]))
+def test_bpe_with_any_order_of_ranks(words, tokens, few):
+    """Vocabularies whose ranks have no merge order, such that a merge may bring up a lower rank."""
+    ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + k for k, t in enumerate(tokens)}
+
+    def plain(w):
+        parts = [bytes([b]) for b in w]
+        while True:
+            best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+            if best is None:
+                return [ranks[p] for p in parts]
+            i = best[1]
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+    old, bpe._FEW = bpe._FEW, few
+    try:
+        ids, count = bpe.Merger(bpe.merge_tables(ranks)).replay([w.encode() for w in words])
+    finally:
+        bpe._FEW = old
+    want = [plain(w.encode()) for w in words]
+    assert ids.tolist() == [x for w in want for x in w] and count.tolist() == [len(w) for w in want]
+
+
 @pytest.fixture(scope="module")
 def reference(ranks):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -306,28 +343,28 @@ def test_bpe_query(spark, docs, reference):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
-def test_bpe_random_texts(ranks, reference, text):
-    enc = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+def test_bpe_random_texts(tables, reference, text):
+    enc = bpe.Encoder(tables, public_tokenizers.PATTERN)
     assert enc.encode([text, None, ""])[0].tolist() == reference.encode_ordinary(text)
 
 
-def test_bpe_long_words(ranks, reference):
-    enc = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+def test_bpe_long_words(tables, reference):
+    enc = bpe.Encoder(tables, public_tokenizers.PATTERN)
     for text in ("a" * 5000, "ab" * 3000, " " * 4000 + "x", "the" * 2000, "!?" * 2000, "é" * 3000):
         assert enc.encode([text])[0].tolist() == reference.encode_ordinary(text)
     assert len(enc.encode(["q" * 300_000])[0]) > 1000
 
 
-def test_bpe_keeps_a_bounded_cache(ranks, reference, monkeypatch):
+def test_bpe_keeps_a_bounded_cache(tables, reference, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
-    enc = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    enc = bpe.Encoder(tables, public_tokenizers.PATTERN)
     for text in ("one two three", "four five", "one six", "seven eight nine ten"):
         assert enc.encode([text])[0].tolist() == reference.encode_ordinary(text)
 
 
 def test_bpe_odd_rows(odd, ranks):
     ids, name = bpe.encoded(odd, ranks, public_tokenizers.PATTERN, keep_text=True)
-    back, raw = bpe.decoded(ids, ranks, name)
+    back, raw, _ = bpe.decoded(ids, ranks, name)
     assert all(bytes(r[raw]).decode() == (r.text or "") for r in back.collect())
     assert bpe.encoded(odd.limit(0), ranks, public_tokenizers.PATTERN)[0].count() == 0
 
