@@ -43,6 +43,12 @@ _HINT = re.compile(
     r"side-bar|widget|related|recommended|share|sharing|social|comments?|commentlist|discussion|disqus|replies|respond|footer|foot|masthead|"
     r"site-header|page-header|topbar|toolbar|skip-link|hidden)(?:$|[\s_-])", re.I)
 
+# an article inside or beside the main one that is a comment or a teaser
+_SIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|teasers?|related|promo|sponsored|ads?)(?:$|[\s_-])", re.I)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Elements that end at the next one of their name.
+_SIBLINGS = frozenset("li dt dd tr td th option".split())
+
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -63,7 +69,10 @@ def _left_out(name: str, raw: str, in_article: bool) -> bool:
         return True
     if "display:none" in at.get("style", "").replace(" ", "").lower():
         return True
-    return name not in ("html", "body", "article", "main", "p", "h1") and bool(_HINT.search(f"{at.get('class', '')} {at.get('id', '')}"))
+    names = _CAMEL.sub("-", f"{at.get('class', '')} {at.get('id', '')}")
+    if name == "article":
+        return bool(_SIDE_ARTICLE.search(names))
+    return name not in ("html", "body", "main", "h1") and bool(_HINT.search(names))
 
 
 class Line:
@@ -79,7 +88,7 @@ def lines(page: str) -> list[Line]:
     pieces: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # open block elements: name, left out, inside article
-    left_out = inside = False
+    left_out = inside = aside = False  # aside: a paragraph that is left out
     link = False
 
     def end() -> None:
@@ -87,7 +96,7 @@ def lines(page: str) -> list[Line]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Line(text, linked, left_out, inside))
+                out.append(Line(text, linked, left_out or aside, inside))
         pieces, linked = [], 0
 
     at, n = 0, len(page)
@@ -135,6 +144,10 @@ def lines(page: str) -> list[Line]:
                 end()
             continue
         end()
+        aside = name == "p" and not ending and _left_out(name, raw, inside)
+        if name in _SIBLINGS and not ending and stack and stack[-1][0] == name:
+            stack.pop()
+            left_out, inside = stack[-1][1:] if stack else (False, False)
         if ending:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:

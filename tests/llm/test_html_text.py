@@ -33,6 +33,8 @@ def _page(body):
     f"<article><h1>Storm</h1><p>{PROSE}</p><form><label>Mail</label><input><button>Send</button></form></article><div class='cookie-notice'>We use cookies {PROSE}</div>",
     f"<ul><li><a href=1>One link</a><li><a href=2>Another link</a></ul><p>Storm<p>{PROSE}</p><table><tr><td><a href=3>Third</a></td></tr></table>",
     f"<div role=navigation>Menu {PROSE}</div><article><h1>Storm</h1><!-- <p>no</p> --><p>{PROSE}</p><div class='ad'>Buy {PROSE}</div></article>",
+    f"<article><h1>Storm</h1><p>{PROSE}</p><p class='advert'>Buy {PROSE}<p id=cookieNotice>We use {PROSE}</article><article class='comment'>First {PROSE}</article>",
+    f"<main><h1>Storm</h1><ul><li class=ad>Buy<li>{PROSE}</ul><div class='newsletterSignup'>Join {PROSE}</div><article class='comment-1 comment'>Hi</article></main>",
 ])
 def test_other_pages(body):
     assert html_text.main_text(_page(body)) == f"Storm {PROSE.strip()}"
