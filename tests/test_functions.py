@@ -102,3 +102,11 @@ def test_multi_filter_and_distinct_string_agg(spark):
     assert multi_filter(df, {"server": None}).count() == 4
     got = {r.server: r.t_list for r in distinct_string_agg(df, ["server"], "t").collect()}
     assert got == {"srv1": "Bills, Sales, sales", "srv2": "Orders"}
+
+
+def test_xml_scalar_reads_one_value(spark):
+    from fleetlens.functions import xml_scalar
+    df = spark.createDataFrame([('<a n="3"><b>x</b></a>',), ("<a/>",)], "d string")
+    rows = df.select(xml_scalar("d", "/a/b").alias("s"), xml_scalar("d", "/a/@n", "int").alias("n"),
+                     xml_scalar("d", "/a/b", "boolean").alias("e")).collect()
+    assert [(r.s, r.n, r.e) for r in rows] == [("x", 3, True), ("", 0, False)]
