@@ -1,28 +1,31 @@
 """ST2: the usage ledger (G12) kept up to date by micro-batch.
 
-Each micro-batch holds one or more captures; they are folded into the last
-ledger version in order of capture time, and the result is written as a new version
-``v=<batch_id>`` (overwritten on retry).  Reading the last version back from
-parquet cuts the lineage between batches; only the newest versions are kept.
+Each micro-batch holds one or more captures; they are folded into the ledger in order of
+capture time, and only the rows of the keys they touch are written, as ``delta=<batch_id>``
+(overwritten on retry).  Every COMPACT_EVERY batches the whole ledger is written once as
+``full=<batch_id>``.  Readers take the newest full version and the newest row of every key in the
+deltas after it; reading back from parquet cuts the lineage between batches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import upsert_ledger
+from ..operators import latest_per_key, upsert_ledger
+from ..plans.maintenance import LEDGER_KEYS
 
 CAPTURE_SCHEMA = ("instance_id STRING, database_id INT, database_name STRING, schema_name STRING, table_name STRING, "
                   "index_name STRING, table_id INT, index_id INT, fill_factor INT, read_usage BIGINT, "
                   "update_usage BIGINT, captured_at TIMESTAMP_NTZ")
 
-#: Versions kept: the newest, the one before it (a replayed batch starts there) and one more.
-KEEP_VERSIONS = 3
+#: Batches between two full versions.
+COMPACT_EVERY = 16
 
 
-def _versions(spark: SparkSession, path: str):
-    """The file system and the complete versions (number, folder) under ``path``, oldest first."""
+def _written(spark: SparkSession, path: str):
+    """The file system and the complete folders under ``path`` as (batch, is full, folder), oldest first."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -30,23 +33,36 @@ def _versions(spark: SparkSession, path: str):
     if fs.exists(root):
         for status in fs.listStatus(root):
             folder = status.getPath()
-            name = folder.getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-                found.append((int(name[2:]), folder))
-    return fs, sorted(found, key=lambda x: x[0])
+            kind, _, batch = folder.getName().partition("=")
+            if kind in ("full", "delta") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+                found.append((int(batch), kind == "full", folder))
+    return fs, sorted(found, key=lambda x: x[:2])
 
 
-def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete ledger version (strictly older than ``before`` when given), or None
-    if there is none yet.  A version that can't be read raises: it is never taken for a
+def read_ledger(spark: SparkSession, path: str, before: int | None = None, keys=LEDGER_KEYS) -> DataFrame | None:
+    """The ledger after all batches (strictly older than ``before`` when given), or None
+    if there is none yet.  A folder that can't be read raises: it is never taken for a
     missing one, which would start the ledger anew and lose what it has accumulated."""
-    _, versions = _versions(spark, path)
-    versions = [v for v in versions if before is None or v[0] < before]
-    return spark.read.parquet(versions[-1][1].toString()) if versions else None
+    _, found = _written(spark, path)
+    found = [f for f in found if before is None or f[0] < before]
+    fulls = [f for f in found if f[1]]
+    parts = fulls[-1:] + [f for f in found if not f[1] and (not fulls or f[0] > fulls[-1][0])]
+    if not parts:
+        return None
+    rows = None
+    for batch, _, folder in parts:
+        part = spark.read.parquet(folder.toString())
+        columns = part.columns
+        part = part.withColumn("_batch", F.lit(batch))
+        rows = part if rows is None else rows.unionByName(part)
+    if len(parts) == 1:
+        return rows.drop("_batch")
+    others = [c for c in columns if c not in keys]
+    return latest_per_key(rows, list(keys), ["_batch"], others).select(*columns)
 
 
 def start_ledger_stream(spark: SparkSession, source: str, ledger_path: str, checkpoint: str,
-                        keys, counters, carry, keep: dict | None = None, keep_versions: int = KEEP_VERSIONS,
+                        keys, counters, carry, keep: dict | None = None, compact_every: int = COMPACT_EVERY,
                         max_files_per_trigger: int | None = None) -> StreamingQuery:
     reader = spark.readStream.schema(CAPTURE_SCHEMA)
     if max_files_per_trigger is not None:
@@ -54,13 +70,20 @@ def start_ledger_stream(spark: SparkSession, source: str, ledger_path: str, chec
     stream = reader.parquet(source)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        # a replayed batch starts again from the version before it, so it rewrites
+        # a replayed batch starts again from what was written before it, so it rewrites
         # the same result (and the newer-than rule makes a re-applied capture a no-op)
-        ledger = upsert_ledger(read_ledger(spark, ledger_path, before=batch_id), batch, keys, counters, carry, keep=keep)
-        ledger.write.mode("overwrite").parquet(f"{ledger_path}/v={batch_id:010d}")
-        fs, versions = _versions(spark, ledger_path)
-        for _, folder in versions[:-max(keep_versions, 2)]:
-            fs.delete(folder, True)
+        ledger = read_ledger(spark, ledger_path, before=batch_id, keys=keys)
+        if ledger is not None:
+            ledger = ledger.join(batch.select(*keys).distinct(), list(keys), "left_semi")
+        changed = upsert_ledger(ledger, batch, keys, counters, carry, keep=keep)
+        changed.write.mode("overwrite").parquet(f"{ledger_path}/delta={batch_id:010d}")
+        fs, found = _written(spark, ledger_path)
+        fulls = [f[0] for f in found if f[1] and f[0] < batch_id]
+        if sum(1 for f in found if not f[1] and f[0] > (fulls[-1] if fulls else -1)) >= compact_every:
+            read_ledger(spark, ledger_path, keys=keys).write.mode("overwrite").parquet(f"{ledger_path}/full={batch_id:010d}")
+            for number, _, folder in found:
+                if fulls and number < fulls[-1]:   # a replay of this batch starts from the full version before it
+                    fs.delete(folder, True)
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

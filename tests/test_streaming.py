@@ -110,13 +110,19 @@ def test_captures_of_one_batch_are_folded_in_order(spark):
 def test_an_unreadable_ledger_raises_and_old_versions_go(spark):
     base = tempfile.mkdtemp(prefix="fleetlens-test-")
     assert stl.read_ledger(spark, f"{base}/ledger") is None
-    for k in range(5):
-        _cap(spark, dt.datetime(2024, 1, 1, k), [k]).write.mode("append").parquet(f"{base}/landing")
+    total = {}
+    for k in range(9):   # every batch touches two of four indexes
+        rows = [("s", 1, "db", "dbo", "t", f"ix{i}", 1, i, 90, 10 * k + i, k, dt.datetime(2024, 1, 1, k)) for i in (k % 4, (k + 1) % 4)]
+        total |= {f"ix{i}": 10 * k + i for i in (k % 4, (k + 1) % 4)}
+        spark.createDataFrame(rows, stl.CAPTURE_SCHEMA).write.mode("append").parquet(f"{base}/landing")
         stl.start_ledger_stream(spark, f"{base}/landing", f"{base}/ledger", f"{base}/ckpt", mt.LEDGER_KEYS, mt.LEDGER_COUNTERS,
-                                mt.LEDGER_CARRY).awaitTermination()
-    versions = sorted(os.listdir(f"{base}/ledger"))
-    assert len(versions) == stl.KEEP_VERSIONS
-    newest = f"{base}/ledger/{versions[-1]}"
+                                mt.LEDGER_CARRY, compact_every=3).awaitTermination()
+    ledger = stl.read_ledger(spark, f"{base}/ledger").collect()
+    assert {r.index_name: r.accumulated_read_usage for r in ledger} == total and len(ledger) == 4
+    kept = sorted(os.listdir(f"{base}/ledger"))
+    assert [f for f in kept if f.startswith("full")] == [f"full={n:010d}" for n in (5, 8)]   # older ones are gone
+    assert [f for f in kept if f.startswith("delta")] == [f"delta={n:010d}" for n in range(5, 9)]
+    newest = f"{base}/ledger/{kept[-1]}"
     for f in os.listdir(newest):
         if f.endswith(".parquet"):
             with open(f"{newest}/{f}", "wb") as broken:
