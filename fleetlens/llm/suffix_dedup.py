@@ -15,7 +15,8 @@ rounds of depth 32, 64, 128, 256 and 400, strings whose identifier nobody shares
 identifiers of a round are reused by the next.  Identifiers are 64-bit mixes of pairs (compared in two
 independent lanes, 128 bits) instead of ranks, so that no global sort is needed.
 
-Scale.  Buckets are counted with partial aggregation before the shuffle; a bucket with many members is
+Scale.  Anchors that a text has twice or more with equal surroundings (periodic text has one at every
+byte) leave its task as one row with their number and the runs of starts.  Buckets are counted with partial aggregation before the shuffle; a bucket with many members is
 joined with its count by an equi join that the adaptive planner splits; one with more
 than CROWDED different surroundings is refined by distributed counts instead of in one task.  Texts
 travel packed (zstd) and only meet their own document's rows.
@@ -134,6 +135,28 @@ def anchors(raw: bytes | list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield done()
 
 
+def _once_per_text(*rows: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, pa.Array]:
+    """The first of every text's anchors with equal bucket and surroundings, their number, and (null for one) the
+    runs of starts of all of them."""
+    which, at, near, far, g, u = rows
+    order = np.lexsort((at, u, g, which))
+    new = np.append(True, (which[order][1:] != which[order][:-1]) | (g[order][1:] != g[order][:-1]) | (u[order][1:] != u[order][:-1]))
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(order)))
+    first = order[begin]
+    lo, hi = (at - far)[order], (at - near)[order]
+    # starts of one group that touch or overlap make one run; only groups of several have runs
+    open_ = new | np.append(True, lo[1:] > hi[:-1] + 1)
+    several = np.repeat(n > 1, n)
+    head = np.flatnonzero(open_ & several)
+    last = np.flatnonzero(np.append(open_[1:], True) & several)
+    per_group = np.bincount(np.cumsum(new)[head] - 1, minlength=len(n))
+    offsets = np.append(0, np.cumsum(per_group)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(lo[head].astype(np.int32)), pa.array(hi[last].astype(np.int32))], names=["lo", "hi"])
+    runs = pa.ListArray.from_arrays(pa.array(offsets), pairs, mask=pa.array(n == 1))
+    return tuple(x[first] for x in rows), n, runs
+
+
 def _shared(ids: np.ndarray) -> np.ndarray:
     """Which identifiers occur more than once."""
     order = np.argsort(ids, kind="stable")
@@ -210,21 +233,24 @@ def _unpack(z: pa.Scalar, size: int) -> bytes:
 
 
 def anchor_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """One row per anchor: document key, position ``a``, distances ``near`` to ``far`` back to the starts it stands
-    for, bucket ``g`` and identifier ``u`` of the surroundings."""
+    """One row per anchor of a text (with its surroundings): document key, position ``a`` of the first, distances ``near`` to
+    ``far`` back to the starts it stands for, bucket ``g``, identifier ``u`` of the surroundings, how often the text
+    has it (``n``) and, if more than once, the ``runs`` of starts of all of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 raws = [(t or "").encode() for t in part.column("_text").to_pylist()]
                 ids = part.column("_id").to_numpy()
                 sums = np.array([zlib.crc32(r) for r in raws], np.int64)
-                for which, at, near, far, g, u in anchors(raws):
+                for found in anchors(raws):
+                    (which, at, near, far, g, u), n, runs = _once_per_text(*found)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[which]), pa.array(sums[which]), pa.array(at.astype(np.int32)), pa.array(near.astype(np.int32)),
-                         pa.array(far.astype(np.int32)), _signed(g), _signed(u)], names=["_id", "_k", "a", "near", "far", "g", "u"])
+                         pa.array(far.astype(np.int32)), _signed(g), _signed(u), pa.array(n.astype(np.int32)), runs],
+                        names=["_id", "_k", "a", "near", "far", "g", "u", "n", "runs"])
 
     return (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.col(text).alias("_text"))
-            .mapInArrow(run, "_id long, _k long, a int, near int, far int, g long, u long"))
+            .mapInArrow(run, "_id long, _k long, a int, near int, far int, g long, u long, n int, runs array<struct<lo:int,hi:int>>"))
 
 
 _CONTEXT = "g long, _id long, _k long, a int, far int, n long, context binary"
@@ -301,16 +327,17 @@ def _all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_starts(docs: DataFrame, whole: DataFrame, id_col: str, text: str, crowded: int = CROWDED) -> DataFrame:
     """(``_id``, ``_k``, ``lo``, ``hi``): runs of starts of LENGTH-byte strings that also start elsewhere."""
     rows = anchor_rows(docs, id_col, text)
-    buckets = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).filter("n > 1")
+    buckets = rows.groupBy("g").agg(F.sum("n").alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).filter("n > 1")
     buckets = written(buckets.select("g", (F.col("u0") != F.col("u1")).alias("mixed")), "suffix-buckets")
     shared = written(rows.join(buckets, "g"), "suffix-shared")
 
-    starts = (F.col("a") - F.col("far")).alias("lo"), (F.col("a") - F.col("near")).alias("hi")
-    plain = shared.filter(~F.col("mixed")).select("_id", "_k", *starts)
+    alone = F.struct((F.col("a") - F.col("far")).alias("lo"), (F.col("a") - F.col("near")).alias("hi"))
+    starts = F.inline(F.coalesce("runs", F.array(alone)))
+    plain = shared.filter(~F.col("mixed")).select("_id", "_k", starts)
     mixed = shared.filter("mixed")
-    classes = mixed.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_k", "a", "near", "far")).alias("one"))
+    classes = mixed.groupBy("g", "u").agg(F.sum("n").alias("n"), F.min(F.struct("_id", "_k", "a", "near", "far")).alias("one"))
     classes = written(classes, "suffix-classes")
-    several = mixed.join(classes.filter("n > 1").select("g", "u"), ["g", "u"], "left_semi").select("_id", "_k", *starts)
+    several = mixed.join(classes.filter("n > 1").select("g", "u"), ["g", "u"], "left_semi").select("_id", "_k", starts)
 
     wanted = (classes.groupBy("one._id", "one._k")
               .agg(F.collect_list(F.struct("g", F.col("one.a"), F.col("one.near"), F.col("one.far"), "n")).alias("wanted")))

@@ -83,3 +83,14 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_periodic_text_is_few_rows(spark):
+    df = spark.createDataFrame([(0, "a" * 50_000), (1, "ab c" * 10_000), (2, "x" * 399)], "doc_id long, text string")
+    rows = suffix_dedup.anchor_rows(df, "doc_id", "text").collect()
+    assert len(rows) < 20 and sum(r.n for r in rows) > 50_000
+    for doc, size in ((0, 50_000), (1, 40_000)):
+        starts = [x for r in rows if r._id == doc for x in ([(x.lo, x.hi) for x in r.runs] if r.n > 1 else [(r.a - r.far, r.a - r.near)])]
+        assert {p for lo, hi in starts for p in range(lo, hi + 1)} == set(range(size - L + 1))
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicated(df).collect()}
+    assert got == {0: 50_000, 1: 40_000, 2: 0}
