@@ -1,7 +1,7 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
 Vectors of one label are linked when their cosine is at least COSINE; on unit vectors that is a chord of
-at most r.  Equal vectors of a label are one class before anything is compared.  The classes of a large
+at most r.  Vectors of a label with equal unit vectors are one class before anything is compared.  The classes of a large
 label are dealt to cells, each around a node of a cover tree over a bounded sample; a
 cell's covering radius is the largest distance of any of its members, over all rows.  Two cells are
 compared unless their centres are further apart than r and both radii; large cells are cut into
@@ -22,9 +22,11 @@ empty result.  In data without any clusters no bound can separate cells, and the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,16 +37,18 @@ from fleetlens.llm.components import components
 COSINE = 0.93
 BLOCK = 2048
 #: Bound on the vectors that cells are chosen from, and on the labels that get more than one cell.
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 2048
 SAMPLE_LABELS = 512
 _EPS = 1e-6
 
 
 class Tree:
-    """A cover tree over unit vectors; members of every node are a run of ``order``."""
+    """A cover tree over unit vectors (one block: their products are taken at once); members of
+    every node are a run of ``order``."""
 
     def __init__(self, x: np.ndarray) -> None:
         self.x = x
+        self.products = x @ x.T
         self.center: list[int] = []
         self.radius: list[float] = []
         self.span: list[tuple[int, int]] = []
@@ -52,9 +56,14 @@ class Tree:
         self.order: list[int] = []
         if len(x):
             self._grow(np.arange(len(x)))
+        del self.products
 
     def _far(self, members: np.ndarray) -> np.ndarray:
-        return np.sqrt(((self.x[members] - self.x[members[0]]) ** 2).sum(axis=1))
+        """Distances of the members from the first."""
+        far = np.sqrt(np.maximum(2 - 2 * self.products[members[0], members], 0))
+        tiny = np.flatnonzero(far < _EPS)  # too near for products to tell
+        far[tiny] = np.sqrt(((self.x[members[tiny]] - self.x[members[0]]) ** 2).sum(axis=1))
+        return far
 
     def _grow(self, members: np.ndarray) -> int:
         node, first = len(self.center), len(self.order)
@@ -138,40 +147,59 @@ def link_blocks(a: np.ndarray, size_a: np.ndarray, b: np.ndarray | None = None,
     for t, s in ((ta, size_a), (tb, sb)):
         sums = np.append(0, np.cumsum(s[t.order])) if len(t.order) else np.zeros(1, np.int64)
         weight.append(np.array([sums[hi] - sums[lo] for lo, hi in t.span], np.int64))
-    todo = [(0, 0)] if len(a) and len(tb.x) else []
-    start = True
+    todo = [([0], [0])] if len(a) and len(tb.x) else []
     while todo:
-        p, q = todo.pop()
-        ka = [p] if start or not ta.kids[p] else ta.kids[p]
-        kb = [q] if start or not tb.kids[q] else tb.kids[q]
-        start = False
+        ka, kb = todo.pop()  # all pairs of the two lists of nodes
         ca, cb = ta.x[[ta.center[k] for k in ka]], tb.x[[tb.center[k] for k in kb]]
         ra, rb = np.array([ta.radius[k] for k in ka]), np.array([tb.radius[k] for k in kb])
         cos = ca @ cb.T
-        slack = ra[:, None] + rb[None, :]
-        chord = np.sqrt(np.maximum(2 - 2 * cos, 0))
+        # pairs beyond r and the largest radii of their kind (single vectors or nodes) need no closer look
+        found = []
+        for rows in (np.flatnonzero(ra == 0), np.flatnonzero(ra)):
+            for cols in (np.flatnonzero(rb == 0), np.flatnonzero(rb)):
+                if len(rows) and len(cols):
+                    reach = r + ra[rows].max() + rb[cols].max() + _EPS
+                    x, y = np.nonzero(cos[np.ix_(rows, cols)] >= 1 - reach * reach / 2 - _EPS)
+                    found.append((rows[x], cols[y]))
+        i, j = (np.concatenate(x) for x in zip(*found))
+        c, slack = cos[i, j], ra[i] + rb[j]
+        chord = np.sqrt(np.maximum(2 - 2 * c, 0))
         single = slack == 0
-        linked = np.where(single, cos >= cosine, chord + slack < r - _EPS)
-        if linked.any():
-            wa, wb = weight[0][ka], weight[1][kb]
-            for side, tree, kids, gain in ((0, ta, ka, linked @ wb), (1, tb, kb, wa @ linked)):
-                if side and own:
-                    continue  # the traversal meets both orders of a pair within one block
-                for k, g in zip(kids, gain.tolist()):
-                    if g:
-                        lo, hi = tree.span[k]
-                        total[side][lo] += g
-                        total[side][hi] -= g
-            for rows, cols in _groups(linked):
-                first = ta.center[ka[rows[0]]]
-                for i in rows:
-                    sets.join(first, ta.center[ka[i]])
-                    solid[0].add(ka[i])
-                for j in cols:
-                    sets.join(first, base + tb.center[kb[j]])
-                    solid[1].add(kb[j])
+        linked = np.where(single, c >= cosine, chord + slack < r - _EPS)
         unsure = ~linked & ~single & (chord <= r + slack + _EPS)
-        todo += [(ka[i], kb[j]) for i, j in zip(*np.nonzero(unsure))]
+        # of an open pair the larger node descends; the partners of one node go on together
+        for mine, other, kids, names, down in ((i, j, ta.kids, kb, ra[i] >= rb[j]), (j, i, tb.kids, ka, ra[i] < rb[j])):
+            at = np.flatnonzero(unsure & down)
+            at = at[np.argsort(mine[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(mine[at])) + 1) if len(at) else []:
+                node = (ka if mine is i else kb)[mine[part[0]]]
+                pair = (kids[node], [names[y] for y in other[part]])
+                todo.append(pair if mine is i else pair[::-1])
+        i, j = i[linked], j[linked]
+        if not len(i):
+            continue
+        for side, tree, kids, gain in ((0, ta, ka, np.bincount(i, weight[1][kb][j], len(ka))), (1, tb, kb, np.bincount(j, weight[0][ka][i], len(kb)))):
+            if side and own:
+                continue  # the traversal meets both orders of a pair within one block
+            for k in np.flatnonzero(gain):
+                lo, hi = tree.span[kids[k]]
+                total[side][lo] += int(gain[k])
+                total[side][hi] -= int(gain[k])
+        if own:  # a node whose members are all linked with each other, or a single vector
+            same = np.array(ka)[i] == np.array(kb)[j]
+            solid[0].update(ka[x] for x in i[same])
+            i, j = i[~same], j[~same]
+        rows, cols = np.unique(i), np.unique(j)
+        mask = np.zeros((len(rows), len(cols)), bool)
+        mask[np.searchsorted(rows, i), np.searchsorted(cols, j)] = True
+        for mine, theirs in _groups(mask):
+            first = ta.center[ka[rows[mine[0]]]]
+            for x in rows[mine]:
+                sets.join(first, ta.center[ka[x]])
+                solid[0].add(ka[x])
+            for y in cols[theirs]:
+                sets.join(first, base + tb.center[kb[y]])
+                solid[1].add(kb[y])
     for t, nodes, shift in ((ta, solid[0], 0), (tb, solid[1], base)):
         for k in nodes:
             lo, hi = t.span[k]
@@ -184,18 +212,24 @@ def link_blocks(a: np.ndarray, size_a: np.ndarray, b: np.ndarray | None = None,
     return np.concatenate(out), np.array([sets.find(i) for i in range(len(sets.root))], np.int64)
 
 
-def _usable(v: Column) -> Column:
-    """Whether a vector can be compared: it has components, all finite, not all zero."""
-    bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda c: c != 0), F.lit(False))
-
-
-def _unit(v: Column) -> Column:
-    # scaled by the largest component first, so that squares neither overflow nor vanish
-    big = F.array_max(F.transform(v, F.abs))
-    w = F.transform(v, lambda c: c / big)
-    norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, c: s + c * c))
-    return F.transform(w, lambda c: c / norm)
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (vec_id, _label, _v) with the unit vector, null where the vector can't be compared."""
+    for batch in batches:
+        v = batch.column("_v")
+        size = pc.list_value_length(v).fill_null(0).to_numpy()
+        out: list[np.ndarray | None] = [None] * len(size)
+        for n in np.unique(size[size > 0]):
+            at = np.flatnonzero(size == n)
+            x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
+            ok = np.isfinite(x).all(axis=1) & x.any(axis=1)  # null components read as NaN
+            x = x[ok] / np.abs(x[ok]).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+            for i, u in zip(at[ok], x):
+                out[i] = u
+        label = batch.column("_label")
+        for i in np.flatnonzero(label.is_null().to_numpy(zero_copy_only=False)):
+            out[i] = None
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), label, pa.array(out, pa.list_(pa.float64()))], names=["vec_id", "_label", "unit"])
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -225,11 +259,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     """One row per row of ``vectors``: ``vec_id``, ``n_links`` (other vectors linked directly) and
     ``component_id`` (smallest id reachable, its own included)."""
     spark = vectors.sparkSession
-    v = F.transform(F.col(vector), lambda c: c.cast("double"))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label).alias("_label"), v.alias("_v"))
-    ok = F.col("_label").isNotNull() & _usable(F.col("_v"))
-    rows = rows.select("vec_id", F.when(ok, F.xxhash64(F.lit(1), "_label", F.size("_v"))).alias("grp"),
-                       F.when(ok, F.xxhash64("_label", "_v")).alias("key"), F.when(ok, _unit(F.col("_v"))).alias("unit"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label).alias("_label"), F.col(vector).cast("array<double>").alias("_v"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    rows = rows.mapInArrow(_units, f"vec_id {kinds['vec_id']}, _label {kinds['_label']}, unit array<double>")
+    ok = F.col("unit").isNotNull()
+    rows = rows.select("vec_id", F.when(ok, F.xxhash64(F.lit(1), "_label", F.size("unit"))).alias("grp"),
+                       F.when(ok, F.xxhash64("_label", "unit")).alias("key"), "unit")
     rows = written(rows, "cover-rows")
     classes = (rows.filter("key IS NOT NULL").groupBy("key")
                .agg(F.first("grp").alias("grp"), F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("vec_id").alias("first")))
