@@ -10,7 +10,7 @@ from fleetlens.plans import maintenance as mt
 from fleetlens.plans import plancache as pc
 from fleetlens.plans import statements as st
 
-NS = 'xmlns="http://schemas.microsoft.com/sqlserver/2004/07/showplan"'
+NS = 'xmlns="urn:example:showplan"'
 QS = ("instance_id string, sql_handle string, plan_handle string, statement_start_offset int, "
       "statement_end_offset int, execution_count long, total_worker_time long, total_elapsed_time long, "
       "total_logical_reads long, total_logical_writes long, total_clr_time long, last_execution_time timestamp_ntz, "
