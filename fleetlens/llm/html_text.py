@@ -12,7 +12,9 @@ page's highest window, for short pages), and parts under a quarter of the longes
 Character references are decoded, white space in a line becomes one space, lines are joined by one space.
 
 Defined results: a null page counts as empty and has an empty text; unclosed elements end with their
-parents; an unclosed comment, script or style runs to the end of the page; repeated rows are
+parents; an unclosed comment, and an unclosed element that HTML reads as raw text (script, style,
+textarea, title, iframe, noembed, noframes, xmp), runs to the end of the page; a self-closed svg or math is
+empty, an unclosed one ends at the next HTML block or with its parent; repeated rows are
 extracted each on their own; an empty table gives an empty result.
 """
 
@@ -32,7 +34,14 @@ SURGE = 86
 # fixed values: element names of the HTML standard
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
                     "strike strong sub sup time tt u var wbr img picture source track meter progress ruby rb rt rp".split())
-_RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title noembed noframes xmp".split())
+# read as raw text, so that only their own end tag ends them
+_RAW = frozenset("script style iframe textarea title noembed noframes xmp".split())
+# parsed as any element, without text
+_EMPTY = frozenset("noscript template object svg math canvas audio video select".split())
+# parts of svg and math whose content is HTML again, and HTML elements that end an open svg or math
+_HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+                      "ruby s small span strong strike sub sup table tt u ul var article section main aside header footer nav figure form".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUT = frozenset("nav footer aside form button fieldset dialog menu head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -87,8 +96,10 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     pieces: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, left out, inside article
-    left_out = inside = aside = False  # aside: a paragraph that is left out
+    # open block elements: name, left out, inside article, inside an element without text, inside svg or math
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    left_out = inside = empty = foreign = False
+    aside = False  # a paragraph that is left out
     link = False
 
     def end() -> None:
@@ -99,12 +110,19 @@ def lines(page: str) -> list[Line]:
                 out.append(Line(text, linked, left_out or aside, inside))
         pieces, linked = [], 0
 
+    def close_to(k: int) -> None:
+        """Close the elements from the k-th on."""
+        nonlocal left_out, inside, empty, foreign
+        del stack[k:]
+        left_out, inside, empty, foreign = stack[-1][1:] if stack else (False, False, False, False)
+
     at, n = 0, len(page)
+    last_cdata = page.rfind("]]>") - 8
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
-        if lt > at:
+        if lt > at and not empty:
             text = html.unescape(page[at:lt])
             pieces.append(text)
             if link:
@@ -116,6 +134,8 @@ def lines(page: str) -> list[Line]:
             if page.startswith("<!--", lt):
                 close = page.find("-->", lt + 4)
                 at = n if close < 0 else close + 3
+            elif foreign and lt < last_cdata and page.startswith("<![CDATA[", lt):
+                at = page.find("]]>", lt + 9) + 3
             else:
                 close = page.find(">", lt)
                 at = n if close < 0 else close + 1
@@ -123,7 +143,8 @@ def lines(page: str) -> list[Line]:
         ending = mark == "/"
         name_at = _NAME.match(page, lt + 1 + ending)
         if not name_at:
-            pieces.append("<")  # not a tag
+            if not empty:
+                pieces.append("<")  # not a tag
             at = lt + 1
             continue
         name = name_at.group().lower()
@@ -132,33 +153,42 @@ def lines(page: str) -> list[Line]:
         if not close:
             break  # a tag that never ends
         raw, at = page[name_at.end():close - 1], close
-        if name == "a":
+        if foreign and (name in ("p", "br") or name in _INLINE if ending else name in _BREAKOUT):
+            k = next((k + 1 for k in range(len(stack) - 1, -1, -1) if not stack[k][4]), 0)
+            if not ending or name not in _INLINE or all(e[0] != name for e in stack[k:]):
+                close_to(k)
+        if name == "a" and not empty:
             link = not ending
-        if name in _INLINE:
+        if name in _INLINE and not foreign:
             continue
-        if name in _RAW and not ending:
+        if name in _RAW and not ending and not foreign:
             found = re.compile(rf"</{name}\b", re.I).search(page, at)
             close = page.find(">", found.end()) if found else -1
             at = n if close < 0 else close + 1
-            if name not in ("select", "textarea"):
+            if name != "textarea" and not empty:
                 end()
             continue
-        end()
-        aside = name == "p" and not ending and _left_out(name, raw, inside)
+        if not empty and name != "select":
+            end()
+        if not empty and name not in _EMPTY:
+            aside = name == "p" and not ending and _left_out(name, raw, inside)
         if name in _SIBLINGS and not ending and stack and stack[-1][0] == name:
-            stack.pop()
-            left_out, inside = stack[-1][1:] if stack else (False, False)
+            close_to(len(stack) - 1)
         if ending:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
-                    left_out, inside = stack[-1][1:] if stack else (False, False)
-                    link = False
+                    if not stack[k][3]:
+                        end()
+                        link = aside = False
+                    close_to(k)
                     break
         elif name not in _VOID and name != "p" and not raw.endswith("/"):
-            left_out = left_out or _left_out(name, raw, inside)
-            inside = inside or name in ("article", "main")
-            stack.append((name, left_out, inside))
+            if not empty and name not in _EMPTY:
+                left_out = left_out or _left_out(name, raw, inside)
+                inside = inside or name in ("article", "main")
+            foreign = name in ("svg", "math") or foreign and name not in _HTML_AGAIN
+            empty = empty or name in _EMPTY
+            stack.append((name, left_out, inside, empty, foreign))
     end()
     return out
 

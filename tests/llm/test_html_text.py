@@ -51,6 +51,18 @@ def test_markup_details():
     assert t("plain words only") == "plain words only"
 
 
+@pytest.mark.parametrize("body", [
+    f'<article><h1>Storm <svg class="icon"/></h1><p>{PROSE}</p></article>',
+    f'<article><h1>Storm <svg class="icon"/></h1><p>{PROSE}</p></article><footer><svg><title>Up</title><path d="M0"/></svg></footer>',
+    f'<article><h1><svg viewBox="0 0 1 1"><title/><style/><g><svg><text>no</text></svg><text>no</text></g></svg>Storm</h1><math display="block" /><p>{PROSE}</p></article>',
+    f'<article><h1><a href=x><svg><path d="M0"></a>Storm</h1><svg><g><p>{PROSE}</p><svg><![CDATA[ </svg> no ]]></svg></article>',
+    f'<article><h1>Storm</h1><p>{PROSE}</p><div><object data=x>no</div><div><template><p>no</p></div></article>',
+    f'<article><h1>Storm</h1><p class=ad>Buy <svg><path d="M0"/></svg> now</p><p>{PROSE}<select><option>no<option>no</article>no',
+])
+def test_svg_and_unclosed_elements_without_text(body):
+    assert html_text.main_text(_page(body)) == f"Storm {PROSE.strip()}"
+
+
 def test_distribution_finds_surges_and_dives():
     lengths = np.array([0, 5, 0, 0, 0, 0, 90, 80, 0, 70, 0, 0, 0, 3, 0, 0, 0, 200])
     assert html_text.between_surges_and_dives(lengths, 20) == [(6, 9), (17, 17)]
