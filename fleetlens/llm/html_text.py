@@ -2,8 +2,10 @@
 
 The markup of a whole page is stripped into lines, one per block of text; every line has a
 length, which is 0 for what is no article text: lines in menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments (told by their elements, roles and class names) and, where the
-page names an article or a main part, lines outside it.  Elsewhere text inside links doesn't count.
+adverts, forms and reader comments (told by their elements, roles, whole class names and ids) and, where the
+page names an article or a main part, lines outside it.  A class name or id never leaves out a main part below it, nor an article
+below it that is longer than the rest of the named text; ids of headings, and plain words as ids of sections and inside
+an article, don't count, for they are made from headings.  Elsewhere text inside links doesn't count.
 Lengths are summed over sliding windows of WINDOW lines.  A surge is where a window's sum rises above the
 threshold, a dive where it falls back to 0; the lines with a length between a surge and its dive are kept.  With a named
 article the threshold is 0 and all its parts are kept, else it is SURGE characters (or a third of the
@@ -45,15 +47,27 @@ _BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embe
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUT = frozenset("nav footer aside form button fieldset dialog menu head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-# words in class names and ids that name what is no article text
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|"
-    r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|"
-    r"side-bar|widget|related|recommended|share|sharing|social|comments?|commentlist|discussion|disqus|replies|respond|footer|foot|masthead|"
-    r"site-header|page-header|topbar|toolbar|skip-link|hidden)(?:$|[\s_-])", re.I)
+# words that name, as a whole class name or id, what is no article text; a name may have known words before and after
+# them (main-nav, ad-slot-2), but other words make it another name (has-sidebar, layout-nav, related-work)
+_WORDS = (r"ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|"
+          r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|"
+          r"side-bar|widget|related|recommended|share|sharing|social|comments?|commentlist|discussion|disqus|replies|respond|footer|foot|masthead|"
+          r"topbar|toolbar|skip-link|hidden")
+_BEFORE = "site|page|main|global|primary|secondary|top|bottom|mobile|desktop|sticky|fixed|post|article|entry|blog|reader|user|google|div|js|is|visually"
+_AFTER = (r"wrapper|wrap|container|box|block|bar|area|list|links?|items?|inner|buttons?|icons?|panel|slot|unit|space|posts|articles|stories|"
+          r"thread|form|\d+")
+_END = "(?![^-])"  # a word ends here
+_HINT = re.compile(rf"(?:(?:site|page)-header|comments?-(?:section|body|content|text|title|meta)|(?:(?:{_BEFORE})-)*+(?:{_WORDS}))"
+                   rf"(?:-(?:{_WORDS}|{_AFTER}){_END})*+")
+# the id of a section or of a part of an article is often made from its heading: there all words count, and one must be no plain word
+_HINT_ID = re.compile(rf"(?:{_WORDS}|\d+)(?:-(?:{_WORDS}|\d+){_END})*+")
+_NO_TOPIC = re.compile(r"(?:^|-)(?:ads?|adverts?|adsense|cookie|comments?|commentlist|disqus|respond|nav|navbar|breadcrumbs?|pager|sidebar|"
+                       r"side-bar|footer|masthead|topbar|skip-link)(?:$|-)")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # an article inside or beside the main one that is a comment or a teaser
-_SIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|teasers?|related|promo|sponsored|ads?)(?:$|[\s_-])", re.I)
+_SIDE_ARTICLE = re.compile(rf"(?:(?:{_BEFORE}|node)-)*+(?:comments?|reply|replies|teasers?|related|promo|sponsored|ads?)"
+                           rf"(?:-(?:{_WORDS}|{_AFTER}|body|content|cards?|teasers?|reply){_END})*+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Elements that end at the next one of their name.
 _SIBLINGS = frozenset("li dt dd tr td th option".split())
@@ -67,38 +81,64 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(raw)}
 
 
-def _left_out(name: str, raw: str, in_article: bool) -> bool:
-    """Whether an element holds no article text."""
-    if name in _OUT or (name == "header" and not in_article):
+def _tokens(names: str) -> list[str]:
+    """Class names or ids in lower case, their words joined by one hyphen."""
+    return ["-".join(re.findall(r"[^_-]+", t)) for t in _CAMEL.sub("-", names).lower().split()]
+
+
+def _hinted(name: str, at: dict[str, str], inside: int) -> bool:
+    """Whether the class names or the id of an element say that it holds no article text."""
+    classes, ids = _tokens(at.get("class", "")), _tokens(at.get("id", ""))
+    if name == "article":
+        return any(_SIDE_ARTICLE.fullmatch(t) for t in classes + ids)
+    if name in ("html", "body", "main", "h1"):
+        return False
+    if any(_HINT.fullmatch(t) for t in classes):
         return True
-    if "=" not in raw and "hidden" not in raw:
+    if name in _HEADINGS:
         return False
+    if inside or name == "section":
+        return any(_HINT_ID.fullmatch(t) and _NO_TOPIC.search(t) for t in ids)
+    return any(_HINT.fullmatch(t) for t in ids)
+
+
+_BY_NAME, _BY_ELEMENT = 1, 2
+
+
+def _left_out(name: str, raw: str, inside: int) -> int:
+    """Whether an element holds no article text: 0, _BY_NAME (class names or id) or _BY_ELEMENT (element, role, not shown)."""
+    if name in _OUT or (name == "header" and not inside):
+        return _BY_ELEMENT
+    if "=" not in raw and "hidden" not in raw:
+        return 0
     at = _attributes(raw)
     if "hidden" in at or at.get("aria-hidden") == "true" or at.get("role", "").lower() in _ROLES:
-        return True
+        return _BY_ELEMENT
     if "display:none" in at.get("style", "").replace(" ", "").lower():
-        return True
-    names = _CAMEL.sub("-", f"{at.get('class', '')} {at.get('id', '')}")
-    if name == "article":
-        return bool(_SIDE_ARTICLE.search(names))
-    return name not in ("html", "body", "main", "h1") and bool(_HINT.search(names))
+        return _BY_ELEMENT
+    return _BY_NAME if _hinted(name, at, inside) else 0
 
 
 class Line:
-    __slots__ = ("text", "linked", "out", "inside")
+    __slots__ = ("text", "linked", "out", "inside", "below")
+
+    def __init__(self, text: str, linked: int, out: bool, inside: bool, below: int) -> None:
+        self.text, self.linked, self.out, self.inside, self.below = text, linked, out, inside, below
 
-    def __init__(self, text: str, linked: int, out: bool, inside: bool) -> None:
-        self.text, self.linked, self.out, self.inside = text, linked, out, inside
+
+_MAIN, _ARTICLE = 1, 2
 
 
 def lines(page: str) -> list[Line]:
-    """The non-empty lines of a page: text, characters inside links, whether left out, whether in an article or main part."""
+    """The non-empty lines of a page: text, characters inside links, whether left out, whether in an article or main part,
+    and the number of the article below an element that is left out by its name (0: none)."""
     out: list[Line] = []
     pieces: list[str] = []
     linked = 0
-    # open block elements: name, left out, inside article, inside an element without text, inside svg or math
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
-    left_out = inside = empty = foreign = False
+    # open block elements: name, left out, inside main or article, inside an element without text, inside svg or math, number as in Line
+    stack: list[tuple[str, int, int, bool, bool, int]] = []
+    left_out = inside = below = found_below = 0
+    empty = foreign = False
     aside = False  # a paragraph that is left out
     link = False
 
@@ -107,14 +147,14 @@ def lines(page: str) -> list[Line]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Line(text, linked, left_out or aside, inside))
+                out.append(Line(text, linked, bool(left_out or aside), bool(inside), below))
         pieces, linked = [], 0
 
     def close_to(k: int) -> None:
         """Close the elements from the k-th on."""
-        nonlocal left_out, inside, empty, foreign
+        nonlocal left_out, inside, empty, foreign, below
         del stack[k:]
-        left_out, inside, empty, foreign = stack[-1][1:] if stack else (False, False, False, False)
+        left_out, inside, empty, foreign, below = stack[-1][1:] if stack else (0, 0, False, False, 0)
 
     at, n = 0, len(page)
     last_cdata = page.rfind("]]>") - 8
@@ -171,7 +211,7 @@ def lines(page: str) -> list[Line]:
         if not empty and name != "select":
             end()
         if not empty and name not in _EMPTY:
-            aside = name == "p" and not ending and _left_out(name, raw, inside)
+            aside = name == "p" and not ending and _left_out(name, raw, inside) > 0
         if name in _SIBLINGS and not ending and stack and stack[-1][0] == name:
             close_to(len(stack) - 1)
         if ending:
@@ -184,11 +224,18 @@ def lines(page: str) -> list[Line]:
                     break
         elif name not in _VOID and name != "p" and not raw.endswith("/"):
             if not empty and name not in _EMPTY:
-                left_out = left_out or _left_out(name, raw, inside)
-                inside = inside or name in ("article", "main")
+                here = _left_out(name, raw, inside)
+                if name in ("article", "main"):
+                    if left_out == _BY_NAME and not here and inside != _ARTICLE:  # a name doesn't blank a named part below it
+                        left_out = 0
+                        if name == "article":
+                            found_below += 1
+                            below = found_below
+                    inside = max(inside, _ARTICLE if name == "article" else _MAIN)
+                left_out = max(left_out, here)
             foreign = name in ("svg", "math") or foreign and name not in _HTML_AGAIN
             empty = empty or name in _EMPTY
-            stack.append((name, left_out, inside, empty, foreign))
+            stack.append((name, left_out, inside, empty, foreign, below))
     end()
     return out
 
@@ -213,11 +260,31 @@ def between_surges_and_dives(lengths: np.ndarray, threshold: float) -> list[tupl
     return out
 
 
+def _settle_articles_below(rows: list[Line]) -> None:
+    """Leave out the articles below elements with names such as related or comments, unless such an article
+    is longer than all that is in other articles and main parts (without these, than all other text)."""
+    sizes: dict[int, int] = {}
+    named = other = 0
+    for r in rows:
+        if r.out:
+            continue
+        if r.below:
+            sizes[r.below] = sizes.get(r.below, 0) + len(r.text)
+        elif r.inside:
+            named += len(r.text)
+        else:
+            other += max(len(r.text) - r.linked, 0)
+    for r in rows:
+        if r.below and sizes.get(r.below, 0) <= (named or other):
+            r.out = True
+
+
 def main_text(page: str | None) -> str:
     """The main text of one whole page."""
     rows = lines(page or "")
     if not rows:
         return ""
+    _settle_articles_below(rows)
     named = any(r.inside and not r.out for r in rows)
     lengths = np.array([0 if r.out or (named and not r.inside) else len(r.text) if named else max(len(r.text) - r.linked, 0) for r in rows])
     if named:

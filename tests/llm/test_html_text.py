@@ -63,6 +63,32 @@ def test_svg_and_unclosed_elements_without_text(body):
     assert html_text.main_text(_page(body)) == f"Storm {PROSE.strip()}"
 
 
+@pytest.mark.parametrize("body", [
+    *(f"<div class='{c}'><article><h1>Storm</h1><p>{PROSE}</p></article></div>" for c in (
+        "has-sidebar", "content no-sidebar", "layout-nav", "hidden-print", "sidebar", "overlay", "main-nav")),
+    *(f"<div id={i}><main><h1>Storm</h1><div class=widget><article><p>{PROSE}</p></article></div></main></div>" for i in ("menu", "comments")),
+    f"<div class='content no-sidebar'><h1>Storm</h1><p>{PROSE}</p></div><div class='ad-slot-2'>Buy {PROSE}</div><p class='menu-navbar'>Buy {PROSE}",
+    f"<article><h1 id=storm>Storm</h1><p>{PROSE}</p></article><div class=related-posts><article>Other {PROSE[:80]}</article></div>",
+    f"<div id=content><h1>Storm</h1><p>{PROSE}</p></div><div id=comments><article>First {PROSE[:80]}</article></div>",
+    f"<article class=has-comments><h1>Storm</h1><p>{PROSE}</p><div class=comments-section><article>First {PROSE * 2}</article></div></article>",
+])
+def test_names_of_wrappers(body):
+    assert html_text.main_text(_page(body)) == f"Storm {PROSE.strip()}"
+
+
+@pytest.mark.parametrize("part, text", [
+    ("<section id='related-work'><h2>Related work</h2><p>x</section>", "Related work x"),
+    ("<h2 id='discussion'>Discussion</h2><p>x", "Discussion x"),
+    ("<section id='discussion'><h2>Discussion</h2><p>x</section>", "Discussion x"),
+    ("<div id='data-sharing'><p>x</div>", "x"),
+    ("<div class='section' id='sharing'><p>x</div>", "x"),
+    ("<h3 id='comments'>Comments</h3><p id='advertising'>x", "Comments x"),
+    ("<div id='comments'><p>x</div><section id='cookie-notice'>x</section>", ""),
+])
+def test_generated_ids(part, text):
+    assert html_text.main_text(_page(f"<article><p>{PROSE}</p>{part}</article>")) == f"{PROSE}{text}".strip()
+
+
 def test_distribution_finds_surges_and_dives():
     lengths = np.array([0, 5, 0, 0, 0, 0, 90, 80, 0, 70, 0, 0, 0, 3, 0, 0, 0, 200])
     assert html_text.between_surges_and_dives(lengths, 20) == [(6, 9), (17, 17)]
