@@ -7,9 +7,10 @@ page names an article or a main part, lines outside it.  A class name or id neve
 below it that is longer than the rest of the named text; ids of headings, and plain words as ids of sections and inside
 an article, don't count, for they are made from headings.  Elsewhere text inside links doesn't count.
 Lengths are summed over sliding windows of WINDOW lines.  A surge is where a window's sum rises above the
-threshold, a dive where it falls back to 0; the lines with a length between a surge and its dive are kept.  With a named
-article the threshold is 0 and all its parts are kept, else it is SURGE characters (or a third of the
-page's highest window, for short pages), and parts under a quarter of the longest are dropped.
+threshold, a dive where it falls back to 0.  All parts between a surge and its dive are kept, from the first to the last line
+with a length, with all lines in them that are not left out, wholly linked ones too, and with the headings and
+paragraphs at their edges that the windows of their first and last line reach.  With a named article the threshold is 0, else it is SURGE
+characters (or a third of the page's highest window, for short pages).
 
 Character references are decoded, white space in a line becomes one space, lines are joined by one space.
 
@@ -120,10 +121,10 @@ def _left_out(name: str, raw: str, inside: int) -> int:
 
 
 class Line:
-    __slots__ = ("text", "linked", "out", "inside", "below")
+    __slots__ = ("text", "linked", "out", "inside", "below", "prose")
 
-    def __init__(self, text: str, linked: int, out: bool, inside: bool, below: int) -> None:
-        self.text, self.linked, self.out, self.inside, self.below = text, linked, out, inside, below
+    def __init__(self, text: str, linked: int, out: bool, inside: bool, below: int, prose: bool) -> None:
+        self.text, self.linked, self.out, self.inside, self.below, self.prose = text, linked, out, inside, below, prose
 
 
 _MAIN, _ARTICLE = 1, 2
@@ -131,7 +132,7 @@ _MAIN, _ARTICLE = 1, 2
 
 def lines(page: str) -> list[Line]:
     """The non-empty lines of a page: text, characters inside links, whether left out, whether in an article or main part,
-    and the number of the article below an element that is left out by its name (0: none)."""
+    the number of the article below an element that is left out by its name (0: none), whether a heading or paragraph."""
     out: list[Line] = []
     pieces: list[str] = []
     linked = 0
@@ -140,14 +141,14 @@ def lines(page: str) -> list[Line]:
     left_out = inside = below = found_below = 0
     empty = foreign = False
     aside = False  # a paragraph that is left out
-    link = False
+    link = prose = False
 
     def end() -> None:
         nonlocal pieces, linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Line(text, linked, bool(left_out or aside), bool(inside), below))
+                out.append(Line(text, linked, bool(left_out or aside), bool(inside), below, prose))
         pieces, linked = [], 0
 
     def close_to(k: int) -> None:
@@ -211,6 +212,7 @@ def lines(page: str) -> list[Line]:
         if not empty and name != "select":
             end()
         if not empty and name not in _EMPTY:
+            prose = prose and name == "br" or not ending and (name == "p" or name in _HEADINGS)
             aside = name == "p" and not ending and _left_out(name, raw, inside) > 0
         if name in _SIBLINGS and not ending and stack and stack[-1][0] == name:
             close_to(len(stack) - 1)
@@ -288,14 +290,15 @@ def main_text(page: str | None) -> str:
     named = any(r.inside and not r.out for r in rows)
     lengths = np.array([0 if r.out or (named and not r.inside) else len(r.text) if named else max(len(r.text) - r.linked, 0) for r in rows])
     if named:
-        parts = between_surges_and_dives(lengths, 0)
+        parts, keep = between_surges_and_dives(lengths, 0), set()
     else:
         sums = np.append(0, np.cumsum(lengths))
         highest = max(sums[min(i + WINDOW, len(rows))] - sums[i] for i in range(len(rows)))
         parts = between_surges_and_dives(lengths, min(SURGE, highest / 3))
-        sizes = [int(lengths[a:b + 1].sum()) for a, b in parts]
-        parts = [p for p, s in zip(parts, sizes) if 4 * s >= max(sizes)]
-    return " ".join(rows[k].text for a, b in parts for k in range(a, b + 1) if lengths[k])
+        near = [(max(a - WINDOW + 1, 0), min(b + WINDOW, len(rows))) for a, b in parts]
+        keep = {k for x, y in near for k in range(x, y) if rows[k].prose}
+    keep.update(k for a, b in parts for k in range(a, b + 1) if not named or rows[k].inside)
+    return " ".join(rows[k].text for k in sorted(keep) if not rows[k].out)
 
 
 def extracted(pages: DataFrame, page: str = "html") -> tuple[DataFrame, str]:

@@ -89,6 +89,21 @@ def test_generated_ids(part, text):
     assert html_text.main_text(_page(f"<article><p>{PROSE}</p>{part}</article>")) == f"{PROSE}{text}".strip()
 
 
+@pytest.mark.parametrize("body", [
+    "<p>{intro}</p><div class=ad><p>Buy<p>this<p>now</div><p>{text}</p>",
+    "<p>{intro}</p><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Mail</a></ul><p>{text}</p>",
+])
+def test_short_parts_without_article(body):
+    page = _page("<div>" + body.format(intro=PROSE[:90], text=PROSE * 8) + "</div>")
+    assert html_text.main_text(page) == f"{PROSE[:90].strip()} {PROSE * 8}".strip()
+
+
+def test_linked_lines_without_article():
+    page = _page(f"<ul><li><a href=0>Menu</a></ul><h1><a href=1>Storm</a></h1><p>{PROSE}<h2><a href=2>Night</a></h2><p>{PROSE}"
+                 f"<ul><li><a href=3>Entry</a><li>{PROSE}</ul><p><a href=4>All of the storm</a></p><ul><li><a href=5>Menu</a></ul>")
+    assert html_text.main_text(page) == f"Storm {PROSE}Night {PROSE}Entry {PROSE}All of the storm"
+
+
 def test_distribution_finds_surges_and_dives():
     lengths = np.array([0, 5, 0, 0, 0, 0, 90, 80, 0, 70, 0, 0, 0, 3, 0, 0, 0, 200])
     assert html_text.between_surges_and_dives(lengths, 20) == [(6, 9), (17, 17)]
