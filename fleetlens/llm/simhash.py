@@ -12,7 +12,7 @@ pairs; a key held by more than HOT fingerprints is first split by its third segm
 fingerprint visiting its own value and those one bit away (the budget there is one bit), which loses no link.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated
-rows share a class; an empty table gives an empty result.
+rows share a class; an empty table gives an empty result; de-duplication keeps one row of each component, whatever its ids.
 """
 
 from __future__ import annotations
@@ -161,26 +161,39 @@ def link_fingerprints(fps: DataFrame, hot: int = HOT) -> DataFrame:
             .mapInArrow(_link_groups, "u long, v long"))
 
 
+def _rooted(rows: DataFrame, first: Column) -> DataFrame:
+    """The classes of equal fingerprints of ``rows`` (column ``fp``): ``fp``, the aggregate ``first`` of
+    the class, and ``root``, one value per component."""
+    classes = rows.groupBy("fp").agg(first.alias("first"))
+    roots = components(link_fingerprints(classes.select("fp")), "simhash-links")
+    rooted = (classes.join(roots, classes["fp"] == roots["node"], "left")
+              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    return written(rooted, "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fp`` (long) and ``component_id``, the smallest id
     reachable over links (null ids have no say unless a component has no other)."""
     own, name = add_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text")), "_text")
     rows = written(own.select("doc_id", F.col(name).alias("fp")), "simhash-rows")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(link_fingerprints(classes.select("fp")), "simhash-links")
-    rooted = (classes.join(roots, classes["fp"] == roots["node"], "left")
-              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    rooted = written(rooted, "simhash-classes")
+    rooted = _rooted(rows, F.min("doc_id"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every component of ``docs``: that with the smallest id (repeated rows of that id count once)."""
-    found = near_duplicates(docs, id_col, text)
-    keep = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct())
-    key = free_name(docs, "_key")
-    keep = keep.withColumnRenamed("_key", key)
-    return (docs.withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-            .join(keep, key, "left_semi").dropDuplicates([key]).drop(key))
+    """One row of every component of ``docs``: that with the smallest id (null ids last) and, of several texts with
+    that id, the one with the smallest SHA-256 (null first).  Rows of equal id and text are in one component, so that
+    pair finds the row again; ids may be null or repeated over different texts."""
+    def digest(column: str) -> Column:
+        return F.coalesce(F.sha2(F.col(column).cast("binary"), 256), F.lit(""))
+
+    own, name = add_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text")), "_text")
+    rows = written(own.select("doc_id", digest("_text").alias("digest"), F.col(name).alias("fp")), "simhash-rows")
+    rooted = _rooted(rows, F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")))
+    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    key = free_name(docs, "_digest")
+    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_of"))
+    marked = docs.withColumn(key, digest(text))
+    return (marked.join(keep, marked[id_col].eqNullSafe(keep["_id"]) & (marked[key] == keep["_of"]), "left_semi")
+            .dropDuplicates([id_col, key]).drop(key))

@@ -283,6 +283,21 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_component(spark, docs):
+    texts = [t for _, t in docs if t and len(t) > 200]
+    comp = _brute_components(dict(enumerate(map(_brute_fp, texts))))
+    a, b, c, d, e = [texts[i] for i in comp if comp[i] == i][:5]
+    rows = [(None, a), (None, b), (7, c), (7, d), (5, e), (None, e), (None, e), (None, a), (9, c), (3, None), (3, ""), (7, d)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `_digest` int")
+    out = simhash.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(0, a), (0, b), (7, c), (7, d), (5, e), (3, "")])
+    assert simhash.deduplicated(df.limit(0)).count() == 0
+    names = spark.createDataFrame([(i and f"d{i}", t) for i, t in rows] + [("", b)], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.text or "") for r in simhash.deduplicated(names).collect()) == sorted(
+        [("", a), ("", b), ("d7", c), ("d7", d), ("d5", e), ("d3", "")])
+
+
 # ---- BPE -----------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
