@@ -12,8 +12,10 @@ is finished: its strings occur as often as it has members.  Only in buckets with
 surroundings are single strings compared, by refinement: the identifier of a string of
 length 2m is the pair of the identifiers of its first half and of the one at the later offset m; in
 rounds of depth 32, 64, 128, 256 and 400, strings whose identifier nobody shares are finished, and the
-identifiers of a round are reused by the next.  Identifiers are 64-bit mixes of pairs (compared in two
-independent lanes, 128 bits) instead of ranks, so that no global sort is needed.
+identifiers of a round are reused by the next.  Identifiers are 64-bit mixes of pairs instead of ranks, so that no
+global sort is needed.  Refined strings are compared in two independent lanes (128 bits).  Surroundings, which decide the finished
+buckets and the copies in others that need no refinement, are compared by one lane (64 bits) inside one bucket, whose
+64 bits are of the other lane but only cover the q-gram.
 
 Scale.  Anchors that a text has twice or more with equal surroundings (periodic text has one at every
 byte) leave its task as one row with their number and the runs of starts.  Buckets are counted with partial aggregation before the shuffle; a bucket with many members is
