@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, chat, cover_tree, html_text, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup
+from fleetlens.llm import bpe, chat, cover_tree, html_text, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup, token_alignment
 from fleetlens.llm.common import shared_folder, table, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -130,7 +130,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(raw, 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op3_html_text, op4_chat_windows, op5_cover_tree, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align the tokens of two public vocabularies over every whole document; pair counts are corpus-wide."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        rows, c = token_alignment.aligned(_documents(spark, sf_dir), a.read(), b.read())
+    groups = F.when(F.col(c["n_a"]) > 0, F.sha2(c["groups"], 256)).otherwise("")
+    numbers = ["n_a", "n_b", "n_groups", "n_links"]
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[F.col(c[n]).alias(n) for n in numbers],
+                               groups.alias("groups_sha256"), F.col(c["pairs"]).alias("pairs"), F.col(c["pair_n"]).alias("pair_n")), "align-rows")
+    counts = token_alignment.corpus_counts(rows, "row")
+    out = rows.drop("pairs", "pair_n").join(counts, "row", "left")
+    return out.select("doc_id", *numbers, *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_best", "count_sum")], "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op3_html_text, op4_chat_windows, op5_cover_tree, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe, op13_token_alignment)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL}
