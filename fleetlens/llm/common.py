@@ -44,15 +44,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove the files behind a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files behind tables made by :func:`written` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

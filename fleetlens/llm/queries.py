@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, chat, cover_tree, html_text, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup, token_alignment
+from fleetlens.llm import bpe, chat, cover_tree, html_text, merkle_manifest, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup, token_alignment
 from fleetlens.llm.common import shared_folder, table, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -130,6 +130,62 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(raw, 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of all documents by language, with every document's proof; the check of a proof starts from the changed
+    document where 7 divides the checksum of its id."""
+    shared_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle_manifest.leaf(*[more.get(f, F.col(f)) for f in fields]))
+    out = merkle_manifest.manifest(docs, fields, "doc_id", "lang", carry={"changed": tampered})
+    out = out.withColumn("folded_root", merkle_manifest.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return out.select(F.col("id").alias("doc_id"), merkle_manifest.hexed(F.col("leaf")).alias("leaf"), "subroot", "root",
+                      F.sha2(merkle_manifest.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = {"doc_id": "doc_id", "source": "source", "lang": "lang", "n_chars": n_chars, "text": "text"}
+    return "sha256(" + " || ".join(f"coalesce(strlen(({v})::VARCHAR)::VARCHAR || ':' || ({v})::VARCHAR, '-')" for v in values.values()) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE
+bits(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql('n_chars::HUGEINT + 1')} AS changed,
+             coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, [unicode(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]),
+                                      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 7 = 0, false) AS tampered
+      FROM documents, crc),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+tree(lang, lvl, pos, digest, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM p
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+subroots AS (SELECT lang, lvl, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(lvl, pos, digest, n) AS (
+  SELECT 0, pos, digest, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n),
+nodes AS (SELECT 'leaf' AS part, lang, lvl, pos, digest FROM tree UNION ALL SELECT 'top', NULL, lvl, pos, digest FROM top),
+walk(doc_id, lang, leaf, part, lvl, pos, now, proof) AS (
+  SELECT doc_id, lang, leaf, 'leaf', 0, pos, CASE WHEN tampered THEN changed ELSE leaf END, '' FROM p
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, CASE WHEN s.pos IS NULL THEN w.part ELSE 'top' END,
+         CASE WHEN s.pos IS NULL THEN w.lvl + 1 ELSE 0 END, CASE WHEN s.pos IS NULL THEN w.pos // 2 ELSE s.pos END,
+         CASE WHEN s.pos IS NOT NULL THEN w.now WHEN o.digest IS NULL THEN sha256(w.now) WHEN w.pos % 2 = 1 THEN sha256(o.digest || w.now) ELSE sha256(w.now || o.digest) END,
+         CASE WHEN s.pos IS NOT NULL OR o.digest IS NULL THEN w.proof ELSE w.proof || o.digest END
+  FROM walk w
+  LEFT JOIN subroots s ON w.part = 'leaf' AND s.lang IS NOT DISTINCT FROM w.lang AND s.lvl = w.lvl
+  LEFT JOIN nodes o ON o.part = w.part AND o.lvl = w.lvl AND o.pos = xor(w.pos, 1) AND (w.part = 'top' OR o.lang IS NOT DISTINCT FROM w.lang)
+  WHERE w.part = 'leaf' OR w.lvl < (SELECT max(lvl) FROM top))
+SELECT w.doc_id, w.leaf, s.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256, w.now AS folded_root, w.now = r.digest AS verified
+FROM walk w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang
+JOIN (SELECT lvl, digest FROM top WHERE n = 1) r ON w.part = 'top' AND w.lvl = r.lvl
+"""
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Align the tokens of two public vocabularies over every whole document; pair counts are corpus-wide."""
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
@@ -143,7 +199,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *numbers, *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_best", "count_sum")], "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op3_html_text, op4_chat_windows, op5_cover_tree, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op3_html_text, op4_chat_windows, op5_cover_tree, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe, op12_merkle_manifest, op13_token_alignment)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
