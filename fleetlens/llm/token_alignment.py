@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from fleetlens.llm.common import free_name, slices, written
 
 #: Most pairs whose totals are broadcast (about 20 bytes each).
 HOT = 500_000
-#: Text worked on at once.
-BLOCK_BYTES = 1 << 17
+#: Text worked on at once: small enough for its dictionaries to stay in the cache.
+BLOCK_BYTES = 1 << 15
 
 #: Fixed value: the pattern by which a byte-level tokenizer splits a text into words.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,19 +62,23 @@ def byte_bpe(serialized: str) -> Vocabulary:
 
     Where ids follow the order of the merges (as they do in the public files), the file's entries are the ranks of the same
     tokenizer, and the rank library, which is about five times as fast, gives the same ids; it is left for texts that it can't split."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_str(serialized)
-    model.encode_special_tokens = True  # their strings in a text are ordinary text
-    token_bytes = [b""] * model.get_vocab_size()
-    for token, i in model.get_vocab().items():
+    spec = json.loads(serialized)
+    vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    token_bytes = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
         token_bytes[i] = byte_level(token)
+    models: list = []
 
     def plain(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        if not models:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            models.append(Tokenizer.from_str(serialized))
+            models[0].encode_special_tokens = True  # their strings in a text are ordinary text
+        return [e.ids for e in models[0].encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
 
-    ranks = _ranks(json.loads(serialized))
+    ranks = _ranks(spec)
     if ranks is None:
         return plain, token_bytes
     import tiktoken
@@ -116,8 +121,7 @@ def pieces(serialized: bytes) -> Vocabulary:
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_proto=serialized)
-    token_bytes = [piece_bytes(model.id_to_piece(i)) for i in range(model.get_piece_size())]
-    return (lambda texts: model.encode(texts, num_threads=1)), token_bytes
+    return partial(model.encode, num_threads=1), [piece_bytes(model.id_to_piece(i)) for i in range(model.get_piece_size())]
 
 
 def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:

@@ -66,12 +66,13 @@ def plain(models, texts: list[str | None]) -> list[tuple]:
     return [r + (sum(totals[p] == highest[p[1]] for p in doc), sum(totals[p] for p in doc)) for r, doc in zip(rows, links)]
 
 
+SF = "/root/testdata/sf0.001"
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
 
 
-def test_query_equals_plain_version(spark, sf_dir, models):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
-    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in queries.op13_token_alignment(spark, sf_dir).collect()}
+def test_query_equals_plain_version(spark, models):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in queries.op13_token_alignment(spark, SF).collect()}
     want = dict(zip([d["doc_id"] for d in docs], plain(models, [d["text"] for d in docs])))
     assert got == want
 
@@ -93,9 +94,9 @@ def test_empty_table(spark, tmp_path):
     assert queries.op13_token_alignment(spark, str(tmp_path)).collect() == []
 
 
-def test_rare_pairs_meet_their_totals_without_a_broadcast(spark, sf_dir):
+def test_rare_pairs_meet_their_totals_without_a_broadcast(spark):
     """Whatever number of pairs is broadcast, all links meet their totals."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit("x").alias("PAIRS"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit("x").alias("PAIRS"))
     with open(A, encoding="utf-8") as a, open(B, "rb") as b:
         rows, c = token_alignment.aligned(docs, a.read(), b.read())
     assert c["pairs"] != "pairs"
