@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, chat, cover_tree, html_text, merkle_manifest, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup, token_alignment
+from fleetlens.llm import bpe, chat, cover_tree, document_fingerprint, html_text, merkle_manifest, mixing, pii, quality_knn, quality_rules, simhash, suffix_dedup, token_alignment
 from fleetlens.llm.common import shared_folder, table, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -130,6 +130,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(raw, 256).alias("decoded_sha256"))
 
 
+def op11_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every whole document and an edited version, whose second half comes from the next document by descending id;
+    compare the document's fingerprint with the edited version's and the next document's."""
+    rows = document_fingerprint.with_following(_documents(spark, sf_dir), "doc_id", "text")
+    rows = rows.withColumn("edited", document_fingerprint.edited(F.col("text"), F.col("following")))
+    rows = document_fingerprint.fingerprinted(rows, {"text": "fingerprint", "edited": "edited_fingerprint", "following": "next_fingerprint"})
+    rows = document_fingerprint.with_likeness(rows, {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
+    return rows.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Merkle manifest of all documents by language, with every document's proof; the check of a proof starts from the changed
     document where 7 divides the checksum of its id."""
@@ -199,7 +210,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *numbers, *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_best", "count_sum")], "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op3_html_text, op4_chat_windows, op5_cover_tree, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe, op12_merkle_manifest, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_knn, op3_html_text, op4_chat_windows, op5_cover_tree, op6_quality_rules, op7_pii, op8_mixing, op9_simhash, op10_bpe, op11_document_fingerprint, op12_merkle_manifest, op13_token_alignment)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
