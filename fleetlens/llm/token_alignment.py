@@ -25,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,7 +90,7 @@ def byte_bpe(serialized: str) -> Vocabulary:
         out = []
         for t in texts:
             try:
-                out.append(quick.encode(f" {t}", disallowed_special=()))
+                out.append(quick.encode_to_numpy(f" {t}", disallowed_special=()))
             except ValueError:  # its splitter gives up on very long runs of white space
                 out += plain([t])
         return out
@@ -161,8 +162,8 @@ class Aligner:
         self.starts = [np.cumsum(s) - s for s in self.sizes]
         self.blobs = [np.frombuffer(b"".join(v[1]), np.uint8) for v in (a, b)]
         self.width = [len(v[1]) for v in (a, b)]
-        # names of A's ids inside a group and at the end of theirs, then the same of B's
-        self.names = [f"{i}{mark}" for n, marks in zip(self.width, (",|", ",;")) for mark in marks for i in range(n)]
+        # names of A's ids inside a group and at the end of theirs, then the same of B's, and of B's at the end of a text
+        self.names = pa.array([f"{i}{mark}" for n, marks in zip(self.width, ((",", "|"), (",", ";", ""))) for mark in marks for i in range(n)])
 
     def _given_back(self, side: int, ids: np.ndarray) -> np.ndarray:
         """The bytes of tokens, joined."""
@@ -204,15 +205,15 @@ class Aligner:
             return out
 
         count = lambda docs: np.bincount(docs, minlength=len(place))
-        texts_out = [""] * len(texts)
-        for i, g in zip(place, groups):
-            texts_out[i] = g
+        at = np.full(len(texts), -1)
+        at[place] = np.arange(len(place))
+        texts_out = pc.fill_null(groups.take(pa.array(at, mask=at < 0)), "")
         offsets = pa.array(np.append(0, np.cumsum(numbers(count(pair_doc)))).astype(np.int32))
         return [pa.array(numbers(n_a)), pa.array(numbers(n_b)), pa.array(numbers(count(group_doc))), pa.array(numbers(count(link_doc))),
-                pa.array(texts_out, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pair_a << 32 | pair_b)),
+                texts_out, pa.ListArray.from_arrays(offsets, pa.array(pair_a << 32 | pair_b)),
                 pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
 
-    def _groups(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, ends: np.ndarray) -> list[str]:
+    def _groups(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, ends: np.ndarray) -> pa.Array:
         """``a1,a2|b1;a3|b2,b3`` of every text, whose tokens of both sides end at ``ends``."""
         width_a, width_b = self.width
         group_a, group_b = (np.repeat(np.arange(len(c)), np.diff(c, prepend=0)) for c in (cut_a, cut_b))
@@ -221,8 +222,9 @@ class Aligner:
         last_a[cut_a - 1] = last_b[cut_b - 1] = True
         name[np.arange(len(a)) + np.append(0, cut_b)[group_a]] = a + width_a * last_a
         name[np.arange(len(b)) + cut_a[group_b]] = b + width_b * last_b + 2 * width_a
-        written_out = list(map(self.names.__getitem__, name.tolist()))
-        return ["".join(written_out[i:j])[:-1] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        name[ends - 1] += width_b
+        named = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), self.names.take(pa.array(name)))
+        return pc.binary_join(named, "")
 
 
 FIELDS = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups": "string", "pairs": "array<long>", "pair_n": "array<int>"}
