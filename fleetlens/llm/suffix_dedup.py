@@ -9,27 +9,26 @@ anchors, about one in 140 bytes, are shuffled, each with the range of string sta
 
 Initial buckets are the anchors' q-grams.  A bucket whose members all have the same surroundings
 is finished: its strings occur as often as it has members.  Only in buckets with different
-surroundings are single strings compared, by refinement: the identifier of a string of
-length 2m is the pair of the identifiers of its first half and of the one at the later offset m; in
-rounds of depth 32, 64, 128, 256 and 400, strings whose identifier nobody shares are finished, and the
-identifiers of a round are reused by the next.  Identifiers are 64-bit mixes of pairs instead of ranks, so that no
-global sort is needed.  Refined strings are compared in two independent lanes (128 bits).  Surroundings, which decide the finished
+surroundings are single strings compared, by refinement: they are sorted by the rank of their own bucket and that of the bucket at a
+later offset, whose order gives the ranks for twice the depth; in rounds of depth 32, 64, 128, 256 and 400, strings
+whose bucket nobody shares are finished, and the ranks of a round are reused by the next, at all later offsets.  Ranks
+hold inside one bucket, so no global sort is needed; refined strings have equal q-grams in two lanes (128 bits).  Surroundings, which decide the finished
 buckets and the copies in others that need no refinement, are compared by one lane (64 bits) inside one bucket, whose
 64 bits are of the other lane but only cover the q-gram.
 
 Scale.  Anchors that a text has twice or more with equal surroundings (periodic text has one at every
 byte) leave its task as one row with their number and the runs of starts.  Buckets are counted with partial aggregation before the shuffle; a bucket with many members is
 joined with its count by an equi join that the adaptive planner splits; one with more
-than CROWDED different surroundings is refined by distributed counts instead of in one task.  Texts
+than CROWDED different surroundings is refined by distributed counts of 128-bit identifiers (two lanes) instead of in one task.  Texts
 travel packed (zstd) and only meet their own document's rows.
 
-Defined results: a null text counts as empty; documents under 400 bytes lose nothing; repeated
+Defined results: ids are of any type, null ids are apart from all others; a null text counts as empty; documents under 400 bytes lose nothing; repeated
 rows are copies of each other and lose all that is covered; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import slices, written
+from fleetlens.llm.common import dropped, slices, written
 
 LENGTH = 400
 Q = 32
@@ -161,7 +160,7 @@ def _once_per_text(*rows: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarra
 
 def _shared(ids: np.ndarray) -> np.ndarray:
     """Which identifiers occur more than once."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     s = ids[order]
     same = s[1:] == s[:-1]
     out = np.zeros(len(ids), bool)
@@ -169,27 +168,44 @@ def _shared(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def refine(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All LENGTH-byte strings of the contexts that occur more than once among them: (context, offset in it), and
-    the two lanes of their identifiers.  Each round only looks at strings whose identifier was still shared."""
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Ranks of the values in sorted order; equal values have equal ranks."""
+    order = np.argsort(values)
+    v = values[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.append(False, v[1:] != v[:-1])[:len(v)])
+    return out
+
+
+def refine(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All LENGTH-byte strings of the contexts that occur more than once among them: (context, offset in it).
+
+    Every string starts in the bucket of its q-gram (both lanes).  A round sorts strings by the rank of their bucket and that of the
+    bucket at a later offset; the ranks of the pairs are the buckets of the next round, for twice the depth.  Each round only looks at
+    strings whose bucket is still shared, and at the later offsets of those."""
     flat = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) for c in contexts])
     base = np.cumsum(sizes) - sizes
     count = sizes - LENGTH + 1
     context = np.repeat(np.arange(len(contexts)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    ids = [_gram_ids(flat, lane) for lane in (0, 1)]
-    depth = Q
-    while True:
-        here = base[context] + offset
-        keep = _shared(ids[0][here])
-        context, offset, here = context[keep], offset[keep], here[keep]
+    here = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    grams, depth = [_gram_ids(flat, lane) for lane in (0, 1)], Q
+    keep = _shared(grams[0][here])
+    context, here = context[keep], here[keep]
+    bucket, step = np.full(len(flat), -1, np.int64), 0
+    while len(here):
+        # places whose next bucket this or a later round reads: those of the strings left, at all later offsets
+        edges = np.bincount(here, minlength=len(flat)) - np.bincount(here + LENGTH - depth - step + 1, minlength=len(flat))[:len(flat)]
+        where = np.flatnonzero(np.cumsum(edges) > 0)
+        pair = (bucket[where], bucket[where + step]) if step else [_ranks(g[where]) for g in grams]
+        bucket[where] = _ranks(pair[0] << 32 | pair[1])
+        keep = np.bincount(bucket[here])[bucket[here]] > 1
+        context, here = context[keep], here[keep]
+        depth += step
         if depth == LENGTH:
-            keep = _shared(_pair(ids[0][here], ids[1][here], 0))
-            return context[keep], offset[keep], ids[0][here][keep], ids[1][here][keep]
+            break
         step = min(depth, LENGTH - depth)
-        ids = [_pair(x[:-step], x[step:], lane) for lane, x in enumerate(ids)]
-        depth += step
+    return context, here - base[context]
 
 
 def _string_ids(context: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -213,20 +229,28 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[np.append(0, cut + 1)], values[np.append(cut, len(values) - 1)]
 
 
+def _keys(ids: list[str | None], raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of 128-bit digests of rows' ids (null apart from every other) and texts."""
+    sums = b"".join(hashlib.blake2b(r, digest_size=16, key=b"null" if i is None else hashlib.sha256(i.encode()).digest()).digest() for i, r in zip(ids, raws))
+    both = np.frombuffer(sums, "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def packed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``doc_id``, the key (``_id``, ``_k``: id, null as 0, and checksum of the text; rows of equal key have
-    equal texts, hence equal results), ``n_bytes`` and the compressed text ``z``."""
+    """``doc_id``, the key (``_id``, ``_k``; rows of equal key have equal ids and texts, hence equal results),
+    ``n_bytes`` and the compressed text ``z``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 raws = [(t or "").encode() for t in part.column("_text").to_pylist()]
+                high, low = _keys(part.column("_id").to_pylist(), raws)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("_id"), pa.array([zlib.crc32(r) for r in raws], pa.int64()),
+                    [part.column("doc_id"), pa.array(high), pa.array(low),
                      pa.array([len(r) for r in raws], pa.int64()),
                      pa.array([pa.compress(r, "zstd", asbytes=True) for r in raws], pa.binary())],
                     names=["doc_id", "_id", "_k", "n_bytes", "z"])
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.col(text).alias("_text"))
+    return (docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("_id"), F.col(text).alias("_text"))
             .mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, _id long, _k long, n_bytes long, z binary"))
 
 
@@ -242,16 +266,15 @@ def anchor_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "_text"):
                 raws = [(t or "").encode() for t in part.column("_text").to_pylist()]
-                ids = part.column("_id").to_numpy()
-                sums = np.array([zlib.crc32(r) for r in raws], np.int64)
+                high, low = _keys(part.column("_id").to_pylist(), raws)
                 for found in anchors(raws):
                     (which, at, near, far, g, u), n, runs = _once_per_text(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[which]), pa.array(sums[which]), pa.array(at.astype(np.int32)), pa.array(near.astype(np.int32)),
+                        [pa.array(high[which]), pa.array(low[which]), pa.array(at.astype(np.int32)), pa.array(near.astype(np.int32)),
                          pa.array(far.astype(np.int32)), _signed(g), _signed(u), pa.array(n.astype(np.int32)), runs],
                         names=["_id", "_k", "a", "near", "far", "g", "u", "n", "runs"])
 
-    return (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.col(text).alias("_text"))
+    return (docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text).alias("_text"))
             .mapInArrow(run, "_id long, _k long, a int, near int, far int, g long, u long, n int, runs array<struct<lo:int,hi:int>>"))
 
 
@@ -295,7 +318,7 @@ def _refine_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: pa.RecordBatch | None = None
 
     def work(rows: pa.RecordBatch) -> pa.RecordBatch:
-        context, offset, _, _ = refine(rows.column("context").to_pylist())
+        context, offset = refine(rows.column("context").to_pylist())
         single = rows.column("n").to_numpy()[context] == 1
         return _start_runs(rows, context[single], offset[single])
 
@@ -328,10 +351,11 @@ def _all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_starts(docs: DataFrame, whole: DataFrame, id_col: str, text: str, crowded: int = CROWDED) -> DataFrame:
     """(``_id``, ``_k``, ``lo``, ``hi``): runs of starts of LENGTH-byte strings that also start elsewhere."""
-    rows = anchor_rows(docs, id_col, text)
+    rows = written(anchor_rows(docs, id_col, text), "suffix-anchors")
     buckets = rows.groupBy("g").agg(F.sum("n").alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).filter("n > 1")
     buckets = written(buckets.select("g", (F.col("u0") != F.col("u1")).alias("mixed")), "suffix-buckets")
     shared = written(rows.join(buckets, "g"), "suffix-shared")
+    dropped(rows, buckets)
 
     alone = F.struct((F.col("a") - F.col("far")).alias("lo"), (F.col("a") - F.col("near")).alias("hi"))
     starts = F.inline(F.coalesce("runs", F.array(alone)))

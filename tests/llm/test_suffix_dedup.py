@@ -86,11 +86,47 @@ def test_empty_table(spark):
 
 
 def test_a_periodic_text_is_few_rows(spark):
-    df = spark.createDataFrame([(0, "a" * 50_000), (1, "ab c" * 10_000), (2, "x" * 399)], "doc_id long, text string")
+    texts = ["a" * 50_000, "ab c" * 10_000, "x" * 399]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = [suffix_dedup._keys([str(i)], [t.encode()])[0][0] for i, t in enumerate(texts)]
     rows = suffix_dedup.anchor_rows(df, "doc_id", "text").collect()
     assert len(rows) < 20 and sum(r.n for r in rows) > 50_000
     for doc, size in ((0, 50_000), (1, 40_000)):
-        starts = [x for r in rows if r._id == doc for x in ([(x.lo, x.hi) for x in r.runs] if r.n > 1 else [(r.a - r.far, r.a - r.near)])]
+        starts = [x for r in rows if r._id == key[doc] for x in ([(x.lo, x.hi) for x in r.runs] if r.n > 1 else [(r.a - r.far, r.a - r.near)])]
         assert {p for lo, hi in starts for p in range(lo, hi + 1)} == set(range(size - L + 1))
     got = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicated(df).collect()}
     assert got == {0: 50_000, 1: 40_000, 2: 0}
+
+
+def test_null_ids_of_equal_checksum_and_text_ids(spark):
+    """Texts of equal CRC-32 under one (null) id keep apart; ids may be of any type."""
+    import zlib
+    t = _texts()
+    a, b = t[10], t[-2]
+    free = [f"{b}#{k}" for k in range(3)]
+    pairs = {}
+    found = None
+    rng = random.Random(11)
+    while found is None:   # two different tails of equal checksum: about 2**16 tries
+        tail = "".join(rng.choice("abcdefgh") for _ in range(12))
+        crc = zlib.crc32((a + tail).encode())
+        if pairs.setdefault(crc, tail) != tail:
+            found = pairs[crc], tail
+    one, two = a + found[0], a + found[1]
+    assert zlib.crc32(one.encode()) == zlib.crc32(two.encode())
+    _check(spark, [(None, one), (None, two), (0, one), (None, free[0]), (7, free[1])])
+    rows = [("doc-1", one), ("doc-2", two), (None, one), ("", free[2]), ("null", b)]
+    out = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    got = sorted((r.doc_id or "", r.n_removed, r.n_spans, bytes(r.kept)) for r in out)
+    assert got == sorted((i or "", *w[1:]) for (i, _), w in zip(rows, brute([x for _, x in rows])))
+
+
+def test_refine_finds_exactly_the_repeated_strings():
+    rng = random.Random(3)
+    base = ["".join(rng.choice("ab") for _ in range(700)) for _ in range(4)] + ["ab" * 350, "a" * 500]
+    contexts = [(b[:k] + c + b[k + 1:]).encode() for b in base for k, c in ((0, "x"), (350, "y"), (351, "z"), (499, "w"))] + [base[0].encode()] * 2
+    seen = Counter(c[i:i + L] for c in contexts for i in range(len(c) - L + 1))
+    want = sorted((k, i) for k, c in enumerate(contexts) for i in range(len(c) - L + 1) if seen[c[i:i + L]] > 1)
+    context, offset = suffix_dedup.refine(contexts)
+    assert sorted(zip(context.tolist(), offset.tolist())) == want
+    assert suffix_dedup.refine([b"q" * L])[0].tolist() == []
