@@ -5,6 +5,7 @@ from .scope import capture_at, captures_at, database_scope, latest_capture, mult
 from .joins import blocking_pairs, resolve_handle, resolve_plan, resolve_text, unused_keys, with_index_names
 from .shares import conditional_split, pareto_cutoff, share_of_total
 from .deltas import capture_range_delta, consecutive_delta, snapshot_delta
+from .history import counter_gains, gained_between, segmented_delta, with_segments
 from .dedup import distinct_pairs, latest_per_key
 from .strings import ordered_string_agg, distinct_string_agg
 from .overlap import prefix_overlap
@@ -16,5 +17,5 @@ __all__ = [
     "unused_keys", "with_index_names", "conditional_split", "pareto_cutoff",
     "share_of_total", "capture_range_delta", "consecutive_delta", "snapshot_delta", "distinct_pairs",
     "latest_per_key", "ordered_string_agg", "distinct_string_agg", "prefix_overlap",
-    "upsert_ledger",
+    "upsert_ledger", "counter_gains", "gained_between", "segmented_delta", "with_segments",
 ]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .scope import captures_at
 
 
-def _reset_delta(cur: Column, prev: Column, on_reset: str) -> Column:
+def reset_delta(cur: Column, prev: Column, on_reset: str) -> Column:
     prev0 = F.coalesce(prev, F.lit(0))
     raw = cur - prev0
     if on_reset == "raw":
@@ -48,7 +48,7 @@ def snapshot_delta(pre: DataFrame, post: DataFrame, keys: Sequence[str],
     out = j.select(*keys, *[c for c in carry if c not in keys + counters],
                    *[F.coalesce(F.col(f"_pre_{c}"), F.lit(0)).alias(f"pre_{c}") for c in counters],
                    *[F.col(c).alias(f"post_{c}") for c in counters],
-                   *[_reset_delta(F.col(c), F.col(f"_pre_{c}"), on_reset).alias(f"{prefix}{c}")
+                   *[reset_delta(F.col(c), F.col(f"_pre_{c}"), on_reset).alias(f"{prefix}{c}")
                      for c in counters])
     if keep == "changed":
         out = out.filter(reduce(lambda a, b: a | b, [F.col(f"{prefix}{c}") != 0 for c in counters]))
@@ -88,7 +88,7 @@ def consecutive_delta(samples: DataFrame, keys: Sequence[str], counter: str,
     prev_ts = F.when(first, F.col("_seed_ts")).otherwise(F.col("_prev_ts_in"))
     out = j.withColumn("prev_value", prev).withColumn("prev_" + ts, prev_ts)
     delta = F.when(F.col("prev_value").isNull(), F.lit(None)).otherwise(
-        _reset_delta(F.col(counter), F.col("prev_value"), on_reset))
+        reset_delta(F.col(counter), F.col("prev_value"), on_reset))
     return out.withColumn("delta_value", delta).drop(
         "_bucket", "_prev_in", "_prev_ts_in", "_seed_val", "_seed_ts")
 
@@ -118,7 +118,7 @@ def capture_range_delta(captures: DataFrame, keys: Sequence[str], counters: Sequ
     out = g.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in carry],
                    *[F.when(at_start, F.col(f"_first.{c}")).otherwise(F.lit(0)).alias(f"pre_{c}") for c in counters],
                    *[F.col(f"_last.{c}").alias(f"post_{c}") for c in counters],
-                   *[_reset_delta(F.col(f"_last.{c}"), F.when(at_start, F.col(f"_first.{c}")), on_reset)
+                   *[reset_delta(F.col(f"_last.{c}"), F.when(at_start, F.col(f"_first.{c}")), on_reset)
                      .alias(f"{prefix}{c}") for c in counters])
     if keep == "changed":
         out = out.filter(reduce(lambda a, b: a | b, [F.col(f"{prefix}{c}") != 0 for c in counters]))

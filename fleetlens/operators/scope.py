@@ -29,7 +29,7 @@ def multi_filter(df: DataFrame, needles: dict[str, str | None]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, conds))
 
 
-def _times(df: DataFrame, ts: str, at) -> list:
+def times_of(df: DataFrame, ts: str, at) -> list:
     """Capture times as literals of the column's own type."""
     return [F.lit(str(v)).cast(df.schema[ts].dataType) if not isinstance(v, F.Column) else v for v in at]
 
@@ -37,7 +37,7 @@ def _times(df: DataFrame, ts: str, at) -> list:
 def captures_at(df: DataFrame, at: list, ts: str = "captured_at") -> DataFrame:
     """The rows of the captures taken at the times ``at``; a landed table's ``capture_date``
     partitions are pruned to their days."""
-    times = _times(df, ts, at)
+    times = times_of(df, ts, at)
     if "capture_date" in df.columns:
         df = df.filter(F.col("capture_date").isin(*[F.to_date(t) for t in times]))
     return df.filter(reduce(lambda a, b: a | b, [F.col(ts) == t for t in times]))
@@ -59,7 +59,7 @@ def latest_capture(df: DataFrame, at=None, ts: str = "captured_at",
     for so many days, and reads only those days' partitions; without it all history is looked at."""
     d = df
     if at is not None:
-        when = _times(df, ts, [at])[0]
+        when = times_of(df, ts, [at])[0]
         d = d.filter(F.col(ts) <= when)
         days = F.col("capture_date") if "capture_date" in df.columns else F.to_date(ts)
         if "capture_date" in df.columns:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import int_div, statement_slice
-from ..operators import database_scope, snapshot_delta
+from ..operators import database_scope, segmented_delta, snapshot_delta
 from ..operators.deltas import capture_range_delta
 from .constants import (COMBINED_DELTA_SELF_MARK, COMBINED_SLEEP_PATTERN, COMPANION_SELF_TEXT, QUERY_DELTA_SELF_MARK,
                         WAITING_REPORT_SELF_MARK)
@@ -38,10 +38,14 @@ def query_delta(pre: DataFrame, post: DataFrame, texts: DataFrame, plans: DataFr
 
 def query_delta_between(captures: DataFrame, start, end, texts: DataFrame, plans: DataFrame,
                         databases: DataFrame, database_id=None,
-                        exclude_prefix: str = QUERY_DELTA_SELF_MARK) -> DataFrame:
+                        exclude_prefix: str = QUERY_DELTA_SELF_MARK, restarts: DataFrame | None = None) -> DataFrame:
     """R75 over a table of many landed captures: the delta between the
-    captures ``start`` and ``end`` in one grouped pass (``capture_range_delta``)."""
-    d = capture_range_delta(captures, QUERY_KEYS, QUERY_COUNTERS, start, end, keep=None, on_reset="raw")
+    captures ``start`` and ``end`` in one grouped pass (``capture_range_delta``).  With ``restarts`` (R64's start times) it is
+    cut into segments at each server's starts (``segmented_delta``)."""
+    if restarts is None:
+        d = capture_range_delta(captures, QUERY_KEYS, QUERY_COUNTERS, start, end, keep=None, on_reset="raw")
+    else:
+        d = segmented_delta(captures, QUERY_KEYS, QUERY_COUNTERS, start, end, restarts, keep=None)
     return _finish_query_delta(d, texts, plans, databases, database_id, exclude_prefix)
 
 
@@ -89,6 +93,15 @@ def counter_delta(pre: DataFrame, post: DataFrame) -> DataFrame:
     from a non-zero start.  Joined on the counter name too (the source's
     always-true counter condition is not kept)."""
     d = snapshot_delta(pre, post, COUNTER_KEYS, ["cntr_value"], keep=None, on_reset="raw")
+    return _risen_counters(d)
+
+
+def counter_delta_between(captures: DataFrame, start, end, restarts: DataFrame) -> DataFrame:
+    """R79 over a table of captures, cut at the servers' starts: ``change`` adds up the segments, so it may differ from final - initial."""
+    return _risen_counters(segmented_delta(captures, COUNTER_KEYS, ["cntr_value"], start, end, restarts, keep=None))
+
+
+def _risen_counters(d: DataFrame) -> DataFrame:
     d = d.filter((F.col("delta_cntr_value") > 0) & (F.col("pre_cntr_value") != 0))
     return d.select(*COUNTER_KEYS, F.col("pre_cntr_value").alias("initial_value"),
                     F.col("post_cntr_value").alias("final_value"), F.col("delta_cntr_value").alias("change"),
@@ -102,7 +115,15 @@ MI_COUNTERS = ["avg_total_user_cost", "avg_user_impact", "user_seeks", "user_sca
 def missing_index_delta(pre: DataFrame, post: DataFrame, details: DataFrame) -> DataFrame:
     """Product of the deltas of cost, impact and seeks + scans, rounded;
     rows where any delta is positive, with the index details."""
-    d = snapshot_delta(pre, post, MI_KEYS, MI_COUNTERS, keep="positive", on_reset="raw")
+    return _missing_index_changes(snapshot_delta(pre, post, MI_KEYS, MI_COUNTERS, keep="positive", on_reset="raw"), details)
+
+
+def missing_index_delta_between(captures: DataFrame, start, end, details: DataFrame, restarts: DataFrame) -> DataFrame:
+    """R80 over a table of captures, cut at the servers' starts (the view is empty after one)."""
+    return _missing_index_changes(segmented_delta(captures, MI_KEYS, MI_COUNTERS, start, end, restarts, keep="positive"), details)
+
+
+def _missing_index_changes(d: DataFrame, details: DataFrame) -> DataFrame:
     det = details.select("instance_id", "index_handle", F.col("statement").alias("table_name"),
                          "equality_columns", "inequality_columns", "included_columns")
     d = d.join(det, ["instance_id", "index_handle"])

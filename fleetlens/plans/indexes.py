@@ -219,7 +219,16 @@ def index_row_activity(pre_ops, post_ops, indexes, objects, schemas) -> DataFram
     """Leaf delete / ghost / insert / update, range scan and singleton
     lookup deltas per index; rows where any delta is positive."""
     from ..operators import snapshot_delta
-    d = snapshot_delta(pre_ops, post_ops, IDX, ROW_ACTIVITY, keep="positive", on_reset="raw")
+    return _row_activity(snapshot_delta(pre_ops, post_ops, IDX, ROW_ACTIVITY, keep="positive", on_reset="raw"), indexes, objects, schemas)
+
+
+def index_row_activity_between(captures, start, end, restarts, indexes, objects, schemas) -> DataFrame:
+    """R76 over a table of captures, cut at the servers' starts."""
+    from ..operators import segmented_delta
+    return _row_activity(segmented_delta(captures, IDX, ROW_ACTIVITY, start, end, restarts, keep="positive"), indexes, objects, schemas)
+
+
+def _row_activity(d, indexes, objects, schemas) -> DataFrame:
     d = _names(d, indexes, objects, schemas, named_only=False)
     return d.select(*DB, "schema_name", "table_name", "index_name",
                     *[F.col(f"delta_{c}").alias(f"{c}_delta") for c in ROW_ACTIVITY])

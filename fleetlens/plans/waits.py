@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact_ratio
-from ..operators import pareto_cutoff, sample_keys, share_of_total, snapshot_delta, top_n
+from ..operators import pareto_cutoff, sample_keys, segmented_delta, share_of_total, snapshot_delta, top_n
 from .constants import (PARETO_WAITS_BENIGN, TOP_WAITS_BENIGN, WAIT_HELP_URL, WAIT_SLEEP_PATTERN,
                         WAITFOR_WAIT)
 
@@ -57,6 +57,17 @@ def wait_delta(pre: DataFrame, post: DataFrame, sleep_pattern: str = WAIT_SLEEP_
     grew, without sleeps (``NOT LIKE sleep_pattern``) and WAITFOR."""
     d = snapshot_delta(pre, post, ["instance_id", "wait_type"], ["wait_time_ms", "signal_wait_time_ms"],
                        keep=None, on_reset="raw")
+    return _grown_waits(d, sleep_pattern)
+
+
+def wait_delta_between(captures: DataFrame, start, end, restarts: DataFrame, sleep_pattern: str = WAIT_SLEEP_PATTERN) -> DataFrame:
+    """R78 over a table of captures, cut at the servers' starts (R64): waits after a restart count from zero, whatever
+    their values, and captures in between keep what was counted before it."""
+    d = segmented_delta(captures, ["instance_id", "wait_type"], ["wait_time_ms", "signal_wait_time_ms"], start, end, restarts, keep=None)
+    return _grown_waits(d, sleep_pattern)
+
+
+def _grown_waits(d: DataFrame, sleep_pattern: str) -> DataFrame:
     d = d.filter((F.col("delta_wait_time_ms") > 0) & ~F.col("wait_type").like(sleep_pattern)
                  & (F.col("wait_type") != WAITFOR_WAIT))
     return d.select("instance_id", "wait_type",

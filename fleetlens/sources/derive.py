@@ -402,6 +402,11 @@ SELECT concat('srv', CAST(CAST(floor(o_custkey / 50) AS BIGINT) AS STRING)) AS i
 FROM {orders}""",
 })
 
+# server starts while the captures were taken: none, one or several, the fleet's first servers included
+VIEWS["server_starts"] = """
+SELECT concat('srv', CAST(CAST(floor(user_id / 10) AS BIGINT) AS STRING)) AS instance_id, ts AS server_start_time
+FROM {events} WHERE event_id % 23 = 5 AND CAST(floor(user_id / 10) AS BIGINT) % 3 <> 2"""
+
 VIEWS.update({
     "partitions": f"""
 SELECT {_OBJ_KEY.format(k='l_partkey')}, CAST(l_suppkey % 5 AS INT) AS index_id,
