@@ -9,7 +9,7 @@ from .history import counter_gains, gained_between, segmented_delta, with_segmen
 from .dedup import distinct_pairs, latest_per_key
 from .strings import ordered_string_agg, distinct_string_agg
 from .overlap import prefix_overlap
-from .ledger import upsert_ledger
+from .ledger import ledger_of_intervals, upsert_intervals, upsert_ledger
 
 __all__ = [
     "resolve_plan", "resolve_text", "top_n", "capture_at", "captures_at", "database_scope", "latest_capture",
@@ -18,4 +18,5 @@ __all__ = [
     "share_of_total", "capture_range_delta", "consecutive_delta", "snapshot_delta", "distinct_pairs",
     "latest_per_key", "ordered_string_agg", "distinct_string_agg", "prefix_overlap",
     "upsert_ledger", "counter_gains", "gained_between", "segmented_delta", "with_segments",
+    "upsert_intervals", "ledger_of_intervals",
 ]

@@ -70,3 +70,43 @@ def upsert_ledger(ledger: DataFrame | None, current: DataFrame, keys: Sequence[s
     out += [pick(F.col("s.last_at"), "last_modification"), pick(F.col("s.at"), "current_modification")]
     out += [(v if ledger is None else F.when(F.col("l").isNull(), v).otherwise(F.col(f"l.{k}"))).alias(k) for k, v in keep.items()]
     return g.select(*keys, *out)
+
+
+def upsert_intervals(intervals: DataFrame | None, current: DataFrame, keys: Sequence[str], counters: Sequence[str],
+                     carry: Sequence[str] = (), modified: str = "captured_at", on_reset: str = "previous") -> DataFrame:
+    """The usage ledger kept as intervals, for captures that arrive in any order.
+
+    One row per key and capture: what the counters gained since the key's capture before (``from_at``, NULL for the
+    first) up to this one (``at``).  A capture that arrives late falls into an interval and splits it; one that is there already
+    changes nothing.  So the result only depends on the captures, not on when or how often they came.
+    Columns: ``keys``, ``from_at``, ``at``, ``carry``, and per counter ``current_c``, ``last_c`` (0 for the first) and ``gain_c``."""
+    keys, counters, carry = list(keys), list(counters), list(carry)
+    value = F.struct(*[F.col(c) for c in carry], *[F.col(c).cast("long").alias(c) for c in counters])
+    points = current.groupBy(*keys, F.col(modified).alias("at")).agg(F.max(value).alias("_v")).withColumn("_new", F.lit(1))
+    if intervals is not None:
+        known = F.struct(*[F.col(c) for c in carry], *[F.col(f"current_{c}").alias(c) for c in counters])
+        points = points.unionByName(intervals.select(*keys, "at", known.alias("_v"), F.lit(0).alias("_new")))
+        points = points.groupBy(*keys, "at").agg(F.min_by("_v", "_new").alias("_v"))
+    before = Window.partitionBy(*keys).orderBy("at")
+    rows = points.withColumns({"from_at": F.lag("at").over(before), "_p": F.lag("_v").over(before)})
+    out = [F.col("_v")[c].alias(c) for c in carry]
+    for c in counters:
+        now, prev = F.col("_v")[c], F.col("_p")[c]
+        restart = prev if on_reset == "previous" else now
+        out += [now.alias(f"current_{c}"), F.coalesce(prev, F.lit(0).cast("long")).alias(f"last_{c}"),
+                F.when(prev.isNull(), now).when(now >= prev, now - prev).otherwise(restart).alias(f"gain_{c}")]
+    return rows.select(*keys, "from_at", "at", *out)
+
+
+def ledger_of_intervals(intervals: DataFrame, keys: Sequence[str], counters: Sequence[str], carry: Sequence[str] = (),
+                        keep: dict | None = None) -> DataFrame:
+    """The ledger (the columns of :func:`upsert_ledger`) that intervals add up to."""
+    keys, counters, carry = list(keys), list(counters), list(carry)
+    last = F.struct(*[F.col(c) for c in intervals.columns if c not in keys])
+    g = intervals.groupBy(*keys).agg(F.max_by(last, F.col("at")).alias("s"), *[F.sum(f"gain_{c}").alias(f"accumulated_{c}") for c in counters])
+    out = [F.col("s")[c].alias(c) for c in carry]
+    for c in counters:
+        out += [F.col("s")[f"current_{c}"].alias(f"current_{c}"), F.col("s")[f"last_{c}"].alias(f"last_{c}"),
+                F.col("s")[f"gain_{c}"].alias(f"diff_{c}"), F.col(f"accumulated_{c}")]
+    out += [F.coalesce("s.from_at", "s.at").alias("last_modification"), F.col("s.at").alias("current_modification")]
+    return g.select(*keys, *out, *[v.alias(k) for k, v in (keep or {}).items()])

@@ -11,7 +11,7 @@ the ranking is per instance instead of fleet-wide.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,21 +129,26 @@ def statements_last_run(qs, texts, plans, databases, text: str, n: int = 20, dat
     return out.select("instance_id", "parent_query", "database_name", "query_plan", "last_execution_time")
 
 
-def _slice_matches(qs, texts, plans, database_id, pred: Callable[[Column], Column]) -> DataFrame:
-    """Rows whose *statement* (slice of the batch) satisfies ``pred``.
+def _slice_matches(qs, texts, plans, database_id, needles: list[str]) -> DataFrame:
+    """Rows whose *statement* (slice of the batch) contains one of ``needles``.
+
+    A slice can only hold a needle that its batch text holds, so the texts are tested first, in their scan, and only
+    batches with a needle meet their statements; of those the slice is tested.  Only keys go on to the ranking."""
+    def holds(c: Column) -> Column:
+        return reduce(lambda a, b: a | b, [contains_ci(c, n) for n in needles])
 
-    The slice needs the text, so the text is joined before the filter; only
-    the match flag and keys go on to the ranking."""
     q = _scoped(qs, plans, None, database_id)
     t = texts.select("instance_id", "sql_handle", "text")
+    if not any("\ufffd" in n for n in needles):   # a cut through a pair of surrogates shows as this, which the batch lacks
+        t = t.filter(holds(F.col("text")))
     j = q.join(t, ["instance_id", "sql_handle"])
     j = j.withColumn("_stmt", statement_slice("text", "statement_start_offset", "statement_end_offset"))
-    return j.filter(pred(F.col("_stmt"))).drop("text", "_stmt")
+    return j.filter(holds(F.col("_stmt"))).drop("text", "_stmt")
 
 
 def statements_matching(qs, texts, plans, databases, text: str, n: int = 20, database_id=None, per=None):
     """Statements whose statement text contains ``text``, newest first."""
-    q = _slice_matches(qs, texts, plans, database_id, lambda s: contains_ci(s, text))
+    q = _slice_matches(qs, texts, plans, database_id, [text])
     top = top_n(q, [F.col("last_execution_time").desc()] + _tiebreak(), n, per)
     out = _decorate(top, plans, texts, databases)
     return out.select("instance_id", "last_execution_time", "parent_query", "database_name", "query_plan",
@@ -152,7 +157,7 @@ def statements_matching(qs, texts, plans, databases, text: str, n: int = 20, dat
 
 def statement_locations(qs, texts, plans, databases, text: str, n: int = 20, database_id=None, per=None):
     """Where a statement text is used (unordered in the source; ordered by key here)."""
-    q = _slice_matches(qs, texts, plans, database_id, lambda s: contains_ci(s, text))
+    q = _slice_matches(qs, texts, plans, database_id, [text])
     top = top_n(q, _tiebreak(), n, per)
     out = _decorate(top, plans, texts, databases)
     return out.select("instance_id", "parent_query", "database_name", "query_plan", "sql_text")
@@ -163,12 +168,7 @@ def last_table_writes(qs, texts, plans, databases, table: str, n: int = 20, data
 
     The statement slice is computed once and tested three times."""
     needles = [f"insert into {table}", f"delete {table}", f"update {table}"]
-
-    def pred(s: Column) -> Column:
-        low = F.lower(s)
-        return low.contains(needles[0]) | low.contains(needles[1]) | low.contains(needles[2])
-
-    q = _slice_matches(qs, texts, plans, database_id, pred)
+    q = _slice_matches(qs, texts, plans, database_id, needles)
     top = top_n(q, [F.col("last_execution_time").desc()] + _tiebreak(), n, per)
     out = _decorate(top, plans, texts, databases)
     return out.select("instance_id", "last_execution_time", "sql_text", "parent_query", "query_plan",

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .folders import complete_folders, remove_folder
+
 COUNTER_KEYS = ["instance_id", "object_name", "counter_name", "instance_name"]
 SAMPLE_SCHEMA = ("instance_id STRING, object_name STRING, counter_name STRING, instance_name STRING, "
                  "captured_at TIMESTAMP_NTZ, cntr_value BIGINT")
@@ -68,24 +70,36 @@ def start_counter_stream(spark: SparkSession, source: str, out: str, checkpoint:
 
 def read_counter_windows(spark: SparkSession, out: str, compacted: str | None = None,
                          compacted_before: int | None = None) -> DataFrame:
-    """Current result: every (counter, window) over all batches.
+    """Current result: every (counter, window) over all complete batches.
 
-    With a ``compacted`` copy made from the batches before
-    ``compacted_before``, only the newer batches are read besides it."""
-    parts = spark.read.parquet(out)
+    With a ``compacted`` copy (:func:`compact_counter_windows`), only the batches from its own stored bound on are read besides
+    it.  A copy without one raises unless ``compacted_before`` names the first batch that it lacks."""
+    folders, first = [], 0
     if compacted is not None:
-        newer = parts.filter(F.col("batch_id") >= compacted_before).select(*PART_COLS)
-        parts = spark.read.parquet(compacted).select(*PART_COLS).unionByName(newer)
-    return _result(merge_windows(parts)).select(*OUT_COLS)
+        copies = complete_folders(spark, compacted, ("before",))
+        if copies:
+            first, _, folder = copies[-1]
+        elif compacted_before is not None:
+            first, folder = compacted_before, compacted
+        else:
+            raise ValueError(f"{compacted} doesn't say which batches it holds; compact again or pass compacted_before")
+        folders = [folder]
+    folders += [folder for number, _, folder in complete_folders(spark, out, ("batch_id",)) if number >= first]
+    parts = spark.read.parquet(*folders) if folders else spark.read.parquet(out)
+    return _result(merge_windows(parts.select(*PART_COLS))).select(*OUT_COLS)
 
 
 def compact_counter_windows(spark: SparkSession, out: str, into: str, before_batch: int | None = None) -> None:
-    """Write every window merged over the batches written so far (or those
-    before ``before_batch``) as one compacted folder, so readers of a
-    long-running stream scan it plus the newer batches
-    instead of every batch ever written.  The source folders are left as
-    they are; the caller points readers at the compacted copy."""
-    parts = spark.read.parquet(out)
-    if before_batch is not None:
-        parts = parts.filter(F.col("batch_id") < before_batch)
-    merge_windows(parts).write.mode("overwrite").parquet(into)
+    """Merge the windows of the batches written so far (or those before ``before_batch``) into one copy
+    ``into/before=<first batch it lacks>``, so readers of a long-running stream scan it plus the newer batches
+    instead of every batch ever written.  A reader finds the bound in the folder's name; older copies go once the new one is
+    complete.  The batches' folders are left as they are."""
+    found = [f for f in complete_folders(spark, out, ("batch_id",)) if before_batch is None or f[0] < before_batch]
+    if not found:
+        return
+    bound = found[-1][0] + 1 if before_batch is None else before_batch
+    older = [f for f in complete_folders(spark, into, ("before",)) if f[0] < bound]
+    parts = spark.read.parquet(*[folder for _, _, folder in found])
+    merge_windows(parts).write.mode("overwrite").parquet(f"{into}/before={bound:010d}")
+    for _, _, folder in older:
+        remove_folder(spark, folder)

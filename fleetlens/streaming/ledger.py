@@ -9,12 +9,15 @@ deltas after it; reading back from parquet cuts the lineage between batches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import latest_per_key, upsert_ledger
+from ..operators import latest_per_key, upsert_intervals, upsert_ledger
 from ..plans.maintenance import LEDGER_KEYS
+from .folders import complete_folders, remove_folder
 
 CAPTURE_SCHEMA = ("instance_id STRING, database_id INT, database_name STRING, schema_name STRING, table_name STRING, "
                   "index_name STRING, table_id INT, index_id INT, fill_factor INT, read_usage BIGINT, "
@@ -24,66 +27,82 @@ CAPTURE_SCHEMA = ("instance_id STRING, database_id INT, database_name STRING, sc
 COMPACT_EVERY = 16
 
 
-def _written(spark: SparkSession, path: str):
-    """The file system and the complete folders under ``path`` as (batch, is full, folder), oldest first."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    if fs.exists(root):
-        for status in fs.listStatus(root):
-            folder = status.getPath()
-            kind, _, batch = folder.getName().partition("=")
-            if kind in ("full", "delta") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-                found.append((int(batch), kind == "full", folder))
-    return fs, sorted(found, key=lambda x: x[:2])
-
-
 def read_ledger(spark: SparkSession, path: str, before: int | None = None, keys=LEDGER_KEYS) -> DataFrame | None:
     """The ledger after all batches (strictly older than ``before`` when given), or None
     if there is none yet.  A folder that can't be read raises: it is never taken for a
     missing one, which would start the ledger anew and lose what it has accumulated."""
-    _, found = _written(spark, path)
-    found = [f for f in found if before is None or f[0] < before]
-    fulls = [f for f in found if f[1]]
-    parts = fulls[-1:] + [f for f in found if not f[1] and (not fulls or f[0] > fulls[-1][0])]
-    if not parts:
+    rows = _parts(spark, path, before)
+    if rows is None:
         return None
+    others = [c for c in rows.columns if c not in keys and c != "_batch"]
+    return latest_per_key(rows, list(keys), ["_batch"], others).select(*[c for c in rows.columns if c != "_batch"])
+
+
+def _parts(spark: SparkSession, path: str, before: int | None) -> DataFrame | None:
+    """The rows of the newest full version and of the batches after it, with their batch (``_batch``)."""
+    found = [f for f in complete_folders(spark, path, ("delta", "full")) if before is None or f[0] < before]
+    full = max((number for number, kind, _ in found if kind == "full"), default=-1)
     rows = None
-    for batch, _, folder in parts:
-        part = spark.read.parquet(folder.toString())
-        columns = part.columns
-        part = part.withColumn("_batch", F.lit(batch))
-        rows = part if rows is None else rows.unionByName(part)
-    if len(parts) == 1:
-        return rows.drop("_batch")
-    others = [c for c in columns if c not in keys]
-    return latest_per_key(rows, list(keys), ["_batch"], others).select(*columns)
+    for number, kind, folder in found:
+        if (kind == "full" and number == full) or (kind == "delta" and number > full):
+            part = spark.read.parquet(folder).withColumn("_batch", F.lit(number))
+            rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def read_intervals(spark: SparkSession, path: str, before: int | None = None, keys=LEDGER_KEYS) -> DataFrame | None:
+    """The intervals of every key after all batches: a batch writes all intervals of the keys it touches, so the newest one counts."""
+    rows = _parts(spark, path, before)
+    if rows is None:
+        return None
+    newest = F.max("_batch").over(Window.partitionBy(*keys))
+    return rows.withColumn("_newest", newest).filter("_batch = _newest").drop("_batch", "_newest")
+
+
+def touched(rows: DataFrame, batch: DataFrame, keys) -> DataFrame:
+    """The rows of keys that a batch has; NULL key parts are equal to each other, as in the ledger's own grouping."""
+    seen = batch.select(*[F.col(k).alias(f"_t_{k}") for k in keys]).distinct()
+    return rows.join(seen, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]), "left_semi")
 
 
 def start_ledger_stream(spark: SparkSession, source: str, ledger_path: str, checkpoint: str,
                         keys, counters, carry, keep: dict | None = None, compact_every: int = COMPACT_EVERY,
                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+    def fold(ledger: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return upsert_ledger(ledger, batch, keys, counters, carry, keep=keep)
+
+    return _start(spark, source, ledger_path, checkpoint, keys, fold, read_ledger, compact_every, max_files_per_trigger)
+
+
+def start_interval_stream(spark: SparkSession, source: str, path: str, checkpoint: str, keys, counters, carry,
+                          compact_every: int = COMPACT_EVERY, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """The ledger as intervals: a capture that arrives after newer ones still counts (``upsert_intervals``).  Read it with
+    :func:`read_intervals` and ``ledger_of_intervals``."""
+    def fold(intervals: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return upsert_intervals(intervals, batch, keys, counters, carry)
+
+    return _start(spark, source, path, checkpoint, keys, fold, read_intervals, compact_every, max_files_per_trigger)
+
+
+def _start(spark: SparkSession, source: str, path: str, checkpoint: str, keys, fold, read, compact_every: int, max_files: int | None) -> StreamingQuery:
     reader = spark.readStream.schema(CAPTURE_SCHEMA)
-    if max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         # a replayed batch starts again from what was written before it, so it rewrites
-        # the same result (and the newer-than rule makes a re-applied capture a no-op)
-        ledger = read_ledger(spark, ledger_path, before=batch_id, keys=keys)
-        if ledger is not None:
-            ledger = ledger.join(batch.select(*keys).distinct(), list(keys), "left_semi")
-        changed = upsert_ledger(ledger, batch, keys, counters, carry, keep=keep)
-        changed.write.mode("overwrite").parquet(f"{ledger_path}/delta={batch_id:010d}")
-        fs, found = _written(spark, ledger_path)
-        fulls = [f[0] for f in found if f[1] and f[0] < batch_id]
-        if sum(1 for f in found if not f[1] and f[0] > (fulls[-1] if fulls else -1)) >= compact_every:
-            read_ledger(spark, ledger_path, keys=keys).write.mode("overwrite").parquet(f"{ledger_path}/full={batch_id:010d}")
+        # the same result (and a re-applied capture changes nothing)
+        known = read(spark, path, before=batch_id, keys=keys)
+        if known is not None:
+            known = touched(known, batch, keys)
+        fold(known, batch).write.mode("overwrite").parquet(f"{path}/delta={batch_id:010d}")
+        found = complete_folders(spark, path, ("delta", "full"))
+        fulls = [number for number, kind, _ in found if kind == "full" and number < batch_id]
+        if sum(1 for number, kind, _ in found if kind == "delta" and number > (fulls[-1] if fulls else -1)) >= compact_every:
+            read(spark, path, keys=keys).write.mode("overwrite").parquet(f"{path}/full={batch_id:010d}")
             for number, _, folder in found:
                 if fulls and number < fulls[-1]:   # a replay of this batch starts from the full version before it
-                    fs.delete(folder, True)
+                    remove_folder(spark, folder)
 
-    return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (reader.parquet(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

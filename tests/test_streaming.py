@@ -8,6 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.operators import ledger_of_intervals, upsert_ledger
 from fleetlens.plans import maintenance as mt
 from fleetlens.streaming import counters as stc
 from fleetlens.streaming import ledger as stl
@@ -129,3 +130,67 @@ def test_an_unreadable_ledger_raises_and_old_versions_go(spark):
                 broken.write(b"not parquet")
     with pytest.raises(Exception):
         stl.read_ledger(spark, f"{base}/ledger").collect()
+
+
+def test_a_compacted_copy_knows_which_batches_it_holds(spark):
+    """Two batches compacted, a third written after: nothing is lost without naming the bound."""
+    base = tempfile.mkdtemp(prefix="fleetlens-test-")
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("s", "o", "c", "x", t0 + dt.timedelta(seconds=20 * i), 10 * i) for i in range(9)]
+
+    def arrive(part):
+        spark.createDataFrame(part, stc.SAMPLE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/src")
+        stc.start_counter_stream(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt").awaitTermination()
+
+    read = lambda *a: sorted(map(tuple, stc.read_counter_windows(spark, f"{base}/out", *a).collect()))
+    arrive(rows[:3])
+    arrive(rows[3:6])
+    stc.compact_counter_windows(spark, f"{base}/out", f"{base}/compact")
+    arrive(rows[6:])
+    want = sorted(map(tuple, stc.counter_windows(spark.createDataFrame(rows, stc.SAMPLE_SCHEMA)).collect()))
+    assert read() == read(f"{base}/compact") == want and want[0][-1] == 9
+    stc.compact_counter_windows(spark, f"{base}/out", f"{base}/compact", before_batch=1)   # an older bound is no step back
+    assert read(f"{base}/compact") == want
+    stc.compact_counter_windows(spark, f"{base}/out", f"{base}/compact")
+    assert read(f"{base}/compact") == want
+    spark.createDataFrame([], "x int").write.parquet(f"{base}/plain")
+    with pytest.raises(ValueError):
+        stc.read_counter_windows(spark, f"{base}/out", f"{base}/plain")
+
+
+def test_a_batch_that_is_being_written_is_not_read(spark):
+    base = tempfile.mkdtemp(prefix="fleetlens-test-")
+    t0 = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([("s", "o", "c", "x", t0, 5)], stc.SAMPLE_SCHEMA).write.parquet(f"{base}/src")
+    stc.start_counter_stream(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt").awaitTermination()
+    stc.partial_windows(spark.createDataFrame([("s", "o", "c", "x", t0, 5)], stc.SAMPLE_SCHEMA)).write.parquet(f"{base}/out/batch_id=1")
+    os.remove(f"{base}/out/batch_id=1/_SUCCESS")
+    assert [r.samples for r in stc.read_counter_windows(spark, f"{base}/out").collect()] == [1]
+
+
+def test_a_key_with_a_null_part_is_not_seeded_anew(spark):
+    base = tempfile.mkdtemp(prefix="fleetlens-test-")
+    keys, counters, carry = mt.LEDGER_KEYS, mt.LEDGER_COUNTERS, mt.LEDGER_CARRY
+    for hour, reads in ((1, 5), (2, 50)):
+        rows = [("s", 1, "db", None, "t", "ix", 1, 1, 90, reads, reads, dt.datetime(2024, 1, 1, hour))]
+        spark.createDataFrame(rows, stl.CAPTURE_SCHEMA).write.mode("append").parquet(f"{base}/landing")
+        stl.start_ledger_stream(spark, f"{base}/landing", f"{base}/ledger", f"{base}/ckpt", keys, counters, carry).awaitTermination()
+    row, = stl.read_ledger(spark, f"{base}/ledger").collect()
+    assert (row.last_read_usage, row.diff_read_usage, row.accumulated_read_usage) == (5, 45, 50)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 1, 0, 2), (2, 3, 3, 0, 1, 0)])
+def test_intervals_do_not_depend_on_the_order_of_arrival(spark, order):
+    base = tempfile.mkdtemp(prefix="fleetlens-test-")
+    keys, counters, carry = mt.LEDGER_KEYS, mt.LEDGER_COUNTERS, mt.LEDGER_CARRY
+    caps = [[("s", 1, "db", schema, "t", name, 1, 1, 90, v, 2 * v, dt.datetime(2024, 1, 1 + k)) for name, schema, v in rows]
+            for k, rows in enumerate(([("a", "dbo", 10), ("b", None, 4)], [("a", "dbo", 25)], [("a", "dbo", 7), ("b", None, 9), ("c", "x", 1)], [("a", "dbo", 8), ("b", None, 2)]))]
+    for k in order:
+        spark.createDataFrame(caps[k], stl.CAPTURE_SCHEMA).write.mode("append").parquet(f"{base}/landing")
+        stl.start_interval_stream(spark, f"{base}/landing", f"{base}/intervals", f"{base}/ckpt", keys, counters, carry, compact_every=2).awaitTermination()
+    intervals = stl.read_intervals(spark, f"{base}/intervals")
+    got = sorted(map(tuple, ledger_of_intervals(intervals, keys, counters, carry).collect()), key=str)
+    want = upsert_ledger(None, spark.createDataFrame([r for c in caps for r in c], stl.CAPTURE_SCHEMA), keys, counters, carry)
+    assert got == sorted(map(tuple, want.collect()), key=str) and len(got) == 3
+    spans = sorted((r.index_name, r.gain_read_usage) for r in intervals.collect())
+    assert spans == [("a", 1), ("a", 10), ("a", 15), ("a", 25), ("b", 4), ("b", 5), ("b", 9), ("c", 1)]
