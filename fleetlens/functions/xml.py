@@ -17,7 +17,7 @@ from .numeric import col_of
 
 def parse_xml(col, schema: T.StructType | str) -> Column:
     """``from_xml`` with attributes as ``_name`` fields (G17 building block)."""
-    return F.from_xml(col_of(col), schema, {"attributePrefix": "_", "valueTag": "_VALUE"})
+    return F.from_xml(col_of(col), schema, {"attributePrefix": "_", "valueTag": "_VALUE", "ignoreNamespace": "true"})
 
 
 def xml_scalar(col, path: str, kind: str = "string") -> Column:

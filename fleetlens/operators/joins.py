@@ -10,8 +10,9 @@ size at run time) and uses a shuffle join beyond it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLEET = ["instance_id"]
@@ -44,11 +45,52 @@ def with_index_names(fact: DataFrame, indexes: DataFrame, objects: DataFrame, sc
     return fact.join(i, idx).join(o, obj).join(s, db + ["schema_id"])
 
 
+#: Bits of a key filter (a power of two), and bits that each key sets.
+FILTER_BITS = 1 << 21
+_SET = 3
+
+
+def _places(keys: Sequence[str]) -> Column:
+    """The bits of a key."""
+    h = F.xxhash64(*keys)
+    return F.array(*[F.shiftrightunsigned(h, 21 * k).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in range(_SET)])
+
+
+def key_filter(needed: DataFrame, on: Sequence[str]) -> Column:
+    """A Bloom filter of the keys that ``needed`` has: one array of FILTER_BITS bits, as a scalar subquery."""
+    place = needed.select(*on).select(F.explode(_places(on)).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("bits"))
+    all_ = needed.sparkSession.range(FILTER_BITS // 64).join(words, F.col("id") == F.col("word"), "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    # one group of FILTER_BITS / 64 rows, whatever the input
+    return all_.groupBy(F.shiftright("id", 40).alias("one")).agg(ordered["bits"].alias("bits")).select("bits").scalar()
+
+
+def kept_by_keys(lookup: DataFrame, needed: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows of ``lookup`` whose key ``needed`` has (and a few others): tested in the scan, so a wide column of a
+    row that nobody asks for crosses no exchange."""
+    bits = key_filter(needed, on)
+    places = _places(on)
+    tests = [F.bit_get(F.get(bits, F.shiftright(places[k], 6).cast("int")), (places[k] % 64).cast("int")) == 1 for k in range(_SET)]
+    return lookup.filter(reduce(lambda a, b: a & b, tests))
+
+
+def _too_large_to_broadcast(df: DataFrame) -> bool:
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > limit
+
+
 def resolve_handle(df: DataFrame, lookup: DataFrame, on: Sequence[str],
                    how: str = "inner") -> DataFrame:
     """``CROSS APPLY`` (``how='inner'``) / ``OUTER APPLY`` (``'left'``) of a
-    handle-keyed row-set function landed as a table (G04)."""
-    return df.join(lookup, list(on), how)
+    handle-keyed row-set function landed as a table (G04).
+
+    A lookup that the planner's estimate allows to broadcast is joined as it is.  A larger one is first reduced, in its scan, to the
+    keys that ``df`` has (``kept_by_keys``): ``df`` should hold few and narrow rows by then."""
+    on = list(on)
+    if _too_large_to_broadcast(lookup):
+        lookup = kept_by_keys(lookup, df, on)
+    return df.join(lookup, on, how)
 
 
 def resolve_text(df: DataFrame, sql_texts: DataFrame, handle: str = "sql_handle", how: str = "inner",

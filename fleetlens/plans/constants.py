@@ -83,6 +83,7 @@ MODULE_REWRITES = (("[RPS2017].", ""), ("[rps2017].", ""), ("CREATE VIEW", "ALTE
                    ("CREATE FUNCTION", "ALTER FUNCTION"), ("CREATE PROCEDURE", "ALTER PROCEDURE"))
 MODULE_TYPES = ("V", "FN", "IF", "P", "TF")
 DUPLICATE_INDEX_TYPES = ("NONCLUSTERED", "CLUSTERED")
+LOCK_GRANTED = "GRANT"
 LOCK_OBJECT = "OBJECT"
 LOCK_ROW_KINDS = ("KEY", "PAGE", "RID")
 ALTER_INDEX = "ALTER INDEX "

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import statement_slice
 from ..functions.xml import parse_xml, xml_rows
+from ..operators import resolve_handle
 from .constants import DEADLOCK_EVENT_NAME, VICTIM_SEPARATOR, XE_SESSION, XE_TARGET
 
-# one event element: its tag with attributes in any order and quoting, then text, CDATA sections, comments and other
+# What a buffer is made of, from its start on: comments, CDATA sections and instructions, which may hold anything, and event elements
+# (with or without a prefix): the tag with attributes in any order and quoting, then text, CDATA, comments and other
 # markup up to its end tag; possessive, so that a long buffer is read once
-EVENT = (r"""<event(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:(?<=/)>|(?<!/)>"""
-         r"""(?:[^<]++|<!\[CDATA\[[\s\S]*?\]\]>|<!--[\s\S]*?-->|<(?!/event\s*>))*+</event\s*>)""")
+_OTHER = r"""<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>"""
+EVENT = (_OTHER + r"""|<((?:[\w.-]++:)?)event(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:(?<=/)>|(?<!/)>"""
+         r"""(?:[^<]++|<!\[CDATA\[[\s\S]*?\]\]>|<!--[\s\S]*?-->|<(?!/\1event\s*>))*+</\1event\s*>)""")
 VICTIM_SEP = VICTIM_SEPARATOR
 
 EVENT_SCHEMA = (
@@ -43,9 +46,11 @@ def event_time(text) -> F.Column:
 def deadlock_events(targets: DataFrame) -> DataFrame:
     """One row per deadlock report: its time and its event XML.
 
-    Events are cut out of the buffer whatever the order of their attributes or the text inside them; name
-    and time are read from the parsed event."""
-    ev = _health_targets(targets).select("instance_id", F.explode(F.regexp_extract_all("target_data", F.lit(EVENT), F.lit(0))).alias("ev"))
+    The buffer is read in order, part by part, so an event that stands in a comment between two events is none; events keep their
+    own text whatever the order of their attributes or the markup inside them.  Name and time are read from the parsed event."""
+    parts = F.regexp_extract_all("target_data", F.lit(EVENT), F.lit(0))
+    events = F.filter(parts, lambda p: ~p.startswith("<!") & ~p.startswith("<?"))
+    ev = _health_targets(targets).select("instance_id", F.explode(events).alias("ev"))
     ev = ev.withColumn("_e", parse_xml(F.col("ev"), "_name STRING, _timestamp STRING"))
     return ev.filter(F.col("_e._name") == DEADLOCK_EVENT_NAME).select(
         "instance_id", event_time(F.col("_e._timestamp")).alias("creation_date"), F.col("ev").alias("extend_event"))
@@ -65,7 +70,7 @@ def deadlock_processes(targets: DataFrame, texts: DataFrame) -> DataFrame:
                  frame["_sqlhandle"].alias("handle"), frame["_stmtstart"].try_cast("int").alias("stmtstart"),
                  frame["_stmtend"].try_cast("int").alias("stmtend"))
     t = texts.select("instance_id", F.col("sql_handle").alias("handle"), F.col("text").alias("parent_sql_text"))
-    e = e.join(t, ["instance_id", "handle"], "left")
+    e = resolve_handle(e, t, ["instance_id", "handle"], "left")
     return e.select("instance_id", "creation_date", "victim_ids", "process_id", "parent_sql_text",
                     statement_slice("parent_sql_text", "stmtstart", "stmtend").alias("sql_text"),
                     "handle", "stmtstart", "stmtend")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import int_div, statement_slice
-from ..operators import database_scope, segmented_delta, snapshot_delta
+from ..operators import database_scope, resolve_handle, resolve_plan, segmented_delta, snapshot_delta
 from ..operators.deltas import capture_range_delta
 from .constants import (COMBINED_DELTA_SELF_MARK, COMBINED_SLEEP_PATTERN, COMPANION_SELF_TEXT, QUERY_DELTA_SELF_MARK,
                         WAITING_REPORT_SELF_MARK)
@@ -61,13 +61,13 @@ def _finish_query_delta(d, texts, plans, databases, database_id, exclude_prefix,
     db = databases.select("instance_id", F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
     d = d.join(db, ["instance_id", "dbid"], "left")
     t = texts.select("instance_id", "sql_handle", F.col("text").alias("parent_query"))
-    d = d.join(t, ["instance_id", "sql_handle"])
+    d = resolve_handle(d, t, ["instance_id", "sql_handle"])
     if exclude_prefix:
         d = d.filter(~F.col("parent_query").startswith(exclude_prefix))
     if exclude_text:
         d = d.filter(F.col("parent_query") != exclude_text)
     if with_plan:
-        d = d.join(plans.select("instance_id", "plan_handle", "query_plan"), ["instance_id", "plan_handle"])
+        d = resolve_plan(d, plans)
     dur, cpu = F.col("delta_total_elapsed_time"), F.col("delta_total_worker_time")
     return d.select(
         "instance_id", dur.alias("duration"), cpu.alias("cpu_time"), (dur - cpu).alias("blocked_time"),

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact_ratio, int_div, statement_slice
-from ..operators import blocking_pairs, database_scope, sample_keys
-from .constants import LOCK_OBJECT, LOCK_ROW_KINDS
+from ..operators import blocking_pairs, database_scope, resolve_handle, resolve_plan, sample_keys
+from .constants import LOCK_GRANTED, LOCK_OBJECT, LOCK_ROW_KINDS
 
 C = ["instance_id"]   # keys of catalogs, texts and plans
 
@@ -30,7 +30,7 @@ def _space_base(space, sessions, connections, texts):
                            "most_recent_sql_handle", "last_read", "last_write")
     t = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
     j = space.filter(F.col("session_id") > 50).join(s, I + ["session_id"]).join(c, I + ["session_id"], "left")
-    return j.join(t, C + ["most_recent_sql_handle"], "left")
+    return resolve_handle(j, t, C + ["most_recent_sql_handle"], "left")
 
 
 def temp_space_by_session_detail(space, sessions, connections, texts) -> DataFrame:
@@ -66,7 +66,7 @@ def temp_space_by_session(space, sessions, connections, texts) -> DataFrame:
     j = space.filter(F.col("session_id") > 50).join(s, I + ["session_id"]).join(c, I + ["session_id"], "left")
     g = j.groupBy(*I, *_GROUP).agg(F.sum(_used()).alias("_u"), F.sum(_still()).alias("_s"))
     t = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
-    g = g.join(t, C + ["most_recent_sql_handle"], "left")
+    g = resolve_handle(g, t, C + ["most_recent_sql_handle"], "left")
     return g.select(*I, _mb3("_u").alias("space_used_mb"), _mb3("_s").alias("space_still_used_mb"),
                     "session_id", "connection_id", "login_name", "host_name", "last_query", "last_read",
                     "last_write", "program_name")
@@ -89,7 +89,7 @@ def temp_space_by_task(task_space, sessions, connections, texts, requests) -> Da
     g = j.groupBy(*I, *_GROUP, "statement_start_offset", "statement_end_offset").agg(
         F.sum(_used()).alias("_u"), F.sum(_still()).alias("_s"))
     t = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("last_query"))
-    g = g.join(t, C + ["most_recent_sql_handle"], "left")
+    g = resolve_handle(g, t, C + ["most_recent_sql_handle"], "left")
     return g.select(*I, _mb3("_u").alias("space_used_mb"), _mb3("_s").alias("space_still_used_mb"),
                     "session_id", "connection_id", "login_name", "host_name", "last_query",
                     statement_slice("last_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
@@ -107,8 +107,8 @@ def running_requests(requests, sessions, texts, plans, databases, exclude_sessio
     p = plans.select(*C, "plan_handle", "dbid")
     j = database_scope(requests.join(s, I + ["session_id"]).join(p, C + ["plan_handle"]), "dbid", database_id)
     d = databases.select(*C, F.col("database_id").alias("dbid"), F.col("name").alias("database_name"))
-    j = j.join(d, C + ["dbid"], "left").join(t, C + ["sql_handle"])
-    j = j.join(plans.select(*C, "plan_handle", "query_plan"), C + ["plan_handle"])   # wide column last
+    j = resolve_handle(j.join(d, C + ["dbid"], "left"), t, C + ["sql_handle"])
+    j = resolve_plan(j, plans)   # wide column last
     return j.select(*I, "session_id", "host_name", "login_name", "status", "database_name",
                     statement_slice("parent_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
                     "parent_query", "program_name", "start_time", "query_plan", "wait_type", "total_elapsed_time",
@@ -116,6 +116,13 @@ def running_requests(requests, sessions, texts, plans, databases, exclude_sessio
                     "percent_complete")
 
 
+def _both_texts(pairs: DataFrame, texts: DataFrame, blocked: str) -> DataFrame:
+    """The blocking and the blocked session's text of each pair, attached last."""
+    t1 = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("blocking_sql"))
+    t2 = texts.select(*C, "sql_handle", F.col("text").alias(blocked))
+    return resolve_handle(resolve_handle(pairs, t1, C + ["most_recent_sql_handle"]), t2, C + ["sql_handle"])
+
+
 def blocking_now(connections, requests, waits, sessions, texts, databases, database_id=None) -> DataFrame:
     """Blocker and blocked with both texts and the wait reason."""
     I = sample_keys(connections, requests, waits, sessions)
@@ -125,14 +132,11 @@ def blocking_now(connections, requests, waits, sessions, texts, databases, datab
     pairs = blocking_pairs(blocked, blocking, keys=I)
     w = waits.select(*I, F.col("session_id").alias("blocked_session_id"), F.col("wait_type").alias("why_blocked"))
     sess = sessions.select(*I, F.col("session_id").alias("blocking_session_id"), F.col("login_name").alias("blocking_user"))
-    t1 = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("blocking_sql"))
-    t2 = texts.select(*C, "sql_handle", F.col("text").alias("blocked_sql"))
     j = pairs.join(w, I + ["blocked_session_id"]).join(sess, I + ["blocking_session_id"])
-    j = j.join(t1, C + ["most_recent_sql_handle"]).join(t2, C + ["sql_handle"])
     if database_id is not None:
         j = j.filter(F.col("database_id") == database_id)
     d = databases.select(*C, "database_id", F.col("name").alias("database_name"))
-    j = j.join(d, C + ["database_id"], "left")
+    j = _both_texts(j.join(d, C + ["database_id"], "left"), texts, "blocked_sql")
     return j.select(*I, "blocking_session_id", "blocking_user", "blocking_sql", "why_blocked", "blocked_session_id",
                     F.col("user_id").alias("blocked_user_id"), "blocked_sql", "database_name")
 
@@ -154,13 +158,10 @@ def blocked_sessions(connections, requests, waits, sessions, transactions, texts
     w = waits.select(*I, F.col("session_id").alias("blocked_session_id"), "wait_duration_ms", "wait_type")
     if min_wait_ms is not None:
         w = w.filter(F.col("wait_duration_ms") > min_wait_ms)
-    t1 = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), F.col("text").alias("blocking_sql"))
-    t2 = texts.select(*C, "sql_handle", F.col("text").alias("_blocked_text"))
     j = pairs.join(sess, I + ["blocking_session_id"]).join(tx, I + ["blocking_session_id"], "left_semi")
-    j = j.join(w, I + ["blocked_session_id"]).join(t1, C + ["most_recent_sql_handle"])
-    j = j.join(bsess, I + ["blocked_session_id"]).join(t2, C + ["sql_handle"])
+    j = j.join(w, I + ["blocked_session_id"]).join(bsess, I + ["blocked_session_id"])
     d = databases.select(*C, "database_id", F.col("name").alias("database_name"))
-    j = j.join(d, C + ["database_id"], "left")
+    j = _both_texts(j.join(d, C + ["database_id"], "left"), texts, "_blocked_text")
     cols = [int_div("wait_duration_ms", 1000).alias("wait_in_seconds"), "blocking_session_id", "database_name",
             "blocking_user", "blocking_location", "blocking_sql", "blocked_session_id", "blocked_user",
             "blocked_location"]
@@ -210,14 +211,17 @@ def contended_resources(locks, objects, partitions, databases, connections, text
     each lock appears once with ``contending_locks``, the number of such
     other locks, computed from per-resource counts (no pairs are formed, so
     a hot resource with many waiters stays linear).  The resource is compared
-    (the source compares a column with itself)."""
+    (the source compares a column with itself).  Who contends is named by the resource's smallest
+    holding and smallest waiting session."""
     I = sample_keys(locks, connections, requests)
     key = I + ["resource_database_id", "resource_type", "resource_associated_entity_id", "_desc"]
     l = locks.withColumn("_desc", F.coalesce(F.col("resource_description"), F.lit("\u0000null")))
     # one partial aggregation per (resource, status); the per-resource total is a
     # window over those few rows (a resource has a handful of statuses)
-    per_status = l.groupBy(*key, "request_status").agg(F.count("*").alias("_ns"))
-    per_status = per_status.withColumn("_n", F.sum("_ns").over(Window.partitionBy(*key)))
+    per_status = l.groupBy(*key, "request_status").agg(F.count("*").alias("_ns"), F.min("request_session_id").alias("_first"))
+    resource, granted = Window.partitionBy(*key), F.col("request_status") == LOCK_GRANTED
+    per_status = per_status.withColumns({"_n": F.sum("_ns").over(resource), "holder_session_id": F.min(F.when(granted, F.col("_first"))).over(resource),
+                                         "waiter_session_id": F.min(F.when(~granted, F.col("_first"))).over(resource)}).drop("_first")
     per_status = per_status.filter(F.col("_n") > F.col("_ns"))
     l = l.join(per_status, key + ["request_status"])
     l = l.withColumn("contending_locks", F.col("_n") - F.col("_ns"))
@@ -228,11 +232,11 @@ def contended_resources(locks, objects, partitions, databases, connections, text
     r = requests.select(*I, "connection_id", "statement_start_offset", "statement_end_offset")
     d = databases.select(*C, F.col("database_id").alias("resource_database_id"), F.col("name").alias("database_name"))
     j = l.join(c, I + ["request_session_id"]).join(r, I + ["connection_id"], "left")
-    j = j.join(d, C + ["resource_database_id"], "left").join(t, C + ["most_recent_sql_handle"])   # text last
+    j = resolve_handle(j.join(d, C + ["resource_database_id"], "left"), t, C + ["most_recent_sql_handle"])   # text last
     return j.select(*I, "resource_type", "database_name", "resource_associated_entity_id", "request_session_id",
                     "request_mode", "request_status", "resource_type_name", "parent_query",
                     statement_slice("parent_query", "statement_start_offset", "statement_end_offset").alias("sql_text"),
-                    "contending_locks")
+                    "contending_locks", "holder_session_id", "waiter_session_id")
 
 
 def idle_open_transactions(sessions, transactions, connections, texts, requests) -> DataFrame:
@@ -244,8 +248,9 @@ def idle_open_transactions(sessions, transactions, connections, texts, requests)
     tx = transactions.select(*I, "session_id")
     c = connections.select(*I, "session_id", "most_recent_sql_handle", "last_read", "last_write")
     t = texts.select(*C, F.col("sql_handle").alias("most_recent_sql_handle"), "text")
-    j = s.join(tx, I + ["session_id"]).join(c, I + ["session_id"]).join(t, C + ["most_recent_sql_handle"])
+    j = s.join(tx, I + ["session_id"]).join(c, I + ["session_id"])
     j = j.join(requests.select(*I, "session_id"), I + ["session_id"], "left_anti")
+    j = resolve_handle(j, t, C + ["most_recent_sql_handle"])
     return j.select(*I, "session_id", "login_name", "host_name", "text", "last_read", "last_write", "program_name")
 
 

@@ -17,7 +17,7 @@ def test_entry_runs(spark):
 
 def _batch_queries():
     from fleetlens.registry import load_all
-    return sorted(n for n in load_all() if not n.startswith("stream_"))
+    return sorted(n for n in load_all() if not n.startswith(("stream_", "stored_")))   # those run jobs of their own
 
 
 @pytest.mark.parametrize("name", _batch_queries())
@@ -104,3 +104,49 @@ def test_building_a_report_runs_no_spark_job(spark):
         stages = [st.getStageInfo(s).name for j in st.getJobIdsForGroup(group) for s in st.getJobInfo(j).stageIds]
         assert all(n.startswith("parquet at ") for n in stages), (name, stages)
     sc.setJobGroup("", "")
+
+
+_WIDE = ["temp_space_by_session", "temp_space_by_session_detail", "temp_space_by_task", "temp_space_by_task_detail", "running_requests",
+         "blocking_now", "blocked_sessions", "blocked_longer_than", "contended_resources", "idle_open_transactions", "deadlock_processes",
+         "query_delta", "combined_delta_queries", "waiting_queries_report", "index_row_activity_statements", "row_lock_delta_statements",
+         "statements_matching", "statement_locations", "last_table_writes"]
+
+
+@pytest.mark.parametrize("name", _WIDE)
+def test_wide_lookups_are_reduced_in_their_scan(spark, name):
+    """On texts too large to broadcast, a text that no kept key (or needle) asks for crosses no exchange; rows stay the same."""
+    import __spark_entry__ as e
+    want = sorted(map(str, e.queries()[name](spark, SF).collect()))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in saved:
+            spark.conf.set(k, "-1")
+        df = e.queries()[name](spark, SF)
+        lines = _plan(df).splitlines()
+        got = sorted(map(str, df.collect()))
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert got == want
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    wide = [i for i, line in enumerate(lines) if "FileScan" in line and "text:string" in line]
+    assert wide
+    for i in wide:
+        now, filters = depth(lines[i]), []
+        for line in reversed(lines[:i]):   # up to the first exchange above the scan
+            if depth(line) < now:
+                now = depth(line)
+                if "Exchange" in line:
+                    break
+                filters.append(line)
+        assert any("Filter" in f and ("bit_get" in f or "Contains(" in f) for f in filters), lines[i]
+
+
+def test_a_key_filter_keeps_every_needed_key(spark):
+    from fleetlens.operators.joins import kept_by_keys
+    lookup = spark.range(200_000).selectExpr("concat('s', id % 7) AS instance_id", "CAST(id AS STRING) AS h")
+    needed = lookup.filter("h % 97 = 5").union(spark.sql("SELECT 's1', CAST(NULL AS STRING)"))
+    kept = kept_by_keys(lookup, needed, ["instance_id", "h"])
+    n = needed.filter("h IS NOT NULL").count()
+    assert kept.join(needed, ["instance_id", "h"], "left_semi").count() == n and n <= kept.count() < 1.1 * n
+    assert kept_by_keys(lookup, needed.limit(0), ["instance_id", "h"]).count() == 0
