@@ -44,7 +44,11 @@ def write_texts(texts: DataFrame, path: str, text: str = "text", max_records_per
     if not new:
         return
     rows = spark.read.schema(texts.schema).parquet(*[f"{path}/texts/{f}" for f in new])
-    places = rows.select(_file().alias("file"), F.explode(_grams(F.col(text))).alias("gram")).select("file", _place(F.col("gram")).alias("place"))
+    rows = rows.select(_file().alias("file"), F.col(text).alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    if len(new) < cores or rows.rdd.getNumPartitions() < cores:   # a small addition is dealt out over all cores
+        rows = rows.repartition(cores)
+    places = rows.select("file", F.explode(_grams(F.col("text"))).alias("gram")).select("file", _place(F.col("gram")).alias("place"))
     word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("bits")
     words = places.groupBy("file", F.shiftright("place", 6).alias("word")).agg(word)
     all_files = spark.createDataFrame([(f,) for f in new], "file string")   # files without any gram have an empty set
