@@ -4,7 +4,8 @@ The markup of a whole page is stripped into lines, one per block of text; every
 length, which is 0 for what is no article text: lines in menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments (told by their elements, roles, whole class names and ids) and, where the
 page names an article or a main part, lines outside it.  A class name or id never leaves out a main part below it, nor an article
-below it that is longer than the rest of the named text; ids of headings, and plain words as ids of sections and inside
+below it that is longer than the rest of the named text, save where it names reader comments: articles below these stay out
+whatever their length; ids of headings, and plain words as ids of sections and inside
 an article, don't count, for they are made from headings.  Elsewhere text inside links doesn't count.
 Lengths are summed over sliding windows of WINDOW lines.  A surge is where a window's sum rises above the
 threshold, a dive where it falls back to 0.  All parts between a surge and its dive are kept, from the first to the last line
@@ -69,6 +70,8 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # an article inside or beside the main one that is a comment or a teaser
 _SIDE_ARTICLE = re.compile(rf"(?:(?:{_BEFORE}|node)-)*+(?:comments?|reply|replies|teasers?|related|promo|sponsored|ads?)"
                            rf"(?:-(?:{_WORDS}|{_AFTER}|body|content|cards?|teasers?|reply){_END})*+")
+# words that name reader comments in a class name or id that leaves an element out
+_COMMENTS = re.compile(r"(?:^|-)(?:comments?|commentlist|discussion|disqus|reply|replies|respond)(?:$|-)")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Elements that end at the next one of their name.
 _SIBLINGS = frozenset("li dt dd tr td th option".split())
@@ -87,27 +90,27 @@ def _tokens(names: str) -> list[str]:
     return ["-".join(re.findall(r"[^_-]+", t)) for t in _CAMEL.sub("-", names).lower().split()]
 
 
-def _hinted(name: str, at: dict[str, str], inside: int) -> bool:
-    """Whether the class names or the id of an element say that it holds no article text."""
+def _hints(name: str, at: dict[str, str], inside: int) -> list[str]:
+    """The class names and ids of an element that say that it holds no article text."""
     classes, ids = _tokens(at.get("class", "")), _tokens(at.get("id", ""))
     if name == "article":
-        return any(_SIDE_ARTICLE.fullmatch(t) for t in classes + ids)
+        return [t for t in classes + ids if _SIDE_ARTICLE.fullmatch(t)]
     if name in ("html", "body", "main", "h1"):
-        return False
-    if any(_HINT.fullmatch(t) for t in classes):
-        return True
+        return []
+    out = [t for t in classes if _HINT.fullmatch(t)]
     if name in _HEADINGS:
-        return False
+        return out
     if inside or name == "section":
-        return any(_HINT_ID.fullmatch(t) and _NO_TOPIC.search(t) for t in ids)
-    return any(_HINT.fullmatch(t) for t in ids)
+        return out + [t for t in ids if _HINT_ID.fullmatch(t) and _NO_TOPIC.search(t)]
+    return out + [t for t in ids if _HINT.fullmatch(t)]
 
 
-_BY_NAME, _BY_ELEMENT = 1, 2
+_BY_NAME, _AS_COMMENTS, _BY_ELEMENT = 1, 2, 3
 
 
 def _left_out(name: str, raw: str, inside: int) -> int:
-    """Whether an element holds no article text: 0, _BY_NAME (class names or id) or _BY_ELEMENT (element, role, not shown)."""
+    """Whether an element holds no article text: 0, _BY_NAME (class names or id), _AS_COMMENTS (these name reader
+    comments), _BY_ELEMENT (element, role, not shown)."""
     if name in _OUT or (name == "header" and not inside):
         return _BY_ELEMENT
     if "=" not in raw and "hidden" not in raw:
@@ -117,7 +120,8 @@ def _left_out(name: str, raw: str, inside: int) -> int:
         return _BY_ELEMENT
     if "display:none" in at.get("style", "").replace(" ", "").lower():
         return _BY_ELEMENT
-    return _BY_NAME if _hinted(name, at, inside) else 0
+    hints = _hints(name, at, inside)
+    return (_AS_COMMENTS if any(map(_COMMENTS.search, hints)) else _BY_NAME) if hints else 0
 
 
 class Line:
@@ -228,7 +232,8 @@ def lines(page: str) -> list[Line]:
             if not empty and name not in _EMPTY:
                 here = _left_out(name, raw, inside)
                 if name in ("article", "main"):
-                    if left_out == _BY_NAME and not here and inside != _ARTICLE:  # a name doesn't blank a named part below it
+                    # a name doesn't blank a named part below it, but articles among reader comments are comments
+                    if 0 < left_out <= (_BY_NAME if name == "article" else _AS_COMMENTS) and not here and inside != _ARTICLE:
                         left_out = 0
                         if name == "article":
                             found_below += 1

@@ -76,6 +76,22 @@ def test_names_of_wrappers(body):
     assert html_text.main_text(_page(body)) == f"Storm {PROSE.strip()}"
 
 
+@pytest.mark.parametrize("body", [
+    f"<main><article><h1>Storm</h1><p>{PROSE}</p></article><section class='comments'><article>First {PROSE * 3}</article></section></main>",
+    f"<main><h1>Storm</h1><p>{PROSE}</p><div id=comments><article>First {PROSE * 3}</article><article>Second {PROSE}</article></div></main>",
+    f"<article><h1>Storm</h1><p>{PROSE}</p></article><div class='widget'><div class='reader-comments'><article>First {PROSE * 3}</article></div></div>",
+    f"<article><h1>Storm</h1><p>{PROSE}</p></article><ol class=commentlist><li><article>First {PROSE * 3}</article></ol>",
+    f"<div id=content><h1>Storm</h1><p>{PROSE}</p></div><div id=comments><article>First {PROSE * 3}</article></div>",
+    f"<div class=comments><div class=sidebar><article>First {PROSE * 3}</article></div></div><article><h1>Storm</h1><p>{PROSE}</p></article>",
+])
+def test_reader_comments_stay_out_whatever_their_length(body):
+    assert html_text.main_text(_page(body)) == f"Storm {PROSE.strip()}"
+
+
+def test_page_of_comments_only_is_empty():
+    assert html_text.main_text(_page(f"<div id=comments><article>First {PROSE}</article></div>")) == ""
+
+
 @pytest.mark.parametrize("part, text", [
     ("<section id='related-work'><h2>Related work</h2><p>x</section>", "Related work x"),
     ("<h2 id='discussion'>Discussion</h2><p>x", "Discussion x"),
