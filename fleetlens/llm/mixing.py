@@ -7,9 +7,11 @@ every row once (or twice), and only the rest of the target is sampled.  The row
 is taken if more than half of it fits, so taken sizes end within half a row of the target.
 
 The prefix sum needs no global sort: sizes are added up per source and key bucket (partial
-aggregation, BUCKETS buckets), the sums of whole buckets are prefix-summed, and only the rows of
-the bucket in which the budget ends are sorted.  A source with most of all rows therefore
-costs no more than its share.
+aggregation), the sums of whole buckets are prefix-summed, the bucket in which the budget ends is cut
+into as many buckets again, and only the rows of the one in which the budget ends then are sorted.  Buckets are equal steps of the
+key's logarithm: whatever the weights are, that logarithm has a density of at most 1/e, so that no bucket
+is expected to hold more than 0.043 % of its source's rows (of these, the second cut leaves a 16,384th).
+A source with most of all rows therefore costs no more than its share.
 
 Defined results: null sources are a source of their own, last in order; null sizes count 0 and
 null weights 1; rows of size 0 follow their source's epochs; repeated rows are sampled each on their
@@ -22,10 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import written
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BUCKETS = 1 << 14
+#: Logarithms of keys that the buckets cover; those outside (six in a million) go to the first and last.
+LOG_KEYS = (-12.0, 7.0)
+
+
+def _coarse() -> Column:
+    return F.floor(F.col("_bucket") / BUCKETS).cast("int")
 
 
 def word_count(text: Column) -> Column:
@@ -53,8 +63,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     cols = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     rows = docs.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), F.col(source).alias("_source"),
                        word_count(t).alias("_size"), exponential_key(F.col(id_col), t, weight).alias("_key"))
-    # equal steps of 1 - exp(-key): a fixed grid whose order is that of the keys
-    return rows.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
+    step = (F.log("_key") - LOG_KEYS[0]) * (BUCKETS * BUCKETS / (LOG_KEYS[1] - LOG_KEYS[0]))  # fine buckets; their order is that of the keys
+    return rows.withColumn("_bucket", F.least(F.greatest(F.floor(step), F.lit(0)), F.lit(BUCKETS * BUCKETS - 1)).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -80,32 +90,43 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("_source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
+def _edges(sums: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per source of ``plan`` the bucket of ``sums`` (``_source``, ``_at``, ``size``) in which its ``rest`` ends, as ``edge``, and the
+    size before it, ``before``; sources in which it ends nowhere have no row."""
+    own = plan.select(F.col("_source").alias("_s"), "rest", F.col("before").alias("_from"))
+    in_order = W.partitionBy("_source").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = sums.withColumn("upto", F.sum("size").over(in_order)).join(own, F.col("_source").eqNullSafe(F.col("_s")))
+    upto = F.col("_from") + F.col("upto")
+    return (ends.filter((upto > F.col("rest")) & (upto - F.col("size") <= F.col("rest")))
+            .select("_s", F.col("_at").alias("edge"), (upto - F.col("size")).alias("before")))
+
+
 def budgets(rows: DataFrame) -> DataFrame:
     """One row per source of ``rows`` (as :func:`measured` gives them): its target, complete epochs, the
-    rest to sample, and the buckets [first, last] in which that rest ends, with the size before them."""
-    sums = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("size"))
-    sizes = sums.groupBy("_source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes)
+    rest to sample, and the fine bucket ``edge`` in which that rest ends, with the size ``before`` it."""
+    sums = written(rows.groupBy("_source", _coarse().alias("_at")).agg(F.sum("_size").alias("size")), "mix-sums")
+    plan = targets(sums.groupBy("_source").agg(F.sum("size").alias("source_size")))
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    in_order = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = sums.withColumn("upto", F.sum("size").over(in_order)).withColumnRenamed("_source", "_s")
-    ends = ends.join(plan, F.col("_s").eqNullSafe(F.col("_source")))
-    edge = (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("size") <= F.col("rest"))
-    return ends.groupBy("_source", "source_size", "target", "epochs", "rest").agg(
-        F.min(F.when(edge, F.col("_bucket"))).alias("first"), F.max(F.when(edge, F.col("_bucket"))).alias("last"),
-        F.min(F.when(edge, F.col("upto") - F.col("size"))).alias("before"))
+    plan = plan.withColumn("before", F.lit(0).cast("long"))
+    coarse = _edges(sums, plan)
+    same = F.col("_source").eqNullSafe(F.col("_s"))
+    plan = written(plan.drop("before").join(coarse, same, "left").drop("_s"), "mix-coarse")
+    own = plan.select(F.col("_source").alias("_s"), "edge")
+    fine = (rows.select("_source", "_bucket", "_size").join(own, same & (_coarse() == F.col("edge")))
+            .groupBy("_source", F.col("_bucket").alias("_at")).agg(F.sum("_size").alias("size")))
+    return plan.drop("edge", "before").join(_edges(fine, plan), same, "left").drop("_s")
 
 
 def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` with ``source_size``, ``target`` and ``copies`` (how often the mix takes the row);
-    equal keys are ordered by id and size.  Only rows of a source's edge buckets are shuffled."""
+    equal keys are ordered by id and size.  Only rows of a source's edge bucket are shuffled."""
     own = plan.withColumnRenamed("_source", "_s")
     with_plan = rows.join(own, F.col("_source").eqNullSafe(F.col("_s")))
-    first, last = F.coalesce("first", F.lit(BUCKETS + 1)), F.coalesce("last", F.lit(-1))
-    inside = (F.col("_bucket") >= first) & (F.col("_bucket") <= last)
+    inside = F.col("_bucket").eqNullSafe(F.col("edge"))
     by = W.partitionBy("_source").orderBy("_key", "_id", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)
     middle = F.col("before") + F.sum("_size").over(by) - F.col("_size") / 2
     edge = with_plan.filter(inside).withColumn("copies", F.col("epochs") + (middle <= F.col("rest")).cast("long"))
-    clear = with_plan.filter(~inside).withColumn("copies", F.col("epochs") + (F.col("_bucket") < first).cast("long"))
+    under = F.coalesce(F.col("_bucket") < F.col("edge"), F.lit(True))  # sources without words have no edge
+    clear = with_plan.filter(~inside).withColumn("copies", F.col("epochs") + under.cast("long"))
     return clear.unionByName(edge).select(*rows.columns, "source_size", "target", "copies")

@@ -193,7 +193,46 @@ def test_pii_added_and_redacted():
     assert "DE89" not in clean and "[EMAIL]" in clean and pii.find_spans(clean)[0] == []
 
 
+@pytest.mark.parametrize("text, number", [
+    ("DE89 3704 0044 0532 0130 00 EUR", "DE89 3704 0044 0532 0130 00"),
+    ("DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
+    ("GB82 WEST 1234 5698 7654 32 GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"),
+    ("DE89 3704 DE89370400440532013000", "DE89370400440532013000"),
+])
+def test_account_numbers_end_at_their_countrys_length(text, number):
+    spans = [text[a:b] for a, b, kind in pii.find_spans(text)[1] if kind == "iban"]
+    assert number in spans and len(spans) == text.count("GB82") + text.count("DE89370") + text.count("DE89 3704 0044")
+
+
+def test_account_numbers_that_are_none():
+    for text in ("DE89 3704 0044 0532 0130 00EUR", "DE89 3704 0044 0532 0130 01", "ZZ89 3704 0044 0532 0130 00", "DE89 3704", "xDE89370400440532013000"):
+        assert not [s for s in pii.find_spans(text)[1] if s[2] == "iban"]
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("the hotel 555-123-4567", []), ("tel 555-123-4567", ["phone_local"]), ("Tel: 555-123-4567", ["phone_local"]),
+    ("tel555-123-4567", []), ("555-123-4567 (fax)", ["phone_local"]), ("a significant 123-45-6789", []), ("NIF 123-45-6789", ["ssn"]),
+    ("social security 123-45-6789 border", ["ssn"]), ("phone order 555-123-4567", []),
+    ("hotel" + " " * 38 + "555-123-4567", []), ("tel" + " " * 37 + "555-123-4567", ["phone_local"]), ("tel" + " " * 38 + "555-123-4567", []),
+    ("555-123-4567" + " " * 37 + "tel", ["phone_local"]), ("555-123-4567" + " " * 37 + "telex", []), ("555-123-4567" + " " * 38 + "tel", []),
+])
+def test_context_words_are_whole(text, kinds):
+    assert [k for _, _, k in pii.find_spans(text)[1]] == kinds
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["tel 555-123-4567 ", "+1 555-123-4567 ", "ssn 123-45-6789", " 4111 1111 1111 1111", "a@b.c ", "1.2.3.4", "x "]), max_size=12))
+def test_added_spans_stay_out_of_base_spans(parts):
+    text = "".join(parts)
+    base, every = pii.find_spans(text)
+    assert sorted(pii.added_spans(text, [])) == sorted(
+        set(pii.added_spans(text, base)) | {s for s in pii.added_spans(text, []) if any(b[0] <= s[0] and s[1] <= b[1] for b in base)})
+    for a, b, _ in set(every) - set(base):
+        assert not any(x <= a and b <= y for x, y, _ in base)
+
+
 def test_pii_long_runs_are_linear():
+    pii.find_spans("tel 555-123-4567 a@b.c " * 20_000)
     for unit in ("a", "1", "1 ", "+1", "a.", "1.", "@", "a@"):
         pii.find_spans(unit * 200_000)
 
@@ -433,3 +472,31 @@ def test_heavier_rows_are_taken_more_often(spark):
     even, odd_ = out[out._id % 2 == 0].copies.sum(), out[out._id % 2 == 1].copies.sum()
     assert even > odd_
     assert abs(out.copies.mul(out._size).sum() - out.target.iloc[0]) <= 2
+
+
+@pytest.mark.parametrize("weights", [(0.05,), (0.05, 1.0), (0.2, 0.5, 1.0)])
+def test_edge_buckets_stay_small_whatever_the_weights(spark, weights):
+    n = 60_000
+    junk = {0.05: "#" * 40, 0.2: "abc #", 0.5: "abcdefg #", 1.0: "plain"}
+    texts = F.element_at(F.array(*[F.lit(junk[w]) for w in weights]), (F.col("id") % len(weights) + 1).cast("int"))
+    m = mixing.measured(spark.range(n).select(F.col("id").alias("doc_id"), texts.alias("text"), F.lit("hot").alias("source")), keep=[])
+    assert m.agg(F.min("_bucket"), F.max("_bucket")).first()[0] >= 0 and m.filter(f"_bucket >= {mixing.BUCKETS ** 2}").count() == 0
+    fullest = m.groupBy(F.floor(F.col("_bucket") / mixing.BUCKETS)).count().agg(F.max("count")).first()[0]
+    assert fullest <= 0.002 * n  # 0.043 % expected
+    out = mixing.mixed(m, plan := mixing.budgets(m))
+    assert m.join(plan, m._bucket == plan.edge).count() <= 5
+    taken = out.agg(F.sum(F.col("copies") * F.col("_size"))).first()[0]
+    assert abs(taken - out.first().target) <= 2
+
+
+def test_mixing_equals_one_sort_per_source(spark, docs):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(0, 30)) + "#" * int(rng.integers(0, 20)), "abc"[int(rng.integers(0, 3)) * int(rng.integers(0, 2))]) for i in range(3000)]
+    m = mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=[])
+    out = mixing.mixed(m, mixing.budgets(m)).toPandas()
+    for _, g in out.groupby("_source"):
+        g = g.sort_values(["_key", "_id"])
+        total, target = int(g._size.sum()), g.target.iloc[0]
+        epochs = int(target // total)
+        want = epochs + ((g._size.cumsum() - g._size / 2) <= target - epochs * total).astype(int)
+        assert (want[g._size > 0] == g.copies[g._size > 0]).all()
