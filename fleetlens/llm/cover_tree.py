@@ -3,9 +3,11 @@
 Vectors of one label are linked when their cosine is at least COSINE; on unit vectors that is a chord of
 at most r.  Vectors of a label with equal unit vectors are one class before anything is compared.  The classes of a large
 label are dealt to cells, each around a node of a cover tree over a bounded sample; a
-cell's covering radius is the largest distance of any of its members, over all rows.  Two cells are
-compared unless their centres are further apart than r and both radii; large cells are cut into
-blocks of about BLOCK classes, and each pair of blocks is one task.
+cell's covering radius is the largest distance of any of its members, over all rows.  A vector x of one cell can only link with a
+member of another if it is within r of that cell's ball (its own distance to the other centre, less the
+other's covering radius) and of the half-space of what is nearer to the other centre than to its own.  Vectors that can are
+dealt to that pair of cells in blocks of about BLOCK classes, and each pair of blocks is one task; a pair of cells with no such vector
+on either side has none.
 
 A task builds one cover tree per block: nested levels whose radii halve, every node with its exact covering radius.
 The dual traversal drops a pair of nodes whose centres are further apart than r plus both
@@ -16,7 +18,8 @@ never the pairs.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
 nothing; vectors of different length don't link; repeated rows are vectors of their own; an empty table gives an
-empty result.  In data without any clusters no bound can separate cells, and the work is that of comparing all blocks.
+empty result.  In data without any clusters no bound can separate cells, and the work is that of comparing all blocks; there are
+SAMPLE_ROWS cells at most, so that beyond about SAMPLE_ROWS x BLOCK classes the work of a cell grows with the square of its members.
 """
 
 from __future__ import annotations
@@ -27,9 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetlens.llm.common import written
 from fleetlens.llm.components import components
@@ -232,10 +234,6 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), label, pa.array(out, pa.list_(pa.float64()))], names=["vec_id", "_label", "unit"])
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, c: s + c))
-
-
 def choose_cells(classes: DataFrame) -> list[tuple]:
     """(group, cell, centre) for groups of more than BLOCK classes, from cover trees over a bounded sample."""
     large = (classes.groupBy("grp").count().filter(F.col("count") > BLOCK)
@@ -264,7 +262,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     rows = rows.mapInArrow(_units, f"vec_id {kinds['vec_id']}, _label {kinds['_label']}, unit array<double>")
     ok = F.col("unit").isNotNull()
     rows = rows.select("vec_id", F.when(ok, F.xxhash64(F.lit(1), "_label", F.size("unit"))).alias("grp"),
-                       F.when(ok, F.xxhash64("_label", "unit")).alias("key"), "unit")
+                       F.when(ok, F.concat_ws("-", F.hex(F.xxhash64("_label", "unit")), F.hex(F.xxhash64(F.lit(7), "_label", "unit")))).alias("key"), "unit")
     rows = written(rows, "cover-rows")
     classes = (rows.filter("key IS NOT NULL").groupBy("key")
                .agg(F.first("grp").alias("grp"), F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("vec_id").alias("first")))
@@ -276,44 +274,57 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
         centres.setdefault(grp, []).append(centre)
     shared = spark.sparkContext.broadcast({g: np.array(c) for g, c in centres.items()})  # SAMPLE_ROWS vectors at most
 
+    r = math.sqrt(2 - 2 * cosine)
+
     def deal(batches):
+        gaps = {g: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for g, c in shared.value.items()}
         for batch in batches:
             grp = batch.column("grp").to_numpy()
             cell, far = np.zeros(len(grp), np.int32), np.full(len(grp), 2.0)
+            reach: list[list[dict]] = [[] for _ in grp]
             x = batch.column("unit")
             for g in np.unique(grp):
                 if g in shared.value:
                     at = np.flatnonzero(grp == g)
                     m = x.take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
-                    d = np.sqrt(np.maximum(2 - 2 * (m @ shared.value[g].T), 0))
-                    cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("key"), batch.column("n"), batch.column("unit"),
-                                              pa.array(cell), pa.array(far)], names=["grp", "key", "n", "unit", "cell", "far"])
-
-    dealt = classes.select("grp", "key", "n", "unit").mapInArrow(deal, "grp long, key long, n long, unit array<double>, cell int, far double")
+                    square = np.maximum(2 - 2 * (m @ shared.value[g].T), 0)
+                    own = square.argmin(axis=1)
+                    cell[at], least = own, square.min(axis=1)
+                    far[at] = np.sqrt(least)
+                    # distance to the half-space nearer to another centre: (square - least) / (2 gap)
+                    near = square - least[:, None] <= 2 * (r + _EPS) * gaps[g][own] + _EPS
+                    near[np.arange(len(at)), own] = False
+                    for i, row, d in zip(at, near, np.sqrt(square)):
+                        reach[i] = [{"other": int(c), "away": float(d[c])} for c in np.flatnonzero(row)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("grp"), batch.column("key"), batch.column("n"), batch.column("unit"), pa.array(cell), pa.array(far),
+                 pa.array(reach, pa.list_(pa.struct([("other", pa.int32()), ("away", pa.float64())])))],
+                names=["grp", "key", "n", "unit", "cell", "far", "reach"])
+
+    dealt = classes.select("grp", "key", "n", "unit").mapInArrow(
+        deal, "grp long, key string, n long, unit array<double>, cell int, far double, reach array<struct<other: int, away: double>>")
     dealt = written(dealt, "cover-dealt")
-    sums = dealt.groupBy("grp", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    known = spark.createDataFrame(cells, T.StructType.fromDDL("grp long, cell int, centre array<double>"))
-    sums = written(sums.join(known, ["grp", "cell"], "left"), "cover-cells")
-
-    one = sums.select("grp", *[F.col(c).alias(f"{c}1") for c in ("cell", "radius", "blocks", "centre")])
-    two = sums.select("grp", *[F.col(c).alias(f"{c}2") for c in ("cell", "radius", "blocks", "centre")])
-    apart = _distance(F.col("centre1"), F.col("centre2")) > F.col("radius1") + F.col("radius2") + math.sqrt(2 - 2 * cosine) + _EPS
-    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    pairs = (one.join(two, "grp").filter("cell1 <= cell2").filter(~F.coalesce(apart, F.lit(False)))
-             .withColumn("block1", upto("blocks1")).withColumn("block2", upto("blocks2"))
-             .filter("cell1 < cell2 OR block1 <= block2"))
-    sides = F.when(F.expr("cell1 = cell2 AND block1 = block2"), F.array(F.struct(F.lit(0).alias("side"), F.col("cell1").alias("cell"), F.col("block1").alias("block")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("side"), F.col("cell1").alias("cell"), F.col("block1").alias("block")),
-                F.struct(F.lit(1).alias("side"), F.col("cell2").alias("cell"), F.col("block2").alias("block"))))
-    pairs = (pairs.select("grp", F.concat_ws(":", "cell1", "block1", "cell2", "block2").alias("pair"), F.inline(sides)))
-    spread = (dealt.join(sums.select("grp", "cell", "blocks"), ["grp", "cell"])
-              .withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks").cast("long")).cast("int")))
-    work = spread.join(pairs, ["grp", "cell", "block"]).select("grp", "pair", "side", "key", "n", "unit")
+    balls = written(dealt.groupBy("grp", F.col("cell").alias("other")).agg(F.max("far").alias("radius")), "cover-cells")
+
+    def sides(*columns: str) -> DataFrame:
+        """Vectors by the pairs of cells in which they can link, their own cell first."""
+        own = F.array(F.struct(F.col("cell").alias("other"), F.lit(0.0).alias("away")))
+        rows = dealt.select("grp", "cell", "key", *columns, F.inline(F.concat(own, "reach")))
+        return rows.join(balls, ["grp", "other"]).filter(F.col("away") <= F.col("radius") + r + _EPS).drop("away", "radius")
+
+    counts = written(sides().groupBy("grp", "cell", "other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cover-pairs")
+    theirs = counts.select("grp", F.col("other").alias("cell"), F.col("cell").alias("other"), F.col("blocks").alias("partners"))
+    pairs = counts.join(theirs, ["grp", "cell", "other"])
+    spread = (sides("n", "unit").join(pairs, ["grp", "cell", "other"])
+              .withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks").cast("long")).cast("int"))
+              .withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("partners") - 1))))
+    first = F.expr("cell < other OR (cell = other AND block <= partner)")
+    work = spread.select("grp", F.when(first, F.concat_ws(":", "cell", "block", "other", "partner")).otherwise(
+        F.concat_ws(":", "other", "partner", "cell", "block")).alias("pair"), F.when(first, 0).otherwise(1).alias("side"), "key", "n", "unit")
 
     def link(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        order = np.lexsort((table.column("key").to_numpy(), side))
+        order = np.lexsort((table.column("key").to_numpy().astype(str), side))
         table, side = table.take(pa.array(order)), side[order]
         x = table.column("unit").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
         n, key = table.column("n").to_numpy(), table.column("key").to_numpy()
@@ -326,7 +337,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
             total, root = link_blocks(x[:cut], n[:cut], x[cut:], n[cut:], cosine=cosine)
         return pa.table({"key": key, "total": total, "root": key[root]})
 
-    found = written(work.groupBy("grp", "pair").applyInArrow(link, "key long, total long, root long"), "cover-links")
+    found = written(work.groupBy("grp", "pair").applyInArrow(link, "key string, total long, root string"), "cover-links")
     links = found.groupBy("key").agg((F.sum("total") - 1).alias("n_links"))
     roots = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")), "cover-components")
     rooted = written(classes.join(roots, F.col("key") == F.col("node"), "left")

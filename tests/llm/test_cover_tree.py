@@ -107,3 +107,23 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_many_cells_and_string_ids(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 60)
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((40, 16))
+    x = np.concatenate([np.repeat(centers, 30, axis=0) + 0.3 * rng.standard_normal((1200, 16)), rng.standard_normal((300, 16))])
+    ids, labels = [f"v-{i:04}" for i in range(len(x))], [0] * 1400 + [1] * 100
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), labels)), "vec_id string, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in cover_tree.near_duplicates(df).collect())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) & np.equal.outer(labels, labels)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.where(linked, root[None, :], len(x)).min(axis=1)
+        if (new == root).all():
+            break
+        root = new
+    assert linked.sum() > len(x) * 2
+    assert got == [(ids[i], int(linked[i].sum()) - 1, ids[root[i]]) for i in range(len(x))]
