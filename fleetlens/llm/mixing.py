@@ -126,7 +126,8 @@ def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     inside = F.col("_bucket").eqNullSafe(F.col("edge"))
     by = W.partitionBy("_source").orderBy("_key", "_id", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)
     middle = F.col("before") + F.sum("_size").over(by) - F.col("_size") / 2
-    edge = with_plan.filter(inside).withColumn("copies", F.col("epochs") + (middle <= F.col("rest")).cast("long"))
-    under = F.coalesce(F.col("_bucket") < F.col("edge"), F.lit(True))  # sources without words have no edge
+    sampled = F.col("rest") > 0  # else rows of size 0 would come once more than their source's epochs
+    edge = with_plan.filter(inside).withColumn("copies", F.col("epochs") + ((middle <= F.col("rest")) & sampled).cast("long"))
+    under = F.coalesce((F.col("_bucket") < F.col("edge")) & sampled, F.lit(True))  # sources without words have no edge
     clear = with_plan.filter(~inside).withColumn("copies", F.col("epochs") + under.cast("long"))
     return clear.unionByName(edge).select(*rows.columns, "source_size", "target", "copies")

@@ -463,6 +463,13 @@ def test_mixing_odd_rows(spark):
     assert mixing.mixed(empty, mixing.budgets(empty)).count() == 0
 
 
+def test_empty_texts_follow_their_sources_epochs(spark):
+    rows = [(i, "a" if i % 2 else "", "small") for i in range(200)] + [(1000 + i, "w " * 300, "large") for i in range(50)]
+    m = mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=[])
+    out = mixing.mixed(m, mixing.budgets(m)).filter("_source = 'small'").collect()
+    assert {r.copies for r in out} == {2} and out[0].target == 2 * out[0].source_size
+
+
 def test_heavier_rows_are_taken_more_often(spark):
     n = 4000
     text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("w "), F.col("id"))).otherwise(F.concat(F.lit("*# "), F.col("id")))
