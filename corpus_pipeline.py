@@ -42,9 +42,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document appears as often as the mix of sources takes it (never, once or twice)."""
-    plan = written(mixing.budgets(mixing.measured(docs, keep=[])), "mix-plan")
-    rows = mixing.mixed(mixing.measured(docs), plan)
-    return (rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    rows = written(mixing.measured(docs), "mix-rows")   # texts are measured once
+    plan = written(mixing.budgets(rows), "mix-plan")
+    return (mixing.mixed(rows, plan).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
             .select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
 
 
