@@ -312,9 +312,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
         rows = dealt.select("grp", "cell", "key", *columns, F.inline(F.concat(own, "reach")))
         return rows.join(balls, ["grp", "other"]).filter(F.col("away") <= F.col("radius") + r + _EPS).drop("away", "radius")
 
-    counts = written(sides().groupBy("grp", "cell", "other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cover-pairs")
+    counts = written(sides().groupBy("grp", "cell", "other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cover-counts")
     theirs = counts.select("grp", F.col("other").alias("cell"), F.col("cell").alias("other"), F.col("blocks").alias("partners"))
-    pairs = counts.join(theirs, ["grp", "cell", "other"])
+    pairs = written(counts.join(theirs, ["grp", "cell", "other"]), "cover-pairs")  # a table's size is known, a join's is not
     spread = (sides("n", "unit").join(pairs, ["grp", "cell", "other"])
               .withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks").cast("long")).cast("int"))
               .withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("partners") - 1))))
