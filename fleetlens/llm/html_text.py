@@ -3,15 +3,18 @@
 The markup of a whole page is stripped into lines, one per block of text; every line has a
 length, which is 0 for what is no article text: lines in menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments (told by their elements, roles, whole class names and ids) and, where the
-page names an article or a main part, lines outside it.  A class name or id never leaves out a main part below it, nor an article
+page names an article or a main part, lines outside it.  Text inside links doesn't count.  A class name or id never leaves out a main part below it, nor an article
 below it that is longer than the rest of the named text, save where it names reader comments: articles below these stay out
 whatever their length; ids of headings, and plain words as ids of sections and inside
-an article, don't count, for they are made from headings.  Elsewhere text inside links doesn't count.
+an article, don't count, for they are made from headings.
 Lengths are summed over sliding windows of WINDOW lines.  A surge is where a window's sum rises above the
 threshold, a dive where it falls back to 0.  All parts between a surge and its dive are kept, from the first to the last line
 with a length, with all lines in them that are not left out, wholly linked ones too, and with the headings and
-paragraphs at their edges that the windows of their first and last line reach.  With a named article the threshold is 0, else it is SURGE
-characters (or a third of the page's highest window, for short pages).
+paragraphs at their edges that the windows of their first and last line reach.  The threshold is SURGE
+characters (or a third of the page's highest window, for short pages).  In a named article or main part it is 0, for nothing that is
+written there may be lost, and only its own lines that are not left out are in the windows: there a dive is a run of WINDOW or more wholly linked
+lines (a menu, a table of contents, a list of other stories without any telling name), which goes, at the article's
+end together with the headings right before it; shorter runs stay.  Where all of it is linked, it stays whole.
 
 Character references are decoded, white space in a line becomes one space, lines are joined by one space.
 
@@ -125,10 +128,14 @@ def _left_out(name: str, raw: str, inside: int) -> int:
 
 
 class Line:
-    __slots__ = ("text", "linked", "out", "inside", "below", "prose")
+    __slots__ = ("text", "linked", "out", "inside", "below", "prose", "heading")
 
-    def __init__(self, text: str, linked: int, out: bool, inside: bool, below: int, prose: bool) -> None:
-        self.text, self.linked, self.out, self.inside, self.below, self.prose = text, linked, out, inside, below, prose
+    def __init__(self, text: str, linked: int, out: bool, inside: bool, below: int, prose: bool, heading: bool) -> None:
+        self.text, self.linked, self.out, self.inside = text, linked, out, inside
+        self.below, self.prose, self.heading = below, prose, heading
+
+    def length(self) -> int:
+        return max(len(self.text) - self.linked, 0)
 
 
 _MAIN, _ARTICLE = 1, 2
@@ -136,7 +143,7 @@ _MAIN, _ARTICLE = 1, 2
 
 def lines(page: str) -> list[Line]:
     """The non-empty lines of a page: text, characters inside links, whether left out, whether in an article or main part,
-    the number of the article below an element that is left out by its name (0: none), whether a heading or paragraph."""
+    the number of the article below an element that is left out by its name (0: none), whether a heading or paragraph, whether a heading."""
     out: list[Line] = []
     pieces: list[str] = []
     linked = 0
@@ -145,14 +152,16 @@ def lines(page: str) -> list[Line]:
     left_out = inside = below = found_below = 0
     empty = foreign = False
     aside = False  # a paragraph that is left out
-    link = prose = False
+    link = prose = heading = False
 
     def end() -> None:
         nonlocal pieces, linked
-        if pieces:
-            text = " ".join("".join(pieces).split())
-            if text:
-                out.append(Line(text, linked, bool(left_out or aside), bool(inside), below, prose))
+        words = "".join(pieces).split()
+        if words:
+            text = " ".join(words)
+            if linked > len(text) - len(words):
+                linked = len(text)  # all but the spaces
+            out.append(Line(text, linked, bool(left_out or aside), bool(inside), below, prose, heading))
         pieces, linked = [], 0
 
     def close_to(k: int) -> None:
@@ -171,7 +180,7 @@ def lines(page: str) -> list[Line]:
             text = html.unescape(page[at:lt])
             pieces.append(text)
             if link:
-                linked += len(text)
+                linked += sum(map(len, text.split()))
         if lt == n:
             break
         mark = page[lt + 1:lt + 2]
@@ -217,6 +226,7 @@ def lines(page: str) -> list[Line]:
             end()
         if not empty and name not in _EMPTY:
             prose = prose and name == "br" or not ending and (name == "p" or name in _HEADINGS)
+            heading = heading and name == "br" or not ending and name in _HEADINGS
             aside = name == "p" and not ending and _left_out(name, raw, inside) > 0
         if name in _SIBLINGS and not ending and stack and stack[-1][0] == name:
             close_to(len(stack) - 1)
@@ -280,29 +290,47 @@ def _settle_articles_below(rows: list[Line]) -> None:
         elif r.inside:
             named += len(r.text)
         else:
-            other += max(len(r.text) - r.linked, 0)
+            other += r.length()
     for r in rows:
         if r.below and sizes.get(r.below, 0) <= (named or other):
             r.out = True
 
 
+def _in_article(lengths: np.ndarray, rows: list[Line]) -> list[tuple[int, int]]:
+    """The parts of a named article: all but its runs of WINDOW or more lines without a length, and but the headings that
+    lead to such a run at its end."""
+    parts = between_surges_and_dives(lengths, 0)
+    first, last = parts[0][0], parts[-1][1]
+    if first < WINDOW:
+        parts[0] = (0, parts[0][1])
+    if len(rows) - 1 - last < WINDOW:
+        parts[-1] = (parts[-1][0], len(rows) - 1)
+    else:
+        while last > parts[-1][0] and rows[last].heading:
+            last -= 1
+        parts[-1] = (parts[-1][0], last)
+    return parts
+
+
 def main_text(page: str | None) -> str:
     """The main text of one whole page."""
     rows = lines(page or "")
     if not rows:
         return ""
     _settle_articles_below(rows)
-    named = any(r.inside and not r.out for r in rows)
-    lengths = np.array([0 if r.out or (named and not r.inside) else len(r.text) if named else max(len(r.text) - r.linked, 0) for r in rows])
+    named = [r for r in rows if r.inside and not r.out]
     if named:
-        parts, keep = between_surges_and_dives(lengths, 0), set()
-    else:
-        sums = np.append(0, np.cumsum(lengths))
-        highest = max(sums[min(i + WINDOW, len(rows))] - sums[i] for i in range(len(rows)))
-        parts = between_surges_and_dives(lengths, min(SURGE, highest / 3))
-        near = [(max(a - WINDOW + 1, 0), min(b + WINDOW, len(rows))) for a, b in parts]
-        keep = {k for x, y in near for k in range(x, y) if rows[k].prose}
-    keep.update(k for a, b in parts for k in range(a, b + 1) if not named or rows[k].inside)
+        rows = named
+    lengths = np.array([0 if r.out else r.length() for r in rows])
+    if named and not lengths.any():
+        lengths = np.array([len(r.text) for r in rows])
+    if named:
+        return " ".join(r.text for a, b in _in_article(lengths, rows) for r in rows[a:b + 1])
+    sums = np.append(0, np.cumsum(lengths))
+    highest = max(sums[min(i + WINDOW, len(rows))] - sums[i] for i in range(len(rows)))
+    keep: set[int] = set()
+    for a, b in between_surges_and_dives(lengths, min(SURGE, highest / 3)):
+        keep.update(k for k in range(max(a - WINDOW + 1, 0), min(b + WINDOW, len(rows))) if a <= k <= b or rows[k].prose)
     return " ".join(rows[k].text for k in sorted(keep) if not rows[k].out)
 
 

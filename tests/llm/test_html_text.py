@@ -120,6 +120,28 @@ def test_linked_lines_without_article():
     assert html_text.main_text(page) == f"Storm {PROSE}Night {PROSE}Entry {PROSE}All of the storm"
 
 
+_LINKS = "<ul>" + "".join(f"<li><a href={i}> Other   story {i} </a>" for i in range(3)) + "</ul>"
+
+
+@pytest.mark.parametrize("body, text", [
+    # runs of WINDOW or more linked lines without telling names: a table of contents, a menu between parts, other stories at the end
+    (f"<article><h1>Storm</h1>{_LINKS}<p>{PROSE}</p></article>", f"Storm {PROSE}"),
+    (f"<article><p>{PROSE}</p>{_LINKS}<h2>Night</h2><p>{PROSE}</p></article>", f"{PROSE}Night {PROSE}"),
+    (f"<article><h1>Storm</h1><p>{PROSE}</p><h3>Read also</h3>{_LINKS}</article>", f"Storm {PROSE}"),
+    (f"<main>{_LINKS}<h1>Storm</h1><p>{PROSE}</p>{_LINKS}{_LINKS}</main>", f"Storm {PROSE}"),
+    (f"<article><h1>Storm</h1><p class=ad>Buy</p>{_LINKS}<p>{PROSE}</p></article>", f"Storm {PROSE}"),
+    # shorter runs, and linked lines with words of their own, are the article's
+    (f"<article><h1><a href=0>Storm</a></h1><p><a href=1>By K.</a></p><p>{PROSE}</p><ul><li><a href=2>Source</a><li><a href=3>Map</a></ul></article>",
+     f"Storm By K. {PROSE}Source Map"),
+    (f"<article><p>{PROSE}</p><ul><li><a href=1>One</a> source<li><a href=2>Two</a> more<li><a href=3>Three</a>.</ul></article>", f"{PROSE}One source Two more Three."),
+    (f"<article><p>{PROSE}</p><ul><li><a href=1>One</a><li>own<li><a href=2>Two</a></ul><p><a href=3>Three</a></article>", f"{PROSE}One own Two Three"),
+    (f"<article><h1>Storm</h1>{_LINKS}</article>", "Storm"),
+    (f"<article>{_LINKS}</article>", "Other story 0 Other story 1 Other story 2"),
+])
+def test_distribution_decides_inside_an_article(body, text):
+    assert html_text.main_text(_page(body)) == text.strip()
+
+
 def test_distribution_finds_surges_and_dives():
     lengths = np.array([0, 5, 0, 0, 0, 0, 90, 80, 0, 70, 0, 0, 0, 3, 0, 0, 0, 200])
     assert html_text.between_surges_and_dives(lengths, 20) == [(6, 9), (17, 17)]
