@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quote_name
@@ -21,6 +21,7 @@ from .constants import (ALTER_INDEX, DUPLICATE_INDEX_TYPES, REBUILD_SUFFIX, REOR
 from ..operators import ordered_string_agg, prefix_overlap, upsert_ledger
 
 LEDGER_KEYS = ["instance_id", "database_id", "database_name", "schema_name", "table_name", "index_name"]
+LEDGER_IDS = ["instance_id", "database_id", "table_id", "index_id"]
 LEDGER_CARRY = ["table_id", "index_id", "fill_factor"]
 LEDGER_COUNTERS = ["read_usage", "update_usage"]
 LEDGER_NEVER = "1980-01-01 00:00:00"   # fixed value: the "no statement yet" date a new ledger row starts with
@@ -28,7 +29,8 @@ LEDGER_NEVER = "1980-01-01 00:00:00"   # fixed value: the "no statement yet" dat
 
 def ledger_capture(usage, indexes, objects, schemas, databases, captured: dt.datetime | None = None) -> DataFrame:
     """Named user-index usage, shaped for the ledger: one capture taken at ``captured``, or all the
-    captures of a landed table (``captured_at``); the catalog is joined once for all of them."""
+    captures of a landed table (``captured_at``).  The catalog's names are joined with each other first, so the usage
+    rows of all captures meet them in one join on the index's ids."""
     if captured is not None:
         usage = usage.withColumn("captured_at", F.lit(captured).cast("timestamp_ntz"))
     i = indexes.filter(F.col("name").isNotNull()).select(
@@ -37,9 +39,9 @@ def ledger_capture(usage, indexes, objects, schemas, databases, captured: dt.dat
                                                        F.col("name").alias("table_name"))
     s = schemas.select("instance_id", "database_id", "schema_id", F.col("name").alias("schema_name"))
     d = databases.select("instance_id", "database_id", F.col("name").alias("database_name"))
-    j = usage.join(i, ["instance_id", "database_id", "object_id", "index_id"]).join(
-        o, ["instance_id", "database_id", "object_id"]).join(s, ["instance_id", "database_id", "schema_id"]).join(
+    names = i.join(o, ["instance_id", "database_id", "object_id"]).join(s, ["instance_id", "database_id", "schema_id"]).join(
         d, ["instance_id", "database_id"])
+    j = usage.join(names, ["instance_id", "database_id", "object_id", "index_id"])
     return j.select(*LEDGER_KEYS, F.col("object_id").alias("table_id"), "index_id", "fill_factor",
                     (F.col("user_seeks") + F.col("user_scans") + F.col("user_lookups")).alias("read_usage"),
                     F.col("user_updates").alias("update_usage"),
@@ -66,16 +68,19 @@ def acknowledge_maintenance(ledger: DataFrame, executed: DataFrame) -> DataFrame
     join on the index key (executed rows are unique per index)."""
     e = executed.select(*LEDGER_KEYS, F.col("sentence").alias("_sentence"), F.col("end_date").alias("_at"),
                         F.lit(True).alias("_ran"))
-    j = ledger.join(e, LEDGER_KEYS, "left")
-    ran = F.col("_ran").isNotNull()
+    return _acknowledged(ledger.join(e, LEDGER_KEYS, "left"), ledger.columns, F.col("_ran").isNotNull(), F.col("_sentence"), F.col("_at"))
+
+
+def _acknowledged(rows: DataFrame, columns: list[str], ran: Column, sentence: Column, at: Column) -> DataFrame:
+    """The ledger's ``columns`` after a ``sentence`` ended at ``at`` where ``ran``."""
     updates = {
         "accumulated_read_usage": F.when(ran, F.lit(0).cast("long")).otherwise(F.col("accumulated_read_usage")),
         "accumulated_update_usage": F.when(ran, F.lit(0).cast("long")).otherwise(F.col("accumulated_update_usage")),
         "sentence_counter": F.when(ran, F.col("sentence_counter") + 1).otherwise(F.col("sentence_counter")),
-        "last_sentence": F.when(ran, F.col("_sentence")).otherwise(F.col("last_sentence")),
-        "last_sentence_date": F.when(ran, F.col("_at")).otherwise(F.col("last_sentence_date")),
+        "last_sentence": F.when(ran, sentence).otherwise(F.col("last_sentence")),
+        "last_sentence_date": F.when(ran, at).otherwise(F.col("last_sentence_date")),
     }
-    return j.select(*[updates.get(c, F.col(c)).alias(c) for c in ledger.columns])
+    return rows.select(*[updates.get(c, F.col(c)).alias(c) for c in columns])
 
 
 def record_maintenance_runs(plan: DataFrame, executed: DataFrame) -> DataFrame:
@@ -94,33 +99,57 @@ def record_maintenance_runs(plan: DataFrame, executed: DataFrame) -> DataFrame:
     return j.select(*plan.columns, "start_date", "end_date", secs.cast("int").alias("duration"))
 
 
+def _fragmented(physical: DataFrame, indexes: DataFrame, reorganize: float, min_pages: int, with_pks: bool) -> DataFrame:
+    """Named indexes over ``min_pages`` pages and ``reorganize`` % fragmentation, by the ledger's ids: what no
+    statement can be due for is gone before it meets the ledger."""
+    i = indexes.filter(F.col("name").isNotNull())
+    if not with_pks:
+        i = i.filter(~F.col("is_primary_key"))
+    i = i.select("instance_id", "database_id", F.col("object_id").alias("table_id"), "index_id", F.col("name").alias("_iname"))
+    p = physical.select("instance_id", "database_id", F.col("object_id").alias("table_id"), "index_id", "page_count",
+                        F.round("avg_fragmentation_in_percent", 2).alias("fragmentation_pct"),
+                        F.round("avg_page_space_used_in_percent", 2).alias("page_density_pct"))
+    return p.filter((F.col("page_count") > min_pages) & (F.col("fragmentation_pct") > reorganize)).join(i, LEDGER_IDS)
+
+
+def _due(update_threshold: int) -> Column:
+    """Ledger rows that were updated since the last run."""
+    return (F.col("accumulated_update_usage") > update_threshold) & (F.col("diff_update_usage") > 0)
+
+
+def _index_sentence(rebuild: float) -> Column:
+    target = [quote_name("_iname"), " ON ", quote_name("database_name"), ".", quote_name("schema_name"), ".",
+              quote_name("table_name")]
+    return (F.when(F.col("fragmentation_pct") > rebuild, render_statement(ALTER_INDEX, *target, REBUILD_SUFFIX))
+            .otherwise(render_statement(ALTER_INDEX, *target, REORGANIZE_SUFFIX)))
+
+
 def index_maintenance_plan(ledger, physical, indexes, reorganize: float = 5, rebuild: float = 30,
                            min_pages: int = 1000, with_pks: bool = False, update_threshold: int = 0) -> DataFrame:
     """REBUILD above ``rebuild`` %, REORGANIZE above ``reorganize`` %
     fragmentation, for indexes over ``min_pages`` pages that were updated
     since the last run; ranked by pages."""
-    i = indexes.select("instance_id", "database_id", F.col("object_id").alias("table_id"), "index_id",
-                       F.col("name").alias("_iname"), "is_primary_key")
-    if not with_pks:
-        i = i.filter(~F.col("is_primary_key"))
-    lg = ledger.filter(F.col("accumulated_update_usage") > update_threshold)
-    j = lg.join(i, ["instance_id", "database_id", "table_id", "index_id"])
-    p = physical.select("instance_id", "database_id", F.col("object_id").alias("table_id"), "index_id",
-                        "avg_fragmentation_in_percent", "avg_page_space_used_in_percent", "page_count")
-    j = j.join(p, ["instance_id", "database_id", "table_id", "index_id"])
-    frag = F.round("avg_fragmentation_in_percent", 2)
-    j = j.filter((F.col("diff_update_usage") > 0) & F.col("_iname").isNotNull()
-                 & (F.col("page_count") > min_pages) & (frag > reorganize))
-    target = [quote_name("_iname"), " ON ", quote_name("database_name"), ".", quote_name("schema_name"), ".",
-              quote_name("table_name")]
-    sentence = (F.when(frag > rebuild, render_statement(ALTER_INDEX, *target, REBUILD_SUFFIX))
-                .when(frag > reorganize, render_statement(ALTER_INDEX, *target, REORGANIZE_SUFFIX)))
-    return j.select("instance_id", "database_name", "schema_name", "table_name", "index_name",
-                    frag.alias("fragmentation_pct"), F.round("avg_page_space_used_in_percent", 2).alias("page_density_pct"),
-                    "page_count", F.lit(-1).cast("long").alias("modification_counter"), sentence.alias("sentence"),
+    j = ledger.filter(_due(update_threshold)).join(_fragmented(physical, indexes, reorganize, min_pages, with_pks), LEDGER_IDS)
+    return j.select("instance_id", "database_name", "schema_name", "table_name", "index_name", "fragmentation_pct", "page_density_pct",
+                    "page_count", F.lit(-1).cast("long").alias("modification_counter"), _index_sentence(rebuild).alias("sentence"),
                     F.col("page_count").alias("rank"))
 
 
+def run_index_maintenance(ledger, physical, indexes, end_date: Column, only: Column | None = None, reorganize: float = 5,
+                          rebuild: float = 30, min_pages: int = 1000, with_pks: bool = False, update_threshold: int = 0) -> DataFrame:
+    """The ledger after the statements of its own plan (:func:`index_maintenance_plan`) were run and acknowledged
+    (:func:`acknowledge_maintenance`), in one pass: the ledger, however it was made, stands in the plan once, and its rows
+    are joined with the fragmented indexes only.  ``end_date`` (a Column on the ledger's rows) is when a statement
+    ended, ``only`` a condition on them that says which were run (all where it is left out; NULL: not run).  An index with
+    several physical rows counts once, with its most fragmented one, so no ledger row is doubled."""
+    worst = _fragmented(physical, indexes, reorganize, min_pages, with_pks).groupBy(*LEDGER_IDS).agg(
+        F.max("fragmentation_pct").alias("fragmentation_pct"), F.max("_iname").alias("_iname"))
+    ran = F.col("fragmentation_pct").isNotNull() & _due(update_threshold)
+    if only is not None:
+        ran = ran & only
+    return _acknowledged(ledger.join(worst, LEDGER_IDS, "left"), ledger.columns, ran, _index_sentence(rebuild), end_date)
+
+
 def statistics_refresh_plan(objects, schemas, stats_properties, databases) -> DataFrame:
     """Per user table, the largest statistics modification counter and
     an UPDATE STATISTICS ... WITH FULLSCAN statement ranked by it."""

@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from fleetlens.plans import deadlocks as dk
 from fleetlens.plans import deltas as dl
 from fleetlens.plans import inventory as inv
@@ -158,6 +160,35 @@ def test_acknowledged_statements_reset_the_accumulators(spark):
     assert runs == {"ix1": 2, None: None}
 
 
+def test_a_run_in_one_pass_equals_plan_and_acknowledgement(spark):
+    at = dt.datetime(2024, 1, 1)
+    cap = spark.createDataFrame([("s", 1, "db", "dbo", f"t{k}", f"ix{k}", k, 1, 90, 10, 0 if k == 3 else 20, at) for k in range(1, 9)],
+                                "instance_id string, database_id int, database_name string, schema_name string, "
+                                "table_name string, index_name string, table_id int, index_id int, fill_factor int, "
+                                "read_usage long, update_usage long, captured_at timestamp_ntz")
+    ledger = mt.index_usage_ledger(None, cap)
+    # 1 rebuild, 2 reorganize, 3 never updated, 4 too small, 5 not fragmented, 6 primary key, 7 without a name, 8 without physical rows
+    phys = spark.createDataFrame([("s", 1, k, 1, frag, 50.0, pages) for k, frag, pages in
+                                  ((1, 90.0, 2000), (2, 10.0, 2000), (3, 90.0, 2000), (4, 90.0, 10), (5, 1.0, 2000), (6, 90.0, 2000), (7, 90.0, 2000))],
+                                 "instance_id string, database_id int, object_id int, index_id int, avg_fragmentation_in_percent double, "
+                                 "avg_page_space_used_in_percent double, page_count long")
+    ixs = spark.createDataFrame([("s", 1, k, 1, None if k == 7 else f"ix{k}", k == 6) for k in range(1, 9)],
+                                "instance_id string, database_id int, object_id int, index_id int, name string, is_primary_key boolean")
+    end = dt.datetime(2024, 1, 2)
+    key = lambda df: sorted(map(str, df.collect()))
+    for only, tables in ((None, {1, 2}), (F.col("table_id") == 2, {2}), (F.lit(None).cast("boolean"), set())):
+        plan = mt.index_maintenance_plan(ledger, phys, ixs)
+        executed = ledger.select(*mt.LEDGER_KEYS, "table_id").join(plan.select("index_name", "sentence"), "index_name")
+        executed = executed.filter(F.lit(True) if only is None else only).withColumn("end_date", F.lit(end).cast("timestamp_ntz"))
+        got = mt.run_index_maintenance(ledger, phys, ixs, F.lit(end).cast("timestamp_ntz"), only)
+        assert key(got) == key(mt.acknowledge_maintenance(ledger, executed)) and got.count() == 8
+        assert {r.table_id for r in got.collect() if r.sentence_counter} == tables
+    # several physical rows of one index: the most fragmented one decides, the ledger's row stays one
+    twice = phys.unionByName(phys.filter("object_id = 2").withColumn("avg_fragmentation_in_percent", F.lit(31.0)))
+    rows = {r.table_id: r for r in mt.run_index_maintenance(ledger, twice, ixs, F.lit(end).cast("timestamp_ntz")).collect()}
+    assert len(rows) == 8 and "REBUILD" in rows[2].last_sentence and rows[2].sentence_counter == 1 and rows[8].last_sentence == ""
+
+
 def test_column_type_conflicts_with_nulls_match_the_pairwise_rule(spark):
     rows = [("s", 1, "dbo", "t1", "id", "int", None, 10, 0),
             ("s", 1, "dbo", "t2", "id", "bigint", None, 19, 0),      # type differs: both id rows conflict
