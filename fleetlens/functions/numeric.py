@@ -48,17 +48,18 @@ def exact_ratio(num, den, scale: int = 2, factor: int = 1, precision: int = 28)
     return F.when(d != 0, scaled.cast(f"decimal({precision},{scale})"))
 
 
-def safe_ratio(num, den, default=None) -> Column:
+def safe_ratio(num, den, default=None, whole: bool = False) -> Column:
     """``CASE WHEN den = 0 THEN default ELSE num / den END``.
 
     ``default=None`` gives NULL for a zero divisor (``try_divide``); a number
-    reproduces the reference's ``THEN 0`` guard.
+    reproduces the reference's ``THEN 0`` guard.  ``whole`` divides integers as T-SQL does
+    (:func:`int_div`), to a long.
     """
     n, d = col_of(num), col_of(den)
-    q = F.try_divide(n, d)
+    q = int_div(n, d) if whole else F.try_divide(n, d)
     if default is None:
         return q
-    return F.when(d == 0, F.lit(default)).otherwise(q)
+    return F.when(d == 0, F.lit(default).cast("long") if whole else F.lit(default)).otherwise(q)
 
 
 def rounded_key(num, divisor: int, scale: int = 2) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exact_ratio, int_div, rewrite_text
+from ..functions import exact_ratio, int_div, rewrite_text, safe_ratio
 from ..functions.text import contains_ci
 from ..operators import distinct_pairs, latest_per_key, multi_filter, sample_keys, unused_keys
 from .constants import DB_COUNTER_OBJECT_PATTERN, DB_SIZE_COUNTERS, MODULE_REWRITES, MODULE_TYPES
@@ -90,18 +90,14 @@ def disk_latency(file_stats: DataFrame, master_files: DataFrame) -> DataFrame:
                                       "num_of_bytes_read", "num_of_bytes_written", "io_stall")])
     r, w = F.col("num_of_reads"), F.col("num_of_writes")
 
-    def guarded(zero, num, den):
-        return F.when(zero, F.lit(0).cast("long")).otherwise(int_div(num, den))
+    def per(num, den, name: str):
+        return safe_ratio(num, den, 0, whole=True).alias(name)
 
     return g.select(
-        "instance_id", "disk_drive",
-        guarded(r == 0, "io_stall_read_ms", r).alias("read_latency"),
-        guarded(w == 0, "io_stall_write_ms", w).alias("write_latency"),
-        guarded((r == 0) & (w == 0), "io_stall", r + w).alias("overall_latency"),
-        guarded(r == 0, "num_of_bytes_read", r).alias("avg_bytes_per_read"),
-        guarded(w == 0, "num_of_bytes_written", w).alias("avg_bytes_per_write"),
-        guarded((r == 0) & (w == 0), F.col("num_of_bytes_read") + F.col("num_of_bytes_written"), r + w)
-        .alias("avg_bytes_per_transfer"))
+        "instance_id", "disk_drive", per("io_stall_read_ms", r, "read_latency"), per("io_stall_write_ms", w, "write_latency"),
+        per("io_stall", r + w, "overall_latency"), per("num_of_bytes_read", r, "avg_bytes_per_read"),
+        per("num_of_bytes_written", w, "avg_bytes_per_write"),
+        per(F.col("num_of_bytes_read") + F.col("num_of_bytes_written"), r + w, "avg_bytes_per_transfer"))
 
 
 def file_io_mix(file_stats: DataFrame, database_files: DataFrame, databases: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact_ratio, int_div, quote_name, statement_slice
 from ..functions.text import contains_ci
-from ..functions.xml import parse_xml
+from ..functions.xml import parse_xml, xml_scalar
 from ..operators import conditional_split, database_scope, top_n
 from .constants import (COMPILED_PLAN, CREATE_INDEX_PREFIX, FILLFACTOR_CLAUSE, INCLUDE_PREFIX, ONLINE_CLAUSE,
                         PLAN_FEATURES)
@@ -40,18 +40,22 @@ _FLAG_SET = r"""\bParallel\s*=\s*["'](?!\s*(?:0+|[Ff]alse)\s*["'])"""
 _FLAG = r"""<(?:\w+:)?RelOp\s(?:[^>"']++|"[^"]*+"|'[^']*+')*?\bParallel\s*="""
 
 
+# an operator whose flag is set, as _is_parallel tells it
+_PARALLEL_OPERATOR = "//RelOp[@Parallel > 0 or translate(@Parallel, 'TRUE', 'true') = 'true']"
+
+
 def has_parallel_operator(plan: Column) -> Column:
     """``max(//RelOp/@Parallel) > 0``: some operator of the plan runs in parallel.  Only plans
-    with some flag set are parsed."""
-    return F.when(plan.rlike(_FLAG_SET), F.exists(_parallel_attrs(plan), _is_parallel)).otherwise(F.lit(False))
+    with some flag set are parsed, for this one value (G18)."""
+    return F.when(plan.rlike(_FLAG_SET), xml_scalar(plan, _PARALLEL_OPERATOR, "boolean")).otherwise(F.lit(False))
 
 
 def parallel_flag(plan: Column) -> Column:
-    """``max(//RelOp/@Parallel)`` as 1 / 0, NULL when the plan has no operator.  Only plans
+    """``max(//RelOp/@Parallel)`` as 1 / 0, NULL when there is no plan or it has no operator.  Only plans
     with some flag set, or with a flag on something else than an operator, are parsed (once)."""
     attrs = _parallel_attrs(plan)
     parsed = F.when(F.size(attrs) == 0, F.lit(None)).when(F.exists(attrs, _is_parallel), F.lit(1)).otherwise(F.lit(0))
-    return F.when(~plan.contains("Parallel"), F.lit(None)).when(~plan.rlike(_FLAG_SET) & plan.rlike(_FLAG), F.lit(0)).otherwise(parsed)
+    return F.when(plan.isNull() | ~plan.contains("Parallel"), F.lit(None)).when(~plan.rlike(_FLAG_SET) & plan.rlike(_FLAG), F.lit(0)).otherwise(parsed)
 
 
 def _compiled(cached_plans: DataFrame) -> DataFrame:

@@ -104,6 +104,25 @@ def test_multi_filter_and_distinct_string_agg(spark):
     assert got == {"srv1": "Bills, Sales, sales", "srv2": "Orders"}
 
 
+def test_safe_ratio_of_whole_numbers(spark):
+    from fleetlens.functions import safe_ratio
+    df = spark.createDataFrame([(7, 2), (-7, 2), (7, 0), (None, 2), (7, None), (None, 0)], "n long, d long")
+    rows = df.select(safe_ratio("n", "d", whole=True).alias("q"), safe_ratio("n", "d", 0, whole=True).alias("q0"))
+    assert [tuple(r) for r in rows.collect()] == [(3, 3), (-3, -3), (None, 0), (None, None), (None, None), (None, 0)]
+    assert {f.dataType.typeName() for f in rows.schema} == {"long"}
+
+
+def test_parallel_operator_as_one_xml_value(spark):
+    from pyspark.sql import functions as F
+    from fleetlens.plans.plancache import has_parallel_operator, parallel_flag
+    flags = {"1": True, "0": False, "true": True, "True": True, "TRUE": True, "false": False, " 1 ": True, "0.5": True, "-1": False, "": False, "x": False}
+    df = spark.createDataFrame([(f, f'<P Parallel="1"><RelOp Parallel="0"><RelOp Parallel="{f}"/></RelOp></P>') for f in flags]
+                               + [("none", '<P Parallel="1"><RelOp/></P>'), ("null", None)], "f string, d string")
+    got = {r.f: (r.p, r.n) for r in df.select("f", has_parallel_operator(F.col("d")).alias("p"), parallel_flag(F.col("d")).alias("n")).collect()}
+    assert {f: got[f][0] for f in flags} == flags and got["none"] == (False, None) and got["null"] == (False, None)
+    assert all(bool(got[f][1]) == flags[f] for f in flags)
+
+
 def test_xml_scalar_reads_one_value(spark):
     from fleetlens.functions import xml_scalar
     df = spark.createDataFrame([('<a n="3"><b>x</b></a>',), ("<a/>",)], "d string")
