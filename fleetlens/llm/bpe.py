@@ -10,7 +10,8 @@ A merge whose token can take part in a pair of lower rank (some vocabularies hav
 position instead, so that the lower pair goes first; pairs that overlap are taken from the left.
 
 Defined results: null and empty texts have no ids and decode to nothing; words of any
-length are encoded whole; every byte string can be encoded if the vocabulary holds the 256 single bytes.
+length are encoded whole; every byte string can be encoded if the vocabulary holds the 256 single bytes; rows that repeat
+get equal ids; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ vectors (bounded by a parameter) are broadcast; each block of documents takes it
 products with all of them and the nearest ones vote, weighted by similarity.
 
 Defined results: null and empty texts (and texts of under three bytes) have no vector
-and get the share of good labels; without labelled rows every score is 0.5; rows that repeat get equal scores.
+and get the share of good labels; without labelled rows every score is 0.5; rows that repeat get equal scores;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

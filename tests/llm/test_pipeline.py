@@ -95,6 +95,26 @@ def test_stages_take_odd_rows(spark):
         assert cp.encoding_stage(spark, docs, SF).count() == len(data)
 
 
+def test_results_of_odd_rows_by_stage(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, `_key` string"
+    null, empty = (1, None, None, None, None, 1, "a"), (None, "", "en", "s", 0, 2, "b")
+    long, mail = (2, "word " * 30_000, "en", "s", 5, 3, "c"), (3, "mail a@b.co now", None, "t", 15, 4, "d")
+    docs = spark.createDataFrame([null, null, empty, long, mail], schema)
+
+    def after(stage):
+        return sorted((tuple(r) for r in stage(spark, docs, SF).collect()), key=str)
+    assert after(cp.quality_stage) == []                                                  # too short, or one word again and again
+    assert after(cp.near_duplicate_stage) == sorted([null, long, mail], key=str)          # texts without a word are one group
+    redacted = [null, null, empty, (*long[:4], 150_000, *long[5:]), (3, "mail [EMAIL] now", None, "t", 16, 4, "d")]
+    assert after(cp.pii_stage) == sorted(redacted, key=str)
+    # source t stops at twice its size, s goes once (half of it again doesn't fit), the one of null texts has no words to take
+    assert after(cp.mixing_stage) == sorted([empty, long, mail, mail], key=str)
+    got = cp.encoding_stage(spark, docs, SF).select("doc_id", "n_tokens", "decoded_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(
+        ((d, n, hashlib.sha256((t or "").encode()).hexdigest()) for (d, t, *_), n in
+         ((null, 0), (null, 0), (empty, 0), (long, 30_001), (mail, 7))), key=str)
+
+
 def test_run(spark):
     out = cp.run(spark, SF)
     assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() > 100
