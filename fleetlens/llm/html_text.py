@@ -19,7 +19,7 @@ end together with the headings right before it; shorter runs stay.  Where all of
 Character references are decoded, white space in a line becomes one space, lines are joined by one space.
 
 Defined results: a null page counts as empty and has an empty text; unclosed elements end with their
-parents; an unclosed comment, and an unclosed element that HTML reads as raw text (script, style,
+parents, an unclosed link counts in its first line only; an unclosed comment, and an unclosed element that HTML reads as raw text (script, style,
 textarea, title, iframe, noembed, noframes, xmp), runs to the end of the page; a self-closed svg or math is
 empty, an unclosed one ends at the next HTML block or with its parent; repeated rows are
 extracted each on their own; an empty table gives an empty result.
@@ -152,6 +152,7 @@ def lines(page: str) -> list[Line]:
     left_out = inside = below = found_below = 0
     empty = foreign = False
     aside = False  # a paragraph that is left out
+    link_from = 0  # the first line of the link
     link = prose = heading = False
 
     def end() -> None:
@@ -164,6 +165,14 @@ def lines(page: str) -> list[Line]:
             out.append(Line(text, linked, bool(left_out or aside), bool(inside), below, prose, heading))
         pieces, linked = [], 0
 
+    def link_left_open() -> None:
+        """A link without an end tag counts in its first line only."""
+        nonlocal linked
+        for r in out[link_from + 1:]:
+            r.linked = 0
+        if len(out) > link_from:
+            linked = 0
+
     def close_to(k: int) -> None:
         """Close the elements from the k-th on."""
         nonlocal left_out, inside, empty, foreign, below
@@ -212,7 +221,9 @@ def lines(page: str) -> list[Line]:
             if not ending or name not in _INLINE or all(e[0] != name for e in stack[k:]):
                 close_to(k)
         if name == "a" and not empty:
-            link = not ending
+            if link and not ending:
+                link_left_open()
+            link, link_from = not ending, len(out)
         if name in _INLINE and not foreign:
             continue
         if name in _RAW and not ending and not foreign:
@@ -235,6 +246,8 @@ def lines(page: str) -> list[Line]:
                 if stack[k][0] == name:
                     if not stack[k][3]:
                         end()
+                        if link:
+                            link_left_open()
                         link = aside = False
                     close_to(k)
                     break
@@ -254,6 +267,8 @@ def lines(page: str) -> list[Line]:
             empty = empty or name in _EMPTY
             stack.append((name, left_out, inside, empty, foreign, below))
     end()
+    if link:
+        link_left_open()
     return out
 
 

@@ -136,6 +136,10 @@ _LINKS = "<ul>" + "".join(f"<li><a href={i}> Other   story {i} </a>" for i in ra
     (f"<article><p>{PROSE}</p><ul><li><a href=1>One</a> source<li><a href=2>Two</a> more<li><a href=3>Three</a>.</ul></article>", f"{PROSE}One source Two more Three."),
     (f"<article><p>{PROSE}</p><ul><li><a href=1>One</a><li>own<li><a href=2>Two</a></ul><p><a href=3>Three</a></article>", f"{PROSE}One own Two Three"),
     (f"<article><h1>Storm</h1>{_LINKS}</article>", "Storm"),
+    # a link that is never closed counts in its first line only
+    (f"<article><h1>Storm</h1><p><a href=0>By K.<p>{PROSE}<p>Second<p>Third</article>", f"Storm By K. {PROSE}Second Third"),
+    (f"<article><h1>Storm</h1><p><a href=0>By K.<p>{PROSE}<p>Second<p>Third", f"Storm By K. {PROSE}Second Third"),
+    (f"<article><h1>Storm</h1><p><a href=0>By K.<p>One<p>Two<p>{PROSE}<p>Third <a href=1>Map</a></article>", f"Storm By K. One Two {PROSE}Third Map"),
     (f"<article>{_LINKS}</article>", "Other story 0 Other story 1 Other story 2"),
 ])
 def test_distribution_decides_inside_an_article(body, text):
