@@ -9,9 +9,11 @@ brings to it anyway.  Needles shorter than GRAM open all files."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,61 @@ def _place(gram: Column) -> Column:
     return F.xxhash64(gram).bitwiseAND(F.lit(BITS - 1))
 
 
-def _grams(text: Column) -> Column:
-    """The distinct grams of a text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+#: Characters whose grams are told apart at a time: bounds a task's memory, whatever the texts' lengths.
+CHUNK = 1 << 21
+
+
+def _distinct_grams(texts: list[str]) -> list[str]:
+    """The distinct grams of some texts."""
+    text = "".join(texts)
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    if len(code) < GRAM:
+        return []
+    chars = np.flatnonzero(np.bincount(code))   # numbered from 0 in their order
+    number = np.zeros(chars[-1] + 1, np.uint32)
+    number[chars] = np.arange(len(chars), dtype=np.uint32)
+    code = number[code]
+    bits = max(1, int(len(chars) - 1).bit_length())
+    if bits * GRAM > 64:   # over 65,536 different characters among the texts
+        return [*{t[i:i + GRAM] for t in texts for i in range(len(t) - GRAM + 1)}]
+    n = len(code) - GRAM + 1
+    wide = np.uint32 if bits * GRAM <= 32 else np.uint64
+    key = np.zeros(n, wide)
+    for k in range(GRAM):
+        key = (key << wide(bits)) | code[k:k + n].astype(wide)
+    inside = np.ones(n, bool)   # a gram doesn't reach from one text into the next
+    ends = np.cumsum([len(t) for t in texts])
+    for k in range(1, GRAM):
+        at = ends - k
+        inside[at[(at >= 0) & (at < n)]] = False
+    key = np.sort(key[inside])
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    at = [(key >> wide(bits * (GRAM - 1 - k))) & wide((1 << bits) - 1) for k in range(GRAM)]
+    joined = np.stack([chars[a.astype(np.int64)] for a in at], 1).astype("<u4").tobytes().decode("utf-32-le")
+    return [joined[i:i + GRAM] for i in range(0, len(joined), GRAM)]
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, gram) of rows (file, lower-case text): the distinct grams of each chunk of a file's texts."""
+    for b in batches:
+        texts: dict[str, list[str]] = {}
+        size: dict[str, int] = {}
+        for file, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            text = text.as_py() or ""
+            for i in range(0, max(len(text) - GRAM + 1, 0), CHUNK):   # pieces of a long text overlap, so each gram is whole in one
+                piece = text[i:i + CHUNK + GRAM - 1]
+                texts.setdefault(file, []).append(piece)
+                size[file] = size.get(file, 0) + len(piece)
+                if size[file] >= CHUNK:
+                    yield _rows(file, texts.pop(file))
+                    del size[file]
+        for file, some in texts.items():
+            yield _rows(file, some)
+
+
+def _rows(file: str, texts: list[str]) -> pa.RecordBatch:
+    grams = _distinct_grams(texts)
+    return pa.RecordBatch.from_arrays([pa.array([file] * len(grams), pa.string()), pa.array(grams, pa.string())], ["file", "gram"])
 
 
 def _file() -> Column:
@@ -48,7 +102,8 @@ def write_texts(texts: DataFrame, path: str, text: str = "text", max_records_per
     cores = spark.sparkContext.defaultParallelism
     if len(new) < cores or rows.rdd.getNumPartitions() < cores:   # a small addition is dealt out over all cores
         rows = rows.repartition(cores)
-    places = rows.select("file", F.explode(_grams(F.col("text"))).alias("gram")).select("file", _place(F.col("gram")).alias("place"))
+    grams = rows.select("file", F.lower("text").alias("text")).mapInArrow(_grams, "file string, gram string")
+    places = grams.select("file", _place(F.col("gram")).alias("place"))
     word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("bits")
     words = places.groupBy("file", F.shiftright("place", 6).alias("word")).agg(word)
     all_files = spark.createDataFrame([(f,) for f in new], "file string")   # files without any gram have an empty set
