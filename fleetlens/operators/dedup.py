@@ -25,6 +25,9 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.select(*keys, *sel)
 
 
-def distinct_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``row_number() = 1`` used as de-duplication -> ``dropDuplicates``."""
-    return df.select(*cols).dropDuplicates(list(cols))
+def distinct_pairs(df: DataFrame, cols: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``row_number() = 1`` used as de-duplication -> ``dropDuplicates``.
+
+    With ``parts`` the rows are dealt out by ``cols`` to that many tasks before any task holds a set of them."""
+    rows = df.select(*cols)
+    return (rows if parts is None else rows.repartition(parts, *cols)).dropDuplicates(list(cols))

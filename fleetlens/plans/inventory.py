@@ -16,17 +16,23 @@ from .constants import DB_COUNTER_OBJECT_PATTERN, DB_SIZE_COUNTERS, MODULE_REWRI
 DB = ["instance_id", "database_id"]   # catalog ids are unique inside one database only
 
 
+#: Rows of a catalog table that one task reduces at a time, about.
+ROWS_PER_TASK = 500_000
+
+
 def table_references(depends: DataFrame, sysobjects: DataFrame, proc: str = "") -> DataFrame:
     """Distinct (procedure, table) dependencies of procedures whose name contains ``proc``.
 
-    The pairs of ids are reduced before any name is joined."""
+    The pairs of ids are reduced before any name is joined.  They are nearly all different, so a set of them is as large as
+    its task's share of the rows: the tasks grow in number with the table, not in size."""
+    parts = depends.count() // ROWS_PER_TASK + 1
     o = sysobjects.filter(F.col("xtype") == "P").select(*DB, "id", F.col("name").alias("proc_name"))
     if proc:
         o = o.filter(contains_ci("proc_name", proc))
     oo = sysobjects.select(*DB, F.col("id").alias("depid"), F.col("name").alias("table_name"))
-    pairs = distinct_pairs(depends, [*DB, "id", "depid"])
+    pairs = distinct_pairs(depends, [*DB, "id", "depid"], parts)
     j = pairs.join(o, [*DB, "id"]).join(oo, [*DB, "depid"])
-    return distinct_pairs(j, [*DB, "proc_name", "table_name"])
+    return distinct_pairs(j, [*DB, "proc_name", "table_name"], parts)
 
 
 def modules_mentioning(module_objects: DataFrame, sql_modules: DataFrame, name: str) -> DataFrame:
