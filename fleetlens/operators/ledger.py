@@ -18,9 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _dealt(rows: DataFrame, keys: Sequence[str], parts: int | None) -> DataFrame:
+    return rows if parts is None else rows.repartition(parts, *keys)
+
+
 def upsert_ledger(ledger: DataFrame | None, current: DataFrame, keys: Sequence[str],
                   counters: Sequence[str], carry: Sequence[str] = (),
-                  modified: str = "captured_at", keep: dict | None = None, on_reset: str = "previous") -> DataFrame:
+                  modified: str = "captured_at", keep: dict | None = None, on_reset: str = "previous",
+                  parts: int | None = None) -> DataFrame:
     """Return the new ledger.
 
     ``current``: one or more captures, each with one row per key: ``keys``, ``counters``,
@@ -31,9 +36,11 @@ def upsert_ledger(ledger: DataFrame | None, current: DataFrame, keys: Sequence[s
     bookkeeping columns to the Column their new rows start with; existing
     rows keep their values.  ``on_reset``: what a counter lower than before (the server
     restarted) adds: its ``'previous'`` value (the reference's rule) or its ``'current'`` one.
+    With ``parts`` the rows are dealt out by ``keys`` to that many tasks.
     """
     keep = keep or {}
     keys, counters, carry = list(keys), list(counters), list(carry)
+    current = _dealt(current, keys, parts)
     values = carry + counters
     rows = (current.groupBy(*keys, F.col(modified).alias("_at"))
             .agg(F.max(F.struct(*[F.col(c).cast("long").alias(c) if c in counters else F.col(c) for c in values])).alias("_v"))
@@ -42,7 +49,7 @@ def upsert_ledger(ledger: DataFrame | None, current: DataFrame, keys: Sequence[s
         base = ledger.select(*keys, F.col("current_modification").alias("_at"),
                              F.struct(*[F.col(c) for c in carry], *[F.col(f"current_{c}").alias(c) for c in counters]).alias("_v"),
                              F.struct(*[F.col(c) for c in ledger.columns]).alias("_l"), F.lit(False).alias("_new"))
-        rows = base.unionByName(rows.withColumn("_l", F.lit(None).cast(base.schema["_l"].dataType)))
+        rows = _dealt(base.unionByName(rows.withColumn("_l", F.lit(None).cast(base.schema["_l"].dataType))), keys, parts)
         known = F.max(F.when(~F.col("_new"), F.col("_at"))).over(Window.partitionBy(*keys))
         rows = rows.withColumn("_known", known).filter(~F.col("_new") | F.col("_known").isNull() | (F.col("_at") > F.col("_known")))
 
@@ -73,19 +80,22 @@ def upsert_ledger(ledger: DataFrame | None, current: DataFrame, keys: Sequence[s
 
 
 def upsert_intervals(intervals: DataFrame | None, current: DataFrame, keys: Sequence[str], counters: Sequence[str],
-                     carry: Sequence[str] = (), modified: str = "captured_at", on_reset: str = "previous") -> DataFrame:
+                     carry: Sequence[str] = (), modified: str = "captured_at", on_reset: str = "previous",
+                     parts: int | None = None) -> DataFrame:
     """The usage ledger kept as intervals, for captures that arrive in any order.
 
     One row per key and capture: what the counters gained since the key's capture before (``from_at``, NULL for the
     first) up to this one (``at``).  A capture that arrives late falls into an interval and splits it; one that is there already
     changes nothing.  So the result only depends on the captures, not on when or how often they came.
-    Columns: ``keys``, ``from_at``, ``at``, ``carry``, and per counter ``current_c``, ``last_c`` (0 for the first) and ``gain_c``."""
+    Columns: ``keys``, ``from_at``, ``at``, ``carry``, and per counter ``current_c``, ``last_c`` (0 for the first) and ``gain_c``.
+    With ``parts`` the rows are dealt out by ``keys`` to that many tasks."""
     keys, counters, carry = list(keys), list(counters), list(carry)
+    current = _dealt(current, keys, parts)
     value = F.struct(*[F.col(c) for c in carry], *[F.col(c).cast("long").alias(c) for c in counters])
     points = current.groupBy(*keys, F.col(modified).alias("at")).agg(F.max(value).alias("_v")).withColumn("_new", F.lit(1))
     if intervals is not None:
         known = F.struct(*[F.col(c) for c in carry], *[F.col(f"current_{c}").alias(c) for c in counters])
-        points = points.unionByName(intervals.select(*keys, "at", known.alias("_v"), F.lit(0).alias("_new")))
+        points = _dealt(points.unionByName(intervals.select(*keys, "at", known.alias("_v"), F.lit(0).alias("_new"))), keys, parts)
         points = points.groupBy(*keys, "at").agg(F.min_by("_v", "_new").alias("_v"))
     before = Window.partitionBy(*keys).orderBy("at")
     rows = points.withColumns({"from_at": F.lag("at").over(before), "_p": F.lag("_v").over(before)})

@@ -9,8 +9,6 @@ deltas after it; reading back from parquet cuts the lineage between batches.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +23,8 @@ CAPTURE_SCHEMA = ("instance_id STRING, database_id INT, database_name STRING, sc
 
 #: Batches between two full versions.
 COMPACT_EVERY = 16
+#: Rows of the ledger and its captures that one task works on at a time, about.
+ROWS_PER_TASK = 500_000
 
 
 def read_ledger(spark: SparkSession, path: str, before: int | None = None, keys=LEDGER_KEYS) -> DataFrame | None:
@@ -34,6 +34,7 @@ def read_ledger(spark: SparkSession, path: str, before: int | None = None, keys=
     rows = _parts(spark, path, before)
     if rows is None:
         return None
+    rows = rows.repartition(tasks_for(rows), *keys)
     others = [c for c in rows.columns if c not in keys and c != "_batch"]
     return latest_per_key(rows, list(keys), ["_batch"], others).select(*[c for c in rows.columns if c != "_batch"])
 
@@ -56,20 +57,31 @@ def read_intervals(spark: SparkSession, path: str, before: int | None = None, ke
     if rows is None:
         return None
     newest = F.max("_batch").over(Window.partitionBy(*keys))
-    return rows.withColumn("_newest", newest).filter("_batch = _newest").drop("_batch", "_newest")
+    return rows.repartition(tasks_for(rows), *keys).withColumn("_newest", newest).filter("_batch = _newest").drop("_batch", "_newest")
+
+
+def tasks_for(*tables: DataFrame) -> int:
+    """How many tasks the rows of stored tables are dealt out to: they grow in number with the rows, not in size."""
+    return sum(t.count() for t in tables) // ROWS_PER_TASK + 1
+
 
+def touched(rows: DataFrame, batch: DataFrame, keys, parts: int | None = None) -> DataFrame:
+    """The rows of keys that a batch has; NULL key parts are equal to each other, as in the ledger's own grouping.
 
-def touched(rows: DataFrame, batch: DataFrame, keys) -> DataFrame:
-    """The rows of keys that a batch has; NULL key parts are equal to each other, as in the ledger's own grouping."""
-    seen = batch.select(*[F.col(k).alias(f"_t_{k}") for k in keys]).distinct()
-    return rows.join(seen, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]), "left_semi")
+    Both meet in one shuffle on the keys, dealt out to ``parts`` tasks if given: a batch may have every key of the ledger,
+    so its keys are held whole by no task."""
+    marks = batch.select(*keys).withColumn("_mark", F.lit(True))
+    both = rows.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    both = both if parts is None else both.repartition(parts, *keys)
+    seen = F.max("_mark").over(Window.partitionBy(*keys))
+    return both.withColumn("_seen", seen).filter("_seen AND NOT _mark").drop("_mark", "_seen")
 
 
 def start_ledger_stream(spark: SparkSession, source: str, ledger_path: str, checkpoint: str,
                         keys, counters, carry, keep: dict | None = None, compact_every: int = COMPACT_EVERY,
                         max_files_per_trigger: int | None = None) -> StreamingQuery:
-    def fold(ledger: DataFrame | None, batch: DataFrame) -> DataFrame:
-        return upsert_ledger(ledger, batch, keys, counters, carry, keep=keep)
+    def fold(ledger: DataFrame | None, batch: DataFrame, parts: int) -> DataFrame:
+        return upsert_ledger(ledger, batch, keys, counters, carry, keep=keep, parts=parts)
 
     return _start(spark, source, ledger_path, checkpoint, keys, fold, read_ledger, compact_every, max_files_per_trigger)
 
@@ -78,8 +90,8 @@ def start_interval_stream(spark: SparkSession, source: str, path: str, checkpoin
                           compact_every: int = COMPACT_EVERY, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """The ledger as intervals: a capture that arrives after newer ones still counts (``upsert_intervals``).  Read it with
     :func:`read_intervals` and ``ledger_of_intervals``."""
-    def fold(intervals: DataFrame | None, batch: DataFrame) -> DataFrame:
-        return upsert_intervals(intervals, batch, keys, counters, carry)
+    def fold(intervals: DataFrame | None, batch: DataFrame, parts: int) -> DataFrame:
+        return upsert_intervals(intervals, batch, keys, counters, carry, parts=parts)
 
     return _start(spark, source, path, checkpoint, keys, fold, read_intervals, compact_every, max_files_per_trigger)
 
@@ -92,10 +104,11 @@ def _start(spark: SparkSession, source: str, path: str, checkpoint: str, keys, f
     def apply(batch: DataFrame, batch_id: int) -> None:
         # a replayed batch starts again from what was written before it, so it rewrites
         # the same result (and a re-applied capture changes nothing)
-        known = read(spark, path, before=batch_id, keys=keys)
+        known, stored = read(spark, path, before=batch_id, keys=keys), _parts(spark, path, batch_id)
+        parts = tasks_for(batch) if stored is None else tasks_for(stored, batch)
         if known is not None:
-            known = touched(known, batch, keys)
-        fold(known, batch).write.mode("overwrite").parquet(f"{path}/delta={batch_id:010d}")
+            known = touched(known, batch, keys, parts)
+        fold(known, batch, parts).write.mode("overwrite").parquet(f"{path}/delta={batch_id:010d}")
         found = complete_folders(spark, path, ("delta", "full"))
         fulls = [number for number, kind, _ in found if kind == "full" and number < batch_id]
         if sum(1 for number, kind, _ in found if kind == "delta" and number > (fulls[-1] if fulls else -1)) >= compact_every:

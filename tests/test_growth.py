@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import glob
+import tempfile
+
 import pytest
 
 from fleetlens.functions import statement_slice
 from fleetlens.operators import joins
 from fleetlens.plans import inventory, sessions
+from fleetlens.plans import maintenance as mt
 from fleetlens.sources import text_index
+from fleetlens.streaming import ledger as stl
 
 
 def test_a_statement_is_cut_from_one_encoding_of_its_batch(spark):
@@ -63,3 +69,27 @@ def test_references_are_reduced_by_more_tasks_when_there_are_more(spark, monkeyp
     got = inventory.table_references(depends, names)
     assert sorted((r.proc_name, r.table_name) for r in got.collect()) == sorted((f"p{p}", f"t{t}") for p in range(5) for t in range(3))
     assert got._jdf.queryExecution().optimizedPlan().toString().count(", 10") >= 2   # 90 rows, 10 tasks
+
+
+def test_the_keys_of_a_batch_are_held_whole_by_no_task(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("a", None, 2), ("a", 1, 3), ("b", 2, 4), (None, None, None)], "x string, y int, v int")
+    batch = spark.createDataFrame([("a", None), ("a", None), (None, None), ("c", 9)], "x string, y int")
+    got = stl.touched(rows, batch, ["x", "y"], 3)
+    assert got.columns == rows.columns
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", None, 1), ("a", None, 2), (None, None, None)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_intervals_are_folded_by_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(stl, "ROWS_PER_TASK", 10)
+    base = tempfile.mkdtemp(prefix="fleetlens-test-")
+    keys, counters, carry = mt.LEDGER_KEYS, mt.LEDGER_COUNTERS, mt.LEDGER_CARRY
+    for day, reads in ((3, 9), (1, 2), (2, 5)):
+        rows = [("s", 1, "db", None, "t", f"ix{i}", 1, i, 90, reads * i, i, dt.datetime(2024, 1, day)) for i in range(200)]
+        spark.createDataFrame(rows, stl.CAPTURE_SCHEMA).write.mode("append").parquet(f"{base}/landing")
+        stl.start_interval_stream(spark, f"{base}/landing", f"{base}/intervals", f"{base}/ckpt", keys, counters, carry).awaitTermination()
+    sizes = [[spark.read.parquet(f).count() for f in glob.glob(f"{base}/intervals/delta={b:010d}/*.parquet")] for b in range(3)]
+    assert [sum(s) for s in sizes] == [200, 400, 600] and [len(s) > 15 for s in sizes] == [True] * 3
+    assert stl.read_intervals(spark, f"{base}/intervals").rdd.getNumPartitions() == 121   # 1,200 rows, 10 in a task
+    got = sorted((r.index_id, r.at.day, r.last_read_usage, r.gain_read_usage) for r in stl.read_intervals(spark, f"{base}/intervals").collect())
+    assert got == sorted((i, d, i * last, i * gain) for i in range(200) for d, last, gain in ((1, 0, 2), (2, 2, 3), (3, 5, 4)))
