@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exact_ratio, int_div, rewrite_text, safe_ratio
 from ..functions.text import contains_ci
 from ..operators import distinct_pairs, latest_per_key, multi_filter, sample_keys, unused_keys
+from ..operators.joins import planned_bytes
 from .constants import DB_COUNTER_OBJECT_PATTERN, DB_SIZE_COUNTERS, MODULE_REWRITES, MODULE_TYPES
 
 
@@ -16,8 +17,18 @@ from .constants import DB_COUNTER_OBJECT_PATTERN, DB_SIZE_COUNTERS, MODULE_REWRI
 DB = ["instance_id", "database_id"]   # catalog ids are unique inside one database only
 
 
-#: Rows of a catalog table that one task reduces at a time, about.
+#: Rows of a catalog table that one task reduces at a time, about, and what they take in files.
 ROWS_PER_TASK = 500_000
+BYTES_PER_TASK = 2_500_000
+#: An estimate beyond this says that the planner doesn't know the size.
+_UNKNOWN = 1 << 50
+
+
+def _tasks_for(rows: DataFrame) -> int | None:
+    """How many tasks a table is dealt out to, by its size in files (a table that isn't read from files is counted); None for one."""
+    size = planned_bytes(rows)
+    parts = (size // BYTES_PER_TASK if size < _UNKNOWN else rows.count() // ROWS_PER_TASK) + 1
+    return parts if parts > 1 else None
 
 
 def table_references(depends: DataFrame, sysobjects: DataFrame, proc: str = "") -> DataFrame:
@@ -25,7 +36,7 @@ def table_references(depends: DataFrame, sysobjects: DataFrame, proc: str = "")
 
     The pairs of ids are reduced before any name is joined.  They are nearly all different, so a set of them is as large as
     its task's share of the rows: the tasks grow in number with the table, not in size."""
-    parts = depends.count() // ROWS_PER_TASK + 1
+    parts = _tasks_for(depends)
     o = sysobjects.filter(F.col("xtype") == "P").select(*DB, "id", F.col("name").alias("proc_name"))
     if proc:
         o = o.filter(contains_ci("proc_name", proc))

@@ -93,3 +93,18 @@ def test_more_intervals_are_folded_by_more_tasks(spark, monkeypatch):
     assert stl.read_intervals(spark, f"{base}/intervals").rdd.getNumPartitions() == 121   # 1,200 rows, 10 in a task
     got = sorted((r.index_id, r.at.day, r.last_read_usage, r.gain_read_usage) for r in stl.read_intervals(spark, f"{base}/intervals").collect())
     assert got == sorted((i, d, i * last, i * gain) for i in range(200) for d, last, gain in ((1, 0, 2), (2, 2, 3), (3, 5, 4)))
+
+
+def test_stored_references_are_dealt_out_by_their_size_in_files(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="fleetlens-test-")
+    spark.range(2000).selectExpr("'s' instance_id", "1 database_id", "id % 50 id", "100 + id % 7 depid").write.parquet(f"{base}/depends")
+    depends = spark.read.parquet(f"{base}/depends")
+    names = spark.createDataFrame([("s", 1, p, f"p{p}", "P") for p in range(50)] + [("s", 1, 100 + t, f"t{t}", "U") for t in range(7)],
+                                  "instance_id string, database_id int, id long, name string, xtype string")
+    monkeypatch.setattr(type(depends), "count", lambda self: pytest.fail("a stored table is not counted"))
+    small = inventory.table_references(depends, names)
+    assert "SinglePartition" not in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(inventory, "BYTES_PER_TASK", joins.planned_bytes(depends) // 12)
+    many = inventory.table_references(depends, names)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Repartition") >= 2
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, small.collect())) and len(many.collect()) == 350
