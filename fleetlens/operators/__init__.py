@@ -2,7 +2,7 @@
 
 from .topn import top_n
 from .scope import capture_at, captures_at, database_scope, latest_capture, multi_filter, sample_keys
-from .joins import blocking_pairs, resolve_handle, resolve_plan, resolve_text, unused_keys, with_index_names
+from .joins import blocking_pairs, resolve_handle, resolve_plan, resolve_text, shuffled, unused_keys, with_index_names
 from .shares import conditional_split, pareto_cutoff, share_of_total
 from .deltas import capture_range_delta, consecutive_delta, snapshot_delta
 from .history import counter_gains, gained_between, segmented_delta, with_segments

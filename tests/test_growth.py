@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import glob
+import re
 import tempfile
 
 import pytest
@@ -51,6 +52,32 @@ def test_locks_are_found_once(spark, monkeypatch):
     assert filtered and all("resource_type" not in columns for columns in filtered)   # the texts' filter doesn't run the locks again
 
 
+def test_contended_locks_meet_no_table_in_a_broadcast(spark):
+    locks = spark.createDataFrame([("s", 1, "KEY", 5, "x", 7, "GRANT", "S"), ("s", 1, "KEY", 5, "x", 8, "WAIT", "X"), ("s", 1, "KEY", 5, "x", 8, "WAIT", "X"),
+                                   ("s", 2, "OBJECT", 9, None, 7, "WAIT", "X"), ("s", 2, "OBJECT", 9, None, 6, "GRANT", "S"), ("s", 2, "OBJECT", 9, None, 5, "GRANT", "S"),
+                                   ("s", 1, "KEY", 6, "x", 8, "WAIT", "X"), ("s", None, "KEY", 5, "x", 7, "GRANT", "S"), ("s", None, "KEY", 5, "x", 8, "WAIT", "S"),
+                                   ("s", 3, "PAGE", 5, "y", 8, "GRANT", "S"), ("s", 3, "PAGE", 5, "y", 4, "WAIT", "S")],
+                                  "instance_id string, resource_database_id int, resource_type string, resource_associated_entity_id long, "
+                                  "resource_description string, request_session_id int, request_status string, request_mode string")
+    objects = spark.createDataFrame([("s", 1, 3, "t"), ("s", 2, 9, "u"), ("s", 2, 9, "v")], "instance_id string, database_id int, object_id int, name string")
+    partitions = spark.createDataFrame([("s", 1, 3, 5), ("s", 2, 9, 9)], "instance_id string, database_id int, object_id int, partition_id long")
+    databases = spark.createDataFrame([("s", 1, "d"), ("s", 2, "e")], "instance_id string, database_id int, name string")
+    connections = spark.createDataFrame([("s", 8, "c8", "h1"), ("s", 7, "c7", "h1"), ("s", 6, None, "h2"), ("s", 5, "c5", "h3"), ("s", None, "c9", "h1")],
+                                        "instance_id string, most_recent_session_id int, connection_id string, most_recent_sql_handle string")
+    texts = spark.createDataFrame([("s", "h1", "SELECT 1; SELECT 2"), ("s", "h2", "SELECT 3")], "instance_id string, sql_handle string, text string")
+    requests = spark.createDataFrame([("s", "c8", 20, -1), ("s", "c8", 0, 14), ("s", None, 0, -1)],
+                                     "instance_id string, connection_id string, statement_start_offset int, statement_end_offset int")
+    got = sessions.contended_resources(locks, objects, partitions, databases, connections, texts, requests)
+    rows = [(r.database_name, r.resource_type_name, r.request_session_id, r.request_status, r.sql_text, r.contending_locks, r.holder_session_id, r.waiter_session_id)
+            for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(
+        [("d", "t", 7, "GRANT", None, 2, 7, 8)] + [("d", "t", 8, "WAIT", x, 1, 7, 8) for x in ("SELECT 1", "SELECT 2")] * 2
+        + [("e", n, 7, "WAIT", None, 2, 5, 7) for n in "uv"] + [("e", n, 6, "GRANT", None, 1, 5, 7) for n in "uv"]
+        + [(None, None, 8, "GRANT", x, 1, 8, 4) for x in ("SELECT 1", "SELECT 2")], key=str)
+    joins_run = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert all(re.search(r"BroadcastHashJoin \[id#\d+L\], \[word#\d+L\]", line) for line in joins_run), joins_run   # the words of a key filter, FILTER_BITS / 64
+
+
 @pytest.mark.parametrize("texts", [["abcde", "xbcd", "", "ab", "cde"], ["a\U0001f600bc\n京", "bc"], ["abc"], []])
 def test_grams_of_texts_by_brute_force(texts, monkeypatch):
     import pyarrow as pa
